@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, packing, records, sharding, warc
+from . import bpe, media, packing, records, sharding, warc
+from .common import tokenizer_path
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 TABLE_SIZE = 8191
@@ -20,6 +21,12 @@ def op1_media_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(_table(spark, sf_dir, "documents")).drop("features")
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encode_digest(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).drop("ids")
+
+
 def op6_framed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.record_digest(_table(spark, sf_dir, "documents")).drop("shard", "seq")
 
@@ -38,7 +45,7 @@ def op9_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_media_features, op6_framed_records, op7_lookup_sharding, op8_bin_slack_packing, op9_warc_bundles)
+    f.__name__: f for f in (op1_media_features, op3_byte_bpe, op6_framed_records, op7_lookup_sharding, op8_bin_slack_packing, op9_warc_bundles)
 }
 
 
