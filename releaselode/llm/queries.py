@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, packing, records, sharding, warc
+from . import bpe, jaccard, media, packing, records, sharding, warc
 from .common import tokenizer_path
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -21,6 +21,10 @@ def op1_media_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(_table(spark, sf_dir, "documents")).drop("features")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,7 +49,7 @@ def op9_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_media_features, op3_byte_bpe, op6_framed_records, op7_lookup_sharding, op8_bin_slack_packing, op9_warc_bundles)
+    f.__name__: f for f in (op1_media_features, op2_jaccard_join, op3_byte_bpe, op6_framed_records, op7_lookup_sharding, op8_bin_slack_packing, op9_warc_bundles)
 }
 
 
