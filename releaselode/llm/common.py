@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -100,78 +101,88 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: A word of Latin letters, and what ASCII punctuation follows: two matches of the byte-level pattern, or one.
+_PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-/:-@\[-`{-~]*)")
+
+
+class _Words(dict):
+    """Packed ids of each distinct word, found when first asked for; KeyError for one with white space at its ends."""
+
+    def __init__(self, enc: WordEncoder, lead: str):
+        self.enc, self.lead = enc, lead
+
+    def __missing__(self, w: str) -> bytes:
+        if m := _PLAIN.fullmatch(w):
+            stem, tail = m.groups()
+            ids = self[stem] + self.enc.tail(tail) if tail else self.enc.piece(self.lead + w)
+        elif not w or w[0].isspace() or w[-1].isspace():
+            raise KeyError(w)
+        else:
+            ids = self.enc.whole(self.lead + w)
+        self[w] = ids
+        return ids
+
+
 class WordEncoder:
     """Ids of whole texts by the tokenizers library, each distinct word encoded once.
 
     A byte-level pre-tokenizer always cuts before a single space that stands between two other characters that are
-    no white space, and around a single line feed likewise. So a text is the concatenation of its words' ids. A text
-    with any other white space pattern is encoded whole. The words that are kept are bounded by `most`."""
+    no white space, and around a single line feed likewise. So a text is the concatenation of its words' ids. Plain
+    words go to the library's BPE model straight away. A text with any other white space pattern is encoded whole. The
+    words that are kept are bounded by `most`."""
 
     def __init__(self, path: str, most: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tk = Tokenizer.from_file(path)
         self.tk.encode_special_tokens = True
+        if not isinstance(self.tk.pre_tokenizer, pre_tokenizers.ByteLevel) or self.tk.normalizer is not None:
+            raise ValueError("a byte-level tokenizer without normalizer is needed")
         self.dtype = np.dtype("<u2" if self.tk.get_vocab_size() <= 1 << 16 else "<u4")
-        self.spaced: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
+        # the pre-tokenizer shows each byte as a printable character: itself, or the next free one from U+0100 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [x for x in range(256) if x not in set(shown)]
+        self.shown = {**{x: x for x in shown}, **{x: 256 + i for i, x in enumerate(hidden)}}
         self.most = most
-        nl = self._ids("\n")
-        self.newline, self.nl = nl[0] if len(nl) == 1 else -1, self._pack(nl)
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tk.encode(text, add_special_tokens=False).ids
-
-    def _pack(self, ids) -> bytes:
-        return np.asarray(ids, self.dtype).tobytes()
-
-    def _learn(self, known: dict[str, bytes], words: set[str], lead: str) -> None:
-        new = [w for w in words if w not in known]
-        for i in range(0, len(new), 4000):
-            part = new[i : i + 4000]
-            ids = np.asarray(self._ids("\n".join([lead + w for w in part])), self.dtype)
-            cut = np.flatnonzero(ids == self.newline)
-            if len(cut) == len(part) - 1:
-                raw, size = ids.tobytes(), self.dtype.itemsize
-                ends = (np.append(cut, len(ids)) * size).tolist()
-                starts = [0, *((cut + 1) * size).tolist()]
-                known.update(zip(part, (raw[a:b] for a, b in zip(starts, ends, strict=True)), strict=True))
-            else:
-                known.update((w, self._pack(self._ids(lead + w))) for w in part)
+        self.clear()
+        self.newline = self.whole("\n")
+
+    def clear(self) -> None:
+        self.spaced, self.first, self.tails = _Words(self, " "), _Words(self, ""), {}
+
+    def whole(self, text: str) -> bytes:
+        return np.asarray(self.tk.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def piece(self, text: str) -> bytes:
+        """Of one match of the pre-tokenizer's pattern."""
+        return np.array([x.id for x in self.tk.model.tokenize(text.encode().decode("latin-1").translate(self.shown))], self.dtype).tobytes()
+
+    def tail(self, text: str) -> bytes:
+        if text not in self.tails:
+            self.tails[text] = self.piece(text)
+        return self.tails[text]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids (little-endian, self.dtype) of each text."""
         if len(self.spaced) + len(self.first) > self.most:
-            self.spaced.clear()
-            self.first.clear()
-        split = [[line.split(" ") for line in t.split("\n")] for t in texts]
-        spaced: set[str] = set()
-        first: set[str] = set()
-        for lines in split:
-            for ws in lines:
-                first.add(ws[0])
-                spaced.update(ws[1:])
-        odd = {w for w in first | spaced if not w or w[0].isspace() or w[-1].isspace() or self.newline < 0}
-        odd_f, odd_s = first & odd, spaced & odd
-        self._learn(self.first, first - odd, "")
-        self._learn(self.spaced, spaced - odd, " ")
-        for w in odd_f:
-            self.first.pop(w, None)
+            self.clear()
         out = []
-        get_s, get_f = self.spaced.__getitem__, self.first.__getitem__
-        for t, lines in zip(texts, split, strict=True):
+        spaced, first = self.spaced.__getitem__, self.first.__getitem__
+        for t in texts:
             try:
                 parts: list[bytes] = []
-                for i, ws in enumerate(lines):
+                for i, line in enumerate(t.split("\n")):
                     if i:
-                        parts.append(self.nl)
-                    parts.append(get_f(ws[0]))
+                        parts.append(self.newline)
+                    ws = line.split(" ")
+                    parts.append(first(ws[0]))
                     if len(ws) > 1:
-                        parts.extend(map(get_s, ws[1:]))
+                        del ws[0]
+                        parts.extend(map(spaced, ws))
                 out.append(b"".join(parts))
             except KeyError:  # white space that isn't single
-                out.append(self._pack(self._ids(t)))
+                out.append(self.whole(t))
         return out
 
 
