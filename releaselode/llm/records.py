@@ -111,18 +111,19 @@ def unframe(data: bytes, index: np.ndarray) -> list[bytes]:
 INDEX = np.dtype([("key", "<i8"), ("offset", "<i8"), ("size", "<i8"), ("ids", "<i4")])
 
 
-def tokenized(docs: DataFrame, vocabulary: str, end_id: int | None) -> DataFrame:
-    """doc_id long, width int, ids binary (packed little-endian), n_tokens int; end_id is appended to each."""
+def tokenized(docs: DataFrame, vocabulary: str, end_id: int | None, bounds: list[float]) -> DataFrame:
+    """shard int (by the bounds of keys), doc_id long, width int, ids binary (packed little-endian), n_tokens int; end_id is appended to each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        enc, edges = encoder(vocabulary), np.array(bounds, np.float64)
         size = enc.dtype.itemsize
         end = b"" if end_id is None else np.array([end_id], enc.dtype).tobytes()
         for b in slices(batches):
             ids = [x + end for x in enc.encode(b.column(1).to_pylist())]
-            yield pa.record_batch([b.column(0), pa.array([size] * len(ids), pa.int32()), pa.array(ids, pa.binary()), pa.array([len(x) // size for x in ids], pa.int32())], names=["doc_id", "width", "ids", "n_tokens"])
+            shard = np.searchsorted(edges, b.column(0).to_numpy(), side="right").astype(np.int32)
+            yield pa.record_batch([pa.array(shard), b.column(0), pa.array([size] * len(ids), pa.int32()), pa.array(ids, pa.binary()), pa.array([len(x) // size for x in ids], pa.int32())], names=["shard", "doc_id", "width", "ids", "n_tokens"])
 
-    return map_arrow(texts_of(docs), run, "doc_id long, width int, ids binary, n_tokens int")
+    return map_arrow(texts_of(docs), run, "shard int, doc_id long, width int, ids binary, n_tokens int")
 
 
 def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int, rows_per_shard: int = 4096) -> DataFrame:
@@ -135,12 +136,6 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int, ro
     probs = [i / shards for i in range(1, shards)]
     bounds = sorted(set(keys.approxQuantile("k", probs, min(0.01, 0.1 / shards)))) if probs else []
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = np.array(bounds, np.float64)
-        for b in batches:
-            k = np.searchsorted(edges, b.column(0).to_numpy(), side="right").astype(np.int32)
-            yield pa.record_batch([pa.array(k), *b.columns], names=["shard", *b.schema.names])
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[pa.RecordBatch] = []
         now, blocks, index, at = -1, [], [], 0
@@ -166,7 +161,7 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int, ro
         close()
         yield from done
 
-    rows = map_arrow(tokenized(docs, vocabulary, end_id), cut, "shard int, doc_id long, width int, ids binary, n_tokens int")
+    rows = tokenized(docs, vocabulary, end_id, bounds)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     placed = rows.repartition(min(parts, shards), "shard").sortWithinPartitions("shard", "doc_id", "ids")
     return stored(map_arrow(placed, write, "doc_id long, shard int, n_tokens int"), "record-rows")
