@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, media, packing, records, sharding, warc
+from . import bpe, jaccard, media, packing, records, sharding, suffix, warc
 from .common import tokenizer_path
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -31,6 +31,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).drop("ids")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup_digest(_table(spark, sf_dir, "documents"))
+
+
 def op6_framed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.record_digest(_table(spark, sf_dir, "documents")).drop("shard", "seq")
 
@@ -49,7 +53,7 @@ def op9_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_media_features, op2_jaccard_join, op3_byte_bpe, op6_framed_records, op7_lookup_sharding, op8_bin_slack_packing, op9_warc_bundles)
+    f.__name__: f for f in (op1_media_features, op2_jaccard_join, op3_byte_bpe, op4_suffix_dedup, op6_framed_records, op7_lookup_sharding, op8_bin_slack_packing, op9_warc_bundles)
 }
 
 
