@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, media, packing, records, sharding, suffix, warc
+from . import bpe, jaccard, media, packing, quality, records, sharding, suffix, warc
 from .common import tokenizer_path
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -35,6 +35,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup_digest(_table(spark, sf_dir, "documents"))
 
 
+def op5_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.divergence_rules(_table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
+
+
 def op6_framed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.record_digest(_table(spark, sf_dir, "documents")).drop("shard", "seq")
 
@@ -53,7 +57,7 @@ def op9_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_media_features, op2_jaccard_join, op3_byte_bpe, op4_suffix_dedup, op6_framed_records, op7_lookup_sharding, op8_bin_slack_packing, op9_warc_bundles)
+    f.__name__: f for f in (op1_media_features, op2_jaccard_join, op3_byte_bpe, op4_suffix_dedup, op5_divergence_rules, op6_framed_records, op7_lookup_sharding, op8_bin_slack_packing, op9_warc_bundles)
 }
 
 
@@ -78,4 +82,4 @@ select page_id, cast(octet_length(encode(body)) as bigint) as payload_bytes,
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_lookup_sharding": _sharding_sql(), "op9_warc_bundles": WARC_SQL}
+    return {"op5_divergence_rules": quality.oracle_sql(), "op7_lookup_sharding": _sharding_sql(), "op9_warc_bundles": WARC_SQL}
