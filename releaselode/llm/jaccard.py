@@ -12,9 +12,9 @@ Order of work, with what bounds each step:
    candidate, so a class whose shared shingles are fewer than the overlap it needs is done. Shingles are counted in
    packed blocks by hash range (about `range_tokens` in a task).
 3. The others are joined by prefixes. First each is verified against one pivot of its postings, the smallest class,
-   which links large groups of near copies at a cost linear in their size. Then only pairs whose components still
-   differ are generated, from the members outside of a posting list's main component. No pair of one component, no copy
-   and no pair without enough shared prefix shingles is ever emitted.
+   which links large groups of near copies at a cost linear in their size. Posting lists that still have several
+   components form families by their main one; the documents outside of it are held in blocks, the family streams past,
+   and pairs with enough shared prefix shingles are verified in place. No pair is emitted but links that connect.
 4. Components by label propagation with pointer jumping on stored tables; nothing about documents reaches the driver
    but counts.
 
@@ -290,12 +290,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, range_to
     return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("component_id"))
 
 
-def set_links(sets: DataFrame, percent: int, longest: int) -> DataFrame:
+def set_links(sets: DataFrame, percent: int, longest: int, block: int = 256) -> DataFrame:
     """a, b: enough links between sets(rep, n, set) that any two similar ones are connected. sets is stored."""
     token = sets.select("rep", "n", F.explode("set").alias("token"))
     df = token.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     ranked = token.join(df, "token").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
-    prefixes = choose_prefixes(ranked, percent, longest)
+    prefixes = stored(choose_prefixes(ranked, percent, longest), "prefixes")
     postings = stored(prefixes.select("rep", "n", "l", F.explode("prefix").alias("token")), "postings")
     fits = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
 
@@ -306,18 +306,123 @@ def set_links(sets: DataFrame, percent: int, longest: int) -> DataFrame:
     first = stored(verified(best, sets, percent), "pivot-links")
     label = components(first, "pivots")
 
-    # what is left: pairs of different components
-    known = postings.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", "n", "l", F.coalesce("label", "rep").alias("comp"))
+    # what is left: families of postings with several components
+    known = postings.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", F.coalesce("label", "rep").alias("comp"))
     known = stored(known, "postings-by-component")
     main = known.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select("token", "main")
-    main = stored(main, "open-tokens")
-    live = known.join(main, "token")
-    live = stored(live, "open-postings")
-    side = lambda s: live.select("token", "main", *(F.col(c).alias(c + s) for c in ("rep", "n", "l", "comp")))
-    x, y = side("x").where("compx != main"), side("y").drop("main")
-    once = (F.col("compy") == F.col("main")) | (F.col("repx") < F.col("repy"))
-    pairs = x.join(y, "token").where((F.col("compx") != F.col("compy")) & once & fits("nx", "ny"))
-    pairs = pairs.select(F.least("repx", "repy").alias("a"), F.greatest("repx", "repy").alias("b"), F.least("lx", "ly").alias("l"))
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("l").alias("l")).where("c >= l")
-    rest = stored(verified(pairs, sets, percent), "other-links")
-    return first.union(rest)
+    family = stored(known.join(main, "token").groupBy("rep", "main").agg(F.first("comp").alias("comp")), "families")
+    blocks = family.where("comp != main").groupBy("main").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    family = family.join(blocks, "main")
+    outside = family.where("comp != main").select("main", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"), F.lit(0).alias("turn"), "rep", "comp")
+    turn = F.when(F.col("comp") == F.col("main"), 1).otherwise(2)
+    inside = family.select("main", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), turn.alias("turn"), "rep", "comp")
+    full = sets.join(prefixes.select("rep", "l", "prefix"), "rep")
+    rows = outside.union(inside).join(full, "rep").select("main", "block", "turn", "comp", "rep", "n", "l", "prefix", "set", F.xxhash64("rep").alias("mixed"))
+    rows = rows.repartition("main", "block").sortWithinPartitions("main", "block", "turn", "mixed").drop("mixed")
+    return first.union(stored(family_links(rows, percent), "family-links"))
+
+
+class _Index:
+    """Postings of a block's documents: which of them have a token."""
+
+    def __init__(self, lists: list[np.ndarray]):
+        flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+        owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        order = np.argsort(flat, kind="stable")
+        self.n, self.owner = len(lists), owner[order]
+        self.tokens, self.starts = np.unique(flat[order], return_index=True)
+        self.counts = np.diff(np.append(self.starts, len(flat)))
+
+    def shared(self, lists: list[np.ndarray]) -> np.ndarray:
+        """Tokens that each document of the block (row) and each of the lists (column) have in common."""
+        out = np.zeros(self.n * len(lists), np.int32)
+        if not len(self.tokens) or not lists:
+            return out.reshape(self.n, len(lists))
+        flat = np.concatenate(lists)
+        column = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        at = np.minimum(np.searchsorted(self.tokens, flat), len(self.tokens) - 1)
+        hit = self.tokens[at] == flat
+        at, column = at[hit], column[hit]
+        size = self.counts[at]
+        ends = np.cumsum(size)
+        for a in range(0, int(ends[-1]) if len(ends) else 0, 1 << 22):  # a bounded number of matches at once
+            i, j = np.searchsorted(ends, [a, a + (1 << 22)], side="right")
+            j = min(j + 1, len(ends))
+            w = np.arange(max(a, 0), min(a + (1 << 22), int(ends[-1])))
+            which = np.searchsorted(ends[i:j], w, side="right") + i
+            row = self.owner[self.starts[at[which]] + w - (ends[which] - size[which])]
+            out += np.bincount(row * len(lists) + column[which], minlength=len(out)).astype(np.int32)
+        return out.reshape(self.n, len(lists))
+
+
+def family_links(rows: DataFrame, percent: int) -> DataFrame:
+    """a, b: links that connect the components of each family as far as any similar pair does.
+
+    rows: main, block, turn, comp, rep, n, l, prefix, set, sorted. First come the block's documents, which are outside of the main
+    component and held in memory; then the whole family streams past, members of the main component first. A document that
+    has been connected with the main component is done: pairs of two such documents connect nothing, and any other
+    document of the family is in a block itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        parent: dict[int, int] = {}
+        open_rows: np.ndarray = np.zeros(0, np.int64)
+        index: tuple[_Index, _Index] | None = None
+
+        def find(x: int) -> int:
+            while (y := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[y] if y in parent else y
+            return x
+
+        def against(part: list[tuple], main: int) -> list[tuple[int, int]]:
+            nonlocal open_rows, index
+            if index is None:
+                open_rows = np.arange(len(held))
+                index = (_Index([h[3] for h in held]), _Index([h[4] for h in held]))
+            got = []
+            if not len(open_rows):
+                return got
+            x = [held[i] for i in open_rows]
+            enough = np.minimum(np.array([h[2] for h in x])[:, None], np.array([y[2] for y in part])[None, :])
+            maybe = index[0].shared([y[3] for y in part]) >= enough
+            maybe &= np.array([h[5] for h in x])[:, None] != np.array([y[5] for y in part])[None, :]
+            some = np.flatnonzero(maybe.any(axis=0))
+            if not len(some):
+                return got
+            both = index[1].shared([part[j][4] for j in some]).astype(np.int64)
+            union = np.array([h[1] for h in x])[:, None] + np.array([part[j][1] for j in some])[None, :] - both
+            for i, j in np.argwhere(maybe[:, some] & (both * 100 >= union * percent)).tolist():
+                a, b = find(x[i][5]), find(part[some[j]][5])
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    got.append((min(x[i][0], part[some[j]][0]), max(x[i][0], part[some[j]][0])))
+            top = find(main)
+            left = np.array([find(h[5]) != top for h in x])
+            if left.sum() <= len(left) * 0.8:
+                open_rows = open_rows[left]
+                index = (_Index([held[i][3] for i in open_rows]), _Index([held[i][4] for i in open_rows]))
+            return got
+
+        now, size = None, 16
+        for b in batches:
+            main, block, turn, comp, rep, n, ls = (b.column(c).to_numpy() for c in range(7))
+            prefix, full = b.column(7), b.column(8)
+            row = lambda i: (int(rep[i]), int(n[i]), int(ls[i]), prefix[i].values.to_numpy(), full[i].values.to_numpy(), int(comp[i]))  # noqa: B023, E731
+            i = 0
+            while i < b.num_rows:
+                if (main[i], block[i]) != now:
+                    now, held, parent, index, size = (main[i], block[i]), [], {}, None, 16
+                if turn[i] == 0:
+                    held.append(row(i))
+                    i += 1
+                    continue
+                j = i
+                while j < b.num_rows and j - i < size and (main[j], block[j]) == now:
+                    j += 1
+                links = against([row(k) for k in range(i, j)], int(main[i]))
+                size = min(512, size * 2)
+                i = j
+                if links:
+                    yield pa.record_batch([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
+
+    return map_arrow(rows, run, "a long, b long")

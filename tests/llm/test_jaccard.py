@@ -69,3 +69,24 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(n) if i != 30], "a long, b long")
     got = {r.node: r.label for r in jaccard.components(links).collect()}
     assert got == {i: 0 if i <= 30 else 31 for i in range(n + 1)}
+
+
+def test_families_in_blocks(spark):
+    docs = make(9, 40, 25, 16)
+    import pyspark.sql.functions as F
+
+    sets = jaccard.stored(jaccard.class_sets(documents(spark, docs), spark.createDataFrame([(k,) for k, _ in docs], "rep long"), 5).where("n > 0"), "sets")
+    links = jaccard.stored(jaccard.set_links(sets, 75, 12, block=5), "links")
+    label = {r.node: r.label for r in jaccard.components(links).collect()}
+    assert sorted((k, label.get(k, k)) for k, t in docs if (t or "").strip()) == [(k, c) for k, n, c in brute(docs) if n]
+    assert links.where(F.col("a") >= F.col("b")).count() == 0
+
+
+def test_shared_counts():
+    import numpy as np
+
+    rng = random.Random(1)
+    lists = lambda n: [np.array(sorted(rng.sample(range(60), rng.randrange(1, 30)))) for _ in range(n)]
+    a, b = lists(7), lists(9)
+    want = [[len(set(x.tolist()) & set(y.tolist())) for y in b] for x in a]
+    assert jaccard._Index(a).shared(b).tolist() == want
