@@ -162,10 +162,8 @@ def change_subject(text: Column) -> Column:
 
 
 def _lookup(key: Column, table: dict[str, str], otherwise: str) -> Column:
-    out = F.lit(otherwise)
-    for k, v in reversed(table.items()):
-        out = F.when(key == k, v).otherwise(out)
-    return out
+    """A constant map; the key stands in the expression once."""
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), key), F.lit(otherwise))
 
 
 def change_type(cat: Column, text: Column) -> Column:
@@ -178,11 +176,8 @@ def severity(kind: Column) -> Column:
 
 
 def risk(sev: Column, usage: Column) -> Column:
-    out = sev
-    for s, row in X.RISKS.items():
-        for u, r in zip(X.USAGE, row, strict=True):
-            out = F.when((sev == s) & (usage == u), r).otherwise(out)
-    return out
+    cells = {f"{s}/{u}": r for s, row in X.RISKS.items() for u, r in zip(X.USAGE, row, strict=True)}
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in cells.items() for x in kv)), F.concat(sev, F.lit("/"), usage)), sev)
 
 
 def behaviour(text: Column, kind: Column, which: int) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import is_skipped, is_source, is_test
+from ..session import ship
 
 FACTS = "path string, fact string, name string, ord int, line int, code string, method string"
 
@@ -86,6 +87,7 @@ def usage_facts(files: DataFrame) -> DataFrame:
             rows = [f for p, c in zip(b["path"], b["content"], strict=True) for f in facts_of(p, c or "")]
             yield pd.DataFrame(rows, columns=names).astype({"ord": "int32", "line": "int32"})
 
+    ship(files.sparkSession)
     found = source_files(files).select("path", "content").mapInPandas(run, FACTS)
     return found.withColumn("is_test", is_test(F.col("path")))
 
