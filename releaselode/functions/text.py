@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from . import fixed as X
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value standing, and computed, once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(s: Column) -> Column:
     """Without white space of any kind at the ends."""
     return F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
@@ -98,19 +103,21 @@ def dedup_key(line: Column) -> Column:
 
 
 def api_name(name: Column) -> Column:
+    def checked(n: Column) -> Column:
+        low = F.lower(n)
+        bad = (n == "") | low.isin("e.g", "i.e", "etc") | F.contains(n, F.lit("/")) | F.contains(n, F.lit(" ")) | low.rlike(X.API_FILE_ENDINGS)
+        return F.when(~bad, n)
+
     n = F.regexp_replace(strip(name), r"^[`\"']+|[`\"']+$", "")
     n = F.regexp_replace(F.regexp_replace(n, r"[(\[].*$", ""), r"[.,:;]+$", "")
-    n = F.when(n.startswith("np."), F.concat(F.lit("numpy"), F.substring(n, 3, 1 << 20))).otherwise(n)
-    low = F.lower(n)
-    bad = (n == "") | low.isin("e.g", "i.e", "etc") | F.contains(n, F.lit("/")) | F.contains(n, F.lit(" ")) | low.rlike(X.API_FILE_ENDINGS)
-    return F.when(~bad, n)
+    return let(F.regexp_replace(n, r"^np\.", "numpy."), checked)
 
 
 def api_names(text: Column) -> Column:
     """Names in order; of those that differ by case only, the first spelling."""
     found = F.filter(F.transform(F.regexp_extract_all(text, F.lit(X.API_NAME), F.lit(1)), api_name), lambda x: x.isNotNull())
-    lows = F.transform(found, F.lower)
-    return F.filter(found, lambda x, i: F.array_position(lows, F.lower(x)) == i + 1)
+    first = lambda lows: lambda x, i: F.array_position(lows, F.lower(x)) == i + 1
+    return let(found, lambda f: let(F.transform(f, F.lower), lambda lows: F.filter(f, first(lows))))
 
 
 def _cut_at(text: Column, pattern: str) -> tuple[Column, Column]:
@@ -141,21 +148,30 @@ def shortened(s: Column, most: int) -> Column:
 
 
 def operation_phrase(subject: Column) -> Column:
-    attr = attribute_name(subject)
-    phrase = strip_citations(F.regexp_replace(clean_markup(strip(_cut_at(subject, X.VERB_BOUNDARY)[0])), r"[,:;]+$", ""))
-    return F.when(attr.isNotNull(), F.concat(attr, F.lit(" attribute assignment"))).when(phrase != "", shortened(phrase, 90))
+    def phrase(p: Column) -> Column:
+        attr = attribute_name(subject)
+        return F.when(attr.isNotNull(), F.concat(attr, F.lit(" attribute assignment"))).when(p != "", shortened(p, 90))
+
+    return let(strip_citations(F.regexp_replace(clean_markup(strip(_cut_at(subject, X.VERB_BOUNDARY)[0])), r"[,:;]+$", "")), phrase)
 
 
 def change_subject(text: Column) -> Column:
     """struct<api, operation, replacement, confidence, attribute>. An interface is only taken from the subject clause."""
-    subject, alternative = subject_clause(text), alternative_clause(text)
-    api = F.get(api_names(subject), F.lit(0))
-    operation = F.when(api.isNull(), operation_phrase(subject))
     words = F.regexp_replace(F.regexp_extract(text, f"(?i){X.REPLACEMENT}", 1), r"[.,;:]+$", "")
-    other = F.when((words != "") & ~F.lower(words).isin("a", "an", "the", "it", "this"), words)
-    replacement = F.coalesce(F.get(api_names(alternative), F.lit(0)), other)
-    confidence = F.when(api.isNotNull(), "HIGH").when(operation.isNotNull(), "MEDIUM").otherwise("LOW")
-    return F.struct(api.alias("api"), operation.alias("operation"), replacement.alias("replacement"), confidence.alias("confidence"), F.when(api.isNull(), attribute_name(subject)).alias("attribute"))
+    other = let(words, lambda w: F.when((w != "") & ~F.lower(w).isin("a", "an", "the", "it", "this"), w))
+    replacement = F.coalesce(F.get(api_names(alternative_clause(text)), F.lit(0)), other)
+
+    def of_subject(subject: Column) -> Column:
+        def with_api(api: Column) -> Column:
+            def whole(operation: Column) -> Column:
+                sure = F.when(api.isNotNull(), "HIGH").when(operation.isNotNull(), "MEDIUM").otherwise("LOW")
+                return F.struct(api.alias("api"), operation.alias("operation"), replacement.alias("replacement"), sure.alias("confidence"), F.when(api.isNull(), attribute_name(subject)).alias("attribute"))
+
+            return let(F.when(api.isNull(), operation_phrase(subject)), whole)
+
+        return let(F.get(api_names(subject), F.lit(0)), with_api)
+
+    return let(subject_clause(text), of_subject)
 
 
 # ---- kinds, behaviour, advice
