@@ -131,7 +131,7 @@ class WordEncoder:
     words go to the library's BPE model straight away. A text with any other white space pattern is encoded whole. The
     words that are kept are bounded by `most`."""
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 

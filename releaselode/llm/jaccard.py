@@ -58,7 +58,7 @@ def shingles(text: str, width: int = 5) -> np.ndarray:
     words = text.encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_words) > 500_000:
+    if len(_words) > 200_000:
         _words.clear()
     h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
     n = max(1, len(h) - width + 1)
@@ -140,7 +140,7 @@ def sharing_classes(docs: DataFrame, width: int, percent: int, tokens: int, clas
                 sets.append(s)
                 digests.append(d[0])
                 size += len(s)
-                if size > 3_000_000:
+                if size > 1_500_000:
                     yield close()
         if sets:
             yield close()
@@ -272,7 +272,7 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, range_tokens: int = 3_000_000, longest: int = 12) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, range_tokens: int = 1_500_000, longest: int = 12) -> DataFrame:
     """doc_id long, n_shingles long, component_id long: one row per document.
 
     Links: 100 * intersection >= percent * union."""

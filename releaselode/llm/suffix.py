@@ -186,7 +186,7 @@ def dealt_segments(docs: DataFrame, width: int, gram: int, ranges: int, groups:
             doc, *rest = segments(np.frombuffer(b"".join(raw), np.uint8), ends - sizes, ends, width, gram)
             held.append((b.column(0).to_numpy()[doc], *rest))
             rows_held += len(doc)
-            if rows_held > 600_000:
+            if rows_held > 250_000:
                 yield close()
         if rows_held:
             yield close()
@@ -472,7 +472,7 @@ def _light(df: DataFrame, column: str, most: int = 24 << 20) -> DataFrame:
     return F.broadcast(df) if total <= most else df
 
 
-def repeated_runs(docs: DataFrame, width: int = 100, gram: int = 32, reach: int = 8, range_bytes: int = 32 << 20) -> DataFrame:
+def repeated_runs(docs: DataFrame, width: int = 100, gram: int = 32, reach: int = 8, range_bytes: int = 12 << 20) -> DataFrame:
     """Stored doc_id long, runs binary, for the documents from which something is to be removed."""
     spark = docs.sparkSession
     total = texts_of(docs).agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()
