@@ -23,13 +23,14 @@ def _lines(*lines: Column | str) -> Column:
     return F.filter(F.array(*(F.lit(x) if isinstance(x, str) else x for x in lines)), lambda x: x.isNotNull())
 
 
-def _section(rows: DataFrame, key: list[str], number: int, title: str, order: list, body: Column) -> DataFrame:
-    """key, section, ord, text: the heading at 0, then body (array<string>; {i} stands for the place) of each row in order."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    items = rows.withColumn("ord", F.row_number().over(w)).withColumn("lines", body)
-    items = items.select(*key, F.lit(number).alias("section"), F.col("ord").cast("long"), F.array_join(F.transform("lines", lambda x: F.replace(x, F.lit("{i}"), F.col("ord").cast("string"))), "\n").alias("text"))
-    heads = items.select(*key).distinct().select(*key, F.lit(number).alias("section"), F.lit(0).cast("long").alias("ord"), F.lit(f"{RULE}\n## {title}").alias("text"))
-    return heads.union(items)
+def _section(rows: DataFrame, key: list[str], number: int | Column, title: str | Column, order: list, body: Column) -> DataFrame:
+    """key, section, ord, text: body (array<string>; {i} stands for the place) of each row in order; the heading stands before the first."""
+    df = rows.withColumns({"section": F.lit(number) if isinstance(number, int) else number, "heading": F.lit(title) if isinstance(title, str) else title, "lines": body})
+    w = Window.partitionBy(*key, "section").orderBy(*order)
+    df = df.withColumn("ord", F.row_number().over(w).cast("long"))
+    text = F.array_join(F.transform("lines", lambda x: F.replace(x, F.lit("{i}"), F.col("ord").cast("string"))), "\n")
+    head = F.when(F.col("ord") == 1, _join(f"{RULE}\n## ", F.col("heading"), "\n")).otherwise("")
+    return df.select(*key, F.col("section").cast("int").alias("section"), "ord", F.concat(head, text).alias("text"))
 
 
 def _joined(parts: list[DataFrame], key: list[str]) -> DataFrame:
@@ -71,18 +72,27 @@ def summary_report(requests: DataFrame, key: list[str], merged: DataFrame, chang
     impact = _join("   Impact: ", c("risk"))
     excerpt = _join('   Source Excerpt: "', T.strip(F.substring("source_excerpt", 1, 200)), '"')
     order = ["cat_ord", "version_ord", "entry_ord"]
-    of = lambda *cats: changes.where(c("category").isin(*cats))
-    parts.append(_section(of("Breaking Changes", "Expired Deprecations"), key, 1, "BREAKING / MIGRATION IMPACT", order, _lines(first, _join("   Type: ", c("change_type")), affected, old, new, _join("   Replacement: ", replacement), usage, sure, impact, advice, source, excerpt)))
-    parts.append(_section(of("New Deprecations"), key, 2, "DEPRECATIONS", order, _lines(first, affected, _join("   Replacement: ", replacement), sure, advice, source)))
-    parts.append(_section(of("Compatibility Changes", "API Changes", "Database / ORM Changes"), key, 3, "COMPATIBILITY CHANGES", order, _lines(first, affected, old, new, sure, impact, advice, source)))
-    listed = lambda cat: merged.where(c("category") == cat).withColumn("line", T.strip(c("line")))
-    build = listed("Build / Toolchain Changes").where(~T.is_noise_fragment(c("line"))).withColumn("line", T.shortened(c("line"), 90))
-    build = build.groupBy(*key, F.lower("line").alias("low")).agg(F.min(F.struct("version_ord", "entry_ord", "line")).alias("b")).select(*key, "b.*")
-    parts.append(_section(build, key, 4, "BUILD / TOOLCHAIN", order[1:], _lines(_join("- ", c("line")))))
-    parts.append(_section(of("Security Updates"), key, 5, "SECURITY", order, _lines(_join("{i}. ", c("title")), advice, source)))
-    parts.append(_section(listed("New Features").where(~T.is_noise_fragment(c("line"))), key, 6, "NEW FEATURES", order[1:], _lines(_join("- ", c("line")))))
-    parts.append(_section(listed("Performance Improvements"), key, 7, "PERFORMANCE", order[1:], _lines(_join("- ", c("line")))))
-    parts.append(_section(listed("Bug Fixes"), key, 8, "BUG FIXES", order[1:], _lines(_join("- ", c("line")))))
+    breaking = c("category").isin("Breaking Changes", "Expired Deprecations")
+    deprecated, secure = c("category") == "New Deprecations", c("category") == "Security Updates"
+    number = F.when(breaking, 1).when(deprecated, 2).when(secure, 5).otherwise(3)
+    title = F.when(breaking, "BREAKING / MIGRATION IMPACT").when(deprecated, "DEPRECATIONS").when(secure, "SECURITY").otherwise("COMPATIBILITY CHANGES")
+    body = (
+        F.when(breaking, _lines(first, _join("   Type: ", c("change_type")), affected, old, new, _join("   Replacement: ", replacement), usage, sure, impact, advice, source, excerpt))
+        .when(deprecated, _lines(first, affected, _join("   Replacement: ", replacement), sure, advice, source))
+        .when(secure, _lines(_join("{i}. ", c("title")), advice, source))
+        .otherwise(_lines(first, affected, old, new, sure, impact, advice, source))
+    )
+    parts.append(_section(changes, key, number, title, order, body))
+    listed = {"Build / Toolchain Changes": (4, "BUILD / TOOLCHAIN"), "New Features": (6, "NEW FEATURES"), "Performance Improvements": (7, "PERFORMANCE"), "Bug Fixes": (8, "BUG FIXES")}
+    rest = merged.where(c("category").isin(list(listed))).withColumn("line", T.strip(c("line")))
+    is_build = c("category") == "Build / Toolchain Changes"
+    rest = rest.where(~((is_build | (c("category") == "New Features")) & T.is_noise_fragment(c("line"))))
+    # titles of build changes are told apart by case-insensitive text, all others by their place
+    rest = rest.withColumn("line", F.when(is_build, T.shortened(c("line"), 90)).otherwise(c("line")))
+    same = F.when(is_build, F.lower("line")).otherwise(_join(c("version_ord").cast("string"), "/", c("entry_ord").cast("string"), "/", c("line")))
+    rest = rest.groupBy(*key, "category", same.alias("same")).agg(F.min(F.struct("version_ord", "entry_ord", "line")).alias("b")).select(*key, "category", "b.*")
+    by = lambda i: F.element_at(F.create_map(*(F.lit(x) for k, v in listed.items() for x in (k, v[i]))), c("category"))
+    parts.append(_section(rest, key, by(0), by(1), order[1:], _lines(_join("- ", c("line")))))
     cut = lambda t: T.strip(F.substring(t, 1, 200))
     parts.append(_section(discrepancies, key, 9, "SOURCE DISCREPANCIES", ["version_ord"], _lines(_join("⚠ Sources disagree for ", c("version"), ":"), _join("  ", c("first_source"), ": ", cut("first_text")), _join("  ", c("second_source"), ": ", cut("second_text")))))
     silent = statuses.where("status != 'notes'")
@@ -125,15 +135,15 @@ def legacy_report(requests: DataFrame, key: list[str], merged: DataFrame, path:
     used = F.when(c("rank") == 2, _join("\n    Confirmed Usage: ", c("api"), places)).when(c("rank") == 1, _join("\n    Potential Usage: ", c("api"), "\n    Confidence: Low", places)).otherwise("")
     rows = rows.withColumn("text", _join(text, F.when(sec != "", _join("\n    Section: ", sec)).otherwise(""), used, F.when(F.coalesce("url", F.lit("")) != "", _join("\n    Source: ", c("url"))).otherwise("")))
     w = Window.partitionBy(*key, "category").orderBy("version_ord", "entry_ord")
-    rows = rows.withColumn("ord", F.row_number().over(w).cast("long"))
-    for i, cat in enumerate(X.CATEGORY_ORDER):
-        mine = rows.where(c("category") == cat)
-        none_text = "No security-related changes were identified in the official release notes." if cat == "Security Updates" else "(No changes found in this category)"
-        at = F.lit(2 + i).alias("section")
-        parts.append(requests.select(*key, at, F.lit(0).cast("long").alias("ord"), F.lit(f"\n{cat}\n{'-' * len(cat)}").alias("text")))
-        parts.append(mine.select(*key, at, "ord", "text"))
-        parts.append(requests.join(mine.select(*key).distinct(), key, "left_anti").select(*key, at, F.lit(1).cast("long").alias("ord"), F.lit(none_text).alias("text")))
-        parts.append(requests.select(*key, at, F.lit(2**40).alias("ord"), F.lit(f"\n{RULE}").alias("text")))
+    sections = F.create_map(*(F.lit(x) for i, cat in enumerate(X.CATEGORY_ORDER) for x in (cat, 2 + i)))
+    rows = rows.select(*key, F.element_at(sections, c("category")).alias("section"), F.row_number().over(w).cast("long").alias("ord"), "text")
+    cats = F.array(*(F.struct(F.lit(2 + i).alias("section"), F.lit(cat).alias("category")) for i, cat in enumerate(X.CATEGORY_ORDER)))
+    grid = requests.select(*key, F.explode(cats).alias("s")).select(*key, "s.*")
+    none_text = F.when(c("category") == "Security Updates", "No security-related changes were identified in the official release notes.").otherwise("(No changes found in this category)")
+    grid = grid.join(rows.groupBy(*key, "section").agg(F.count("*").alias("n")), [*key, "section"], "left")
+    head = _join("\n", c("category"), "\n", F.repeat(F.lit("-"), F.length("category")), F.when(c("n").isNull(), _join("\n", none_text)).otherwise(""))
+    ends = F.explode(F.array(F.struct(F.lit(0).cast("long").alias("ord"), head.alias("text")), F.struct(F.lit(2**40).alias("ord"), F.lit(f"\n{RULE}").alias("text"))))
+    parts += [rows, grid.select(*key, "section", ends.alias("e")).select(*key, "section", "e.*")]
     title = "Source Discrepancies"
     heads = discrepancies.select(*key).distinct()
     parts.append(heads.select(*key, F.lit(20).alias("section"), F.lit(0).cast("long").alias("ord"), F.lit(f"\n{title}\n{'-' * len(title)}\nTwo official sources disagreed for the same version - shown\nside by side rather than silently picking one:").alias("text")))

@@ -13,6 +13,7 @@ from ..operators import report, risk, usage
 from ..operators.advisories import advisory_matches
 from ..operators.sources import note_status
 from ..operators.upgrades import upgrade_path
+from ..session import stored
 
 KEY = ["ecosystem", "package", "current_version", "target_version"]
 
@@ -92,16 +93,16 @@ def discrepancies(steps: DataFrame, i: Inputs) -> DataFrame:
 
 def upgrade_reports(i: Inputs, legacy: bool = False) -> DataFrame:
     """KEY, report."""
-    steps = upgrade_path(i.requests, i.releases, i.prereleases)
+    steps = stored(upgrade_path(i.requests, i.releases, i.prereleases), "steps")
     requests = i.requests.join(steps.select(*KEY).distinct(), KEY, "left_semi")
-    lines = merged_lines(steps, i, "Deprecations" if legacy else "New Deprecations")
-    used = usage_of(lines, i.files) if i.files is not None else None
+    lines = stored(merged_lines(steps, i, "Deprecations" if legacy else "New Deprecations"), "lines")
+    used = stored(usage_of(lines, i.files), "usage") if i.files is not None else None
     status, differ = statuses(steps, i), discrepancies(steps, i)
     if legacy:
         signals = lines.where("version_ord >= 1000000").select(*KEY, "version").distinct().withColumn("other_signal", F.lit(True))
         status = status.join(signals, [*KEY, "version"], "left").fillna(False, ["other_signal"])
         return report.legacy_report(requests, KEY, lines, steps, differ, status, used)
-    changes = risk.build_changes(lines, used)
+    changes = stored(risk.build_changes(lines, used), "changes")
     scanned = i.files is not None
     texts = steps.join(i.notes.where("notes_text is not null"), ["ecosystem", "package", "version"]).select(*KEY, "step", F.col("notes_text").alias("text"))
     base = requests.select(*KEY)
@@ -117,4 +118,5 @@ def upgrade_reports(i: Inputs, legacy: bool = False) -> DataFrame:
     heads = requests.select(*KEY)
     bumps = steps.groupBy(*KEY).agg(F.max(F.array_position(F.lit(X.BUMPS), F.col("bump"))).alias("r")).select(*KEY, F.element_at(F.lit(X.BUMPS), F.col("r").cast("int")).alias("bump"))
     scan = {"root": i.scan_root, "files": usage.source_files(i.files).count()} if scanned else None
+    facts = stored(facts, "facts")
     return report.summary_report(heads.join(bumps, KEY), KEY, lines, changes, facts, differ, status, scan)

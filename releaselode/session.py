@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
@@ -25,3 +26,18 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(_PACKAGE.parent))
     spark.sparkContext.addPyFile(name)
     _shipped.add(app)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written below spark.checkpoint.dir and read again: cuts the lineage, and survives lost executors.
+
+    Only where that setting is absent (tests, a single machine) a local folder is chosen and set."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = Path(tempfile.mkdtemp(prefix="checkpoints-")).as_uri()
+        spark.conf.set("spark.checkpoint.dir", base)
+        spark.sparkContext.setCheckpointDir(base)
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
