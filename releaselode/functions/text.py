@@ -24,7 +24,7 @@ def rstrip(s: Column) -> Column:
 
 def text_lines(text: Column) -> Column:
     """array<string>; a line ends with any of the Unicode line boundaries, and the last one opens no empty line."""
-    parts = F.split(text, "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]")
+    parts = F.split(text, "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]")
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 

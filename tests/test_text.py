@@ -78,7 +78,7 @@ def test_citations_are_stripped_to_the_end(spark, text):
 
 
 def test_lines_and_markup(spark):
-    assert column(spark, ["a\r\nb\n", "a\x0bb\x85c d e", "a\n\nb"], T.text_lines) == [["a", "b"], ["a", "b", "c", "d e"], ["a", "", "b"]]
+    assert column(spark, ["a\r\nb\n", "a\x0bb\x85c\u2028d e", "a\n\nb"], T.text_lines) == [["a", "b"], ["a", "b", "c", "d e"], ["a", "", "b"]]
     assert column(spark, [":cve:`2024-1` and `here <http://x>`_ ``code``"], T.clean_markup) == ["2024-1 and here code"]
     assert column(spark, ["Café  fix!"], T.dedup_key) == ["caféfix"]
 
