@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import re
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
@@ -16,24 +18,10 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: White space between words, as every contract here has it: U+0020 and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
-_PACKAGE = Path(__file__).resolve().parent.parent
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package, wherever the driver was started."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    fd, name = tempfile.mkstemp(prefix=f"{_PACKAGE.name}-", suffix=".zip")
-    os.close(fd)
-    with zipfile.ZipFile(name, "w") as z:
-        for p in sorted(_PACKAGE.rglob("*.py")):
-            z.write(p, p.relative_to(_PACKAGE.parent))
-    spark.sparkContext.addPyFile(name)
-    _shipped.add(app)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -80,8 +68,29 @@ def get_file(uri: str) -> bytes:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow; at a task's end the worker gives its free memory back, since idle workers live on beside later tasks."""
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(run, schema)
+
+
+#: Called at the end of each task, to drop what a module has kept.
+at_task_end: list[Callable[[], None]] = []
+
+
+def release() -> None:
+    for f in at_task_end:
+        f()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def texts_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -131,7 +140,7 @@ class WordEncoder:
     words go to the library's BPE model straight away. A text with any other white space pattern is encoded whole. The
     words that are kept are bounded by `most`."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 

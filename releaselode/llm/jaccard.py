@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, slices, stored, texts_of
+from .common import at_task_end, map_arrow, slices, stored, texts_of
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 MOST_BROADCAST = 500_000
@@ -45,6 +45,7 @@ class _Hashes(dict):
 
 
 _words = _Hashes()
+at_task_end.append(_words.clear)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
