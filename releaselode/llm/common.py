@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import ship
 
@@ -67,9 +68,13 @@ def get_file(uri: str) -> bytes:
         return f.read()
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow; at a task's end the worker gives its free memory back, since idle workers live on beside later tasks."""
-    ship(df.sparkSession)
+    spark = df.sparkSession
+    ship(spark)
+    # whole texts: a batch of Spark's default size would hold tens of megabytes on either side
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, 2001):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:

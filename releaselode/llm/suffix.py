@@ -179,7 +179,7 @@ def dealt_segments(docs: DataFrame, width: int, gram: int, ranges: int, groups:
             held, rows_held = [], 0
             return _frame(out)
 
-        for b in slices(batches, 128):
+        for b in slices(batches, 40):
             raw = [t.encode() for t in b.column(1).to_pylist()]
             sizes = np.array([len(r) for r in raw], np.int64)
             ends = np.cumsum(sizes)
@@ -518,14 +518,17 @@ def dedup_digest(docs: DataFrame, width: int = 100, **options) -> DataFrame:
 def cut_texts(docs: DataFrame, width: int = 100, **options) -> DataFrame:
     """docs with the repeated bytes cut out of `text`. A run is first narrowed to whole characters, so what is kept stays UTF-8."""
     runs = _light(repeated_runs(docs, width, **options), "runs").withColumnRenamed("runs", "_removed_runs")
+    text = docs.columns.index("text")
 
-    @F.pandas_udf("string")
-    def cut(texts, runs):
-        return texts.combine(runs, _cut_text)
-
-    rows = docs.join(runs, "doc_id", "left")
-    text = F.when(F.col("_removed_runs").isNull(), F.col("text")).otherwise(cut(F.coalesce("text", F.lit("")), F.coalesce("_removed_runs", F.lit(b""))))
-    return rows.withColumn("text", text).select(*docs.columns)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            columns = b.columns[:-1]
+            cut = [t if x is None else _cut_text(t or "", x) for t, x in zip(columns[text].to_pylist(), b.columns[-1].to_pylist(), strict=True)]
+            columns[text] = pa.array(cut, columns[text].type)
+            yield pa.record_batch(columns, names=b.schema.names[:-1])
+
+    rows = docs.join(runs, "doc_id", "left").select(*docs.columns, "_removed_runs")
+    return map_arrow(rows, run, docs.schema)
 
 
 def _cut_text(text: str, runs: bytes) -> str:
