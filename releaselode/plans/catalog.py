@@ -13,7 +13,8 @@ from ..functions import text as T
 from ..functions import versions as V
 from ..operators import advisories, notes, risk, sources, upgrades, usage
 from ..sources import notes as landed
-from ..sources import registry
+from ..session import scratch
+from ..sources import registry, sinks
 from . import oracle as O
 from . import upgrade
 from .derive import table, view, with_views
@@ -708,6 +709,26 @@ def report_legacy(spark, d):
     return upgrade.upgrade_reports(_inputs(spark, d, False), legacy=True).select("package", "report")
 
 
+_REPORTS = "select cast(substr(package, 4) as bigint) as request_id, 'Package: ' || package || chr(10) || 'From: ' || current_version || chr(10) || 'To: ' || target_version as report from d_request where current_version is not null and target_version is not null"
+
+
+def _written(spark, d) -> str:
+    path = scratch(spark, "reports")
+    view(spark, d, "d_request").createOrReplaceTempView("d_request")
+    sinks.write_reports(spark.sql(_REPORTS), path)
+    return path
+
+
+@query(_REPORTS, "d_request")
+def sink_report(spark, d):
+    return spark.read.parquet(_written(spark, d)).select(F.col("request_id").cast("long"), "report")
+
+
+@query(f"select * from ({_REPORTS}) where request_id = 7", "d_request")
+def sink_download(spark, d):
+    return sinks.read_report(spark, _written(spark, d), 7).select(F.col("request_id").cast("long"), "report")
+
+
 def entry(spark: SparkSession, d: str) -> DataFrame:
     return QUERIES["bump_sequence"](spark, d)
 

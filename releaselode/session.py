@@ -28,16 +28,20 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written below spark.checkpoint.dir and read again: cuts the lineage, and survives lost executors.
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share.
 
     Only where that setting is absent (tests, a single machine) a local folder is chosen and set."""
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = Path(tempfile.mkdtemp(prefix="checkpoints-")).as_uri()
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written below spark.checkpoint.dir and read again: cuts the lineage, and survives lost executors."""
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
