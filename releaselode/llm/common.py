@@ -7,7 +7,6 @@ import ctypes
 import gc
 import os
 import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
@@ -19,24 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..session import ship
+from ..session import scratch, ship
 
 #: White space between words, as every contract here has it: U+0020 and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share.
-
-    Only where that setting is absent (tests, a single machine) a local folder is chosen and set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = Path(tempfile.mkdtemp(prefix="checkpoints-")).as_uri()
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: cuts the lineage and survives lost executors."""
     path = scratch(df.sparkSession, name)
