@@ -39,7 +39,9 @@ def version_sections(lines: DataFrame, key: list[str]) -> DataFrame:
 def mentions(heading: Column, version: Column) -> Column:
     """The version stands in the heading with no digit beside it."""
     quoted = F.regexp_replace(version, r"([^A-Za-z0-9])", r"\\$1")
-    return F.regexp_like(heading, F.concat(F.lit("(^|[^0-9])"), quoted, F.lit("([^0-9]|$)")))
+    # a pattern of its own for each row is compiled for each row, so only where the text stands at all
+    exact = F.regexp_like(heading, F.concat(F.lit("(^|[^0-9])"), quoted, F.lit("([^0-9]|$)")))
+    return F.when(F.contains(heading, version), exact).otherwise(False)
 
 
 def sections_of(versions: DataFrame, sections: DataFrame, on: list[str]) -> DataFrame:
