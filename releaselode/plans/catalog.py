@@ -226,8 +226,8 @@ def _adapter(names: list[str], spark, d):
     files = _raw_files(spark, d).where(F.col("repo").isin([f"org/{n}" for n in names]))
     v = view(spark, d, "d_release").where("package = 'pkg07' and version not like '%c1' and version not like '%b2'").select("version").distinct()
     asked = v.crossJoin(F.broadcast(spark.createDataFrame([(f"org/{n}", n.upper()) for n in names], "repo string, package string")))
-    # files of one path with several texts stand for one version each: the smallest counts
-    one = files.groupBy("repo", "branch", "path").agg(F.min("text").alias("text"))
+    # files of one path with several texts stand for one version each: the largest counts
+    one = files.groupBy("repo", "branch", "path").agg(F.max("text").alias("text"))
     return landed.adapter_notes(asked, one)
 
 
@@ -241,7 +241,7 @@ def _adapter_sql(name: str, branches: list[str], mode: str, label: str) -> str:
     }[mode]
     anchor = "|| '#' || replace(version, '.', '')" if name == "fastapi" else ""
     return f"""with v as (select distinct version from d_release where package = 'pkg07' and version not like '%c1' and version not like '%b2'), t as (select * from d_adapter where adapter = {O.q(name)}),
-f as (select repo, branch, path, min(text) as text from d_raw_file where repo = 'org/{name}' group by 1, 2, 3 having {path}),
+f as (select repo, branch, path, max(text) as text from d_raw_file where repo = 'org/{name}' group by 1, 2, 3 having {path}),
 h as (select f.repo, v.version, f.branch, f.path, {text} as text, list_position({branches}, f.branch) as i from v, t, f where f.path = {wanted} and regexp_matches(f.text, '[^\\s]'))
 select repo, {O.q(name.upper())} as package, version, {O.q(label)} as source, arg_min(text, i) as text, 'https://github.com/' || repo || '/blob/' || arg_min(branch, i) || '/' || arg_min(path, i) {anchor} as url from h where text is not null group by repo, version"""
 
