@@ -211,10 +211,10 @@ def src_commits(spark, d):
 _ADAPTER_ROWS = "d_adapter(adapter, template, mode) as (values " + ", ".join(f"({O.q(p)}, {O.q(t)}, {O.q(m)})" for p, _, t, m, _ in X.ADAPTERS) + ")"
 
 
-def _raw_files(spark, d):
+def _raw_files(spark, d, name: str = "d_raw_file"):
     made = spark.createDataFrame([(p, t, m) for p, _, t, m, _ in X.ADAPTERS], "adapter string, template string, mode string")
     made.createOrReplaceTempView("d_adapter")
-    return view(spark, d, "d_raw_file")
+    return view(spark, d, name)
 
 
 @query("select repo, branch, path, text from d_raw_file where regexp_matches(text, '[^\\s]')", "d_raw_file", extra=_ADAPTER_ROWS)
@@ -251,6 +251,17 @@ for _name, _branches, _template, _mode, _label in X.ADAPTERS:
     QUERIES[_key] = lambda spark, d, n=_name: _adapter([n], spark, d)
     ORACLES[_key] = with_views(_adapter_sql(_name, _branches, _mode, _label), "d_raw_file", extra=_ADAPTER_ROWS)
 
+
+# the queries above are of one package's releases, as their SQL is; this one asks every version of every package
+@query()
+def adapter_whole(spark, d):
+    v = view(spark, d, "d_release").select(F.col("package").alias("owner"), "version").distinct()
+    names = F.broadcast(spark.createDataFrame([(n,) for n, *_ in X.ADAPTERS], "name string"))
+    asked = v.crossJoin(names).select(F.concat("owner", F.lit("/"), "name").alias("repo"), F.upper("name").alias("package"), "version")
+    files = _raw_files(spark, d, "d_landed_file").groupBy("repo", "branch", "path").agg(F.max("text").alias("text"))
+    return landed.adapter_notes(asked, files)
+
+
 # ---- resolution
 
 _NOTE_KEY = ["ecosystem", "package", "version"]

@@ -57,9 +57,17 @@ select 'org/' || a.adapter as repo, case when v.n % 3 = 0 then 'master' else 'ma
   when a.mode = 'section' then '# Notes' || chr(10) || '## ' || v.version || ' (x)' || chr(10) || '- Added ' || v.version || chr(10) || '## 0.0.1' || chr(10) || '- old'
   else 'Notes of ' || v.version end as text
  from d_adapter a cross join (select version, min(o_orderkey) as n from d_release where package = 'pkg07' and version not like '%c1' and version not like '%b2' group by version) v""",
+    # the same for every package and version, prereleases too: each package has a repository of its own for every adapter
+    "d_landed_file": """
+select v.package || '/' || a.adapter as repo, case when v.n % 3 = 0 then 'master' else 'main' end as branch,
+ replace(replace(replace(a.template, '{v}', v.version), '{maj}', split_part(v.version, '.', 1)), '{min}', split_part(v.version, '.', 2)) as path, v.version,
+ case when v.n % 5 = 0 then '   ' when a.mode = 'directive' then '.. changelog::' || chr(10) || '    :version: ' || v.version || chr(10) || '    :released: x' || chr(10) || '    .. change::' || chr(10) || '        :tags: bug' || chr(10) || '        Fixed ' || v.version
+  when a.mode = 'section' then '# Notes' || chr(10) || '## ' || v.version || ' (x)' || chr(10) || '- Added ' || v.version || chr(10) || '## 0.0.1' || chr(10) || '- old'
+  else 'Notes of ' || v.version end as text
+ from d_adapter a cross join (select package, version, min(o_orderkey) as n from d_release group by package, version) v""",
 }
 #: Which views a view reads.
-NEEDS = {"d_request": ["d_release"], "d_note_line": ["d_release"], "d_changelog": ["d_release", "d_note_line"], "d_candidate": ["d_release"], "d_raw_file": ["d_release"]}
+NEEDS = {"d_request": ["d_release"], "d_note_line": ["d_release"], "d_changelog": ["d_release", "d_note_line"], "d_candidate": ["d_release"], "d_raw_file": ["d_release"], "d_landed_file": ["d_release"]}
 
 
 def needed(*names: str) -> list[str]:
