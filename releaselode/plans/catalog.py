@@ -258,7 +258,9 @@ def adapter_whole(spark, d):
     v = view(spark, d, "d_release").select(F.col("package").alias("owner"), "version").distinct()
     names = F.broadcast(spark.createDataFrame([(n,) for n, *_ in X.ADAPTERS], "name string"))
     asked = v.crossJoin(names).select(F.concat("owner", F.lit("/"), "name").alias("repo"), F.upper("name").alias("package"), "version")
-    files = _raw_files(spark, d, "d_landed_file").groupBy("repo", "branch", "path").agg(F.max("text").alias("text"))
+    # a path without the version holds the sections or blocks of all its versions
+    parts = F.array_sort(F.collect_list(F.struct("version", "text")))
+    files = landed.raw_files(_raw_files(spark, d, "d_landed_file")).groupBy("repo", "branch", "path").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n\n").alias("text"))
     return landed.adapter_notes(asked, files)
 
 
