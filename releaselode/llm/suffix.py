@@ -15,8 +15,8 @@ Earlier: in a document of smaller key, or at a smaller place of the same documen
 4. The repeats of each document are merged to runs and cut out.
 
 Texts are UTF-8 bytes; null: empty. Texts shorter than `width` are kept whole. Rows of equal key are told apart by no
-order, so keys must be unique; of two rows with one key and one text each counts as the other. Other columns are
-ignored (cut_texts keeps them)."""
+order, so keys must name one text; rows with one key and one text are one document, of which each row keeps the same
+bytes. Other columns are ignored (cut_texts keeps them)."""
 
 from __future__ import annotations
 
@@ -153,6 +153,12 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return head
 
 
+def _again(head: np.ndarray, doc: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """True at the rows of each run that start elsewhere than its first: a repeated row's string is that one itself."""
+    kept = np.flatnonzero(head)[np.cumsum(head) - 1]
+    return (doc != doc[kept]) | (first != first[kept])
+
+
 def _frame(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["kind", "part", "block"])
 
@@ -172,7 +178,8 @@ def dealt_segments(docs: DataFrame, width: int, gram: int, ranges: int, groups:
             order = np.lexsort((first, doc, body, anchor))
             doc, first, many, off, anchor, body = (c[order] for c in (doc, first, many, off, anchor, body))
             head = _runs(anchor, body)
-            out = [(0, g, x) for g, x in _blocks(doc[~head], _group(doc[~head], groups), [first[~head], many[~head]], GONE)]
+            again = _again(head, doc, first)
+            out = [(0, g, x) for g, x in _blocks(doc[again], _group(doc[again], groups), [first[again], many[again]], GONE)]
             doc, first, many, off, anchor, body = (c[head] for c in (doc, first, many, off, anchor, body))
             part = (((anchor >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
             out += [(1, p, x) for p, x in _blocks(doc, part, [first, many, off, anchor & np.uint64(0xFFFFFFFF), body], SEGMENT)]
@@ -219,7 +226,8 @@ def compared_segments(dealt: DataFrame, groups: int) -> DataFrame:
             order = np.lexsort((first, doc, body, anchor))
             doc, first, many, off, anchor, body = (c[order] for c in (doc, first, many, off, anchor, body))
             head = _runs(anchor, body)
-            out = [(0, g, x) for g, x in _blocks(doc[~head], _group(doc[~head], groups), [first[~head], many[~head]], GONE)]
+            again = _again(head, doc, first)
+            out = [(0, g, x) for g, x in _blocks(doc[again], _group(doc[again], groups), [first[again], many[again]], GONE)]
             doc, first, many, off, anchor = (c[head] for c in (doc, first, many, off, anchor))
             number = np.cumsum(_runs(anchor)) - 1
             ask = np.bincount(number)[number] > 1
@@ -383,7 +391,8 @@ def repeated_strings(anchor: np.ndarray, doc: np.ndarray, first: np.ndarray, man
     seg, q, lo, hi, zero, core_a, core_z, core, body, where = (c[order] for c in (seg, q, lo, hi, zero, core_a, core_z, core, body, where))
     new_core = _runs(anchor[seg], q, core)
     head = new_core | _runs(body)
-    gone = [(doc[seg[~head]], where[~head], (hi - lo + 1)[~head])]
+    again = _again(head, doc[seg], where)
+    gone = [(doc[seg[again]], where[again], (hi - lo + 1)[again])]
     seg, q, lo, hi, zero, core_a, core_z, where = (c[head] for c in (seg, q, lo, hi, zero, core_a, core_z, where))
     number = np.cumsum(new_core[head]) - 1
     keep = np.bincount(number)[number] > 1 if len(number) else np.zeros(0, bool)
@@ -409,7 +418,7 @@ def repeated_strings(anchor: np.ndarray, doc: np.ndarray, first: np.ndarray, man
         text, start = text[string], start[string]
         d, p = doc[seg[text]], where[text] + start
         order = np.lexsort((p, d, run))
-        again = ~_runs(run[order])
+        again = _again(_runs(run[order]), d[order], p[order])
         gone.append((d[order][again], p[order][again], np.ones(int(again.sum()), np.int64)))
     return tuple(np.concatenate(c) for c in zip(*gone, strict=True))
 

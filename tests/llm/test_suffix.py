@@ -90,3 +90,12 @@ def test_cut_texts_keeps_columns_and_characters(spark):
     for k, n, gone, *_ in brute(docs):
         assert n - gone <= len(utf8(got[k])) <= n - gone + 8 * max(1, gone // 50)
     assert got[500] is None and got[503] == ""
+
+
+def test_repeated_rows(spark):
+    docs = make(6)
+    rows = docs + [docs[k] for k in (3, 3, 10, 55, 60, 91)] + [(600, "Nothing of this stands earlier. " * 3 + "abcdefgh" * 20)] * 3
+    got = sorted(tuple(r) for r in suffix.dedup_digest(documents(spark, rows), range_bytes=5000).collect())
+    one = {r[0]: r for r in brute(set(rows))}
+    assert got == sorted(one[k] for k, _ in rows)
+    assert one[600][2] < one[600][1]
