@@ -19,7 +19,8 @@ Order of work, with what bounds each step:
    but counts.
 
 Null, empty or blank text: an empty set, linked with nothing. Fewer words than `width`: the sequence is the one shingle.
-Repeated rows of one key: linked as any copies. Ties in frequency are broken by hash. Other columns are ignored."""
+Rows that repeat a key, with equal or different texts: linked as any copies. Ties in frequency are broken by hash. Other
+columns are ignored."""
 
 from __future__ import annotations
 
@@ -203,17 +204,24 @@ def small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
 
 
 def class_sets(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
-    """rep long, n int, set array<long> of the documents whose ids are in reps(rep)."""
+    """rep long, n int, set array<long> of the documents whose ids are in reps(rep).
+
+    With reps(rep, doc_id, s1, s2): of the classes with these digests, as several texts may have one key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1024):
-            sets = [shingles(t, width).view(np.int64) for t in b.column(1).to_pylist()]
+            sets = [shingles(t, width) for t in b.column(1).to_pylist()]
+            d = [_digest(s) for s in sets]
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            flat = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))
-            yield pa.record_batch([b.column(0), pa.array(np.diff(offsets), pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["rep", "n", "set"])
+            flat = pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))
+            yield pa.record_batch([b.column(0), pa.array([x for x, _ in d], pa.int64()), pa.array([y for _, y in d], pa.int64()), pa.array(np.diff(offsets), pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["rep", "s1", "s2", "n", "set"])
 
-    texts = texts_of(docs).join(small(reps.withColumnRenamed("rep", "doc_id")), "doc_id", "left_semi")
-    return map_arrow(texts, run, "rep long, n int, set array<long>").dropDuplicates(["rep"])
+    by_digest = "s1" in reps.columns
+    ids = reps.select("doc_id").distinct() if by_digest else reps.withColumnRenamed("rep", "doc_id")
+    found = map_arrow(texts_of(docs).join(small(ids), "doc_id", "left_semi"), run, "rep long, s1 long, s2 long, n int, set array<long>")
+    if not by_digest:
+        return found.select("rep", "n", "set").dropDuplicates(["rep"])
+    return found.drop("rep").dropDuplicates(["s1", "s2"]).join(small(reps.select("rep", "s1", "s2")), ["s1", "s2"]).select("rep", "n", "set")
 
 
 def choose_prefixes(ranked: DataFrame, percent: int, longest: int) -> DataFrame:
@@ -278,14 +286,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, range_to
 
     Links: 100 * intersection >= percent * union."""
     base = stored(document_sets(docs, width), "document-sets")
-    classes = stored(base.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    classes = stored(base.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "classes")
     total = classes.agg(F.sum(F.col("n").cast("long") * F.col("copies")).alias("t"), F.count("*").alias("c")).first()
+    # a class goes by its smallest key; of several classes with that key, all but one go by their digest
+    twice = stored(classes.groupBy("first").agg(F.count("*").alias("c"), F.min(F.struct("s1", "s2")).alias("own")).where("c > 1").select("first", "own"), "keys-of-several-classes")
+    clash = not twice.isEmpty()
+    if clash:
+        named = classes.join(small(twice), "first", "left").withColumn("rep", F.when(F.struct("s1", "s2") != F.col("own"), F.col("s1")).otherwise(F.col("first")))
+        classes = stored(named.select("s1", "s2", "n", "first", "copies", "rep"), "named-by-digest")
+    else:
+        classes = classes.withColumn("rep", F.col("first"))
     sharing = stored(sharing_classes(docs, width, percent, total["t"] or 0, total["c"], range_tokens), "sharing-classes")
-    reps = stored(classes.join(small(sharing), "s1", "left_semi").select("rep"), "sharing-reps")
+    reps = stored(classes.join(small(sharing), "s1", "left_semi").select("rep", F.col("first").alias("doc_id"), "s1", "s2"), "sharing-reps")
     sets = stored(class_sets(docs, reps, width), "class-sets")
     links = set_links(sets, percent, longest)
     label = components(links)
-    named = classes.join(small(label.withColumnRenamed("node", "rep")), "rep", "left").select("s1", "s2", "n", F.coalesce("label", "rep").alias("class_id"), "copies", F.col("label").isNotNull().alias("linked"))
+    if clash:  # the label may be a digest: the smallest key of the component's classes instead
+        known = label.join(classes.select(F.col("rep").alias("node"), "first"), "node")
+        label = stored(known.join(known.groupBy("label").agg(F.min("first").alias("key")), "label").select("node", F.col("key").alias("label")), "labels-by-key")
+    named = classes.join(small(label.withColumnRenamed("node", "rep")), "rep", "left").select("s1", "s2", "n", F.coalesce("label", "first").alias("class_id"), "copies", F.col("label").isNotNull().alias("linked"))
     named = stored(named.where("copies > 1 or linked").select("s1", "s2", "n", "class_id"), "named-classes")
     rows = base.join(named, ["s1", "s2", "n"], "left")
     return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("component_id"))

@@ -90,3 +90,15 @@ def test_shared_counts():
     a, b = lists(7), lists(9)
     want = [[len(set(x.tolist()) & set(y.tolist())) for y in b] for x in a]
     assert jaccard._Index(a).shared(b).tolist() == want
+
+
+def test_keys_of_several_texts(spark):
+    docs = make(5, 40, 8, 5)
+    rows = [(k // 9, t) for k, t in docs]  # three texts to a key
+    got = sorted(tuple(r) for r in jaccard.near_duplicates(documents(spark, rows), range_tokens=500).collect())
+    assert got == brute(rows)
+    # one key on unrelated texts, each with a partner
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(1, a), (1, b), (2, f"{a} x"), (3, f"{b} y"), (1, None)]
+    got = sorted(tuple(r) for r in jaccard.near_duplicates(documents(spark, rows)).collect())
+    assert got == brute(rows) == [(1, 0, 1), (1, 36, 1), (1, 36, 1), (2, 37, 1), (3, 37, 1)]
