@@ -7,6 +7,7 @@ import ctypes
 import gc
 import os
 import re
+import struct
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
@@ -107,74 +108,97 @@ _PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-/:-@
 
 
 class _Words(dict):
-    """Packed ids of each distinct word, found when first asked for; KeyError for one with white space at its ends."""
+    """Packed ids of each distinct word, found when first asked for; KeyError for one with white space at its ends.
+
+    Two generations: when `turn` is called, the words asked for since the last call stay at hand and older ones go."""
 
     def __init__(self, enc: WordEncoder, lead: str):
-        self.enc, self.lead = enc, lead
+        self.enc, self.lead, self.shown, self.old = enc, lead, enc.visible(lead), {}
 
     def __missing__(self, w: str) -> bytes:
-        if m := _PLAIN.fullmatch(w):
-            stem, tail = m.groups()
-            ids = self[stem] + self.enc.tail(tail) if tail else self.enc.piece(self.lead + w)
-        elif not w or w[0].isspace() or w[-1].isspace():
-            raise KeyError(w)
-        else:
-            ids = self.enc.whole(self.lead + w)
+        ids = self.old.get(w)
+        if ids is None:
+            ids = self.made(w)
         self[w] = ids
         return ids
 
+    def made(self, w: str) -> bytes:
+        enc = self.enc
+        if w.isascii() and w.isalpha():  # one match of the pattern, whose bytes are shown as themselves
+            return enc.piece(self.shown + w)
+        if m := _PLAIN.fullmatch(w):
+            if m.end(1) == len(w):
+                return enc.piece(self.shown + enc.visible(w))
+            tail = enc.tails.get(m[2])
+            if tail is None:
+                tail = enc.tails[m[2]] = enc.piece(m[2])
+            return self[m[1]] + tail
+        if not w or w[0].isspace() or w[-1].isspace():
+            raise KeyError(w)
+        return enc.whole(self.lead + w)
+
+    def turn(self) -> None:
+        self.old = dict(self)
+        self.clear()
+
 
 class WordEncoder:
     """Ids of whole texts by the tokenizers library, each distinct word encoded once.
 
     A byte-level pre-tokenizer always cuts before a single space that stands between two other characters that are
     no white space, and around a single line feed likewise. So a text is the concatenation of its words' ids. Plain
-    words go to the library's BPE model straight away. A text with any other white space pattern is encoded whole. The
-    words that are kept are bounded by `most`."""
+    words go to the library's BPE model straight away. A text with any other white space pattern is encoded whole, and so
+    is one that holds the string of an added token (as <|endoftext|>), which the library turns into that token's id. The
+    words that are kept are bounded by `most`; words that come again outlive those that don't."""
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tk = Tokenizer.from_file(path)
-        self.tk.encode_special_tokens = True
         if not isinstance(self.tk.pre_tokenizer, pre_tokenizers.ByteLevel) or self.tk.normalizer is not None:
             raise ValueError("a byte-level tokenizer without normalizer is needed")
+        self.tokenize = self.tk.model.tokenize
         self.dtype = np.dtype("<u2" if self.tk.get_vocab_size() <= 1 << 16 else "<u4")
+        self.added = [x.content for x in self.tk.get_added_tokens_decoder().values()]
         # the pre-tokenizer shows each byte as a printable character: itself, or the next free one from U+0100 on
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [x for x in range(256) if x not in set(shown)]
         self.shown = {**{x: x for x in shown}, **{x: 256 + i for i, x in enumerate(hidden)}}
         self.most = most
-        self.clear()
+        self.spaced, self.first, self.tails = _Words(self, " "), _Words(self, ""), {}
         self.newline = self.whole("\n")
 
-    def clear(self) -> None:
-        self.spaced, self.first, self.tails = _Words(self, " "), _Words(self, ""), {}
+    def packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.dtype.char}", *ids)
+
+    def visible(self, text: str) -> str:
+        return text.encode().decode("latin-1").translate(self.shown)
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tk.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def piece(self, text: str) -> bytes:
-        """Of one match of the pre-tokenizer's pattern."""
-        return np.array([x.id for x in self.tk.model.tokenize(text.encode().decode("latin-1").translate(self.shown))], self.dtype).tobytes()
-
-    def tail(self, text: str) -> bytes:
-        if text not in self.tails:
-            self.tails[text] = self.piece(text)
-        return self.tails[text]
+    def piece(self, shown: str) -> bytes:
+        """Of one match of the pre-tokenizer's pattern, as the pre-tokenizer shows it."""
+        return self.packed([x.id for x in self.tokenize(shown)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids (little-endian, self.dtype) of each text."""
-        if len(self.spaced) + len(self.first) > self.most:
-            self.clear()
+        for words in (self.spaced, self.first):
+            if len(words) > self.most // 2:
+                words.turn()
+        if len(self.tails) > self.most // 8:
+            self.tails.clear()
         out = []
         spaced, first = self.spaced.__getitem__, self.first.__getitem__
         for t in texts:
+            if any(x in t for x in self.added):
+                out.append(self.whole(t))
+                continue
             try:
                 parts: list[bytes] = []
-                for i, line in enumerate(t.split("\n")):
-                    if i:
+                for line in t.split("\n"):
+                    if parts:
                         parts.append(self.newline)
                     ws = line.split(" ")
                     parts.append(first(ws[0]))

@@ -40,7 +40,7 @@ def op5_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_framed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.record_digest(_table(spark, sf_dir, "documents")).drop("shard", "seq")
+    return records.record_digest(_table(spark, sf_dir, "documents")).drop("part", "serial", "seq")
 
 
 def op7_lookup_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,6 @@ def ids():
     from tokenizers import Tokenizer
 
     tk = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
-    tk.encode_special_tokens = True
     return lambda t: [*tk.encode(t or "", add_special_tokens=False).ids, 2]
 
 
@@ -80,13 +79,28 @@ def test_crc32c_known_values():
 def test_records(spark, ids, per_shard):
     rows = records.record_digest(documents(spark), rows_per_shard=per_shard).orderBy("start").collect()
     start = 0
-    for r, (k, t) in zip(rows, sorted(AWKWARD, key=lambda x: x[0]), strict=True):
+    for r, (k, t) in zip(rows, sorted(AWKWARD, key=lambda x: (x[0] is not None, x[0])), strict=True):
         want = ids(t)
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (k, start, len(want), zlib.crc32(struct.pack(f"<{len(want)}I", *want)))
         start += len(want)
     assert records.record_digest(documents(spark, [])).count() == 0
 
 
+def test_shuffled_read_by_the_index(spark, ids):
+    docs = [(i, t) for i, (_, t) in enumerate(AWKWARD * 5)]
+    folder = scratch(spark, "r")
+    index = records.write_records(documents(spark, docs), folder, tokenizer_path("byte_bpe_50k.json"), 2, 7)
+    texts, orders = dict(docs), []
+    for seed in (1, 2):
+        rows = records.shuffled_records(folder, index, seed, 3, open_files=2).collect()
+        assert sorted(r.doc_id for r in rows) == sorted(texts)
+        assert all(np.frombuffer(r.ids, "<u4").tolist() == ids(texts[r.doc_id]) for r in rows)
+        orders.append([r.doc_id for r in rows])
+    assert orders[0] != orders[1] != sorted(texts)
+    one = records.shuffled_records(folder, index.where("doc_id = 6"), 1, 1).first()
+    assert np.frombuffer(one.ids, "<u4").tolist() == ids(texts[6])
+
+
 def test_damaged_record_is_refused():
     data = b"".join(records.frame([b"abc", b"defg"]))
     index = np.array([(0, 0, 19, 1), (1, 19, 20, 1)], records.INDEX)
