@@ -4,8 +4,9 @@ An audio column holds RIFF/WAVE with unsigned 8-bit mono samples. The features o
 `logmel` column is a fixed-shape tensor (frames x mels) with the span of time of each window, and whose schema
 metadata lists the active segments. Everything runs row by row within the partitions of the scan: no shuffle.
 
-Null or empty audio: one window of silence, no segment. Short clips: padded with silence to one window. Equal clips give
-equal values. Other columns of the input are ignored."""
+Null or empty audio: one window of silence, no segment. Short clips: padded with silence to one window. A very long clip is
+worked on whole, in arrays of some forty times its bytes, one clip at a time. Equal clips and repeated rows give equal
+values, one row each; null keys stay null. Empty table: no row. Other columns of the input are ignored."""
 
 from __future__ import annotations
 
@@ -27,8 +28,8 @@ from .common import map_arrow, slices, texts_of
 @dataclass(frozen=True)
 class AudioParams:
     rate: int = 16_000
-    up: int = 1
-    down: int = 2
+    up: int = 3
+    down: int = 4
     taps: int = 24
     window: int = 200
     hop: int = 80

@@ -52,11 +52,73 @@ def test_resample_against_direct_sum():
         assert np.allclose(media.resample(x, up, down), want, atol=1e-4)
 
 
+def test_features_by_direct_sums(spark):
+    """The whole chain of one clip in plain sums and loops: resampling, windows, mel filters, tensors, segments, summary."""
+    import json
+    import math
+
+    import pyarrow as pa
+
+    p = media.AudioParams()
+    assert p.up > 1 and math.gcd(p.up, p.down) == 1
+    rng = np.random.default_rng(5)
+    samples = np.clip(128 + 90 * np.sin(np.arange(6144) * 0.3) * (np.arange(6144) // 700 % 2) + rng.normal(0, 4, 6144), 0, 255).astype(np.uint8)
+    x = (samples.astype(float) - 128) / 128
+    h = media._lowpass(p.up, p.down, p.taps).T.reshape(-1).astype(float)
+    y = []
+    for m in range(-(-len(x) * p.up // p.down)):
+        total = 0.0
+        for k in range(m * p.down % p.up, len(h), p.up):
+            j = (m * p.down - k) // p.up
+            total += h[k] * x[j] if 0 <= j < len(x) else 0.0
+        y.append(total)
+    n = 1 + -(-(len(y) - p.window) // p.hop)
+    y += [0.0] * ((n - 1) * p.hop + p.window - len(y))
+    mel = lambda f: 2595 * math.log10(1 + f / 700)
+    edges = [700 * (10 ** (mel(p.out_rate / 2) * i / (p.n_mels + 1) / 2595) - 1) for i in range(p.n_mels + 2)]
+    want = np.zeros((n, p.n_mels))
+    turn = np.exp(-2j * np.pi * np.outer(np.arange(p.n_fft // 2 + 1), np.arange(p.window)) / p.n_fft)
+    for f in range(n):
+        part = np.array([y[f * p.hop + i] * (0.5 - 0.5 * math.cos(2 * math.pi * i / (p.window - 1))) for i in range(p.window)])
+        power = np.abs(turn @ part) ** 2
+        for b in range(p.n_mels):
+            lo, mid, hi = edges[b : b + 3]
+            total = 0.0
+            for i, e in enumerate(power):
+                hz = i * p.out_rate / p.n_fft
+                total += e * max(0.0, min((hz - lo) / (mid - lo), (hi - hz) / (hi - mid)))
+            want[f, b] = 10 * math.log10(total + 1e-6)
+    t = pa.ipc.open_stream(media.features(samples.tobytes(), p)).read_all()
+    got = t.column("logmel").combine_chunks().to_numpy_ndarray()
+    for w, block in enumerate(got):
+        for i in range(p.frames):
+            f = w * p.step + i
+            assert np.allclose(block[i], want[f] if f < n else -60, atol=2e-2)
+    assert len(got) == max(1, -(-(n - p.frames + p.step) // p.step))
+    level, on, spans = want.mean(axis=1) - want.mean(axis=1).mean(), None, []
+    for f, e in enumerate([*level, -1e9]):
+        if on is None and e >= p.on_db:
+            on = f
+        elif on is not None and e < p.off_db:
+            if f - on >= p.min_frames:
+                spans.append([round(on * 1000 * p.hop / p.out_rate), round(f * 1000 * p.hop / p.out_rate)])
+            on = None
+    assert json.loads(t.schema.metadata[b"segments_ms"]) == spans and len(spans) > 2
+    full = np.full(got.shape[:2] + (p.n_mels,), -60.0)
+    for w in range(len(full)):
+        for i in range(p.frames):
+            if w * p.step + i < n:
+                full[w, i] = want[w * p.step + i]
+    said = dict(x.split("=") for x in media.summary(media.features(samples.tobytes(), p)).split(";"))
+    assert (said["windows"], said["frames"], said["segments"], said["active_ms"]) == (str(len(got)), str(n), str(len(spans)), str(sum(b - a for a, b in spans)))
+    assert abs(float(said["mean_db"]) - full.mean()) < 1e-2
+
+
 def test_segments_have_hysteresis():
     e = np.array([-9, -9, 5, 5, 0.5, 0.5, 5, -9, -9, 0.5, 0.5, 0.5, -9], float)
     assert media.segments(e - e.mean(), media.AudioParams(on_db=4, off_db=-2, min_frames=2)) == [(2, 7)]
     table = __import__("pyarrow").ipc.open_stream(media.features(b"\x80" * 40000, media.AudioParams())).read_all()
-    assert table.schema.field("logmel").type.shape == [32, 16] and table.column("end_ms").to_pylist()[0] == 320
+    assert table.schema.field("logmel").type.shape == [32, 16] and table.column("end_ms").to_pylist()[0] == round(1000 * 32 * 80 / media.AudioParams().out_rate)
 
 
 def test_crc32c_known_values():
@@ -166,16 +228,33 @@ def test_sharding(spark):
 
 def test_warc(spark):
     rows = [(1, "http://a/", "x" * 500), (2, None, "x" * 500), (3, "http://c/\r\nX: y", None), (4, "u", ""), (5, "u", "ü\r\n\r\n"), (5, "u", "ü\r\n\r\n")]
+    rows += [(None, "u", "x" * 500), (None, "u", "alone"), (None, None, "twice without a key"), (None, None, "twice without a key")]
     pages = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, key string")
-    got = {(r.page_id, r.record_type, r.refers_to): r for r in warc.archive_digest(pages, 0).collect()}
-    assert set(got) == {(1, "revisit", 2), (2, "response", None), (3, "revisit", 4), (4, "response", None), (5, "response", None)}
-    for (k, *_), r in got.items():
-        body = utf8({p[0]: p[2] for p in rows}[k])
-        assert (r.payload_bytes, r.payload_digest) == (len(body), base64.b32encode(hashlib.sha1(body).digest()).decode())
+    all_rows = warc.archive_digest(pages, 0).collect()
+    assert sorted((r.page_id or 0, r.record_type, r.refers_to or 0) for r in all_rows) == sorted(
+        [(1, "revisit", 2), (2, "response", 0), (3, "revisit", 4), (4, "response", 0), (5, "response", 0), (5, "response", 0), (0, "revisit", 2)] + [(0, "response", 0)] * 3
+    )
+    for r in all_rows:
+        if r.page_id is not None:
+            body = utf8({p[0]: p[2] for p in rows}[r.page_id])
+            assert (r.payload_bytes, r.payload_digest) == (len(body), base64.b32encode(hashlib.sha1(body).digest()).decode())
     types = sorted(r.record_type for r in warc.archive_digest(pages, 100).collect())
-    assert types == ["response"] * 5 + ["revisit"]
+    assert types == ["response"] * 8 + ["revisit"] * 2
     assert warc.archive_digest(pages.limit(0)).count() == 0
+
+
+def test_warc_single_records_in_any_order(spark):
+    pages = spark.createDataFrame([(i, f"http://{i}/", f"page {i} " * (i % 7 * 40 + 1)) for i in range(200)], "page_id long, url string, html string").coalesce(2)
     folder = scratch(spark, "w")
-    one = warc.write_bundles(pages, folder, 0).where("key = 2").first()
-    fields, body = warc.read_record(f"{folder}/{one.bundle}", one.offset, one.within)
-    assert body == b"x" * 500 and fields["WARC-Record-ID"] == one.record_id
+    index = warc.write_bundles(pages, folder, 0, frame_bytes=5000, bundle_bytes=4000)
+    rows = index.collect()
+    assert len({r.bundle for r in rows}) > 1 or len({r.offset for r in rows}) > 5
+    assert max(r.within for r in rows) > 0
+    random.Random(4).shuffle(rows)
+    for r in rows[:60]:
+        fields, body = warc.read_record(f"{folder}/{r.bundle}", r.frame, r.offset, r.within)
+        assert fields["WARC-Record-ID"] == r.record_id and body.decode() == f"page {r.key} " * (r.key % 7 * 40 + 1)
+    again = warc.read_records(folder, index.orderBy("record_id").coalesce(1)).collect()
+    assert {r.key: r.payload_bytes for r in again} == {i: len(f"page {i} " * (i % 7 * 40 + 1)) for i in range(200)}
+    with pytest.raises(ValueError):
+        warc.read_record(f"{folder}/{rows[0].bundle}", rows[0].frame, rows[0].offset + 1, 0)
