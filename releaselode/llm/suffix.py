@@ -4,25 +4,33 @@ Earlier: in a document of smaller key, or at a smaller place of the same documen
 
 1. Cutting. Each string of `width` bytes has an anchor, the leftmost smallest of its grams of `gram` bytes by hash; equal
    strings have equal anchors at equal places. A segment is a run of strings with one anchor in the text, at most
-   2 * width bytes. Segments are dealt in packed blocks by ranges of the anchor's hash.
-2. Of segments with equal bytes the earliest is kept; all strings of the others are repeats. So copies, of documents
-   or of passages that thousands of documents share, cost one segment each and go no further.
-3. Segments that share an anchor but differ go through a generalized suffix array, built column by column: the
-   Burrows-Wheeler transform and the common prefixes of the collection start from the segments' ends; each round inserts
-   the next symbol of every segment, that is one suffix each, at the place that the transform's ranks give, and sets
+   2 * width bytes. Segments are dealt in packed blocks by ranges of the anchor's hash; one whose anchor no other has holds
+   no repeat. Hashes choose what is compared, they decide no equality.
+2. Segments whose bytes equal an earlier one's are all repeats. Bytes are compared: within a task on its texts, else after
+   the bytes of all segments that share an anchor are fetched. So copies, of documents or of passages that thousands of
+   documents share, cost one segment each. Segments that differ are cut into windows of `reach` places of the anchor, and
+   windows with equal bytes collapse likewise. An anchor with very many segments is split: its windows are dealt by their
+   core, the bytes that all strings of the window share.
+3. Windows that share a core but differ go through a generalized suffix array, built column by column from all their bytes:
+   the Burrows-Wheeler transform and the common prefixes of the collection start from the windows' ends; each round inserts
+   the next symbol of every window, that is one suffix each, at the place that the transform's ranks give, and sets
    the two common prefixes beside it. All arrays lie in files of the task's own temporary folder, which are read and
-   written in sequence, block by block. Suffixes whose common prefixes reach `width` are equal strings.
+   written in sequence, block by block; only one block, and a few numbers for each window, are in memory. Suffixes whose
+   common prefixes reach `width` are equal strings.
 4. The repeats of each document are merged to runs and cut out.
 
-Texts are UTF-8 bytes; null: empty. Texts shorter than `width` are kept whole. Rows of equal key are told apart by no
-order, so keys must name one text; rows with one key and one text are one document, of which each row keeps the same
-bytes. Other columns are ignored (cut_texts keeps them)."""
+Texts are UTF-8 bytes; null: empty. Texts shorter than `width` are kept whole. A very long text is one array of its bytes and a
+few numbers of 8 bytes for each of them in the task that cuts it. Rows of one key and one text are one document, of
+which each row keeps the same bytes. Of different texts with one key, that with the smaller hash counts as earlier; a null key
+is smaller than all others. Empty table: no row. Other columns are ignored (cut_texts keeps them)."""
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import struct
 import tempfile
+import zlib
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -91,25 +99,8 @@ def segments(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int,
     return doc[head], first - starts[doc[head]], many, anchor[head] - first, _mix(grams[anchor[head]]), body
 
 
-def _pack(doc_ids: np.ndarray, doc: np.ndarray, *columns: np.ndarray) -> bytes:
-    """Columns of a block; the documents as a list of their own, since a block has a few rows of each."""
-    heads = np.concatenate([[0], np.flatnonzero(np.diff(doc)) + 1])
-    per = np.diff(np.append(heads, len(doc))).astype("<u4")
-    return struct.pack("<II", len(heads), len(doc)) + doc_ids[doc[heads]].astype("<i8").tobytes() + per.tobytes() + b"".join(c.tobytes() for c in columns)
-
-
-def _unpack(block: bytes, kinds: list[str]) -> list[np.ndarray]:
-    k, n = struct.unpack_from("<II", block)
-    ids, per = np.frombuffer(block, "<i8", k, 8), np.frombuffer(block, "<u4", k, 8 + 8 * k)
-    out, at = [np.repeat(ids, per)], 8 + 12 * k
-    for kind in kinds:
-        out.append(np.frombuffer(block, kind, n, at))
-        at += n * np.dtype(kind).itemsize
-    return out
-
-
 #: Columns of a block of strings to remove; of segments; and of segments whose bytes are asked for.
-GONE, SEGMENT, ASKED = ["<u4", "u1"], ["<u4", "u1", "u1", "<u4", "<u8"], ["<u4", "u1", "u1", "<u4", "<u4"]
+GONE, SEGMENT, ASKED = ["<u4", "u1"], ["<u4", "u1", "u1", "<u4", "<u8"], ["<u4", "u1", "u1", "<u4", "<u4", "u1"]
 
 
 def _blocks(doc: np.ndarray, to: np.ndarray, columns: list[np.ndarray], kinds: list[str]) -> Iterator[tuple[int, bytes]]:
@@ -170,35 +161,47 @@ def dealt_segments(docs: DataFrame, width: int, gram: int, ranges: int, groups:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
-        rows_held = 0
+        texts: list[bytes] = []
+        rows_held = bytes_held = 0
 
         def close() -> pa.RecordBatch:
-            nonlocal held, rows_held
-            doc, first, many, off, anchor, body = (np.concatenate(c) for c in zip(*held, strict=True))
+            nonlocal held, texts, rows_held, bytes_held
+            doc, first, many, off, anchor, body, at = (np.concatenate(c) for c in zip(*held, strict=True))
             order = np.lexsort((first, doc, body, anchor))
-            doc, first, many, off, anchor, body = (c[order] for c in (doc, first, many, off, anchor, body))
+            doc, first, many, off, anchor, body, at = (c[order] for c in (doc, first, many, off, anchor, body, at))
             head = _runs(anchor, body)
-            again = _again(head, doc, first)
+            kept = np.flatnonzero(head)[np.cumsum(head) - 1]
+            like = np.flatnonzero(~head)
+            raw = b"".join(texts)
+            size = (many + width - 1)[like].tolist()
+            same = np.array([raw[a : a + n] == raw[b : b + n] for a, b, n in zip(at[like].tolist(), at[kept[like]].tolist(), size, strict=True)], bool)
+            go_on = head.copy()
+            go_on[like[~same]] = True  # equal by hash only
+            again = like[same]
+            again = again[(doc != doc[kept])[again] | (first != first[kept])[again]]  # else it is a repeated row's, that is the same string
             out = [(0, g, x) for g, x in _blocks(doc[again], _group(doc[again], groups), [first[again], many[again]], GONE)]
-            doc, first, many, off, anchor, body = (c[head] for c in (doc, first, many, off, anchor, body))
+            doc, first, many, off, anchor, body = (c[go_on] for c in (doc, first, many, off, anchor, body))
             part = (((anchor >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
             out += [(1, p, x) for p, x in _blocks(doc, part, [first, many, off, anchor & np.uint64(0xFFFFFFFF), body], SEGMENT)]
-            held, rows_held = [], 0
+            held, texts, rows_held, bytes_held = [], [], 0, 0
             return _frame(out)
 
         for b in slices(batches, 40):
             raw = [t.encode() for t in b.column(1).to_pylist()]
             sizes = np.array([len(r) for r in raw], np.int64)
             ends = np.cumsum(sizes)
-            doc, *rest = segments(np.frombuffer(b"".join(raw), np.uint8), ends - sizes, ends, width, gram)
-            held.append((b.column(0).to_numpy()[doc], *rest))
+            data = b"".join(raw)
+            doc, first, *rest = segments(np.frombuffer(data, np.uint8), ends - sizes, ends, width, gram)
+            held.append((b.column(0).to_numpy()[doc], first, *rest, first + (ends - sizes)[doc] + bytes_held))
+            texts.append(data)
             rows_held += len(doc)
+            bytes_held += len(data)
             if rows_held > 250_000:
                 yield close()
         if rows_held:
             yield close()
 
-    return map_arrow(texts_of(docs), run, "kind int, part int, block binary")
+    return map_arrow(docs, run, "kind int, part int, block binary")
 
 
 def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[bytes]]]:
@@ -214,8 +217,8 @@ def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list
         yield *now, blocks
 
 
-def compared_segments(dealt: DataFrame, groups: int) -> DataFrame:
-    """kind 0: strings to remove. kind 2: segments that share an anchor but differ, to be compared; part by document."""
+def shared_segments(dealt: DataFrame, groups: int, hot: int) -> DataFrame:
+    """kind 0: strings to remove. kind 2: segments that share an anchor, to be compared; part by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for kind, part, blocks in _by_part(batches):
@@ -223,16 +226,13 @@ def compared_segments(dealt: DataFrame, groups: int) -> DataFrame:
                 yield _frame([(0, part, x) for x in blocks])
                 continue
             doc, first, many, off, anchor, body = _unpack(blocks, SEGMENT)
-            order = np.lexsort((first, doc, body, anchor))
+            order = np.lexsort((body, anchor))
             doc, first, many, off, anchor, body = (c[order] for c in (doc, first, many, off, anchor, body))
-            head = _runs(anchor, body)
-            again = _again(head, doc, first)
-            out = [(0, g, x) for g, x in _blocks(doc[again], _group(doc[again], groups), [first[again], many[again]], GONE)]
-            doc, first, many, off, anchor = (c[head] for c in (doc, first, many, off, anchor))
             number = np.cumsum(_runs(anchor)) - 1
             ask = np.bincount(number)[number] > 1
-            doc, first, many, off, anchor = (c[ask] for c in (doc, first, many, off, anchor))
-            out += [(2, g, x) for g, x in _blocks(doc, _group(doc, groups), [first, many, off, anchor, np.full(len(doc), part)], ASKED)]
+            unlike = np.bincount(number, _runs(anchor, body))[number] > hot
+            doc, first, many, off, anchor, unlike = (c[ask] for c in (doc, first, many, off, anchor, unlike))
+            out = [(2, g, x) for g, x in _blocks(doc, _group(doc, groups), [first, many, off, anchor, np.full(len(doc), part), unlike], ASKED)]
             if out:
                 yield _frame(out)
 
@@ -246,7 +246,7 @@ def asked_rows(blocks: DataFrame) -> DataFrame:
         for _, _, x in _by_part(batches):
             doc, *rest = _unpack(x, ASKED)
             order = np.argsort(doc, kind="stable")
-            rows = np.rec.fromarrays([c[order] for c in rest], names="first,many,off,anchor,part", formats=ASKED)
+            rows = np.rec.fromarrays([c[order] for c in rest], names="first,many,off,anchor,part,hot", formats=ASKED)
             cuts = np.flatnonzero(_runs(doc[order]))
             ends = np.append(cuts[1:], len(doc))
             for i in range(0, len(cuts), 4096):
@@ -255,34 +255,51 @@ def asked_rows(blocks: DataFrame) -> DataFrame:
     return map_arrow(blocks, run, "doc_id long, asked binary")
 
 
-_ASKED = np.dtype([("first", "<u4"), ("many", "u1"), ("off", "u1"), ("anchor", "<u4"), ("part", "<u4")])
+_ASKED = np.dtype(list(zip(("first", "many", "off", "anchor", "part", "hot"), ASKED, strict=True)))
+
+
+def windows(first: int, many: int, off: int, body: bytes, width: int, reach: int) -> Iterator[tuple[int, int, int, bytes, bytes]]:
+    """(first, many, off, bytes, core) of the strings of a segment at each `reach` consecutive distances from the anchor.
 
+    All strings of a window hold its core, so only windows with equal cores can share one."""
+    low = reach * -(-width // reach) - off  # distances are -width .. 0; this makes them positive
+    for q in range(low // reach, (low + many - 1) // reach + 1):
+        lo, hi = max(low, q * reach) - low, min(low + many - 1, q * reach + reach - 1) - low
+        core = q * reach - low
+        yield first + lo, hi - lo + 1, off - lo, body[lo : hi + width], body[core + reach - 1 : core + width]
 
-def segment_bytes(docs: DataFrame, asked: DataFrame, width: int) -> DataFrame:
-    """part int, doc_id long, first int, many int, off int, anchor long, body binary."""
+
+def segment_bytes(docs: DataFrame, asked: DataFrame, width: int, reach: int, ranges: int) -> DataFrame:
+    """part int, doc_id long, first int, many int, off int, body binary. Segments of hot anchors come as windows, dealt by their cores."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["part", "doc_id", "first", "many", "off", "anchor", "body"]
-        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+        names = ["part", "doc_id", "first", "many", "off", "body"]
+        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
         for b in slices(batches, 256):
             out: list[tuple] = []
             for doc, text, asked in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("asked").to_pylist(), strict=True):
                 raw = text.encode()
-                for first, many, off, anchor, part in np.frombuffer(asked, _ASKED).tolist():
-                    out.append((part, doc, first, many, off, anchor, raw[first : first + many + width - 1]))
+                for first, many, off, _, part, hot in np.frombuffer(asked, _ASKED).tolist():
+                    body = raw[first : first + many + width - 1]
+                    if hot:
+                        out += [(zlib.crc32(core) % ranges, doc, *w, x) for *w, x, core in windows(first, many, off, body, width, reach)]
+                    else:
+                        out.append((part, doc, first, many, off, body))
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds], names=names)
 
-    rows = texts_of(docs).join(asked, "doc_id").select("doc_id", "text", "asked")
-    return map_arrow(rows, run, "part int, doc_id long, first int, many int, off int, anchor long, body binary")
+    rows = docs.join(asked, "doc_id").select("doc_id", "text", "asked")
+    return map_arrow(rows, run, "part int, doc_id long, first int, many int, off int, body binary")
 
 
-class _Files:
-    """Arrays in files of one folder, read and rewritten in sequence."""
+#: Numbers of an array that are read at once.
+BLOCK = 1 << 18
 
-    BLOCK = 1 << 18
 
-    def __init__(self, folder: str, kinds: dict[str, str]):
-        self.folder, self.kinds, self.turn = Path(folder), kinds, 0
+class _Files:
+    """Arrays in files of one folder, read and rewritten in sequence, block by block."""
+
+    def __init__(self, folder: str, kinds: dict[str, str], block: int):
+        self.folder, self.kinds, self.turn, self.block = Path(folder), kinds, 0, block
 
     def path(self, name: str, turn: int) -> Path:
         return self.folder / f"{name}.{turn % 2}"
@@ -291,8 +308,11 @@ class _Files:
         for name, x in arrays.items():
             x.astype(self.kinds[name]).tofile(self.path(name, self.turn))
 
-    def read(self, name: str) -> np.ndarray:
-        return np.fromfile(self.path(name, self.turn), self.kinds[name])
+    def blocks(self, *names: str) -> Iterator[list[np.ndarray]]:
+        with contextlib.ExitStack() as stack:
+            files = [(stack.enter_context(open(self.path(n, self.turn), "rb")), np.dtype(self.kinds[n])) for n in names]
+            while len((got := [np.frombuffer(f.read(self.block * k.itemsize), k) for f, k in files])[0]):
+                yield got
 
     def merge(self, at: np.ndarray, fix: tuple[np.ndarray, np.ndarray], **new: np.ndarray) -> None:
         """Insert new values, which then stand at the ascending places `at`; afterwards set `lcp` at fix[0] to fix[1]."""
@@ -301,8 +321,8 @@ class _Files:
             with open(self.path(name, self.turn), "rb") as old, open(self.path(name, self.turn + 1), "wb") as out:
                 base = done = 0
                 while True:
-                    raw = np.frombuffer(old.read(self.BLOCK * kind.itemsize), kind)
-                    last = len(raw) < self.BLOCK
+                    raw = np.frombuffer(old.read(self.block * kind.itemsize), kind)
+                    last = len(raw) < self.block
                     # all new values that stand before the end of this block of old ones
                     k = len(at) if last else int(np.searchsorted(at - np.arange(len(at)), base + len(raw), side="left"))
                     block = np.empty(len(raw) + k - done, kind)
@@ -320,132 +340,167 @@ class _Files:
         self.turn += 1
 
 
-def suffix_order(symbols: np.ndarray, lengths: np.ndarray, weight: np.ndarray, folder: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, length, common prefix with the one before) of all suffixes of a collection, in order.
-
-    symbols: texts x columns, right-aligned, over 1..; weight: of each symbol in a common prefix. Texts are extended to the
-    left by one column in each round; only that round's suffixes are inserted."""
+def _range_min(values: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Of values[a:z] for each pair, a < z."""
+    pairs = np.stack([a, z], 1).reshape(-1)
+    return np.minimum.reduceat(np.append(values, values.dtype.type(0)), pairs)[::2] if len(pairs) else np.zeros(0, np.int64)
+
+
+def _scanned(f: _Files, place: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """One pass over the transform. Of the suffixes that its rows `place` (ascending) lead to: their rank among all that rows lead
+    to, and the common prefix with the one before; and (ranks, common prefixes) of those that come right after them."""
+    ahead = np.cumsum(counts) - counts  # all suffixes that begin with a smaller symbol; symbol 0 leads nowhere
+    seen = np.zeros(256, np.int64)  # of each symbol, in the blocks before
+    low = np.full(256, 255, np.int64)  # least common prefix since the symbol was last seen
+    open_ = np.zeros(256, bool)  # whether it was last seen in one of the rows asked for
+    ranks, prefixes, after, below = [], [], [], []
+    base = done = 0
+    for bwt, lcp in f.blocks("bwt", "lcp"):
+        n = len(bwt)
+        upto = int(np.searchsorted(place, base + n))
+        row = place[done:upto] - base
+        order = np.argsort(bwt, kind="stable")
+        many = np.bincount(bwt, minlength=256)
+        stop = np.cumsum(many)
+        start = stop - many
+        where = np.empty(n, np.int64)
+        where[order] = np.arange(n)
+        mine, c = where[row], bwt[row].astype(np.int64)
+        rank = ahead[c] + seen[c] + mine - start[c]
+        front, back = np.minimum.accumulate(lcp), np.append(np.minimum.accumulate(lcp[::-1])[::-1], np.uint8(255))
+        prefix = np.zeros(len(row), np.int64)
+        inside = mine > start[c]
+        prefix[inside] = 1 + _range_min(lcp, order[mine[inside] - 1] + 1, row[inside] + 1)
+        carried = ~inside & (seen[c] > 0)
+        prefix[carried] = 1 + np.minimum(low[c[carried]], front[row[carried]])
+        ranks.append(rank)
+        prefixes.append(prefix)
+        inside = mine + 1 < stop[c]
+        after.append(rank[inside] + 1)
+        below.append(1 + _range_min(lcp, row[inside] + 1, order[mine[inside] + 1] + 1))
+        here = np.flatnonzero(many)
+        late = here[open_[here]]
+        after.append(ahead[late] + seen[late])
+        below.append(1 + np.minimum(low[late], front[order[start[late]]]))
+        last = order[stop[here] - 1]
+        low = np.minimum(low, int(lcp.min()))
+        low[here] = back[last + 1]
+        asked = np.zeros(n, bool)
+        asked[row] = True
+        open_[here] = asked[last]
+        seen += many
+        base, done = base + n, upto
+    rank, fix, value = np.concatenate(ranks), np.concatenate(after), np.concatenate(below)
+    by = np.argsort(fix)
+    return rank, np.concatenate(prefixes), (fix[by], value[by])
+
+
+def suffix_order(symbols: np.ndarray, lengths: np.ndarray, folder: str, block: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of (text, length, common prefix with the one before) of all suffixes of a collection, in order.
+
+    symbols: texts x columns, right-aligned, from 1 to 255, at most 254 columns. Texts are extended to the left by one column
+    in each round; only that round's suffixes are inserted."""
     m, columns = symbols.shape
-    f = _Files(folder, {"bwt": "<u4", "lcp": "<u2", "text": "<u4", "size": "u1"})
+    f = _Files(folder, {"bwt": "u1", "lcp": "u1", "text": "<u4", "size": "u1"}, block)
 
     def before(text: np.ndarray, size: int) -> np.ndarray:
         """The symbol left of the suffix of that size, 0 where it is the whole text."""
-        return np.where(lengths[text] > size, symbols[text, max(columns - 1 - size, 0)], 0)
+        return np.where(lengths[text] > size, symbols[text, max(columns - 1 - size, 0)], 0).astype(np.uint8)
 
-    every = np.arange(m)
-    f.start(bwt=before(every, 0), lcp=np.zeros(m), text=every, size=np.zeros(m))
-    place = every.copy()
+    text = np.arange(m)
+    new = before(text, 0)
+    f.start(bwt=new, lcp=np.zeros(m), text=text, size=np.zeros(m))
+    counts = np.bincount(new, minlength=256)
+    place = text  # where the last suffix of each text stands, ascending
     for size in range(1, int(lengths.max(initial=0)) + 1):
-        bwt, lcp = f.read("bwt"), np.append(f.read("lcp"), 0)
-        order = np.argsort(bwt, kind="stable")
-        order = order[np.searchsorted(bwt[order], 1) :]  # rows of the transform in the order of the suffixes that they lead to
-        rank = np.empty(len(bwt), np.int64)
-        rank[order] = np.arange(len(order))
-        text = np.flatnonzero(lengths >= size)
-        row = place[text]
-        t = rank[row]
-        by = np.argsort(t)
-        text, row, t = text[by], row[by], t[by]
-        symbol = bwt[row]
-
-        def common(a: np.ndarray, b: np.ndarray, symbol: np.ndarray, lcp: np.ndarray = lcp) -> np.ndarray:
-            """Of the suffixes that rows a < b lead to, which begin with the same symbol."""
-            pairs = np.stack([a + 1, b + 1], 1).reshape(-1)
-            return weight[symbol] + (np.minimum.reduceat(lcp, pairs)[::2] if len(pairs) else np.zeros(0, lcp.dtype))
-
-        new = np.zeros(len(t), np.int64)
-        up = np.flatnonzero(t > 0)
-        up = up[bwt[order[t[up] - 1]] == symbol[up]]
-        new[up] = common(order[t[up] - 1], row[up], symbol[up])
-        down = np.flatnonzero(t + 1 < len(order))
-        down = down[bwt[order[t[down] + 1]] == symbol[down]]
-        below = common(row[down], order[t[down] + 1], symbol[down])
-        at = m + t
-        f.merge(at, (at[down] + 1, below), bwt=before(text, size), lcp=new, text=text, size=np.full(len(text), size))
-        place[text] = at
-    return f.read("text").astype(np.int64), f.read("size").astype(np.int64), f.read("lcp").astype(np.int64)
-
-
-def repeated_strings(anchor: np.ndarray, doc: np.ndarray, first: np.ndarray, many: np.ndarray, off: np.ndarray, bodies: list[bytes], width: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, first, many) of the strings that start earlier in another of these segments.
-
-    Strings at `reach` consecutive distances from the anchor have a core in common, so only segments with equal cores
-    can share one. Parts of segments between these distances are compared; the core is one symbol of the collection."""
-    data = np.frombuffer(b"".join(bodies), np.uint8)
-    base = np.cumsum([len(x) for x in bodies]) - np.array([len(x) for x in bodies])
-    up, down = _powers.upto(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_LUT[data] * up[: len(data)], out=sums[1:])
-    span = lambda a, z: _mix((sums[z] - sums[a]) * down[a] + (z - a).astype(np.uint64))
-    far = reach * -(-width // reach)  # distances are -width .. 0; this makes them positive
-    low_r, high_r = far - off, far - off + many - 1
-    q0, q1 = low_r // reach, high_r // reach
-    seg = np.repeat(np.arange(len(doc)), q1 - q0 + 1)
-    q = np.arange(len(seg)) - np.repeat(np.cumsum(q1 - q0 + 1) - (q1 - q0 + 1), q1 - q0 + 1) + q0[seg]
-    lo, hi = np.maximum(low_r[seg], q * reach), np.minimum(high_r[seg], q * reach + reach - 1)
-    zero = base[seg] - low_r[seg]  # where distance 0 would be
-    core_a, core_z = zero + q * reach + reach - 1, zero + q * reach + width
-    core, body = span(core_a, core_z), span(zero + lo, zero + hi + width)
-    where = first[seg] + lo - low_r[seg]
-    order = np.lexsort((where, doc[seg], body, core, q, anchor[seg]))
-    seg, q, lo, hi, zero, core_a, core_z, core, body, where = (c[order] for c in (seg, q, lo, hi, zero, core_a, core_z, core, body, where))
-    new_core = _runs(anchor[seg], q, core)
-    head = new_core | _runs(body)
-    again = _again(head, doc[seg], where)
-    gone = [(doc[seg[again]], where[again], (hi - lo + 1)[again])]
-    seg, q, lo, hi, zero, core_a, core_z, where = (c[head] for c in (seg, q, lo, hi, zero, core_a, core_z, where))
-    number = np.cumsum(new_core[head]) - 1
-    keep = np.bincount(number)[number] > 1 if len(number) else np.zeros(0, bool)
-    seg, lo, hi, zero, core_a, core_z, where, number = (c[keep] for c in (seg, lo, hi, zero, core_a, core_z, where, number))
-    if len(seg):
-        number = np.unique(number, return_inverse=True)[1]
-        columns = 2 * reach - 1
-        lead, tail = core_a - (zero + lo), zero + hi + width - core_z
-        lengths = lead + 1 + tail
-        symbols = np.zeros((len(seg), columns), np.uint32)
-        for k in range(columns):  # right-aligned
-            i = lengths - columns + k
-            at = np.where(i < lead, zero + lo + i, core_z + i - lead - 1)
-            ok = i >= 0
-            symbols[ok, k] = np.where(i[ok] == lead[ok], 257 + number[ok], data[np.minimum(at[ok], len(data) - 1)].astype(np.int64) + 1)
-        weight = np.ones(257 + int(number.max()) + 1, np.int64)
-        weight[257:] = width - reach + 1
+        alive = lengths[text] >= size
+        text, place = text[alive], place[alive]
+        leads = counts.copy()
+        leads[0] = 0
+        rank, prefix, fix = _scanned(f, place, leads)
+        by = np.argsort(rank)
+        text, place = text[by], m + rank[by]
+        new = before(text, size)
+        f.merge(place, (m + fix[0], fix[1]), bwt=new, lcp=prefix[by], text=text, size=np.full(len(text), size))
+        counts += np.bincount(new, minlength=256)
+    for got in f.blocks("text", "size", "lcp"):
+        yield tuple(x.astype(np.int64) for x in got)
+
+
+class Compared:
+    """The comparison of one part's segments; rows come in ascending order of document and place."""
+
+    def __init__(self, width: int, reach: int, block: int = BLOCK):
+        self.width, self.reach, self.block = width, reach, block
+        self.kept: dict[bytes, tuple[int, int, int, int]] = {}
+        self.gone: list[tuple[int, int, int]] = []
+
+    def add(self, doc: int, first: int, many: int, off: int, body: bytes) -> None:
+        """Equal bytes: all strings of the later segment are repeats, unless a repeated row holds the same segment."""
+        d, p, *_ = self.kept.setdefault(body, (doc, first, many, off))
+        if (d, p) != (doc, first):
+            self.gone.append((doc, first, many))
+
+    def repeats(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Blocks of (document, first, many) of the strings that start earlier in another segment."""
+        pieces: dict[bytes, tuple[int, int, int]] = {}
+        cores: dict[bytes, list[bytes]] = {}
+        for body, (doc, first, many, off) in self.kept.items():
+            for p, n, _, x, core in windows(first, many, off, body, self.width, self.reach):
+                d, at, _ = pieces.setdefault(x, (doc, p, n))
+                if (d, at) != (doc, p):
+                    self.gone.append((doc, p, n))
+                else:
+                    cores.setdefault(core, []).append(x)
+        self.kept.clear()
+        if self.gone:
+            yield tuple(np.array(c, np.int64) for c in zip(*self.gone, strict=True))
+        unlike = [x for group in cores.values() if len(group) > 1 for x in group]
+        del cores
+        if unlike:
+            yield self._by_suffixes(unlike, [pieces[x] for x in unlike])
+
+    def _by_suffixes(self, bodies: list[bytes], at: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        doc, where, many = (np.array(c, np.int64) for c in zip(*at, strict=True))
+        lengths = many + self.width - 1
+        symbols = np.zeros((len(bodies), int(lengths.max())), np.uint8)
+        for i, x in enumerate(bodies):  # no byte of UTF-8 is 255, so bytes are lifted by one to keep 0 free
+            symbols[i, len(symbols[i]) - len(x) :] = np.frombuffer(x, np.uint8)
+            symbols[i, len(symbols[i]) - len(x) :] += 1
+        runs, docs, places, run = [], [], [], 0
         with tempfile.TemporaryDirectory(prefix="suffixes-") as folder:
-            text, size, lcp = suffix_order(symbols, lengths, weight, folder)
-        start = lengths[text] - size
-        string = (start <= (hi - lo)[text]) & (size > 0)
-        run = np.cumsum(lcp < width)[string]
-        text, start = text[string], start[string]
-        d, p = doc[seg[text]], where[text] + start
-        order = np.lexsort((p, d, run))
-        again = _again(_runs(run[order]), d[order], p[order])
-        gone.append((d[order][again], p[order][again], np.ones(int(again.sum()), np.int64)))
-    return tuple(np.concatenate(c) for c in zip(*gone, strict=True))
-
-
-def compared(rows: DataFrame, width: int, reach: int, groups: int) -> DataFrame:
+            for text, size, lcp in suffix_order(symbols, lengths, folder, self.block):
+                number = run + np.cumsum(lcp < self.width)
+                run = int(number[-1])
+                start = lengths[text] - size
+                string = (start < many[text]) & (size >= self.width)
+                runs.append(number[string])
+                docs.append(doc[text[string]])
+                places.append(where[text[string]] + start[string])
+        run_of, d, p = np.concatenate(runs), np.concatenate(docs), np.concatenate(places)
+        order = np.lexsort((p, d, run_of))
+        run_of, d, p = run_of[order], d[order], p[order]
+        again = _again(_runs(run_of), d, p)
+        return d[again], p[again], np.ones(int(again.sum()), np.int64)
+
+
+def compared(rows: DataFrame, width: int, reach: int, groups: int, block: int) -> DataFrame:
     """kind 0: strings to remove, by the comparison of the segments of each part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-            t = pa.Table.from_batches(held)
-            anchor, doc, first, many, off = (t.column(c).to_numpy().astype(np.int64) for c in ("anchor", "doc_id", "first", "many", "off"))
-            d, p, n = repeated_strings(anchor, doc, first, many, off, t.column("body").to_pylist(), width, reach)
-            return _frame([(0, g, x) for g, x in _blocks(d, _group(d, groups), [p, n], GONE)])
+        now, held = None, Compared(width, reach, block)
+
+        def done() -> Iterator[pa.RecordBatch]:
+            for d, p, n in held.repeats():
+                yield _frame([(0, g, x) for g, x in _blocks(d, _group(d, groups), [p, n], GONE)])
 
-        held, now = [], None
         for b in batches:
-            parts = b.column("part").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
-            for a, z in zip(cuts, cuts[1:], strict=False):
-                if z > a:
-                    if now is not None and parts[a] != now:
-                        yield done(held)
-                        held = []
-                    now = parts[a]
-                    held.append(b.slice(a, z - a))
-        if held:
-            yield done(held)
+            for part, doc, first, many, off, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if part != now:
+                    yield from done()
+                    now, held = part, Compared(width, reach, block)
+                held.add(doc, first, many, off, body)
+        yield from done()
 
     return map_arrow(rows, run, "kind int, part int, block binary")
 
@@ -481,22 +536,47 @@ def _light(df: DataFrame, column: str, most: int = 24 << 20) -> DataFrame:
     return F.broadcast(df) if total <= most else df
 
 
-def repeated_runs(docs: DataFrame, width: int = 100, gram: int = 32, reach: int = 8, range_bytes: int = 12 << 20) -> DataFrame:
-    """Stored doc_id long, runs binary, for the documents from which something is to be removed."""
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with `_number` long, which names a document by key and text and follows the order of keys.
+
+    It is the key where keys are unique; else keys and hashes of texts are sorted by ranges and numbered."""
+    key, text = docs["doc_id"].cast("long"), F.coalesce(docs["text"].cast("string"), F.lit(""))
+    plain = docs.groupBy(key.alias("k")).agg(F.count("*").alias("c")).where("c > 1 or k is null").isEmpty()
+    if plain:
+        return docs.withColumn("_number", key)
+    marked = docs.withColumns({"_k": key, "_h": F.xxhash64(text)})
+    # numbers ascend with the sorted ranges; the table is stored, so they stay as they are
+    numbers = stored(marked.select("_k", "_h").distinct().orderBy(F.col("_k").asc_nulls_first(), "_h").withColumn("_number", F.monotonically_increasing_id()), "numbered-keys")
+    numbers = numbers.select(F.col("_k").alias("_k2"), F.col("_h").alias("_h2"), "_number")
+    return marked.join(numbers, marked["_k"].eqNullSafe(numbers["_k2"]) & (marked["_h"] == numbers["_h2"])).select(*docs.columns, "_number")
+
+
+def repeated_runs(docs: DataFrame, width: int = 100, gram: int = 32, reach: int = 8, range_bytes: int = 4 << 20, hot: int = 512, block: int = BLOCK) -> DataFrame:
+    """Stored doc_id long, runs binary, for the documents of docs(doc_id, text) from which something is to be removed."""
+    if width + reach > 255:
+        raise ValueError("common prefixes are kept in one byte")
     spark = docs.sparkSession
-    total = texts_of(docs).agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()
+    total = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()
     ranges = max(1, -(-(total["b"] or 0) // range_bytes))
     groups = max(1, -(-total["n"] // 16_384))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt_segments(docs, width, gram, ranges, groups).repartition(max(1, min(ranges + groups, 2 * parts)), "kind", "part").sortWithinPartitions("kind", "part")
-    found = stored(compared_segments(dealt, groups), "segments")
+    found = stored(shared_segments(dealt, groups, hot), "segments")
     ask = found.where("kind = 2").repartition(max(1, min(groups, parts)), "part").sortWithinPartitions("kind", "part")
     asked = stored(asked_rows(ask), "asked-segments")
-    rows = segment_bytes(docs, _light(asked, "asked"), width).repartition(max(1, min(ranges, 2 * parts)), "part").sortWithinPartitions("part")
-    gone = found.where("kind = 0").union(compared(rows, width, reach, groups))
+    rows = segment_bytes(docs, _light(asked, "asked"), width, reach, ranges).repartition(max(1, min(ranges, 2 * parts)), "part").sortWithinPartitions("part", "doc_id", "first")
+    gone = found.where("kind = 0").union(compared(rows, width, reach, groups, block))
     return stored(removed_runs(gone.repartition(max(1, min(groups, parts)), "part").sortWithinPartitions("kind", "part"), width), "removed-runs")
 
 
+def _with_runs(docs: DataFrame, width: int, options: dict) -> DataFrame:
+    """docs with `_removed_runs`."""
+    rows = keyed(docs)
+    runs = repeated_runs(rows.select(F.col("_number").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), width, **options)
+    found = _light(runs, "runs").select(F.col("doc_id").alias("_number"), F.col("runs").alias("_removed_runs"))
+    return rows.join(found, "_number", "left").select(*docs.columns, "_removed_runs")
+
+
 def _kept(raw: bytes, runs: np.ndarray) -> bytes:
     out, at = [], 0
     for a, z in runs.tolist():
@@ -508,7 +588,6 @@ def _kept(raw: bytes, runs: np.ndarray) -> bytes:
 
 def dedup_digest(docs: DataFrame, width: int = 100, **options) -> DataFrame:
     """doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string."""
-    runs = _light(repeated_runs(docs, width, **options), "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1024):
@@ -520,13 +599,12 @@ def dedup_digest(docs: DataFrame, width: int = 100, **options) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.record_batch([b.column(0), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    rows = texts_of(docs).join(runs, "doc_id", "left").select("doc_id", "text", "runs")
+    rows = _with_runs(texts_of(docs), width, options)
     return map_arrow(rows, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def cut_texts(docs: DataFrame, width: int = 100, **options) -> DataFrame:
     """docs with the repeated bytes cut out of `text`. A run is first narrowed to whole characters, so what is kept stays UTF-8."""
-    runs = _light(repeated_runs(docs, width, **options), "runs").withColumnRenamed("runs", "_removed_runs")
     text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -536,8 +614,7 @@ def cut_texts(docs: DataFrame, width: int = 100, **options) -> DataFrame:
             columns[text] = pa.array(cut, columns[text].type)
             yield pa.record_batch(columns, names=b.schema.names[:-1])
 
-    rows = docs.join(runs, "doc_id", "left").select(*docs.columns, "_removed_runs")
-    return map_arrow(rows, run, docs.schema)
+    return map_arrow(_with_runs(docs, width, options), run, docs.schema)
 
 
 def _cut_text(text: str, runs: bytes) -> str:

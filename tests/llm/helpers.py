@@ -18,7 +18,7 @@ AWKWARD = [
 
 def documents(spark, rows=AWKWARD):
     """documents with extra columns whose names operators use inside."""
-    return spark.createDataFrame([(i, t, "en", "src0", len(t or ""), -1, "x", i % 2, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, block int, key string, n int, rank string")
+    return spark.createDataFrame([(i, t, "en", "src0", len(t or ""), -1, "x", (i or 0) % 2, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, block int, key string, n int, rank string")
 
 
 def utf8(t):

@@ -47,25 +47,23 @@ def make(seed):
     return docs + [(500, None), (501, ""), (502, docs[3][1]), (503, docs[3][1])]
 
 
-@pytest.mark.parametrize("seed,reach,block", [(1, 8, 1 << 18), (2, 8, 7), (3, 5, 100), (4, 1, 100), (5, 16, 50)])
-def test_against_brute_force(spark, monkeypatch, seed, reach, block):
+@pytest.mark.parametrize("seed,reach,block,hot", [(1, 8, 1 << 18, 512), (2, 8, 97, 0), (3, 5, 100, 3), (4, 1, 100, 2), (5, 16, 50, 1)])
+def test_against_brute_force(spark, seed, reach, block, hot):
     docs = make(seed)
-    monkeypatch.setattr(suffix._Files, "BLOCK", block)
-    got = sorted(tuple(r) for r in suffix.dedup_digest(documents(spark, docs), reach=reach, range_bytes=5000).collect())
+    got = sorted(tuple(r) for r in suffix.dedup_digest(documents(spark, docs), reach=reach, range_bytes=5000, block=block, hot=hot).collect())
     assert got == brute(docs)
 
 
-def test_suffix_order_against_sorting(monkeypatch):
+def test_suffix_order_against_sorting():
     rng = random.Random(8)
-    for block in (3, 1000):
-        monkeypatch.setattr(suffix._Files, "BLOCK", block)
-        texts = ["".join(rng.choice("ab") for _ in range(rng.randrange(0, 9))) for _ in range(30)]
-        wide = np.zeros((30, 9), np.uint32)
+    for block, letters in ((3, "ab"), (7, "abcde"), (1000, "ab"), (20, "a")):
+        texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(0, 9))) for _ in range(30)]
+        wide = np.zeros((30, 9), np.uint8)
         for i, t in enumerate(texts):
             for k, c in enumerate(t):
                 wide[i, 9 - len(t) + k] = ord(c) - 96
         with tempfile.TemporaryDirectory() as folder:
-            text, size, lcp = suffix.suffix_order(wide, np.array([len(t) for t in texts]), np.ones(3, np.int64), folder)
+            text, size, lcp = (np.concatenate(c) for c in zip(*suffix.suffix_order(wide, np.array([len(t) for t in texts]), folder, block), strict=True))
         found = [texts[i][len(texts[i]) - n :] for i, n in zip(text, size, strict=True)]
         assert found == sorted(found) and len(found) == sum(len(t) + 1 for t in texts)
         for a, b, n in zip(found, found[1:], lcp[1:], strict=False):
@@ -75,6 +73,19 @@ def test_suffix_order_against_sorting(monkeypatch):
             assert n == k
 
 
+def test_null_and_repeated_keys(spark):
+    """Of one key's texts that with the smaller hash is earlier; null keys come first."""
+    docs = [(i % 20 if i % 9 else None, t) for i, (_, t) in enumerate(make(7))]
+    hashes = {r.t: r.h for r in spark.createDataFrame([(t or "",) for _, t in docs], "t string").selectExpr("t", "xxhash64(t) as h").collect()}
+    order = sorted({(k is not None, k or 0, hashes[t or ""]) for k, t in docs})
+    number = {x: i for i, x in enumerate(order)}
+    numbered = [(number[k is not None, k or 0, hashes[t or ""]], t) for k, t in docs]
+    want = {r[0]: r[1:] for r in brute({n: t or "" for n, t in numbered}.items())}
+    got = sorted(tuple(r)[1:] for r in suffix.dedup_digest(documents(spark, docs), range_bytes=5000).collect())
+    assert got == sorted(want[n] for n, _ in numbered)
+    assert suffix.cut_texts(documents(spark, docs)).count() == len(docs)
+
+
 def test_awkward_rows(spark):
     docs = [(i, t) for i, (_, t) in enumerate(AWKWARD)]
     assert sorted(tuple(r) for r in suffix.dedup_digest(documents(spark, docs)).collect()) == brute(docs)
