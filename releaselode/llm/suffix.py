@@ -299,44 +299,52 @@ class _Files:
     """Arrays in files of one folder, read and rewritten in sequence, block by block."""
 
     def __init__(self, folder: str, kinds: dict[str, str], block: int):
-        self.folder, self.kinds, self.turn, self.block = Path(folder), kinds, 0, block
+        self.kinds, self.turn, self.block = kinds, 0, block
+        self.files = {name: [open(Path(folder) / f"{name}.{i}", "w+b") for i in (0, 1)] for name in kinds}
 
-    def path(self, name: str, turn: int) -> Path:
-        return self.folder / f"{name}.{turn % 2}"
+    def close(self) -> None:
+        for pair in self.files.values():
+            for f in pair:
+                f.close()
+
+    def old(self, name: str):
+        f = self.files[name][self.turn % 2]
+        f.seek(0)
+        return f
 
     def start(self, **arrays: np.ndarray) -> None:
         for name, x in arrays.items():
-            x.astype(self.kinds[name]).tofile(self.path(name, self.turn))
+            x.astype(self.kinds[name]).tofile(self.old(name))
 
     def blocks(self, *names: str) -> Iterator[list[np.ndarray]]:
-        with contextlib.ExitStack() as stack:
-            files = [(stack.enter_context(open(self.path(n, self.turn), "rb")), np.dtype(self.kinds[n])) for n in names]
-            while len((got := [np.frombuffer(f.read(self.block * k.itemsize), k) for f, k in files])[0]):
-                yield got
+        files = [(self.old(n), np.dtype(self.kinds[n])) for n in names]
+        while len((got := [np.frombuffer(f.read(self.block * k.itemsize), k) for f, k in files])[0]):
+            yield got
 
     def merge(self, at: np.ndarray, fix: tuple[np.ndarray, np.ndarray], **new: np.ndarray) -> None:
         """Insert new values, which then stand at the ascending places `at`; afterwards set `lcp` at fix[0] to fix[1]."""
         for name, values in new.items():
             kind = np.dtype(self.kinds[name])
-            with open(self.path(name, self.turn), "rb") as old, open(self.path(name, self.turn + 1), "wb") as out:
-                base = done = 0
-                while True:
-                    raw = np.frombuffer(old.read(self.block * kind.itemsize), kind)
-                    last = len(raw) < self.block
-                    # all new values that stand before the end of this block of old ones
-                    k = len(at) if last else int(np.searchsorted(at - np.arange(len(at)), base + len(raw), side="left"))
-                    block = np.empty(len(raw) + k - done, kind)
-                    start = base + done
-                    hole = np.zeros(len(block), bool)
-                    hole[at[done:k] - start] = True
-                    block[hole], block[~hole] = values[done:k], raw
-                    if name == "lcp":
-                        a, z = np.searchsorted(fix[0], [start, start + len(block)])
-                        block[fix[0][a:z] - start] = fix[1][a:z]
-                    block.tofile(out)
-                    base, done = base + len(raw), k
-                    if last:
-                        break
+            old, out = self.old(name), self.files[name][(self.turn + 1) % 2]
+            out.seek(0)
+            base = done = 0
+            while True:
+                raw = np.frombuffer(old.read(self.block * kind.itemsize), kind)
+                last = len(raw) < self.block
+                # all new values that stand before the end of this block of old ones
+                k = len(at) if last else int(np.searchsorted(at - np.arange(len(at)), base + len(raw), side="left"))
+                block = np.empty(len(raw) + k - done, kind)
+                start = base + done
+                hole = np.zeros(len(block), bool)
+                hole[at[done:k] - start] = True
+                block[hole], block[~hole] = values[done:k], raw
+                if name == "lcp":
+                    a, z = np.searchsorted(fix[0], [start, start + len(block)])
+                    block[fix[0][a:z] - start] = fix[1][a:z]
+                out.write(block.data)
+                base, done = base + len(raw), k
+                if last:
+                    break
         self.turn += 1
 
 
@@ -400,8 +408,13 @@ def suffix_order(symbols: np.ndarray, lengths: np.ndarray, folder: str, block: i
 
     symbols: texts x columns, right-aligned, from 1 to 255, at most 254 columns. Texts are extended to the left by one column
     in each round; only that round's suffixes are inserted."""
-    m, columns = symbols.shape
     f = _Files(folder, {"bwt": "u1", "lcp": "u1", "text": "<u4", "size": "u1"}, block)
+    with contextlib.closing(f):
+        yield from _suffix_order(f, symbols, lengths)
+
+
+def _suffix_order(f: _Files, symbols: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    m, columns = symbols.shape
 
     def before(text: np.ndarray, size: int) -> np.ndarray:
         """The symbol left of the suffix of that size, 0 where it is the whole text."""
