@@ -22,6 +22,7 @@ import base64
 import hashlib
 import heapq
 import json
+import string
 import struct
 import zlib
 from collections.abc import Iterator
@@ -149,6 +150,12 @@ def _cut(blob: bytes, sizes: np.ndarray) -> list[bytes]:
     return [blob[a:z] for a, z in zip([0, *ends], ends, strict=False)]
 
 
+def letter_runs(find) -> bool:
+    """Whether the pattern keeps ASCII letters together, with the space before them: true if it does so for any two."""
+    pairs = [a + b for a in string.ascii_letters for b in string.ascii_letters]
+    return all(find(x) == [x] for p in pairs for x in (p, " " + p))
+
+
 def chunk_path(folder: str, chunk: int) -> str:
     return f"{folder}/chunk-{chunk:014d}"
 
@@ -168,6 +175,7 @@ def dealt_words(docs: DataFrame, folder: str, pattern: str, chunk_bytes: int, ra
         from pyspark import TaskContext
 
         find = regex.compile(pattern).findall
+        runs = letter_runs(find)
         base, serial, size = TaskContext.get().partitionId() << 24, 0, 0
         keys: list[int | None] = []
         spans: list[list[int]] = []
@@ -213,7 +221,7 @@ def dealt_words(docs: DataFrame, folder: str, pattern: str, chunk_bytes: int, ra
         def close() -> pa.RecordBatch:
             nonlocal serial
             words = _Numbers()
-            found = [[words[w] for w in find(x)] for x in names]
+            found = [[words[x]] if runs and x.isascii() and x[1:].isalpha() and (x[0] == " " or x[0].isalpha()) else [words[w] for w in find(x)] for x in names]
             raw = [w.encode() for w in words]
             hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, raw), np.uint64, len(raw))
             order = np.argsort(hashes, kind="stable")
