@@ -7,9 +7,11 @@ import ctypes
 import gc
 import os
 import re
-import struct
+import sys
 import uuid
+from array import array
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 from pathlib import Path
 
 import numpy as np
@@ -125,7 +127,7 @@ class _Words(dict):
     def made(self, w: str) -> bytes:
         enc = self.enc
         if w.isascii() and w.isalpha():  # one match of the pattern, whose bytes are shown as themselves
-            return enc.piece(self.shown + w)
+            return array(enc.code, [x.id for x in enc.tokenize(self.shown + w)]).tobytes()
         if m := _PLAIN.fullmatch(w):
             if m.end(1) == len(w):
                 return enc.piece(self.shown + enc.visible(w))
@@ -141,6 +143,14 @@ class _Words(dict):
         self.old = dict(self)
         self.clear()
 
+    def trim(self, most: int) -> None:
+        """Keep the words first asked for of this generation, among which are the frequent ones."""
+        self.old = {}
+        kept = list(islice(self.items(), most))
+        if len(kept) < len(self):
+            self.clear()
+            self.update(kept)
+
 
 class WordEncoder:
     """Ids of whole texts by the tokenizers library, each distinct word encoded once.
@@ -149,9 +159,9 @@ class WordEncoder:
     no white space, and around a single line feed likewise. So a text is the concatenation of its words' ids. Plain
     words go to the library's BPE model straight away. A text with any other white space pattern is encoded whole, and so
     is one that holds the string of an added token (as <|endoftext|>), which the library turns into that token's id. The
-    words that are kept are bounded by `most`; words that come again outlive those that don't."""
+    words that are kept are bounded by `most`, and between tasks by `idle`; words that come again outlive those that don't."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 600_000, idle: int = 100_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -159,28 +169,30 @@ class WordEncoder:
         if not isinstance(self.tk.pre_tokenizer, pre_tokenizers.ByteLevel) or self.tk.normalizer is not None:
             raise ValueError("a byte-level tokenizer without normalizer is needed")
         self.tokenize = self.tk.model.tokenize
-        self.dtype = np.dtype("<u2" if self.tk.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.tk.get_vocab_size() <= 1 << 16 else "I"
+        self.dtype = np.dtype(self.code).newbyteorder("<")
         self.added = [x.content for x in self.tk.get_added_tokens_decoder().values()]
         # the pre-tokenizer shows each byte as a printable character: itself, or the next free one from U+0100 on
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [x for x in range(256) if x not in set(shown)]
         self.shown = {**{x: x for x in shown}, **{x: 256 + i for i, x in enumerate(hidden)}}
-        self.most = most
+        self.most, self.idle = most, idle
         self.spaced, self.first, self.tails = _Words(self, " "), _Words(self, ""), {}
         self.newline = self.whole("\n")
 
-    def packed(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}{self.dtype.char}", *ids)
-
     def visible(self, text: str) -> str:
         return text.encode().decode("latin-1").translate(self.shown)
 
     def whole(self, text: str) -> bytes:
-        return np.asarray(self.tk.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        return array(self.code, self.tk.encode(text, add_special_tokens=False).ids).tobytes()
 
     def piece(self, shown: str) -> bytes:
         """Of one match of the pre-tokenizer's pattern, as the pre-tokenizer shows it."""
-        return self.packed([x.id for x in self.tokenize(shown)])
+        return array(self.code, [x.id for x in self.tokenize(shown)]).tobytes()
+
+    def trim(self) -> None:
+        self.spaced.trim(self.idle)
+        self.first.trim(self.idle // 4)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids (little-endian, self.dtype) of each text."""
@@ -215,7 +227,10 @@ _encoders: dict[str, WordEncoder] = {}
 
 
 def encoder(path: str) -> WordEncoder:
-    """One for each Python worker and vocabulary, so that later tasks know the words of earlier ones."""
+    """One for each Python worker and vocabulary, so that later tasks know the frequent words of earlier ones."""
     if path not in _encoders:
+        if sys.byteorder != "little":
+            raise NotImplementedError("ids are packed in the machine's order, which must be little-endian")
         _encoders[path] = WordEncoder(path)
+        at_task_end.append(_encoders[path].trim)
     return _encoders[path]
