@@ -6,20 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import GHSA_ECOSYSTEMS
-from ..functions.versions import in_range, version_key
+from ..functions.versions import conditions, holds, version_key
 
 
 def advisory_matches(versions: DataFrame, advisories: DataFrame) -> DataFrame:
-    """versions' columns with ghsa_id, summary, severity, advisory_url: once for each version and advisory.
+    """versions' columns with advisory long, ghsa_id, summary, severity, advisory_url: once for each version and advisory.
 
-    advisories: one row each, with vulnerabilities array<struct<ecosystem, name, range>>. The names are joined by equality;
-    ranges are only tested for releases of the same package."""
+    advisories: one row each, with vulnerabilities array<struct<ecosystem, name, range>> and maybe `advisory`, its place in the list;
+    else the order of the rows counts. The names are joined by equality; ranges are parsed once each and only tested for
+    releases of the same package."""
     flat = advisories.withColumn("advisory", F.monotonically_increasing_id() if "advisory" not in advisories.columns else F.col("advisory"))
     flat = flat.select("advisory", "ghsa_id", "summary", "severity", F.col("html_url").alias("advisory_url"), F.explode("vulnerabilities").alias("v"))
-    flat = flat.select("*", F.col("v.ecosystem").alias("_eco"), F.lower("v.name").alias("_name"), F.col("v.range").alias("_range")).drop("v")
+    flat = flat.select("*", F.col("v.ecosystem").alias("_eco"), F.lower("v.name").alias("_name"), conditions(F.col("v.range")).alias("_conditions")).drop("v")
     eco = F.create_map(*(F.lit(x) for kv in GHSA_ECOSYSTEMS.items() for x in kv))
     keys = versions.columns
     left = versions.withColumns({"_eco": F.try_element_at(eco, F.col("ecosystem")), "_name": F.lower("package"), "_key": version_key(F.col("version"))})
-    hits = left.join(flat, ["_eco", "_name"]).where(in_range(F.col("_key"), F.col("_range")))
-    out = hits.groupBy(*keys, "advisory").agg(*(F.first(c).alias(c) for c in ("ghsa_id", "summary", "severity", "advisory_url")))
-    return out.drop("advisory")
+    hits = left.join(flat, ["_eco", "_name"]).where(holds(F.col("_key"), F.col("_conditions")))
+    return hits.groupBy(*keys, "advisory").agg(*(F.first(c).alias(c) for c in ("ghsa_id", "summary", "severity", "advisory_url")))

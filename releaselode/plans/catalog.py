@@ -69,16 +69,28 @@ def is_prerelease(spark, d):
     return upgrades.releases(view(spark, d, "d_release")).select("version", V.is_prerelease(F.col("key")).alias("prerelease")).distinct()
 
 
-_IN_RANGE = f"""case when len(regexp_extract_all(vulnerable_range, {O.q(X.RANGE_CONDITION)})) = 0 then false else
- list_bool_and([coalesce(case c.op when '>=' then k >= c.b when '<=' then k <= c.b when '>' then k > c.b when '<' then k < c.b else k = c.b end, false)
- for c in [{{'op': regexp_extract(x, {O.q(X.RANGE_CONDITION)}, 1), 'b': {O.key(f"regexp_extract(x, {O.q(X.RANGE_CONDITION)}, 2)")}}} for x in regexp_extract_all(vulnerable_range, {O.q(X.RANGE_CONDITION)})]]) end"""
+#: Ranges with their conditions, each bound parsed once.
+_RANGES = f"""rng as (select vulnerable_range, [{{'op': regexp_extract(x, {O.q(X.RANGE_CONDITION)}, 1), 'b': {O.key(f"regexp_extract(x, {O.q(X.RANGE_CONDITION)}, 2)")}}} for x in regexp_extract_all(vulnerable_range, {O.q(X.RANGE_CONDITION)})] as conds from (select distinct vulnerable_range from d_advisory)), """
+_IN_RANGE = """case when len(conds) = 0 then false else
+ list_bool_and([coalesce(case c.op when '>=' then k >= c.b when '<=' then k <= c.b when '>' then k > c.b when '<' then k < c.b else k = c.b end, false) for c in conds]) end"""
 
 
-@query(f"with {O.RELEASES} j as (select rel.package, rel.version, rel.k, a.ghsa_id, a.vulnerable_range from rel join d_advisory a on lower(a.name) = rel.package) select package, version, ghsa_id, {_IN_RANGE} as matched from j", "d_release", "d_advisory")
+# versions with a part of up to thirty digits
+_LONG = "version || '.' || repeat('9', cast(12 + o_orderkey % 18 as integer)) || o_orderkey % 7"
+
+
+@query(f"with r as (select distinct package, {_LONG} as version from d_release), v as (select *, {O.key('version')} as k from r) select package, version, row_number() over (partition by package order by k, version) as ord, coalesce({O.bump('lag(k) over (partition by package order by k, version)', 'k')}, 'patch') as bump from v where k is not null", "d_release")
+def version_sort_long(spark, d):
+    df = view(spark, d, "d_release").selectExpr("package", f"{_LONG} as version").distinct().withColumn("key", V.version_key(F.col("version"))).where("key is not null")
+    w = Window.partitionBy("package").orderBy("key", "version")
+    return df.select("package", "version", F.row_number().over(w).cast("long").alias("ord"), V.classify_bump(F.lag("key").over(w), F.col("key")).alias("bump"))
+
+
+@query(f"with {O.RELEASES} {_RANGES} j as (select rel.package, rel.version, rel.k, a.ghsa_id, rng.conds from rel join d_advisory a on lower(a.name) = rel.package join rng on rng.vulnerable_range = a.vulnerable_range) select package, version, ghsa_id, {_IN_RANGE} as matched from j", "d_release", "d_advisory")
 def version_range_match(spark, d):
-    a = view(spark, d, "d_advisory").withColumn("package", F.lower("name")).drop("ecosystem")
+    a = view(spark, d, "d_advisory").select(F.lower("name").alias("package"), "ghsa_id", V.conditions(F.col("vulnerable_range")).alias("conditions"))
     df = upgrades.releases(view(spark, d, "d_release")).join(a, "package")
-    return df.select("package", "version", "ghsa_id", V.in_range(F.col("key"), F.col("vulnerable_range")).alias("matched"))
+    return df.select("package", "version", "ghsa_id", V.holds(F.col("key"), F.col("conditions")).alias("matched"))
 
 
 def _advisories(spark, d):
@@ -86,7 +98,7 @@ def _advisories(spark, d):
     return view(spark, d, "d_advisory").select("ghsa_id", F.concat(F.lit("Advisory "), "ghsa_id").alias("summary"), "severity", F.concat(F.lit("https://example.org/"), "ghsa_id").alias("html_url"), v.alias("vulnerabilities"))
 
 
-@query(f"with {O.RELEASES} j as (select rel.package, rel.version, rel.k, a.ghsa_id, a.vulnerable_range, a.severity from rel join d_advisory a on lower(a.name) = rel.package and a.ecosystem = case rel.ecosystem when 'pypi' then 'pip' else 'npm' end) select package, version, ghsa_id, severity from j where {_IN_RANGE}", "d_release", "d_advisory")
+@query(f"with {O.RELEASES} {_RANGES} j as (select rel.package, rel.version, rel.k, a.ghsa_id, rng.conds, a.severity from rel join d_advisory a on lower(a.name) = rel.package join rng on rng.vulnerable_range = a.vulnerable_range and a.ecosystem = case rel.ecosystem when 'pypi' then 'pip' else 'npm' end) select package, version, ghsa_id, severity from j where {_IN_RANGE}", "d_release", "d_advisory")
 def advisory_join(spark, d):
     versions = upgrades.releases(view(spark, d, "d_release")).select("ecosystem", "package", "version")
     return advisories.advisory_matches(versions, _advisories(spark, d)).select("package", "version", "ghsa_id", "severity")

@@ -29,24 +29,29 @@ def strip(s: str) -> str:
     return sub(s, r"^\s+|\s+$")
 
 
+#: Numbers are padded to a fixed width, so that they sort as strings.
+_WIDE = 60
+_ZERO = f"lpad('', {_WIDE}, '0')"
+
+
 def key(v: str) -> str:
     # the local part has a pattern of its own, as RE2 functions count nine groups at most
     pattern = X.VERSION.replace(r"(?:\+([a-z0-9]+", r"(?:\+(?:[a-z0-9]+")
     g = lambda i: got(f"lower({v})", pattern, i)
-    num = lambda s: f"coalesce(try_cast(nullif({s}, '') as bigint), 0)"
-    rel = f"[cast(x as bigint) for x in string_split({sub(g(2), r'([.]0+)+$')}, '.')]"
+    num = lambda s: f"lpad(ltrim({s}, '0'), {_WIDE}, '0')"
+    rel = f"[{num('x')} for x in string_split({sub(g(2), r'([.]0+)+$')}, '.')]"
     dev = f"({g(8)} <> '')"
-    post = f"case when {g(5)} <> '' then {num(g(5))} when {g(6)} <> '' then {num(g(7))} else -1 end"
+    post = f"case when {g(5)} <> '' then {num(g(5))} when {g(6)} <> '' then {num(g(7))} else '' end"
     pre = f"case when {g(3)} in ('a', 'alpha') then 0 when {g(3)} in ('b', 'beta') then 1 when {g(3)} <> '' then 2 when {dev} and {g(5)} = '' and {g(6)} = '' then -1 else 3 end"
-    return f"case when {has(f'lower({v})', X.VERSION)} then {{'e': {num(g(1))}, 'r': {rel}, 'p': {pre}, 'pn': {num(g(4))}, 'post': {post}, 'd': case when {dev} then {num(g(9))} else 4611686018427387904 end, 'l': {got(f"lower({v})", r"[+]([a-z0-9]+(?:[-_.][a-z0-9]+)*)\s*$")}}} end"
+    return f"case when {has(f'lower({v})', X.VERSION)} then {{'e': {num(g(1))}, 'r': {rel}, 'p': {pre}, 'pn': {num(g(4))}, 'post': {post}, 'd': case when {dev} then {num(g(9))} else 'none' end, 'l': {got(f"lower({v})", r"[+]([a-z0-9]+(?:[-_.][a-z0-9]+)*)\s*$")}}} end"
 
 
 def prerelease(k: str) -> str:
-    return f"({k}.p between 0 and 2 or {k}.d <> 4611686018427387904)"
+    return f"({k}.p between 0 and 2 or {k}.d <> 'none')"
 
 
 def bump(before: str, now: str) -> str:
-    at = lambda k, i: f"coalesce({k}.r[{i}], 0)"
+    at = lambda k, i: f"coalesce({k}.r[{i}], {_ZERO})"
     return f"case when {prerelease(now)} then 'prerelease' when {at(now, 1)} <> {at(before, 1)} then 'major' when {at(now, 2)} <> {at(before, 2)} then 'minor' else 'patch' end"
 
 
