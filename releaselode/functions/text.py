@@ -29,10 +29,8 @@ def text_lines(text: Column) -> Column:
 
 
 def contains_any(s: Column, words: list[str]) -> Column:
-    out = F.contains(s, F.lit(words[0]))
-    for w in words[1:]:
-        out = out | F.contains(s, F.lit(w))
-    return out
+    """One expression however many words, so that generated code stays small."""
+    return let(s, lambda x: F.exists(F.lit(words), lambda w: F.contains(x, w)))
 
 
 def clean_markup(s: Column) -> Column:
@@ -46,13 +44,14 @@ def is_continuation(line: Column) -> Column:
 
 
 def is_noise(line: Column) -> Column:
-    low = F.lower(line)
-    patterns = [X.NOISE_CODE, X.NOISE_IMPORT, X.NOISE_DIRECTIVE, X.ANY_DIRECTIVE, X.PURE_REFERENCE, X.PURE_LINK, X.ONLY_SIGNS]
-    out = contains_any(low, X.IGNORED)
-    for p in patterns:
-        out = out | line.rlike(p)
-    out = out | low.rlike(X.GH_REFERENCE) | (F.length(line) < 3) | low.isin("ok", "ok.", "yes", "no") | is_continuation(line)
-    return out | (F.length(strip(F.regexp_replace(line, X.REFERENCES, ""))) < 8)
+    def of(x: Column, low: Column) -> Column:
+        out = contains_any(low, X.IGNORED)
+        for p in (X.NOISE_CODE, X.NOISE_IMPORT, X.NOISE_DIRECTIVE, X.ANY_DIRECTIVE, X.PURE_REFERENCE, X.PURE_LINK, X.ONLY_SIGNS):
+            out = out | x.rlike(p)
+        out = out | low.rlike(X.GH_REFERENCE) | (F.length(x) < 3) | low.isin("ok", "ok.", "yes", "no") | contains_any(low, X.CONTINUATIONS)
+        return out | (F.length(strip(F.regexp_replace(x, X.REFERENCES, ""))) < 8)
+
+    return let(F.struct(line.alias("x"), F.lower(line).alias("low")), lambda v: of(v["x"], v["low"]))
 
 
 def is_noise_fragment(line: Column) -> Column:
@@ -66,23 +65,34 @@ def is_meaningful(line: Column) -> Column:
 
 def category(line: Column, section: Column) -> Column:
     """First rule that holds; the section outranks the words."""
-    low, sec = F.lower(line), F.lower(F.coalesce(section, F.lit("")))
-    by_deprecation = F.when(low.rlike(X.EXPIRED_WORDS), "Expired Deprecations").otherwise("New Deprecations")
-    out = (
-        F.when(low.rlike(r"\bbreaking change\b"), "Breaking Changes")
-        .when(F.contains(sec, F.lit("expired deprecation")), "Expired Deprecations")
-        .when(F.contains(sec, F.lit("breaking changes")), "Breaking Changes")
-        .when(F.contains(sec, F.lit("deprecations")), by_deprecation)
-        .when(low.rlike(r"\bexpired deprecations?\b"), "Expired Deprecations")
-        .when(low.rlike(X.REMOVAL_WORDS), "Expired Deprecations")
-        .when(low.rlike(r"\bdeprecat"), by_deprecation)
-        .when(low.rlike(X.COMPATIBILITY_WORDS), F.when(low.rlike(X.BUILD_WORDS), "Build / Toolchain Changes").otherwise("Compatibility Changes"))
-        .when(low.rlike(X.DESCENDING_WORDS), "New Features")
-        .when(low.rlike(X.SPEED_WORDS), "Performance Improvements")
-    )
-    for name, words in X.CATEGORIES:
-        out = out.when(contains_any(low, words), name)
-    return out.otherwise(X.OTHER)
+
+    def of(low: Column, sec: Column) -> Column:
+        by_deprecation = F.when(low.rlike(X.EXPIRED_WORDS), "Expired Deprecations").otherwise("New Deprecations")
+        out = (
+            F.when(low.rlike(r"\bbreaking change\b"), "Breaking Changes")
+            .when(F.contains(sec, F.lit("expired deprecation")), "Expired Deprecations")
+            .when(F.contains(sec, F.lit("breaking changes")), "Breaking Changes")
+            .when(F.contains(sec, F.lit("deprecations")), by_deprecation)
+            .when(low.rlike(r"\bexpired deprecations?\b"), "Expired Deprecations")
+            .when(low.rlike(X.REMOVAL_WORDS), "Expired Deprecations")
+            .when(low.rlike(r"\bdeprecat"), by_deprecation)
+            .when(low.rlike(X.COMPATIBILITY_WORDS), F.when(low.rlike(X.BUILD_WORDS), "Build / Toolchain Changes").otherwise("Compatibility Changes"))
+            .when(low.rlike(X.DESCENDING_WORDS), "New Features")
+            .when(low.rlike(X.SPEED_WORDS), "Performance Improvements")
+        )
+        for name, words in X.CATEGORIES:
+            out = out.when(contains_any(low, words), name)
+        return out.otherwise(X.OTHER)
+
+    # both texts stand once, and the chain is one call in the generated code
+    return let(F.struct(F.lower(line).alias("low"), F.lower(F.coalesce(section, F.lit(""))).alias("sec")), lambda x: of(x["low"], x["sec"]))
+
+
+def strip_section(text: Column) -> Column:
+    """struct<text, section>: a trailing ' [Section: ...]' apart from the line; null where there is none."""
+    pattern = r"^(.*?)\s*\[Section:\s*(.+?)\]\s*$"
+    found = text.rlike(pattern)
+    return F.struct(strip(F.when(found, F.regexp_extract(text, pattern, 1)).otherwise(text)).alias("text"), F.when(found, strip(F.regexp_extract(text, pattern, 2))).alias("section"))
 
 
 def word_set(text: Column) -> Column:

@@ -23,14 +23,14 @@ def _lines(*lines: Column | str) -> Column:
     return F.filter(F.array(*(F.lit(x) if isinstance(x, str) else x for x in lines)), lambda x: x.isNotNull())
 
 
-def _section(rows: DataFrame, key: list[str], number: int | Column, title: str | Column, order: list, body: Column) -> DataFrame:
-    """key, section, ord, text: body (array<string>; {i} stands for the place) of each row in order; the heading stands before the first."""
+def _section(rows: DataFrame, key: list[str], number: int | Column, title: str | Column, order: list, body: Column, numbered: bool = False) -> DataFrame:
+    """key, section, ord, text: body (array<string>) of each row in order, maybe with its place before it; the heading stands before the first."""
     df = rows.withColumns({"section": F.lit(number) if isinstance(number, int) else number, "heading": F.lit(title) if isinstance(title, str) else title, "lines": body})
     w = Window.partitionBy(*key, "section").orderBy(*order)
     df = df.withColumn("ord", F.row_number().over(w).cast("long"))
-    text = F.array_join(F.transform("lines", lambda x: F.replace(x, F.lit("{i}"), F.col("ord").cast("string"))), "\n")
+    place = _join(F.col("ord").cast("string"), ". ") if numbered else F.lit("")
     head = F.when(F.col("ord") == 1, _join(f"{RULE}\n## ", F.col("heading"), "\n")).otherwise("")
-    return df.select(*key, F.col("section").cast("int").alias("section"), "ord", F.concat(head, text).alias("text"))
+    return df.select(*key, F.col("section").cast("int").alias("section"), "ord", F.concat(head, place, F.array_join("lines", "\n")).alias("text"))
 
 
 def _joined(parts: list[DataFrame], key: list[str]) -> DataFrame:
@@ -42,7 +42,7 @@ def _joined(parts: list[DataFrame], key: list[str]) -> DataFrame:
 def summary_report(requests: DataFrame, key: list[str], merged: DataFrame, changes: DataFrame, facts: DataFrame, discrepancies: DataFrame, statuses: DataFrame, scan: dict | None = None) -> DataFrame:
     """key, report: the risk-oriented report.
 
-    requests: key, package, current_version, target_version, bump. merged: key, category, version_ord, entry_ord, line. changes: of
+    requests: key, package, current_version, target_version, bump. merged: key, category, version_ord, entry_ord, line (with its section). changes: of
     build_changes, with the same orders. facts: key and overall_status, dropped, supported, counts, confidences, verdict.
     discrepancies: key, version_ord, version, first_source, first_text, second_source, second_text. statuses: key, version_ord, version,
     status. scan: root and files of the project that was scanned."""
@@ -60,7 +60,7 @@ def summary_report(requests: DataFrame, key: list[str], merged: DataFrame, chang
     source = F.when(F.coalesce("url", F.lit("")) != "", _join("   Source: ", c("url")))
     place = lambda h: _join("\n     File: ", h["path"], "\n     Line: ", h["line"].cast("string"), F.when(h["is_test"], " [test]").otherwise(" [production]"), F.when(F.coalesce(h["code"], F.lit("")) != "", _join("\n     Code: ", h["code"])).otherwise(""))
     three = F.slice(F.coalesce("hits", F.array()), 1, 3)
-    found = F.size(F.coalesce("hits", F.array())).cast("string")
+    found = F.coalesce("n_hits", F.lit(0)).cast("string")
     usage = (
         F.when(c("usage_status") == "NOT_SCANNED", "   Project Usage: NOT SCANNED")
         .when(c("usage_status") == "SCANNED_CONFIRMED", _join("   Project Usage: CONFIRMED (", found, " location(s))", F.array_join(F.transform(three, lambda h: _join(place(h), "\n     Detection: ", h["detection_method"])), "")))
@@ -68,7 +68,7 @@ def summary_report(requests: DataFrame, key: list[str], merged: DataFrame, chang
         .otherwise("   Project Usage: SCANNED - NOT FOUND")
     )
     old, new = (F.when(c(f"{w.lower()}_behavior").isNotNull(), _join(f"   {w} Behavior: ", c(f"{w.lower()}_behavior"))) for w in ("Old", "New"))
-    first, affected, sure, advice = _join("{i}. Change: ", c("title")), _join("   Affected API/Operation: ", subject), _join("   Confidence: ", c("extraction_confidence")), _join("   Recommendation: ", c("recommendation"))
+    first, affected, sure, advice = _join("Change: ", c("title")), _join("   Affected API/Operation: ", subject), _join("   Confidence: ", c("extraction_confidence")), _join("   Recommendation: ", c("recommendation"))
     impact = _join("   Impact: ", c("risk"))
     excerpt = _join('   Source Excerpt: "', T.strip(F.substring("source_excerpt", 1, 200)), '"')
     order = ["cat_ord", "version_ord", "entry_ord"]
@@ -79,12 +79,12 @@ def summary_report(requests: DataFrame, key: list[str], merged: DataFrame, chang
     body = (
         F.when(breaking, _lines(first, _join("   Type: ", c("change_type")), affected, old, new, _join("   Replacement: ", replacement), usage, sure, impact, advice, source, excerpt))
         .when(deprecated, _lines(first, affected, _join("   Replacement: ", replacement), sure, advice, source))
-        .when(secure, _lines(_join("{i}. ", c("title")), advice, source))
+        .when(secure, _lines(c("title"), advice, source))
         .otherwise(_lines(first, affected, old, new, sure, impact, advice, source))
     )
-    parts.append(_section(changes, key, number, title, order, body))
+    parts.append(_section(changes, key, number, title, order, body, numbered=True))
     listed = {"Build / Toolchain Changes": (4, "BUILD / TOOLCHAIN"), "New Features": (6, "NEW FEATURES"), "Performance Improvements": (7, "PERFORMANCE"), "Bug Fixes": (8, "BUG FIXES")}
-    rest = merged.where(c("category").isin(list(listed))).withColumn("line", T.strip(c("line")))
+    rest = merged.where(c("category").isin(list(listed))).withColumn("line", T.strip_section(c("line"))["text"])
     is_build = c("category") == "Build / Toolchain Changes"
     rest = rest.where(~((is_build | (c("category") == "New Features")) & T.is_noise_fragment(c("line"))))
     # titles of build changes are told apart by case-insensitive text, all others by their place

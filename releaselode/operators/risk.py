@@ -11,18 +11,18 @@ from .usage import usage_status
 
 
 def build_changes(merged: DataFrame, usage: DataFrame | None = None, line: str = "line") -> DataFrame:
-    """Rows of the seven risk categories with all derived fields.
+    """Rows of the seven risk categories with all derived fields. A section at the end of the line isn't part of them.
 
-    usage: api_or_attribute, is_attribute, rank (2 confirmed, 1 potential), hits; None where no project was scanned."""
+    usage: name, is_attribute, rank (2 confirmed, 1 potential), n_hits, hits (the first three); None where no project was scanned."""
     df = merged.where(F.col("category").isin(X.RISK_CATEGORIES)).withColumn("cat_ord", F.array_position(F.lit(X.RISK_CATEGORIES), F.col("category")).cast("int"))
-    df = df.withColumn("source_excerpt", T.strip(F.col(line))).withColumn("change_type", T.change_type(F.col("category"), F.col("source_excerpt")))
+    df = df.withColumn("source_excerpt", T.strip_section(F.col(line))["text"]).withColumn("change_type", T.change_type(F.col("category"), F.col("source_excerpt")))
     df = df.withColumn("subject", T.change_subject(F.col("source_excerpt")))
     df = df.withColumns({"affected_api": F.col("subject.api"), "affected_operation": F.col("subject.operation"), "replacement_api": F.col("subject.replacement"), "extraction_confidence": F.col("subject.confidence"), "attribute": F.col("subject.attribute")}).drop("subject")
     if usage is None:
-        df = df.withColumns({"rank": F.lit(None).cast("int"), "hits": F.lit(None).cast("array<struct<path:string,line:int,code:string,kind:string,detection_method:string,is_test:boolean>>")})
+        df = df.withColumns({"rank": F.lit(None).cast("int"), "n_hits": F.lit(None).cast("long"), "hits": F.lit(None).cast("array<struct<path:string,line:int,code:string,kind:string,detection_method:string,is_test:boolean>>")})
     else:
         df = df.withColumns({"_name": F.coalesce("affected_api", "attribute"), "_attr": F.col("affected_api").isNull()})
-        u = usage.select(F.col("name").alias("_name"), F.col("is_attribute").alias("_attr"), "rank", "hits")
+        u = usage.select(F.col("name").alias("_name"), F.col("is_attribute").alias("_attr"), "rank", "n_hits", "hits")
         df = df.join(u, ["_name", "_attr"], "left").drop("_name", "_attr")
     df = df.withColumn("usage_status", usage_status(F.col("rank"), F.lit(usage is not None)))
     df = df.withColumn("baseline_severity", T.severity(F.col("change_type")))
@@ -67,17 +67,21 @@ def confidence(versions: DataFrame, changes: DataFrame, key: list[str], scanned:
     return out.withColumn("overall", F.bround((F.col("retrieval") + F.col("identification") + F.col("project_scan")) / 3.0, 0).cast("int"))
 
 
-def affected_counts(changes: DataFrame, key: list[str]) -> DataFrame:
-    """confirmed_apis, potential_apis, production_files, test_files long: distinct names and files."""
+def affected_counts(changes: DataFrame, key: list[str], places: DataFrame | None = None) -> DataFrame:
+    """confirmed_apis, potential_apis, production_files, test_files long: distinct names and files.
+
+    places: name, is_attribute, path, is_test, once for each file that uses a name; None where no project was scanned."""
     name = F.coalesce("affected_api", "affected_operation")
     named = changes.groupBy(*key).agg(
         F.count_distinct(F.when(F.col("usage_status") == "SCANNED_CONFIRMED", name)).alias("confirmed_apis"),
         F.count_distinct(F.when(F.col("usage_status") == "SCANNED_POTENTIAL", name)).alias("potential_apis"),
     )
-    files = changes.select(*key, F.explode("hits").alias("h")).groupBy(*key).agg(
-        F.count_distinct(F.when(~F.col("h.is_test"), F.col("h.path"))).alias("production_files"), F.count_distinct(F.when(F.col("h.is_test"), F.col("h.path"))).alias("test_files")
-    )
-    return named.join(files, key, "left").fillna(0, ["production_files", "test_files"])
+    if places is None:
+        return named.withColumns({"production_files": F.lit(0).cast("long"), "test_files": F.lit(0).cast("long")})
+    asked = changes.select(*key, F.coalesce("affected_api", "attribute").alias("name"), F.col("affected_api").isNull().alias("is_attribute")).distinct()
+    files = asked.join(places, ["name", "is_attribute"]).select(*key, "path", "is_test").distinct()
+    counts = files.groupBy(*key).agg(F.count_if(~F.col("is_test")).alias("production_files"), F.count_if(F.col("is_test")).alias("test_files"))
+    return named.join(counts, key, "left").fillna(0, ["production_files", "test_files"])
 
 
 def python_support(texts: DataFrame, key: list[str], order: list[str], text: str = "text") -> DataFrame:

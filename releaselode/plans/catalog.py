@@ -168,17 +168,15 @@ def repo_normalize(spark, d):
     return table(spark, d, "pages").selectExpr("page_id", f"{_ADDRESS} as u").select("page_id", P.repository(F.col("u")).alias("repo"))
 
 
-@query("""select page_id, case when page_id % 5 = 0 then case when page_id % 2 = 0 then 'home/h' || page_id end when page_id % 3 = 0 then 'code/c' || page_id else 'docs/d' || page_id end as repo from pages""")
+@query("""select page_id, case when page_id % 5 = 0 then case when page_id % 2 = 0 then 'home/h' || page_id end when page_id % 3 = 0 then 'code/c' || page_id when page_id % 2 = 0 then 'home/h' || page_id else 'docs/d' || page_id end as repo from pages""")
 def repo_pick(spark, d):
     rows = table(spark, d, "pages").selectExpr(
         "page_id as package", "if(page_id % 2 = 0, 'https://github.com/home/h' || page_id, null) as home_page",
         "if(page_id % 5 = 0, cast(null as array<struct<key:string,url:string>>), array(struct('Docs' as key, 'https://github.com/docs/d' || page_id as url), struct(if(page_id % 3 = 0, 'my source code', 'x') as key, 'https://github.com/code/c' || page_id || '.git' as url))) as urls",
     )
-    return registry.pypi_repository(rows).where("true").withColumnRenamed("package", "page_id")
+    return registry.pypi_repository(rows).withColumnRenamed("package", "page_id")
 
 
-ORACLES["repo_pick"] = """select page_id, case when page_id % 5 = 0 then case when page_id % 2 = 0 then 'home/h' || page_id end when page_id % 3 = 0 then 'code/c' || page_id when page_id % 2 = 0 then 'home/h' || page_id else 'docs/d' || page_id end as repo from pages"""
-
 
 # ---- landed notes
 
@@ -537,10 +535,8 @@ _LABELLED = f"line || coalesce(' [Section: ' || {_SECTION} || ']  ', '')"
 
 @query(f"select l_orderkey, l_linenumber, line as text, {_SECTION} as section from d_note_line", "d_note_line")
 def strip_section(spark, d):
-    p = r"^(.*?)\s*\[Section:\s*(.+?)\]\s*$"
     df = view(spark, d, "d_note_line").selectExpr(*_ID, f"{_LABELLED} as t")
-    hit = F.col("t").rlike(p)
-    return df.select(*_ID, T.strip(F.when(hit, F.regexp_extract("t", p, 1)).otherwise(F.col("t"))).alias("text"), F.when(hit, T.strip(F.regexp_extract("t", p, 2))).alias("section"))
+    return df.select(*_ID, T.strip_section(F.col("t")).alias("s")).select(*_ID, "s.*")
 
 
 @query(f"with {_SRC} {O.SUBJECTS} z as (select 1) select l_orderkey, l_linenumber, {O.operation('sc')} as operation, attr as attribute from subj", "d_note_line")
@@ -668,12 +664,20 @@ u as (select api as uapi, case status_rank when 2 then 'SCANNED_CONFIRMED' when
 ch as (select kd.*, coalesce(u.ustatus, 'SCANNED_NOT_FOUND') as status, {O.pick('kind', X.SEVERITIES, 'LOW')} as severity from kd left join u on u.uapi = kd.api where category in ({", ".join(map(O.q, X.RISK_CATEGORIES))})), """
 
 
-def _changes(spark, d):
+def _changes(spark, d, scanned: bool = True):
     rows = view(spark, d, "d_note_line").withColumn("category", T.category(F.col("line"), F.lit(None).cast("string")))
+    if not scanned:
+        return risk.build_changes(rows)
+    p = _places(spark, d)
+    hit = F.struct("path", F.lit(1).alias("line"), F.lit("x").alias("code"), F.lit("k").alias("kind"), F.lit("m").alias("detection_method"), "is_test")
+    used = p.select("name", "is_attribute", "rank", F.lit(1).cast("long").alias("n_hits"), F.array(hit).alias("hits"))
+    none = view(spark, d, "d_usage").where("status_rank = 0").select(F.col("api").alias("name"), F.lit(False).alias("is_attribute"), F.col("status_rank").alias("rank"), F.lit(0).cast("long").alias("n_hits"), F.lit(None).cast(used.schema["hits"].dataType).alias("hits"))
+    return risk.build_changes(rows, used.union(none))
+
+
+def _places(spark, d):
     path = F.concat(F.lit("src/"), F.substring_index("api", ".", -1), F.lit(".py"))
-    hit = F.struct(path.alias("path"), F.lit(1).alias("line"), F.lit("x").alias("code"), F.lit("k").alias("kind"), F.lit("m").alias("detection_method"), (F.col("n_files") % 2 == 0).alias("is_test"))
-    used = view(spark, d, "d_usage").select(F.col("api").alias("name"), F.lit(False).alias("is_attribute"), F.col("status_rank").alias("rank"), F.when(F.col("status_rank") > 0, F.array(hit)).alias("hits"))
-    return risk.build_changes(rows, used)
+    return view(spark, d, "d_usage").where("status_rank > 0").select(F.col("api").alias("name"), F.lit(False).alias("is_attribute"), F.col("status_rank").alias("rank"), path.alias("path"), (F.col("n_files") % 2 == 0).alias("is_test"))
 
 
 @query("select s.severity, u.usage, " + O.risk("s.severity", "u.usage") + " as risk from (values ('HIGH'), ('MEDIUM'), ('LOW'), ('INFO')) s(severity), (values ('NOT_SCANNED'), ('SCANNED_CONFIRMED'), ('SCANNED_POTENTIAL'), ('SCANNED_NOT_FOUND')) u(usage)")
@@ -695,15 +699,26 @@ def overall_status(spark, d):
     return risk.overall_status(_changes(spark, d), ["package"], True)
 
 
+@query(f"with {_CHANGES} z as (select 1) select package, case when bool_or(severity = 'HIGH') then 'UNKNOWN' else 'LOW' end as overall_status from ch group by package", "d_note_line", "d_usage")
+def overall_status_unscanned(spark, d):
+    return risk.overall_status(_changes(spark, d, False), ["package"], False)
+
+
 @query(f"with {_CHANGES} st as ({_RESOLVED[_RESOLVED.index('(') + 1 : _RESOLVED.rindex('),') ]}), a as (select package, cast(round_even(100.0 * count(notes_text) / count(*), 0) as integer) as retrieval from st group by 1), b as (select package, cast(round_even(100.0 * count(*) filter (where severity <> 'INFO' and confidence <> 'LOW') / count(*) filter (where severity <> 'INFO'), 0) as integer) as identification from ch group by 1) select a.package, retrieval, coalesce(identification, 100) as identification, 100 as project_scan, cast(round_even((retrieval + coalesce(identification, 100) + 100) / 3.0, 0) as integer) as overall from a left join b on b.package = a.package", "d_note_line", "d_usage", "d_candidate")
 def confidence(spark, d):
     status = sources.resolve_source(view(spark, d, "d_candidate"), _NOTE_KEY).select("package", sources.note_status().alias("status"))
     return risk.confidence(status, _changes(spark, d), ["package"], True)
 
 
+@query(f"with {_CHANGES} st as ({_RESOLVED[_RESOLVED.index('(') + 1 : _RESOLVED.rindex('),') ]}), a as (select package, cast(round_even(100.0 * count(notes_text) / count(*), 0) as integer) as retrieval from st group by 1), b as (select package, cast(round_even(100.0 * count(*) filter (where severity <> 'INFO' and confidence <> 'LOW') / count(*) filter (where severity <> 'INFO'), 0) as integer) as identification from ch group by 1) select a.package, retrieval, coalesce(identification, 100) as identification, 0 as project_scan, cast(round_even((retrieval + coalesce(identification, 100) + 0) / 3.0, 0) as integer) as overall from a left join b on b.package = a.package", "d_note_line", "d_usage", "d_candidate")
+def confidence_unscanned(spark, d):
+    status = sources.resolve_source(view(spark, d, "d_candidate"), _NOTE_KEY).select("package", sources.note_status().alias("status"))
+    return risk.confidence(status, _changes(spark, d, False), ["package"], False)
+
+
 @query(f"with {_CHANGES} fx as (select api as fapi, 'src/' || split_part(api, '.', 2) || '.py' as path, n_files % 2 = 0 as is_test from d_usage where status_rank > 0) select package, count(distinct case when status = 'SCANNED_CONFIRMED' then coalesce(api, operation) end) as confirmed_apis, count(distinct case when status = 'SCANNED_POTENTIAL' then coalesce(api, operation) end) as potential_apis, count(distinct case when not is_test then path end) as production_files, count(distinct case when is_test then path end) as test_files from ch left join fx on fx.fapi = ch.api group by package", "d_note_line", "d_usage")
 def affected_counts(spark, d):
-    return risk.affected_counts(_changes(spark, d), ["package"])
+    return risk.affected_counts(_changes(spark, d), ["package"], _places(spark, d).drop("rank"))
 
 
 @query(f"""with {_CHANGES} o as (select package, {_STATUS} as st, list({O.title('api', 'operation', 'kind', 'category')} order by l_orderkey, l_linenumber) filter (where severity = 'HIGH' and status = 'SCANNED_CONFIRMED') as c, list({O.title('api', 'operation', 'kind', 'category')} order by l_orderkey, l_linenumber) filter (where severity = 'HIGH' and status = 'SCANNED_POTENTIAL') as p from ch group by package)
@@ -715,23 +730,31 @@ def verdict(spark, d):
     return rows.select("package", F.md5(risk.verdict(F.col("st"), F.col("c"), F.col("p"), True, F.lit(["3.7", "3.8"]))).alias("digest"))
 
 
+@query(f"""with {_CHANGES} o as (select package, bool_or(severity = 'HIGH' and l_orderkey % 3 = 0) as high from ch group by package)
+select package, md5(case when high then {O.q(chr(10).join(risk._VERDICTS["UNKNOWN"]))} else {O.q(chr(10).join(["✓ LOW RISK — NO DIRECT IMPACT DETECTED", "", "No breaking, removed, or security-relevant changes were identified.", "Environment and build requirements should still be verified."]))} end) as digest from o""", "d_note_line", "d_usage")
+def verdict_unscanned(spark, d):
+    none = F.array().cast("array<string>")
+    rows = _changes(spark, d, False).withColumn("baseline_severity", F.when(F.col("l_orderkey") % 3 == 0, F.col("baseline_severity")).otherwise("LOW")).groupBy("package").agg(risk.status_of(False).alias("st"))
+    return rows.select("package", F.md5(risk.verdict(F.col("st"), none, none, False, none)).alias("digest"))
+
+
 # ---- whole reports
 
 
 def _inputs(spark, d, scanned: bool) -> upgrade.Inputs:
     lines = view(spark, d, "d_note_line").groupBy("ecosystem", "package", "version").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "line"))), lambda x: F.concat(F.lit("- "), x["line"])), "\n").alias("notes_text"))
     found = lines.withColumns({"kind": F.lit("CHANGELOG"), "url": F.concat(F.lit("https://example.org/"), "version"), "unavailable": F.lit(False), "cross_text": F.when(F.length("version") % 2 == 0, F.lit("Something else entirely")), "discrepancy": F.length("version") % 2 == 0})
-    return upgrade.Inputs(view(spark, d, "d_request").where("current_version is not null and target_version is not null"), view(spark, d, "d_release"), found, _advisories(spark, d), registry.npm_deprecations(_npm_meta(spark, d)), view(spark, d, "d_code_file") if scanned else None)
+    return upgrade.Inputs(view(spark, d, "d_request"), view(spark, d, "d_release"), found, _advisories(spark, d), registry.npm_deprecations(_npm_meta(spark, d)), view(spark, d, "d_code_file") if scanned else None)
 
 
 @query()
 def report_summary(spark, d):
-    return upgrade.upgrade_reports(_inputs(spark, d, True)).select("package", "report")
+    return upgrade.upgrade_reports(_inputs(spark, d, True)).select("package", "status", "report")
 
 
 @query()
 def report_legacy(spark, d):
-    return upgrade.upgrade_reports(_inputs(spark, d, False), legacy=True).select("package", "report")
+    return upgrade.upgrade_reports(_inputs(spark, d, False), legacy=True).select("package", "status", "report")
 
 
 _REPORTS = "select cast(substr(package, 4) as bigint) as request_id, 'Package: ' || package || chr(10) || 'From: ' || current_version || chr(10) || 'To: ' || target_version as report from d_request where current_version is not null and target_version is not null"

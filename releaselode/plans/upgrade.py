@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed as X
+from ..functions import text as T
 from ..operators import notes as N
 from ..operators import report, risk, usage
 from ..operators.advisories import advisory_matches
-from ..operators.sources import note_status
-from ..operators.upgrades import upgrade_path
+from ..operators.sources import cross_check, note_status
+from ..operators.upgrades import releases, request_status, upgrade_path
 from ..session import stored
+from ..sources import notes as sources
 
 KEY = ["ecosystem", "package", "current_version", "target_version"]
 
@@ -55,26 +58,33 @@ def merged_lines(steps: DataFrame, i: Inputs, fold: str = "New Deprecations") ->
         more = steps.join(i.notices, ["package", "version"]).where("ecosystem = 'npm'")
         rows = rows.unionByName(more.select(*KEY, F.lit(fold).alias("category"), F.lit(1).alias("src_ord"), F.col("step").alias("version_ord"), F.lit(1).cast("long").alias("entry_ord"), "version", F.col("text").alias("line"), "url"))
     if i.advisories is not None:
+        # advisories keep the order of their list
         hits = advisory_matches(steps.select(*KEY, "version", "step"), i.advisories)
         line = F.concat(F.lit("["), F.upper("severity"), F.lit("] "), "summary")
-        rows = rows.unionByName(hits.select(*KEY, F.lit("Security Updates").alias("category"), F.lit(2).alias("src_ord"), F.col("step").alias("version_ord"), F.xxhash64("ghsa_id").alias("entry_ord"), "version", F.trim(line).alias("line"), F.col("advisory_url").alias("url")))
+        rows = rows.unionByName(hits.select(*KEY, F.lit("Security Updates").alias("category"), F.lit(2).alias("src_ord"), F.col("step").alias("version_ord"), F.col("advisory").cast("long").alias("entry_ord"), "version", F.trim(line).alias("line"), F.col("advisory_url").alias("url")))
     out = N.merged(rows, KEY, ["src_ord", "version_ord", "entry_ord"], "line")
     # later sources come after all notes of a category
     return out.withColumn("version_ord", F.col("src_ord") * 1_000_000 + F.col("version_ord")).drop("src_ord", "dedup_key")
 
 
-def usage_of(merged: DataFrame, files: DataFrame) -> DataFrame:
-    """name, is_attribute, rank, hits of all names in the lines. Each file is parsed once; hits of a name are its files' first calls."""
-    from ..functions import text as T
+def usage_of(merged: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of all names in the lines: (name, is_attribute, rank, n_hits, hits) with the first three hits, and (name, is_attribute, path, is_test) once for each file.
 
-    facts = usage.usage_facts(files)
-    names = merged.select(F.explode(T.api_names(F.col("line"))).alias("api")).distinct()
-    attributes = merged.select(T.attribute_name(F.col("line")).alias("attribute")).where("attribute is not null").distinct()
-    hit = F.struct("path", "line", "code", "kind", "detection_method", "is_test")
-    rank = F.max(F.when(F.col("kind") == "confirmed", 2).otherwise(1))
-    a = usage.api_usage(names, facts).groupBy("api").agg(rank.alias("rank"), F.array_sort(F.collect_list(hit)).alias("hits")).select(F.col("api").alias("name"), F.lit(False).alias("is_attribute"), "rank", "hits")
-    b = usage.attribute_usage(attributes, facts).groupBy("attribute").agg(rank.alias("rank"), F.array_sort(F.collect_list(hit)).alias("hits")).select(F.col("attribute").alias("name"), F.lit(True).alias("is_attribute"), "rank", "hits")
-    return a.union(b)
+    Each file is parsed once. However many hits a name has, a row holds three."""
+    facts = stored(usage.usage_facts(files), "usage-facts")
+    clean = merged.select(T.strip_section(F.col("line"))["text"].alias("line"))
+    names = clean.select(F.explode(T.api_names(F.col("line"))).alias("api")).distinct()
+    attributes = clean.select(T.attribute_name(F.col("line")).alias("attribute")).where("attribute is not null").distinct()
+    columns = ["name", "is_attribute", "path", "line", "code", "kind", "detection_method", "is_test"]
+    a = usage.api_usage(names, facts).withColumns({"name": F.col("api"), "is_attribute": F.lit(False)}).select(*columns)
+    b = usage.attribute_usage(attributes, facts).withColumns({"name": F.col("attribute"), "is_attribute": F.lit(True)}).select(*columns)
+    hits = stored(a.union(b), "usage-hits")
+    at = ["name", "is_attribute"]
+    counts = hits.groupBy(*at).agg(F.max(F.when(F.col("kind") == "confirmed", 2).otherwise(1)).alias("rank"), F.count("*").alias("n_hits"))
+    rest = [c for c in columns if c not in at]
+    top = hits.withColumn("rn", F.row_number().over(Window.partitionBy(*at).orderBy(*rest))).where("rn <= 3")
+    three = top.groupBy(*at).agg(F.array_sort(F.collect_list(F.struct(*rest))).alias("hits"))
+    return counts.join(three, at), hits.select(*at, "path", "is_test").distinct()
 
 
 def statuses(steps: DataFrame, i: Inputs) -> DataFrame:
@@ -91,13 +101,38 @@ def discrepancies(steps: DataFrame, i: Inputs) -> DataFrame:
     return got.select(*KEY, F.col("step").alias("version_ord"), "version", F.col("kind").alias("first_source"), F.col("notes_text").alias("first_text"), F.col("url").alias("first_url"), F.lit("GitHub Release Notes").alias("second_source"), F.col("cross_text").alias("second_text"), second_url.alias("second_url"))
 
 
+#: What a request without a report is told.
+MESSAGES = {
+    "current_not_found": "The current version is not among the releases of this package.",
+    "target_not_found": "The target version is not among the releases of this package.",
+    "not_newer": "The target version is not newer than the current version.",
+    "no_versions": "No release lies between the two versions; prereleases may have been left out.",
+    "unavailable": "The sources of every version in between were unavailable; try again later.",
+    "nothing_found": "No release notes, changelog or commits were found for any version in between.",
+}
+
+
 def upgrade_reports(i: Inputs, legacy: bool = False) -> DataFrame:
-    """KEY, report."""
+    """KEY, status, report: one row for each request. status: ok, or why there is no report; then report is a message."""
     steps = stored(upgrade_path(i.requests, i.releases, i.prereleases), "steps")
-    requests = i.requests.join(steps.select(*KEY).distinct(), KEY, "left_semi")
     lines = stored(merged_lines(steps, i, "Deprecations" if legacy else "New Deprecations"), "lines")
-    used = stored(usage_of(lines, i.files), "usage") if i.files is not None else None
-    status, differ = statuses(steps, i), discrepancies(steps, i)
+    status = stored(statuses(steps, i), "statuses")
+    seen = status.groupBy(*KEY).agg(F.bool_or(F.col("status") == "notes").alias("notes"), F.bool_and(F.col("status") == "unavailable").alias("all_unavailable"))
+    signals = lines.where("version_ord >= 1000000").select(*KEY).distinct().withColumn("signal", F.lit(True))
+    asked = request_status(i.requests.select(*KEY).distinct(), releases(i.releases)).select(*KEY, "status").join(seen, KEY, "left").join(signals, KEY, "left")
+    told = F.coalesce("notes", F.lit(False)) | F.coalesce("signal", F.lit(False))
+    why = F.when(F.col("status") != "ok", F.col("status")).when(F.col("notes").isNull(), "no_versions").when(~told & F.col("all_unavailable"), "unavailable").when(~told, "nothing_found").otherwise("ok")
+    asked = stored(asked.select(*KEY, why.alias("status")), "request-status")
+    made = _reports(i, asked.where("status = 'ok'").select(*KEY), steps, lines, status, legacy)
+    message = F.try_element_at(F.create_map(*(F.lit(x) for kv in MESSAGES.items() for x in kv)), F.col("status"))
+    return asked.join(made, KEY, "left").select(*KEY, "status", F.coalesce("report", message).alias("report"))
+
+
+def _reports(i: Inputs, requests: DataFrame, steps: DataFrame, lines: DataFrame, status: DataFrame, legacy: bool) -> DataFrame:
+    """KEY, report."""
+    steps, lines, status = (x.join(requests, KEY, "left_semi") for x in (steps, lines, status))
+    used, places = usage_of(lines, i.files) if i.files is not None else (None, None)
+    differ = discrepancies(steps, i)
     if legacy:
         signals = lines.where("version_ord >= 1000000").select(*KEY, "version").distinct().withColumn("other_signal", F.lit(True))
         status = status.join(signals, [*KEY, "version"], "left").fillna(False, ["other_signal"])
@@ -105,18 +140,40 @@ def upgrade_reports(i: Inputs, legacy: bool = False) -> DataFrame:
     changes = stored(risk.build_changes(lines, used), "changes")
     scanned = i.files is not None
     texts = steps.join(i.notes.where("notes_text is not null"), ["ecosystem", "package", "version"]).select(*KEY, "step", F.col("notes_text").alias("text"))
-    base = requests.select(*KEY)
     severe = lambda s: F.transform(F.array_sort(F.collect_list(F.when((F.col("baseline_severity") == "HIGH") & (F.col("usage_status") == s), F.struct("cat_ord", "version_ord", "entry_ord", "title")))), lambda x: x["title"])
     titles = changes.groupBy(*KEY).agg(severe("SCANNED_CONFIRMED").alias("confirmed"), severe("SCANNED_POTENTIAL").alias("potential"), risk.status_of(scanned).alias("overall_status"))
-    counts = risk.affected_counts(changes, KEY)
+    counts = risk.affected_counts(changes, KEY, places)
     sure = risk.confidence(status, changes, KEY, scanned)
     python = risk.python_support(texts, KEY, ["step"])
-    facts = base.join(titles, KEY, "left").join(counts, KEY, "left").join(sure, KEY, "left").join(python, KEY, "left").fillna("LOW", ["overall_status"]).fillna(0, ["confirmed_apis", "potential_apis", "production_files", "test_files"])
+    facts = requests.join(titles, KEY, "left").join(counts, KEY, "left").join(sure, KEY, "left").join(python, KEY, "left").fillna("LOW", ["overall_status"]).fillna(0, ["confirmed_apis", "potential_apis", "production_files", "test_files"])
     none = F.array().cast("array<string>")
     facts = facts.withColumns({c: F.coalesce(c, none) for c in ("confirmed", "potential", "dropped")})
     facts = facts.withColumn("verdict", risk.verdict(F.col("overall_status"), F.col("confirmed"), F.col("potential"), scanned, F.col("dropped")))
-    heads = requests.select(*KEY)
     bumps = steps.groupBy(*KEY).agg(F.max(F.array_position(F.lit(X.BUMPS), F.col("bump"))).alias("r")).select(*KEY, F.element_at(F.lit(X.BUMPS), F.col("r").cast("int")).alias("bump"))
     scan = {"root": i.scan_root, "files": usage.source_files(i.files).count()} if scanned else None
     facts = stored(facts, "facts")
-    return report.summary_report(heads.join(bumps, KEY), KEY, lines, changes, facts, differ, status, scan)
+    return report.summary_report(requests.join(bumps, KEY), KEY, lines, changes, facts, differ, status, scan)
+
+
+def resolved_notes(versions: DataFrame, adapters: DataFrame | None = None, posts: DataFrame | None = None, files: DataFrame | None = None, compares: DataFrame | None = None) -> DataFrame:
+    """Inputs.notes of versions (ecosystem, repo, package, version, previous) from landed sources, in their order of priority.
+
+    adapters, files: repo, branch, path, text. posts: repo, tag, body. compares: repo, old_tag, new_tag, messages. A version without
+    any is there with null text."""
+    at = ["ecosystem", "package", "version"]
+    plain = versions.select("repo", "package", "version").distinct()
+    found = []
+    for prio, (kind, landed, read) in enumerate((("known_adapter", adapters, sources.adapter_notes), ("github_release", posts, sources.release_notes), ("changelog", files, sources.changelog_notes), ("commits", compares, sources.commit_notes)), 1):
+        if landed is not None:
+            got = read(versions.select("repo", "package", "version", "previous") if kind == "commits" else plain, landed)
+            found.append(got.select("package", "version", F.lit(prio).alias("prio"), F.lit(kind).alias("kind"), F.col("text").alias("notes_text"), "source", "url"))
+    base = versions.select(*at)
+    if not found:
+        return base.withColumns({c: F.lit(None).cast("string") for c in ("kind", "notes_text", "url", "cross_text", "cross_url")} | {c: F.lit(False) for c in ("had_error", "unavailable", "discrepancy")})
+    rows = base.join(stored(reduce(DataFrame.unionByName, found), "candidates"), ["package", "version"], "left")
+    checked = cross_check(rows.withColumn("had_error", F.lit(False)), at)
+    link = rows.where("kind is not null").select(*at, "kind", "source", "url")
+    out = checked.join(link, [*at, "kind"], "left")
+    cross = link.where("kind = 'github_release'").select(*at, F.col("url").alias("cross_url"))
+    out = out.join(cross, at, "left").withColumn("cross_url", F.when(F.col("cross_text").isNotNull(), F.col("cross_url")))
+    return out.select(*at, F.col("source").alias("kind"), "notes_text", "url", "cross_text", "cross_url", "had_error", "unavailable", "discrepancy")
