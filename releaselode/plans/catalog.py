@@ -221,57 +221,51 @@ def src_commits(spark, d):
 _ADAPTER_ROWS = "d_adapter(adapter, template, mode) as (values " + ", ".join(f"({O.q(p)}, {O.q(t)}, {O.q(m)})" for p, _, t, m, _ in X.ADAPTERS) + ")"
 
 
-def _raw_files(spark, d, name: str = "d_raw_file"):
-    made = spark.createDataFrame([(p, t, m) for p, _, t, m, _ in X.ADAPTERS], "adapter string, template string, mode string")
-    made.createOrReplaceTempView("d_adapter")
-    return view(spark, d, name)
+def _landed(spark, d):
+    return view(spark, d, "d_landed_file", extra=_ADAPTER_ROWS)
 
 
-@query("select repo, branch, path, text from d_raw_file where regexp_matches(text, '[^\\s]')", "d_raw_file", extra=_ADAPTER_ROWS)
+@query("select repo, branch, path, version, text from d_landed_file where regexp_matches(text, '[^\\s]')", "d_landed_file", extra=_ADAPTER_ROWS)
 def src_raw_file(spark, d):
-    return landed.raw_files(_raw_files(spark, d)).select("repo", "branch", "path", "text")
+    return landed.raw_files(_landed(spark, d)).select("repo", "branch", "path", "version", "text")
 
 
 def _adapter(names: list[str], spark, d):
-    files = _raw_files(spark, d).where(F.col("repo").isin([f"org/{n}" for n in names]))
-    v = view(spark, d, "d_release").where("package = 'pkg07' and version not like '%c1' and version not like '%b2'").select("version").distinct()
-    asked = v.crossJoin(F.broadcast(spark.createDataFrame([(f"org/{n}", n.upper()) for n in names], "repo string, package string")))
-    # files of one path with several texts stand for one version each: the largest counts
-    one = files.groupBy("repo", "branch", "path").agg(F.max("text").alias("text"))
-    return landed.adapter_notes(asked, one)
+    """Notes of every version of every package by these adapters. A path without the version holds the sections or blocks of all its versions."""
+    v = view(spark, d, "d_release").select(F.col("package").alias("owner"), "version").distinct()
+    asked = v.select("version", "owner", F.explode(F.lit(names)).alias("name")).select(F.concat("owner", F.lit("/"), "name").alias("repo"), F.upper("name").alias("package"), "version")
+    parts = F.array_sort(F.collect_list(F.struct("version", "text")))
+    files = landed.raw_files(_landed(spark, d).where(F.substring_index("repo", "/", -1).isin(names)))
+    files = files.groupBy("repo", "branch", "path").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n\n").alias("text"))
+    return landed.adapter_notes(asked, files)
 
 
 def _adapter_sql(name: str, branches: list[str], mode: str, label: str) -> str:
-    path = {"file": "true"}.get(mode, "true")
-    wanted = f"replace(replace(replace(t.template, '{{v}}', v.version), '{{maj}}', split_part(v.version, '.', 1)), '{{min}}', split_part(v.version, '.', 2))"
-    text = {
-        "file": "f.text",
-        "section": f"case when regexp_matches({O.got('f.text', '(?m)^## (.*) [(]x[)]$')}, '(^|[^0-9])' || replace(v.version, '.', '[.]') || '([^0-9]|$)') then {O.got('f.text', '(- Added .*)')} end",
-        "directive": f"case when {O.got('f.text', ':version: ([0-9.]+)')} = v.version then 'Fixed ' || v.version end",
-    }[mode]
+    """Files are texts by version; of the texts of one path the first one, by version, that has the version's section or block counts."""
+    wanted = "replace(replace(replace(t.template, '{v}', v.version), '{maj}', split_part(v.version, '.', 1)), '{min}', split_part(v.version, '.', 2))"
     anchor = "|| '#' || replace(version, '.', '')" if name == "fastapi" else ""
-    return f"""with v as (select distinct version from d_release where package = 'pkg07' and version not like '%c1' and version not like '%b2'), t as (select * from d_adapter where adapter = {O.q(name)}),
-f as (select repo, branch, path, max(text) as text from d_raw_file where repo = 'org/{name}' group by 1, 2, 3 having {path}),
-h as (select f.repo, v.version, f.branch, f.path, {text} as text, list_position({branches}, f.branch) as i from v, t, f where f.path = {wanted} and regexp_matches(f.text, '[^\\s]'))
-select repo, {O.q(name.upper())} as package, version, {O.q(label)} as source, arg_min(text, i) as text, 'https://github.com/' || repo || '/blob/' || arg_min(branch, i) || '/' || arg_min(path, i) {anchor} as url from h where text is not null group by repo, version"""
+    found, text = {
+        "file": ("true", "string_agg(f.text, chr(10) || chr(10) order by f.version)"),
+        "section": ("regexp_matches(f.version, '(^|[^0-9])' || replace(v.version, '.', '[.]') || '([^0-9]|$)')", "'- Added ' || min(f.version)"),
+        # what follows the digits of a block's version is read as the start of its prose
+        "directive": ("regexp_extract(f.version, '^[0-9.]+') = v.version", "case when min(f.version) = v.version then '' else substr(min(f.version), len(v.version) + 1) || chr(10) || chr(10) || '    ' end || 'Fixed ' || min(f.version)"),
+    }[mode]
+    return f"""with v as (select distinct package as owner, version from d_release), t as (select * from d_adapter where adapter = {O.q(name)}),
+f as (select * from d_landed_file where split_part(repo, '/', 2) = {O.q(name)} and regexp_matches(text, '[^\\s]')),
+h as (select f.repo, v.version, f.branch, f.path, list_position({branches}, f.branch) as i, {text} as text from v, t, f where f.repo = v.owner || '/' || {O.q(name)} and f.path = {wanted} and {found} group by f.repo, v.version, f.branch, f.path)
+select repo, {O.q(name.upper())} as package, version, {O.q(label)} as source, arg_min(text, i) as text, 'https://github.com/' || repo || '/blob/' || arg_min(branch, i) || '/' || arg_min(path, i) {anchor} as url from h where i is not null group by repo, version"""
 
 
 for _name, _branches, _template, _mode, _label in X.ADAPTERS:
     _key = "adapter_" + {"scikit-learn": "sklearn_long"}.get(_name, _name)
     QUERIES[_key] = lambda spark, d, n=_name: _adapter([n], spark, d)
-    ORACLES[_key] = with_views(_adapter_sql(_name, _branches, _mode, _label), "d_raw_file", extra=_ADAPTER_ROWS)
+    ORACLES[_key] = with_views(_adapter_sql(_name, _branches, _mode, _label), "d_landed_file", extra=_ADAPTER_ROWS)
 
 
-# the queries above are of one package's releases, as their SQL is; this one asks every version of every package
+# all adapters at once, as a user asks
 @query()
 def adapter_whole(spark, d):
-    v = view(spark, d, "d_release").select(F.col("package").alias("owner"), "version").distinct()
-    names = F.broadcast(spark.createDataFrame([(n,) for n, *_ in X.ADAPTERS], "name string"))
-    asked = v.crossJoin(names).select(F.concat("owner", F.lit("/"), "name").alias("repo"), F.upper("name").alias("package"), "version")
-    # a path without the version holds the sections or blocks of all its versions
-    parts = F.array_sort(F.collect_list(F.struct("version", "text")))
-    files = landed.raw_files(_raw_files(spark, d, "d_landed_file")).groupBy("repo", "branch", "path").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n\n").alias("text"))
-    return landed.adapter_notes(asked, files)
+    return _adapter([n for n, *_ in X.ADAPTERS], spark, d)
 
 
 # ---- resolution
@@ -762,8 +756,7 @@ _REPORTS = "select cast(substr(package, 4) as bigint) as request_id, 'Package: '
 
 def _written(spark, d) -> str:
     path = scratch(spark, "reports")
-    view(spark, d, "d_request").createOrReplaceTempView("d_request")
-    sinks.write_reports(spark.sql(_REPORTS), path)
+    sinks.write_reports(view(spark, d, "d_request", _REPORTS), path)
     return path
 
 

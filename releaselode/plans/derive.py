@@ -39,7 +39,7 @@ select 'GHSA-' || lpad(cast(s_suppkey as string), 4, '0') as ghsa_id, case when
   else '>= 6.' || cast(s_nationkey % 12 + 1 as string) || '.0, < 8.1.0' end as vulnerable_range,
  case s_nationkey % 4 when 0 then 'low' when 1 then 'medium' when 2 then 'high' else 'critical' end as severity from supplier""",
     "d_candidate": """
-select r.ecosystem, r.package, r.version, k.prio, k.kind, case when (r.o_orderkey * 3 + k.prio * 5) % 4 = 0 then null else k.kind || ' text for ' || r.version end as notes_text,
+select r.ecosystem, r.package, r.version, k.prio, k.kind, case when (r.o_orderkey * 3 + k.prio * 5) % 4 = 0 then null when k.prio = 2 and r.o_orderkey % 3 = 0 then 'wholly unlike words here' else k.kind || ' text for ' || r.version end as notes_text,
  k.prio in (2, 4) and (r.o_orderkey * 3 + k.prio * 5) % 4 = 0 and r.o_orderkey % 11 = 0 as had_error
  from (select ecosystem, package, version, min(o_orderkey) as o_orderkey from d_release group by ecosystem, package, version) r
  cross join (select 1 as prio, 'known_adapter' as kind union all select 2, 'github_release' union all select 3, 'changelog' union all select 4, 'commits') k""",
@@ -49,15 +49,8 @@ select case p_size % 5 when 0 then '.venv/lib/' when 1 then 'tests/' when 2 then
   when 2 then '# np.' || replace(p_name, ' ', '_') else 'arr.shape = (1, 2)' end as content from part""",
     "d_usage": """
 select 'numpy.' || replace(p_name, ' ', '_') as api, max(case p_partkey % 4 when 0 then 2 when 1 then 1 else 0 end) as status_rank, count(*) as n_files from part where p_size % 3 = 0 group by 1""",
-    # a landed file for every adapter and version of a few packages: some blank, some under the second branch
-    "d_raw_file": """
-select 'org/' || a.adapter as repo, case when v.n % 3 = 0 then 'master' else 'main' end as branch,
- replace(replace(replace(a.template, '{v}', v.version), '{maj}', split_part(v.version, '.', 1)), '{min}', split_part(v.version, '.', 2)) as path,
- case when v.n % 5 = 0 then '   ' when a.mode = 'directive' then '.. changelog::' || chr(10) || '    :version: ' || v.version || chr(10) || '    :released: x' || chr(10) || '    .. change::' || chr(10) || '        :tags: bug' || chr(10) || '        Fixed ' || v.version
-  when a.mode = 'section' then '# Notes' || chr(10) || '## ' || v.version || ' (x)' || chr(10) || '- Added ' || v.version || chr(10) || '## 0.0.1' || chr(10) || '- old'
-  else 'Notes of ' || v.version end as text
- from d_adapter a cross join (select version, min(o_orderkey) as n from d_release where package = 'pkg07' and version not like '%c1' and version not like '%b2' group by version) v""",
-    # the same for every package and version, prereleases too: each package has a repository of its own for every adapter
+    # a landed text for every adapter, package and version, prereleases too: some blank, some under the second branch;
+    # each package has a repository of its own for every adapter
     "d_landed_file": """
 select v.package || '/' || a.adapter as repo, case when v.n % 3 = 0 then 'master' else 'main' end as branch,
  replace(replace(replace(a.template, '{v}', v.version), '{maj}', split_part(v.version, '.', 1)), '{min}', split_part(v.version, '.', 2)) as path, v.version,
@@ -67,7 +60,7 @@ select v.package || '/' || a.adapter as repo, case when v.n % 3 = 0 then 'master
  from d_adapter a cross join (select package, version, min(o_orderkey) as n from d_release group by package, version) v""",
 }
 #: Which views a view reads.
-NEEDS = {"d_request": ["d_release"], "d_note_line": ["d_release"], "d_changelog": ["d_release", "d_note_line"], "d_candidate": ["d_release"], "d_raw_file": ["d_release"], "d_landed_file": ["d_release"]}
+NEEDS = {"d_request": ["d_release"], "d_note_line": ["d_release"], "d_changelog": ["d_release", "d_note_line"], "d_candidate": ["d_release"], "d_landed_file": ["d_release"]}
 
 
 def needed(*names: str) -> list[str]:
@@ -80,13 +73,15 @@ def needed(*names: str) -> list[str]:
     return out
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One derived table; only its own inputs are read, and only their needed columns."""
+def view(spark: SparkSession, sf_dir: str, name: str, select: str | None = None, extra: str = "") -> DataFrame:
+    """One derived table, or a query over it; only its own inputs are read, and only their needed columns.
+
+    extra: further common table expressions that the views read. No view is registered in the session."""
     tables = [t for t in TABLES if any(f" {t}" in VIEWS[n] for n in needed(name))]
-    sql = ", ".join(f"{t} as (select * from parquet.`{sf_dir}/{t}.parquet`)" for t in tables)
-    for n in needed(name):
-        sql += f", {n} as ({VIEWS[n]})"
-    return spark.sql(f"with {sql.removeprefix(', ')} select * from {name}")
+    parts = [extra] if extra else []
+    parts += [f"{t} as (select * from parquet.`{sf_dir}/{t}.parquet`)" for t in tables]
+    parts += [f"{n} as ({VIEWS[n]})" for n in needed(name)]
+    return spark.sql(f"with {', '.join(parts)} {select or f'select * from {name}'}")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
