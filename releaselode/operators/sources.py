@@ -12,11 +12,11 @@ FOUND_TTL, MISSING_TTL = 30 * 86400, 86400
 
 
 def resolve_source(candidates: DataFrame, key: list[str]) -> DataFrame:
-    """key, kind, notes_text, had_error, unavailable: the first source in order of priority that has notes."""
+    """key, prio, kind, notes_text, had_error, unavailable: the first source in order of priority that has notes."""
     has = F.col("notes_text").isNotNull()
     best = F.min(F.when(has, F.struct("prio", "kind", "notes_text"))).alias("best")
     out = candidates.groupBy(*key).agg(best, F.bool_or(F.col("had_error") & F.col("kind").isin("github_release", "commits")).alias("had_error"))
-    return out.select(*key, F.col("best.kind").alias("kind"), F.col("best.notes_text").alias("notes_text"), "had_error", (F.col("best").isNull() & F.col("had_error")).alias("unavailable"))
+    return out.select(*key, F.col("best.prio").alias("prio"), F.col("best.kind").alias("kind"), F.col("best.notes_text").alias("notes_text"), "had_error", (F.col("best").isNull() & F.col("had_error")).alias("unavailable"))
 
 
 def cross_check(candidates: DataFrame, key: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
+_scratch: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -25,19 +27,31 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(_PACKAGE.rglob("*.py")):
             z.write(p, p.relative_to(_PACKAGE.parent))
     spark.sparkContext.addPyFile(name)
+    atexit.register(Path(name).unlink, missing_ok=True)
     _shipped.add(app)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is absent (tests, a single machine) a local folder is chosen and set."""
+    Only on a single machine, as in tests, a local folder is chosen and set where that setting is absent; a cluster needs it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = Path(tempfile.mkdtemp(prefix="checkpoints-")).as_uri()
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all scratch folders that this process has made. Results that were not written yet read from them."""
+    while _scratch:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.sources import cache_set, resolve_source
+from ..operators.sources import resolve_source
 
 KEY = ["ecosystem", "package", "version"]
 CANDIDATES = "ecosystem string, package string, version string, prio int, kind string, notes_text string, had_error boolean, landed_at timestamp"
@@ -25,19 +25,40 @@ def busy_packages(candidates: DataFrame, window: str = "1 hour", late: str = "10
     )
 
 
-def keep_cache(candidates: DataFrame, cache: str, checkpoint: str) -> StreamingQuery:
-    """Each batch resolves its versions and adds one generation of entries (found, notes, cached_at) to the cache; versions whose
-    sources were unavailable are left for a later batch. A batch that is repeated replaces its own generation."""
+def keep_cache(candidates: DataFrame, cache: str, checkpoint: str, compact_every: int = 16) -> StreamingQuery:
+    """Each batch resolves its versions and adds one generation of entries (prio, found, notes, cached_at) to the cache; versions whose
+    sources were unavailable are left for a later batch. A batch that is repeated replaces its own generation.
+
+    Entries keep the priority of their source, so what lands later replaces an entry only from a source of the same or a higher
+    priority. Every `compact_every` batches all generations are merged into one; those merged before that go."""
 
     def upsert(batch: DataFrame, number: int) -> None:
         at = batch.groupBy(*KEY).agg(F.max("landed_at").alias("cached_at"))
         out = resolve_source(batch, KEY).where("not unavailable").join(at, KEY)
-        rows = out.select(*KEY, F.lit("resolved").alias("source"), F.col("notes_text").isNotNull().alias("found"), F.col("notes_text").alias("notes"), "cached_at")
-        rows.write.mode("overwrite").parquet(f"{cache}/generation={number}")
+        rows = out.select(*KEY, F.lit("resolved").alias("source"), "prio", F.col("notes_text").isNotNull().alias("found"), F.col("notes_text").alias("notes"), "cached_at")
+        rows.write.mode("overwrite").parquet(f"{cache}/generation={2 * number}")
+        if number % compact_every == compact_every - 1:
+            # merged entries under the next number; a generation that was merged, but is still there, changes nothing
+            spark = batch.sparkSession
+            read_cache(spark, cache).write.mode("overwrite").parquet(f"{cache}/generation={2 * number + 1}")
+            _drop_before(spark, cache, 2 * (number - compact_every) + 1)
 
     return candidates.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _drop_before(spark: SparkSession, cache: str, number: int) -> None:
+    """Delete the generations up to the merged one before the last, so that readers of the last one aren't disturbed."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(cache)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for f in fs.listStatus(root):
+        name = f.getPath().getName()
+        if name.startswith("generation=") and int(name.split("=")[1]) < number:
+            fs.delete(f.getPath(), True)
+
+
 def read_cache(spark: SparkSession, cache: str) -> DataFrame:
-    """The latest entry of each key over all generations."""
-    return cache_set(spark.read.parquet(cache).drop("generation"), [*KEY, "source"])
+    """One entry of each key over all generations: one with notes before one without, then by priority, then the latest."""
+    rows = spark.read.parquet(cache).drop("generation")
+    best = F.struct((~F.col("found")).alias("o"), "prio", (-F.unix_micros("cached_at")).alias("t"), "found", "notes", "cached_at")
+    return rows.groupBy(*KEY, "source").agg(F.min(best).alias("b")).select(*KEY, "source", "b.prio", "b.found", "b.notes", "b.cached_at")

@@ -82,15 +82,15 @@ def test_cache(spark):
 
 
 FILES = {
-    "src/a.py": "import numpy as np\nnp.row_stack(x)\n",
-    "src/b.py": "from numpy import row_stack as rs\nrs(x)\n",
-    "src/c.py": "import numpy as np\nstack = np.row_stack\nstack(x)\n",
-    "src/d.py": "# np.row_stack(x)\ns = 'np.row_stack(x)'\n",
-    "tests/e.py": "from numpy import *\nrow_stack(x)\nvstack(y)\n",
-    "a/.venv/f.py": "import numpy as np\nnp.row_stack(x)\n",
+    "src/a.py": "import numpy as np\nnp.polydiv_old(x)\n",
+    "src/b.py": "from numpy import polydiv_old as rs\nrs(x)\n",
+    "src/c.py": "import numpy as np\nstack = np.polydiv_old\nstack(x)\n",
+    "src/d.py": "# np.polydiv_old(x)\ns = 'np.polydiv_old(x)'\n",
+    "tests/e.py": "from numpy import *\npolydiv_old(x)\npolydiv(y)\n",
+    "a/.venv/f.py": "import numpy as np\nnp.polydiv_old(x)\n",
     "src/g.py": "arr.shape = (1, 2)\narr.size += 1\n",
     "src/h.py": "def broken(:\n",
-    "src/i.ts": "np.row_stack(x)",
+    "src/i.ts": "np.polydiv_old(x)",
     "src/j.py": "import numpy\nnumpy.linalg.eig(x)\n",
 }
 
@@ -98,10 +98,10 @@ FILES = {
 def test_usage(spark):
     files = spark.createDataFrame(list(FILES.items()), "path string, content string")
     facts = usage.usage_facts(files)
-    apis = spark.createDataFrame([("numpy.row_stack",), ("numpy.vstack",), ("numpy.linalg.eig",), ("pandas.x",)], "api string")
+    apis = spark.createDataFrame([("numpy.polydiv_old",), ("numpy.polydiv",), ("numpy.linalg.eig",), ("pandas.x",)], "api string")
     hits = {(r.api, r.path): r for r in usage.api_usage(apis, facts).collect()}
-    assert {k: (r.kind, r.line, r.is_test) for k, r in hits.items()} == {("numpy.row_stack", f"src/{x}.py"): ("confirmed", n, False) for x, n in (("a", 2), ("b", 2), ("c", 3))} | {("numpy.vstack", "tests/e.py"): ("potential", 3, True)}
-    assert hits["numpy.row_stack", "src/a.py"].code == "np.row_stack(x)"
+    assert {k: (r.kind, r.line, r.is_test) for k, r in hits.items()} == {("numpy.polydiv_old", f"src/{x}.py"): ("confirmed", n, False) for x, n in (("a", 2), ("b", 2), ("c", 3))} | {("numpy.polydiv", "tests/e.py"): ("potential", 3, True)}
+    assert hits["numpy.polydiv_old", "src/a.py"].code == "np.polydiv_old(x)"
     attributes = spark.createDataFrame([("shape",), ("size",), ("dtype",)], "attribute string")
     assert sorted((r.attribute, r.path, r.line) for r in usage.attribute_usage(attributes, facts).collect()) == [("shape", "src/g.py", 1), ("size", "src/g.py", 2)]
     assert usage.scan_summary(files).first().files_scanned == 9
@@ -135,16 +135,16 @@ def test_directive_blocks(spark):
 def test_reports(spark, tmp_path):
     requests = spark.createDataFrame([("pypi", "p", "1.0", "1.2")], "ecosystem string, package string, current_version string, target_version string")
     releases = spark.createDataFrame([("pypi", "p", v) for v in ("1.0", "1.1", "1.2")], "ecosystem string, package string, version string")
-    text = "- numpy.row_stack has been removed in favor of numpy.vstack.\n- Fixed a crash in reader\n- Added support for arrays\nDrops support for Python 3.8 now"
+    text = "- numpy.polydiv_old has been removed in favor of numpy.polydiv.\n- Fixed a crash in reader\n- Added support for arrays\nDrops support for Python 3.8 now"
     notes = spark.createDataFrame([("pypi", "p", "1.1", "CHANGELOG", text, "http://u", False)], "ecosystem string, package string, version string, kind string, notes_text string, url string, unavailable boolean")
     files = spark.createDataFrame(list(FILES.items()), "path string, content string")
     report = upgrade.upgrade_reports(upgrade.Inputs(requests, releases, notes, files=files)).first().report
-    for part in ("Release Type: MINOR", "Overall Risk: CRITICAL", "⚠ Python 3.8 is no longer supported.", "1. Change: numpy.row_stack removed", "Project Usage: CONFIRMED (3 location(s))", "File: src/a.py", "Impact: CRITICAL", "Replace with numpy.vstack.", "## NEW FEATURES\n- Added support for arrays", "## BUG FIXES\n- Fixed a crash in reader", "⚠ 1.2: unverified", "UPGRADE BLOCKED"):
+    for part in ("Release Type: MINOR", "Overall Risk: CRITICAL", "⚠ Python 3.8 is no longer supported.", "1. Change: numpy.polydiv_old removed", "Project Usage: CONFIRMED (3 location(s))", "File: src/a.py", "Impact: CRITICAL", "Replace with numpy.polydiv.", "## NEW FEATURES\n- Added support for arrays", "## BUG FIXES\n- Fixed a crash in reader", "⚠ 1.2: unverified", "UPGRADE BLOCKED"):
         assert part in report, part
     unscanned = upgrade.upgrade_reports(upgrade.Inputs(requests, releases, notes)).first().report
     assert "Status: NOT SCANNED" in unscanned and "Impact: UNKNOWN" in unscanned and "CONDITIONAL" in unscanned and "(Capped by project scan" in unscanned
     legacy = upgrade.upgrade_reports(upgrade.Inputs(requests, releases, notes), legacy=True)
-    assert "[1.1 · MINOR] numpy.row_stack has been removed" in legacy.first().report and "1.2 [MINOR]  ⚠ Unverified" in legacy.first().report
+    assert "[1.1 · MINOR] numpy.polydiv_old has been removed" in legacy.first().report and "1.2 [MINOR]  ⚠ Unverified" in legacy.first().report
     sinks.write_reports(legacy.select(F.lit(7).alias("request_id"), "report"), str(tmp_path / "r"))
     sinks.write_reports(legacy.select(F.lit(8).alias("request_id"), F.lit("x").alias("report")), str(tmp_path / "r"))
     assert sinks.read_report(spark, str(tmp_path / "r"), 7).first().report == legacy.first().report and sinks.read_report(spark, str(tmp_path / "r"), 9).count() == 0
@@ -156,16 +156,20 @@ def test_stream_keeps_the_cache(spark, tmp_path):
         spark.createDataFrame(rows, stream.CANDIDATES).write.parquet(str(tmp_path / "in" / f"b{n}"))
 
     land(1, [("pypi", "p", "1", 2, "github_release", "first", False, at), ("pypi", "p", "2", 2, "github_release", None, True, at)])
-    run = lambda: stream.keep_cache(spark.readStream.schema(stream.CANDIDATES).option("recursiveFileLookup", True).parquet(str(tmp_path / "in")), str(tmp_path / "cache"), str(tmp_path / "ck")).awaitTermination()
+    run = lambda: stream.keep_cache(spark.readStream.schema(stream.CANDIDATES).option("recursiveFileLookup", True).parquet(str(tmp_path / "in")), str(tmp_path / "cache"), str(tmp_path / "ck"), compact_every=1).awaitTermination()
     run()
-    land(2, [("pypi", "p", "1", 2, "github_release", "second", False, at + dt.timedelta(days=1)), ("pypi", "p", "2", 4, "commits", "- c", False, at)])
+    land(2, [("pypi", "p", "1", 4, "commits", "- lower priority", False, at + dt.timedelta(days=3)), ("pypi", "p", "1", 2, "github_release", "second", False, at + dt.timedelta(days=1)), ("pypi", "p", "2", 4, "commits", "- c", False, at)])
     run()
     assert sorted((r.version, r.notes) for r in stream.read_cache(spark, str(tmp_path / "cache")).collect()) == [("1", "second"), ("2", "- c")]
+    land(3, [("pypi", "p", "1", 4, "commits", "- later, of lower priority", False, at + dt.timedelta(days=9)), ("pypi", "p", "2", 1, "known_adapter", "curated", False, at), ("pypi", "p", "3", 1, "known_adapter", None, False, at)])
+    run()
+    assert sorted((r.version, r.notes) for r in stream.read_cache(spark, str(tmp_path / "cache")).collect()) == [("1", "second"), ("2", "curated"), ("3", None)]
+    assert len(list((tmp_path / "cache").glob("generation=*"))) <= 4
     counted = stream.busy_packages(stream.landed(spark, str(tmp_path / "in" / "*")))
     q = counted.writeStream.format("memory").queryName("busy").outputMode("complete").start()
     q.processAllAvailable()
     q.stop()
-    assert spark.sql("select sum(candidates) as n from busy").first().n == 4
+    assert spark.sql("select sum(candidates) as n from busy").first().n == 8
 
 
 def test_read_files(spark, tmp_path):
