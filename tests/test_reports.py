@@ -5,16 +5,16 @@ from releaselode.plans import upgrade
 REQUESTS = [("npm", "grid", "1.0", "1.2"), ("npm", "grid", "0.1", "1.2"), ("npm", "grid", "1.2", "1.0"), ("npm", "grid", "1.0", "9"), ("npm", "grid", "1.2", "1.3rc1"), ("npm", "grid", "1.2", "2.0"), ("npm", "grid", "2.0", "2.1")]
 NOTES = {
     "1.1": """New Features
-============
+
 - Added support for {i} placeholders in titles
 - Added support for sparse masks
 
 Expired Deprecations
-====================
+
 - numpy.polydiv_old was removed in favor of numpy.polydiv. (gh-812)
 
 Bug Fixes
-=========
+
 - Solves a crash in tile
 """,
     "1.2": "- Solves a crash in tile\n- Setting the strides attribute is deprecated. As an alternative, np.moveaxis is there.\n- numpy.load behavior change. Previously, it kept the file open. Now, it closes the file.\n- Drops support for Python 3.8\n- Wheels require another msvc runtime",
@@ -110,13 +110,17 @@ Files scanned: 3
 ## SOURCE DISCREPANCIES
 ⚠ Sources disagree for 1.1:
   CHANGELOG (CHANGES.md): New Features
-============
+
 - Added support for {i} placeholders in titles
 - Added support for sparse masks
 
 Expired Deprecations
-====================
-- numpy.polydiv_old was removed in favor of numpy.p
+
+- numpy.polydiv_old was removed in favor of numpy.polydiv. (gh-812)
+
+Bug Fixes
+
+- S
   GitHub Release Notes: entirely other words
 ============================================================
 ## CODE SCAN SUMMARY
@@ -172,7 +176,8 @@ Security Updates
 
 Expired Deprecations
 --------------------
-[1.1 · MINOR] numpy.polydiv_old was removed in favor of numpy.polydiv. (gh-812)
+[1.1 · MINOR] numpy.polydiv_old was removed in favor of numpy.polydiv. (gh-812) [Section: Expired Deprecations]
+    Section: Expired Deprecations
     Source: http://n/1.1
 
 ============================================================
@@ -199,9 +204,11 @@ Build / Toolchain Changes
 
 New Features
 ------------
-[1.1 · MINOR] Added support for {i} placeholders in titles
+[1.1 · MINOR] Added support for {i} placeholders in titles [Section: New Features]
+    Section: New Features
     Source: http://n/1.1
-[1.1 · MINOR] Added support for sparse masks
+[1.1 · MINOR] Added support for sparse masks [Section: New Features]
+    Section: New Features
     Source: http://n/1.1
 
 ============================================================
@@ -239,8 +246,11 @@ Deprecations
 
 Other User-Impacting Changes
 ----------------------------
-[1.1 · MINOR] Solves a crash in tile
+[1.1 · MINOR] Solves a crash in tile [Section: Bug Fixes]
+    Section: Bug Fixes
     Source: http://n/1.1
+[1.2 · MINOR] Solves a crash in tile
+    Source: http://n/1.2
 [1.2 · MINOR] Drops support for Python 3.8
     Source: http://n/1.2
 
@@ -254,16 +264,16 @@ side by side rather than silently picking one:
 ⚠ Source discrepancy detected for 1.1:
   CHANGELOG (CHANGES.md):
     New Features
-============
+
 - Added support for {i} placeholders in titles
 - Added support for sparse masks
 
 Expired Deprecations
-====================
+
 - numpy.polydiv_old was removed in favor of numpy.polydiv. (gh-812)
 
 Bug Fixes
-=========
+
 - Solves a crash in tile
     Source: http://n/1.1
   GitHub Release Notes:
