@@ -1,22 +1,27 @@
 """Language-model scores: a gated recurrent network in numpy with a class-factored output softmax.
 
-log P(text) = sum over tokens of log P(class | state) + log P(token | class). The state is that of one GRU, fed with the
-classes of all tokens before; it is carried over the windows of a document from its start to its end. Classes come from
-the counts of all training tokens: a word belongs to the group (say, language) of training documents in which it is
-relatively most frequent and, by its count, to a bin of about equal mass; words seen once share a class with the one
-unknown type; the end of a text is a class of its own. P(token | class) is the count's share. So the model is a
-distribution over the known words, one unknown type and the end, as the add-one unigram base is.
+log P(text) = sum over tokens of log P(class | state) + log P(member | class, state) + log P(token | member). The state is that
+of one GRU, fed with the members of all tokens before; it is carried over the windows of a document from its start to its
+end. Both softmaxes are trained. Classes come from the counts of all training tokens: a word belongs to the group (say,
+language) of training documents in which it is relatively most frequent and, by its count, to a bin of about equal mass;
+words seen once share a class with the one unknown type; the end of a text is a class of its own. A class has sixteen
+members: four bins of its counts, each dealt by four hashes of the words. A frequent word is a member of its own or nearly so; a rare
+one has its share of the member's counts as P(token | member). So the model is a distribution over the known words, one
+unknown type and the end, as the add-one unigram base is.
 
 Order of work, all on tables in the shared folder:
 1. Chunks: texts as numbers of the chunk's distinct words, with 64-bit hashes of these and their training counts.
 2. Counts meet by range of hash, packed; each chunk gets back the counts and groups of its own words only. What meets
    grows with the distinct words of the chunks, not with tokens; a word in a third of all documents is one entry per chunk.
-3. Chunks become sequences of classes and sums per document.
-4. Training by truncated backpropagation: each partition trains on all of its training documents, in segments and windows;
-   the models are averaged by tokens in two levels. Scoring runs over whole documents.
+3. Chunks become sequences of members and sums per document.
+4. Training by truncated backpropagation, in segments and windows, in rounds. In a round each task goes on from the shared
+   parameters over its part of the chunks' training documents, chunk after chunk; then the models are averaged by tokens in two
+   levels and shared again. Rounds are as many as the doublings of the number of chunks, and each document is trained on in
+   one of them: more data trains longer, at a cost that grows with the data. Scoring runs over whole documents.
 
-Null or empty text: the end token alone. Repeated rows: each counts, each is scored. No training document: N = 0; every
-token is unknown. Null or rare groups share one group. Other columns are ignored."""
+Null or empty text: the end token alone. A very long text is scored window by window; its chunk holds it whole. Repeated rows: each counts, each is
+scored. Null keys: hashed as empty text, that is training documents. No training document: N = 0; every token is unknown.
+Null or rare groups share one group. Empty table: no row. Other columns are ignored."""
 
 from __future__ import annotations
 
@@ -37,7 +42,7 @@ from .common import map_arrow, slices, stored
 @dataclass(frozen=True)
 class GruParams:
     hidden: int = 16
-    bins: int = 7
+    bins: int = 5
     groups: int = 8
     window: int = 32
     segment: int = 512
@@ -48,8 +53,19 @@ class GruParams:
     range_words: int = 1_000_000
 
 
+#: Members of a class: bins of counts by hashes.
+FINE, HASHES = 4, 4
+MEMBERS = FINE * HASHES
+#: What stands for a null key.
+NO_KEY = -(1 << 63)
+
+
 def held_out(doc_id: int) -> bool:
-    return zlib.crc32(str(doc_id).encode()) % 7 == 2
+    return zlib.crc32(b"" if doc_id == NO_KEY else str(doc_id).encode()) % 7 == 2
+
+
+def hash_of(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(HASHES - 1)).astype(np.int64)
 
 
 # ---- 1: chunks
@@ -99,7 +115,7 @@ def chunks(docs: DataFrame, group: str | None, values: list[str], chunk_bytes: i
             yield close()
 
     g = docs[group].cast("string") if group else F.lit(None).cast("string")
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), g.alias("g"))
+    rows = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_KEY)).alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), g.alias("g"))
     return map_arrow(rows, run, "chunk long, doc_ids binary, sizes binary, places binary, hashes binary, counts binary")
 
 
@@ -116,7 +132,7 @@ BUCKETS = 16 * 48
 
 def counted(table: DataFrame, many: int, ranges: int, totals: list[float], parts: int) -> DataFrame:
     """chunk long, part int, block binary: counts (4 bytes) and groups (1) of a chunk's words in this range, in the order of
-    their hashes. chunk -1: types, mass and singletons by group and bucket of the count."""
+    their hashes. chunk -1: types and mass by group, bucket of the count and hash, and words seen once by hash."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -143,9 +159,11 @@ def counted(table: DataFrame, many: int, ranges: int, totals: list[float], parts
             which = np.empty(len(h), np.int64)
             which[order] = np.cumsum(head) - 1
             seen = n > 0
-            key = g[seen] * BUCKETS + bucket(n[seen])
-            stats = np.stack([np.bincount(key, minlength=many * BUCKETS), np.bincount(key, n[seen], minlength=many * BUCKETS).astype(np.int64)])
-            stats = np.append(stats.reshape(-1), (n == 1).sum()).astype("<i8")
+            part_of = hash_of(h[order][head])
+            key = (g[seen] * BUCKETS + bucket(n[seen])) * HASHES + part_of[seen]
+            size = many * BUCKETS * HASHES
+            stats = np.stack([np.bincount(key, minlength=size), np.bincount(key, n[seen], minlength=size).astype(np.int64)])
+            stats = np.append(stats.reshape(-1), np.bincount(part_of[n == 1], minlength=HASHES)).astype("<i8")
             at = np.cumsum([0, *sizes])
             out = [(k, part, n[w].astype("<u4").tobytes() + g[w].astype("u1").tobytes()) for (k, _), w in zip(held, (which[a:z] for a, z in zip(at, at[1:], strict=False)), strict=True)]
             out.append((-1, part, stats.tobytes()))
@@ -168,14 +186,13 @@ def counted(table: DataFrame, many: int, ranges: int, totals: list[float], parts
 
 @dataclass
 class Vocabulary:
-    """Class of a word by group and bucket of its count; masses."""
+    """Member of a word by group, bucket of its count and hash; masses."""
 
     tokens: int  # N, with the ends
     types: int  # V, with the end
     docs: int
-    singles: int
-    of: np.ndarray  # group x bucket -> class
-    mass: np.ndarray  # of each class; the last two are rare words and the end
+    of: np.ndarray  # group x bucket x hash -> member, that is class * MEMBERS and its place in the class
+    mass: np.ndarray  # class x MEMBERS; the last two classes are rare words and the end
 
     @property
     def classes(self) -> int:
@@ -183,33 +200,43 @@ class Vocabulary:
 
 
 def vocabulary(stats: np.ndarray, many: int, docs: int, bins: int) -> Vocabulary:
-    types, mass, singles = *stats[:-1].reshape(2, many, BUCKETS), int(stats[-1])
-    of, masses = np.zeros((many, BUCKETS), np.int64), []
+    (types, mass), singles = stats[:-HASHES].reshape(2, many, BUCKETS, HASHES), stats[-HASHES:]
+    place, masses = np.zeros((many, BUCKETS), np.int64), []
     for g in range(many):
-        m = mass[g].copy()
+        m = mass[g].sum(axis=1)
         m[0] = 0  # words seen once
         above = np.cumsum(m[::-1])[::-1] - m
-        k = np.minimum(above * bins // max(1, m.sum()), bins - 1)
-        used, number = np.unique(k[m > 0], return_inverse=True)
-        of[g, m > 0] = number + len(masses)
-        masses += np.bincount(number, m[m > 0], len(used)).tolist()
+        fine = np.minimum(above * bins * FINE // max(1, m.sum()), bins * FINE - 1)
+        used, number = np.unique(fine[m > 0] // FINE, return_inverse=True)
+        place[g, m > 0] = (number + len(masses)) * FINE + fine[m > 0] % FINE
+        for k in range(len(used)):
+            own = np.zeros((FINE, HASHES))
+            mine = m > 0
+            mine[mine] = number == k
+            np.add.at(own, fine[mine] % FINE, mass[g][mine])
+            masses.append(own.reshape(-1))
     rare = len(masses)
-    of[:, 0] = rare
-    n = int(mass.sum()) + docs
-    return Vocabulary(n, int(types.sum()) + (docs > 0), docs, singles, of, np.array([*masses, singles + 1, max(docs, 1)], np.float64))
+    place[:, 0] = rare * FINE
+    last = np.zeros((2, MEMBERS))
+    last[0, :HASHES] = singles
+    last[0, 0] += 1  # the unknown type stands among those of the first hash
+    last[1, 0] = max(docs, 1)
+    of = place[:, :, None] * HASHES + np.arange(HASHES)
+    return Vocabulary(int(mass.sum()) + docs, int(types.sum()) + (docs > 0), docs, of, np.array([*masses, *last]))
 
 
 # ---- 3: classes
 
 
 def classed(table: DataFrame, replies: DataFrame, v: Vocabulary, ranges: int) -> DataFrame:
-    """doc_ids, sizes, classes, known, base, within binary: per chunk; a class for each token with the end, sums per document."""
+    """doc_ids, sizes, members, known, base, within binary: per chunk; a member for each token with the end, sums per document."""
     got = replies.where("chunk >= 0").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("part", "block"))).alias("blocks"))
     rows = table.select("chunk", "doc_ids", "sizes", "places", "hashes").join(got, "chunk", "left")
     rows = rows.select("doc_ids", "sizes", "places", "hashes", F.coalesce(F.transform("blocks", lambda x: x["block"]), F.array().cast("array<binary>")).alias("blocks"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare, end = v.classes - 2, v.classes - 1
+        rare, end = (v.classes - 2) * MEMBERS, (v.classes - 1) * MEMBERS
+        mass = v.mass.reshape(-1)
         bottom = np.log10(v.tokens + v.types + 1)
         for b in batches:
             for i in range(b.num_rows):
@@ -220,28 +247,29 @@ def classed(table: DataFrame, replies: DataFrame, v: Vocabulary, ranges: int) ->
                 order = np.argsort(h)
                 c[order] = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(x, "<u4", len(x) // 5) for x in blocks)])
                 g[order] = np.concatenate([np.zeros(0, "u1"), *(np.frombuffer(x, "u1", len(x) // 5, len(x) // 5 * 4) for x in blocks)])
-                kind = np.where(c > 1, v.of[g, bucket(c)], rare)
-                inside = np.where(c > 1, np.log10(np.maximum(c, 1) / v.mass[kind]), -np.log10(v.mass[rare]))
+                kind = np.where(c > 0, v.of[g, bucket(c), hash_of(h)], rare)
+                inside = np.log10(np.maximum(c, 1) / np.maximum(mass[kind], 1))
                 stops = np.cumsum(sizes.astype(np.int64))
                 add = lambda x: np.add.reduceat(np.append(x, 0), stops - sizes) * (sizes > 0) if len(sizes) else x  # noqa: B023, E731
                 base = add(np.log10(c + 1.0)[places]) + np.log10(v.docs + 1.0) - bottom * (sizes + 1.0)
                 known = add((c > 0).astype(np.int64)[places]) + (v.docs > 0)
-                tokens = np.insert(kind[places], stops, end).astype("u1")
+                tokens = np.insert(kind[places], stops, end).astype("<u2")
                 out = (keys, sizes + 1, tokens, known.astype("<i8"), base.astype("<f8"), add(inside[places]).astype("<f8"))
-                yield pa.record_batch([pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in out], names=["doc_ids", "sizes", "classes", "known", "base", "within"])
+                yield pa.record_batch([pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in out], names=["doc_ids", "sizes", "members", "known", "base", "within"])
 
-    return map_arrow(rows, run, "doc_ids binary, sizes binary, classes binary, known binary, base binary, within binary")
+    return map_arrow(rows, run, "doc_ids binary, sizes binary, members binary, known binary, base binary, within binary")
 
 
 # ---- 4: the network
 
 
 class Gru:
-    """Parameters in one vector: input weights by class (and start), recurrent weights, output weights and bias."""
+    """Parameters in one vector: input weights by member (and start), recurrent weights, output weights and bias of classes, and of members."""
 
     def __init__(self, classes: int, hidden: int, flat: np.ndarray | None = None):
         self.c, self.h = classes, hidden
-        self.shapes = {"x": (classes + 1, 3 * hidden), "u": (hidden, 3 * hidden), "w": (hidden, classes), "b": (classes,)}
+        self.start_token = classes * MEMBERS
+        self.shapes = {"x": (classes * MEMBERS + 1, 3 * hidden), "u": (hidden, 3 * hidden), "w": (hidden, classes), "b": (classes,), "v": (classes, MEMBERS, hidden), "d": (classes, MEMBERS)}
         sizes = [int(np.prod(s)) for s in self.shapes.values()]
         self.flat = np.zeros(sum(sizes), np.float32) if flat is None else flat.astype(np.float32)
         at = np.cumsum([0, *sizes])
@@ -250,11 +278,17 @@ class Gru:
 
     @classmethod
     def start(cls, mass: np.ndarray, hidden: int, seed: int) -> Gru:
+        """mass: classes x MEMBERS, by whose shares the biases start. A member without mass has no probability."""
         net = cls(len(mass), hidden)
         rng = np.random.default_rng(seed)
-        for p, scale in ((net.x, 0.3), (net.u, 0.5 / hidden**0.5), (net.w, 0.1)):
+        # members of a class start near each other, so that rare ones have what their class has learned
+        kind = np.repeat(rng.normal(0, 0.3, (len(mass), 3 * hidden)), MEMBERS, axis=0)
+        net.x[:-1] = kind + rng.normal(0, 0.1, kind.shape)
+        for p, scale in ((net.x[-1], 0.3), (net.u, 0.5 / hidden**0.5), (net.w, 0.1), (net.v, 0.05)):
             p[:] = rng.normal(0, scale, p.shape)
-        net.b[:] = np.log(mass / mass.sum())
+        total = mass.sum(axis=1)
+        net.b[:] = np.log(total / total.sum())
+        net.d[:] = np.log(np.maximum(mass, 1e-30) / total[:, None])
         return net
 
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -271,15 +305,33 @@ class Gru:
         logits -= logits.max(axis=1, keepdims=True)
         return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
 
+    def inner(self, h: np.ndarray, members: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(class, rows, log P(member | class, state)) for each class that the members are of."""
+        kind = members // MEMBERS
+        order = np.argsort(kind.astype(np.uint8), kind="stable")
+        stop = np.cumsum(np.bincount(kind, minlength=self.c))
+        for c in np.flatnonzero(np.diff(stop, prepend=0)).tolist():
+            rows = order[stop[c - 1] if c else 0 : stop[c]]
+            logits = h[rows] @ self.v[c].T + self.d[c]
+            logits -= logits.max(axis=1, keepdims=True)
+            yield c, rows, logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+
+    def log_likelihood(self, h: np.ndarray, members: np.ndarray) -> np.ndarray:
+        """log P(member | state) of each row."""
+        out = self.log_probs(h)[np.arange(len(members)), members // MEMBERS].astype(np.float64)
+        for _, rows, logp in self.inner(h, members):
+            out[rows] += logp[np.arange(len(rows)), members[rows] % MEMBERS]
+        return out
+
     def score(self, sequences: list[np.ndarray], window: int = 32) -> np.ndarray:
-        """Natural log-likelihood of each whole sequence of classes; the state goes on from window to window."""
+        """Natural log-likelihood of each whole sequence of members; the state goes on from window to window."""
         sizes = np.array([len(s) for s in sequences], np.int64)
         order = np.argsort(-sizes, kind="stable")
         out = np.zeros(len(sequences))
         for a in range(0, len(order), 2048):
             part = order[a : a + 2048]
             n = sizes[part]
-            state, last = np.zeros((len(part), self.h), np.float32), np.full(len(part), self.c)
+            state, last = np.zeros((len(part), self.h), np.float32), np.full(len(part), self.start_token)
             flat = np.concatenate([sequences[i] for i in part]).astype(np.int64) if len(part) else np.zeros(0, np.int64)
             base = np.cumsum(n) - n
             for t in range(0, int(n.max(initial=0)), window):
@@ -295,8 +347,7 @@ class Gru:
                     states.append(new)
                     targets.append(y)
                     owners.append(m)
-                y = np.concatenate(targets)
-                got = self.log_probs(np.concatenate(states))[np.arange(len(y)), y].astype(np.float64)
+                got = self.log_likelihood(np.concatenate(states), np.concatenate(targets))
                 at = np.cumsum([0, *owners])
                 for s, z, m in zip(at, at[1:], owners, strict=False):
                     out[part[:m]] += got[s:z]
@@ -314,17 +365,31 @@ class Gru:
             gates.append(g)
         hs = np.stack(kept)
         flat, target = hs[1:].reshape(-1, k), y.reshape(-1)
-        logp = self.log_probs(flat)
-        ok = target >= 0
-        rows = np.flatnonzero(ok)
-        loss = -float(logp[rows, target[rows]].sum())
+        ok = np.flatnonzero(target >= 0)
+        out, member = flat[ok], target[ok]
+        kind, share = member // MEMBERS, np.float32(1 / max(1, len(ok)))
+        logp = self.log_probs(out)
+        every = np.arange(len(ok))
+        loss = -float(logp[every, kind].sum())
         d = np.exp(logp)
-        d[rows, target[rows]] -= 1
-        d *= (ok / max(1, len(rows)))[:, None].astype(np.float32)
+        d[every, kind] -= 1
+        d *= share
         grad = Gru(self.c, k)
-        grad.w[:] = flat.T @ d
+        grad.w[:] = out.T @ d
         grad.b[:] = d.sum(axis=0)
-        dh_out = (d @ self.w.T).reshape(steps, streams, k)
+        back = d @ self.w.T
+        for c, rows, logq in self.inner(out, member):
+            at, one = np.arange(len(rows)), member[rows] % MEMBERS
+            loss -= float(logq[at, one].sum())
+            e = np.exp(logq)
+            e[at, one] -= 1
+            e *= share
+            grad.v[c] = e.T @ out[rows]
+            grad.d[c] = e.sum(axis=0)
+            back[rows] += e @ self.v[c]
+        dh_out = np.zeros((len(flat), k), np.float32)
+        dh_out[ok] = back
+        dh_out = dh_out.reshape(steps, streams, k)
         dx, du = np.empty((steps, streams, 3 * k), np.float32), np.empty((steps, streams, 3 * k), np.float32)
         after = np.zeros((streams, k), np.float32)
         ut = np.ascontiguousarray(self.u.T)
@@ -345,11 +410,11 @@ class Gru:
         grad.x[seen[order][heads]] = np.add.reduceat(dx.reshape(-1, 3 * k)[order], heads, axis=0)
         return grad.flat, hs[-1], loss
 
-    def train(self, sequences: list[np.ndarray], p: GruParams) -> int:
-        """One pass of Adam over all sequences; the number of their tokens."""
+    def train(self, sequences: list[np.ndarray], p: GruParams, speed: float = 1.0) -> int:
+        """One pass of Adam over all sequences, at `speed` of the learning rate; the number of their tokens."""
         pieces = []
         for s in sequences:
-            whole = np.concatenate([[self.c], s]).astype(np.int64)
+            whole = np.concatenate([[self.start_token], s]).astype(np.int64)
             pieces += [whole[a : a + p.segment + 1] for a in range(0, len(whole) - 1, p.segment)]
         rng = np.random.default_rng(p.seed)
         by_size = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))
@@ -367,39 +432,27 @@ class Gru:
                 live = int(np.searchsorted(-n, -t, side="left"))
                 stop = min(t + p.window, int(n[0]))
                 x = grid[t:stop, :live]
-                grad, h, _ = self.gradient(np.where(x < 0, self.c, x), grid[t + 1 : stop + 1, :live], h[:live])
+                grad, h, _ = self.gradient(np.where(x < 0, self.start_token, x), grid[t + 1 : stop + 1, :live], h[:live])
                 size = float(np.sqrt((grad * grad).sum()))
                 if size > 1:
                     grad *= 1 / size
                 turn += 1
                 m += 0.1 * (grad - m)
                 v += 0.01 * (grad * grad - v)
-                rate = p.rate * min(1, turn / 10) * max(0.05, 1 - turn / (total + 1))
+                rate = p.rate * speed * min(1, turn / 10) * max(0.05, 1 - turn / (total + 1))
                 self.flat -= rate * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.99**turn)) + 1e-8)
         return sum(len(s) for s in sequences)
 
 
-def _sequences(doc_ids: bytes, sizes: bytes, classes: bytes) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    keys, n, flat = np.frombuffer(doc_ids, "<i8"), np.frombuffer(sizes, "<i4"), np.frombuffer(classes, "u1")
+def _sequences(doc_ids: bytes, sizes: bytes, members: bytes) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    keys, n, flat = np.frombuffer(doc_ids, "<i8"), np.frombuffer(sizes, "<i4"), np.frombuffer(members, "<u2")
     return keys, n, np.split(flat, np.cumsum(n)[:-1]) if len(n) else []
 
 
-def trained(table: DataFrame, v: Vocabulary, p: GruParams) -> np.ndarray:
+def trained(table: DataFrame, v: Vocabulary, p: GruParams, chunks: int) -> np.ndarray:
+    """The parameters after all rounds; what reaches the driver is one model for each of at most 16 tasks a round."""
     first = Gru.start(v.mass, p.hidden, p.seed).flat
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, weight = np.zeros(len(first)), 0.0
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                keys, _, seqs = _sequences(*row)
-                seqs = [s for k, s in zip(keys.tolist(), seqs, strict=True) if not held_out(k)]
-                if seqs:
-                    net = Gru(v.classes, p.hidden, first.copy())
-                    n = net.train(seqs, p)
-                    total += n * net.flat.astype(np.float64)
-                    weight += n
-        if weight:
-            yield pa.record_batch([pa.array([total.tobytes()], pa.binary()), pa.array([weight])], names=["total", "weight"])
+    rounds = max(1, chunks.bit_length())
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, weight = np.zeros(len(first)), 0.0
@@ -409,10 +462,27 @@ def trained(table: DataFrame, v: Vocabulary, p: GruParams) -> np.ndarray:
         if weight:
             yield pa.record_batch([pa.array([total.tobytes()], pa.binary()), pa.array([weight])], names=["total", "weight"])
 
-    models = map_arrow(table.select("doc_ids", "sizes", "classes"), run, "total binary, weight double")
-    rows = map_arrow(models.repartition(16), add, "total binary, weight double").collect()
-    weight = sum(r["weight"] for r in rows)
-    return (sum(np.frombuffer(r["total"]) for r in rows) / weight).astype(np.float32) if weight else first
+    shared = first
+    for turn in range(rounds):
+        before = shared
+
+        def run(batches: Iterator[pa.RecordBatch], before: np.ndarray = before, turn: int = turn) -> Iterator[pa.RecordBatch]:
+            net, weight = Gru(v.classes, p.hidden, before.copy()), 0.0
+            for b in batches:
+                for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    keys, _, seqs = _sequences(*row)
+                    mine = [s for i, (k, s) in enumerate(zip(keys.tolist(), seqs, strict=True)) if i % rounds == turn and not held_out(k)]
+                    if mine:
+                        weight += net.train(mine, p, 1 / (1 + turn))
+            if weight:
+                yield pa.record_batch([pa.array([(weight * net.flat.astype(np.float64)).tobytes()], pa.binary()), pa.array([weight])], names=["total", "weight"])
+
+        models = map_arrow(table.select("doc_ids", "sizes", "members"), run, "total binary, weight double")
+        rows = map_arrow(models.repartition(16), add, "total binary, weight double").collect()
+        weight = sum(r["weight"] for r in rows)
+        if weight:
+            shared = (sum(np.frombuffer(r["total"]) for r in rows) / weight).astype(np.float32)
+    return shared
 
 
 def document_scores(docs: DataFrame, group: str | None = "lang", params: GruParams = GruParams()) -> DataFrame:
@@ -435,10 +505,10 @@ def document_scores(docs: DataFrame, group: str | None = "lang", params: GruPara
     totals = [float(total[f"g{i}"] or 0) for i in range(many)]
     ranges = max(1, -(-(total["words"] or 0) // p.range_words))
     replies = stored(counted(table, many, ranges, totals, parts), "word-counts")
-    stats = np.zeros(2 * many * BUCKETS + 1, np.int64)
+    stats = np.zeros(2 * many * BUCKETS * HASHES + HASHES, np.int64)
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(2 * many * BUCKETS + 1, np.int64)
+        out = np.zeros(2 * many * BUCKETS * HASHES + HASHES, np.int64)
         for b in batches:
             for x in b.column(0).to_pylist():
                 out += np.frombuffer(x, "<i8")
@@ -447,17 +517,17 @@ def document_scores(docs: DataFrame, group: str | None = "lang", params: GruPara
     for r in map_arrow(replies.where("chunk = -1").select("block").repartition(8), added, "block binary").collect():
         stats += np.frombuffer(r["block"], "<i8")
     v = vocabulary(stats, many, total["docs"] or 0, p.bins)
-    sequences = stored(classed(table, replies, v, ranges), "classes")
-    flat = trained(sequences, v, p)
+    sequences = stored(classed(table, replies, v, ranges), "members")
+    flat = trained(sequences, v, p, table.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Gru(v.classes, p.hidden, flat)
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         for b in batches:
-            for ids, sizes, classes, known, base, within in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                keys, n, seqs = _sequences(ids, sizes, classes)
+            for ids, sizes, members, known, base, within in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                keys, n, seqs = _sequences(ids, sizes, members)
                 score = net.score(seqs, p.window) / np.log(10) + np.frombuffer(within, "<f8")
-                cols = [pa.array(keys), pa.array([held_out(k) for k in keys.tolist()]), pa.array(n.astype(np.int64)), pa.array(np.frombuffer(known, "<i8")), pa.array(np.full(len(n), v.tokens, np.int64)), pa.array(np.frombuffer(base, "<f8")), pa.array(score)]
+                cols = [pa.array(keys, mask=keys == NO_KEY), pa.array([held_out(k) for k in keys.tolist()]), pa.array(n.astype(np.int64)), pa.array(np.frombuffer(known, "<i8")), pa.array(np.full(len(n), v.tokens, np.int64)), pa.array(np.frombuffer(base, "<f8")), pa.array(score)]
                 yield pa.record_batch(cols, names=names)
 
     return map_arrow(sequences, run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -48,32 +48,66 @@ def test_base_and_gain(spark):
     assert len(one) == 2 and one[0] == one[1]
 
 
-def test_classes_are_a_distribution():
-    stats = np.zeros((2, 3, gru.BUCKETS), np.int64)
+def test_members_are_a_distribution():
+    stats = np.zeros((2, 3, gru.BUCKETS, gru.HASHES), np.int64)
     counts = {0: [9, 5, 5, 2, 1, 1], 1: [100, 1], 2: []}
+    singles = np.zeros(gru.HASHES, np.int64)
     for g, cs in counts.items():
-        for c in cs:
-            stats[0, g, gru.bucket(np.array(c))] += 1
-            stats[1, g, gru.bucket(np.array(c))] += c
-    v = gru.vocabulary(np.append(stats.reshape(-1), 3), 3, 4, 3)
+        for i, c in enumerate(cs):
+            stats[0, g, gru.bucket(np.array(c)), i % gru.HASHES] += 1
+            stats[1, g, gru.bucket(np.array(c)), i % gru.HASHES] += c
+            singles[i % gru.HASHES] += c == 1
+    v = gru.vocabulary(np.append(stats.reshape(-1), singles), 3, 4, 3)
     assert (v.tokens, v.types) == (9 + 5 + 5 + 2 + 1 + 1 + 101 + 4, 9)
+    mass = v.mass.reshape(-1)
     inside = Counter()
     for g, cs in counts.items():
-        for c in cs:
-            k = v.of[g, gru.bucket(np.array(c))]
-            inside[int(k)] += c / v.mass[k] if c > 1 else 1 / v.mass[v.classes - 2]
-    inside[v.classes - 2] += 1 / v.mass[v.classes - 2]  # the unknown type
-    assert all(x == pytest.approx(1) for x in inside.values()) and set(inside) == set(range(v.classes - 1))
+        for i, c in enumerate(cs):
+            k = int(v.of[g, gru.bucket(np.array(c)), i % gru.HASHES])
+            inside[k] += c / mass[k]
+    rare = (v.classes - 2) * gru.MEMBERS
+    inside[rare] += 1 / mass[rare]  # the unknown type
+    assert all(x == pytest.approx(1) for x in inside.values())
+    assert set(inside) == set(np.flatnonzero(mass[: -gru.MEMBERS]).tolist())
+
+
+def test_probabilities_sum_to_one():
+    rng = np.random.default_rng(2)
+    mass = rng.integers(0, 9, (5, gru.MEMBERS)) + (np.arange(gru.MEMBERS) == 0)
+    net = gru.Gru.start(mass, 4, 1)
+    h = np.repeat(rng.normal(size=(3, 4)).astype(np.float32), 5 * gru.MEMBERS, axis=0)
+    p = np.exp(net.log_likelihood(h, np.tile(np.arange(5 * gru.MEMBERS), 3))).reshape(3, -1)
+    assert p.sum(axis=1) == pytest.approx([1, 1, 1], rel=1e-5) and p[:, mass.reshape(-1) == 0].max() < 1e-20
+
+
+def by_hand(net, sequence):
+    """log P of a sequence of members in plain loops and 64-bit numbers."""
+    sig = lambda a: 1 / (1 + math.exp(-a))
+    k, h, last, total = net.h, [0.0] * net.h, net.start_token, 0.0
+    x, u, w, b, v, d = (getattr(net, n).astype(float) for n in ("x", "u", "w", "b", "v", "d"))
+    for m in sequence:
+        gh = [sum(h[i] * u[i, j] for i in range(k)) for j in range(3 * k)]
+        z = [sig(x[last, j] + gh[j]) for j in range(k)]
+        r = [sig(x[last, k + j] + gh[k + j]) for j in range(k)]
+        n = [math.tanh(x[last, 2 * k + j] + r[j] * gh[2 * k + j]) for j in range(k)]
+        h = [(1 - z[j]) * n[j] + z[j] * h[j] for j in range(k)]
+        c, i = divmod(int(m), gru.MEMBERS)
+        outer = [b[q] + sum(h[j] * w[j, q] for j in range(k)) for q in range(net.c)]
+        inner = [d[c, q] + sum(h[j] * v[c, q, j] for j in range(k)) for q in range(gru.MEMBERS)]
+        total += outer[c] - math.log(sum(map(math.exp, outer))) + inner[i] - math.log(sum(map(math.exp, inner)))
+        last = int(m)
+    return total
 
 
 def test_gradient_by_differences():
     rng = np.random.default_rng(0)
-    net = gru.Gru.start(np.ones(5), 4, 1)
-    x, y = rng.integers(0, 6, (6, 3)), rng.integers(-1, 5, (6, 3))
+    net = gru.Gru.start(np.ones((5, gru.MEMBERS)), 4, 1)
+    top = 5 * gru.MEMBERS
+    x, y = rng.integers(0, top + 1, (6, 3)), rng.integers(-1, top, (6, 3))
     h = rng.normal(size=(3, 4)).astype(np.float32)
     grad, *_ = net.gradient(x, y, h)
     count = (y >= 0).sum()
-    for i in rng.choice(len(net.flat), 40, replace=False):
+    for i in rng.permutation(np.concatenate([np.flatnonzero(grad)[::9], rng.choice(len(net.flat), 20)])):
         old, loss = net.flat[i], []
         for e in (1e-2, -1e-2):
             net.flat[i] = old + e
@@ -82,17 +116,17 @@ def test_gradient_by_differences():
         assert grad[i] == pytest.approx((loss[0] - loss[1]) / 2e-2, abs=2e-3)
 
 
-def test_score_carries_state_over_windows():
+def test_score_by_hand_over_windows():
     rng = np.random.default_rng(1)
-    net = gru.Gru.start(np.ones(5), 4, 1)
-    seqs = [rng.integers(0, 5, n) for n in (1, 7, 90, 33, 90)]
-    want = []
-    for s in seqs:
-        h, last, total = np.zeros((1, 4), np.float32), np.array([5]), 0.0
-        for c in s:
-            h = net.step(last, h)[0]
-            total += float(net.log_probs(h)[0, c])
-            last = np.array([c])
-        want.append(total)
+    net = gru.Gru.start(rng.integers(1, 9, (5, gru.MEMBERS)), 4, 1)
+    seqs = [rng.integers(0, 5 * gru.MEMBERS, n) for n in (1, 7, 90, 33, 90)]
+    want = [by_hand(net, s) for s in seqs]
     for window in (4, 32):
         assert net.score(seqs, window) == pytest.approx(want, rel=1e-4)
+
+
+def test_null_keys(spark):
+    rows = gru.document_scores(documents(spark, [(None, "a b"), (3, "a b"), (None, None)])).collect()
+    assert not gru.held_out(3)
+    assert sorted((r.doc_id is None, r.held_out, r.n_tokens) for r in rows) == [(False, False, 3), (True, False, 1), (True, False, 3)]
+    assert {r.train_tokens for r in rows} == {7}
