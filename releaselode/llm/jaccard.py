@@ -18,9 +18,10 @@ Order of work, with what bounds each step:
 4. Components by label propagation with pointer jumping on stored tables; nothing about documents reaches the driver
    but counts.
 
-Null, empty or blank text: an empty set, linked with nothing. Fewer words than `width`: the sequence is the one shingle.
-Rows that repeat a key, with equal or different texts: linked as any copies. Ties in frequency are broken by hash. Other
-columns are ignored."""
+Null, empty or blank text: an empty set, linked with nothing. Fewer words than `width`: the sequence is the one shingle. A very long
+text is one set of 8 bytes a shingle in the task that cuts it. Rows that repeat a key, with equal or different texts: linked as
+any copies. Null keys: linked likewise; component_id is null where all keys of a component are. Ties in frequency are broken by
+hash. Empty table: no row. Other columns are ignored."""
 
 from __future__ import annotations
 
@@ -218,7 +219,8 @@ def class_sets(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
 
     by_digest = "s1" in reps.columns
     ids = reps.select("doc_id").distinct() if by_digest else reps.withColumnRenamed("rep", "doc_id")
-    found = map_arrow(texts_of(docs).join(small(ids), "doc_id", "left_semi"), run, "rep long, s1 long, s2 long, n int, set array<long>")
+    keyless = lambda df: df.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    found = map_arrow(keyless(texts_of(docs)).join(small(keyless(ids)), "doc_id", "left_semi"), run, "rep long, s1 long, s2 long, n int, set array<long>")
     if not by_digest:
         return found.select("rep", "n", "set").dropDuplicates(["rep"])
     return found.drop("rep").dropDuplicates(["s1", "s2"]).join(small(reps.select("rep", "s1", "s2")), ["s1", "s2"]).select("rep", "n", "set")
@@ -288,11 +290,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, range_to
     base = stored(document_sets(docs, width), "document-sets")
     classes = stored(base.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "classes")
     total = classes.agg(F.sum(F.col("n").cast("long") * F.col("copies")).alias("t"), F.count("*").alias("c")).first()
-    # a class goes by its smallest key; of several classes with that key, all but one go by their digest
-    twice = stored(classes.groupBy("first").agg(F.count("*").alias("c"), F.min(F.struct("s1", "s2")).alias("own")).where("c > 1").select("first", "own"), "keys-of-several-classes")
-    clash = not twice.isEmpty()
+    # a class goes by its smallest key; of several classes with that key all but one go by their digest, as do those without a key
+    twice = classes.where("first is not null").groupBy("first").agg(F.count("*").alias("c"), F.min(F.struct("s1", "s2")).alias("own")).where("c > 1")
+    twice = stored(twice.select("first", "own"), "keys-of-several-classes")
+    clash = not (twice.isEmpty() and classes.where("first is null").isEmpty())
     if clash:
-        named = classes.join(small(twice), "first", "left").withColumn("rep", F.when(F.struct("s1", "s2") != F.col("own"), F.col("s1")).otherwise(F.col("first")))
+        other = F.col("first").isNull() | (F.struct("s1", "s2") != F.col("own"))
+        named = classes.join(small(twice), "first", "left").withColumn("rep", F.when(other, F.col("s1")).otherwise(F.col("first")))
         classes = stored(named.select("s1", "s2", "n", "first", "copies", "rep"), "named-by-digest")
     else:
         classes = classes.withColumn("rep", F.col("first"))

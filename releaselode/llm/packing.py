@@ -6,8 +6,8 @@ lengths (one bit per reachable fill, as a Python integer) gives the fullest comb
 counts allow and removed. Rows find their place by their rank among pieces of equal length; ranks are counted in two
 steps (counts per block of rows, then within the block), so that a length that half of the rows share is no hot key.
 
-The string of an added token in a text (<|endoftext|>) is that token, as in the library. Null or empty text: the end id alone. Longer documents are cut; their first piece may be shorter. Repeated rows are
-packed each. Empty table: no row."""
+The string of an added token in a text (<|endoftext|>) is that token, as in the library. Null or empty text: the end id alone. Longer documents are cut; their first piece may be shorter. Repeated rows
+and null keys are packed each. A very long text is one array of ids while it is cut. Empty table: no row. Other columns are ignored."""
 
 from __future__ import annotations
 

@@ -7,8 +7,9 @@ number of words, and documents under `least_words` are not judged; nor are langu
 
 Everything is a projection of the scan: no shuffle, no Python, nothing depends on other rows.
 
-Null or empty text: no word, so base_failed. No reference for the language (or null): kept unless base_failed. Repeated
-rows: one result each. Only doc_id, text and lang are read by divergence_rules; keep_documents keeps all columns."""
+Null or empty text: no word, so base_failed. No reference for the language (or null): kept unless base_failed. A very long text is
+judged whole, in arrays of its words within its row. Repeated rows and null keys: one result each. Empty table: no row. Only doc_id,
+text and lang are read by divergence_rules; keep_documents keeps all columns."""
 
 from __future__ import annotations
 

@@ -4,7 +4,8 @@ Each shard has a preference order over the slots of a table whose size is prime:
 size. The shards take turns; each claims its next free slot, until all slots are taken. A key goes to the shard of
 slot (hash modulo size). The table has a fixed size that doesn't depend on the data, so it travels as a literal.
 
-Null keys: hashed as the empty string. Repeated keys: the same shard. Other columns are kept."""
+Null keys: hashed as the empty string. Repeated keys: the same shard. Empty table: no row. Texts, however long, are not read. Other
+columns are kept, but `slot` and `shard` are replaced."""
 
 from __future__ import annotations
 

@@ -13,6 +13,7 @@ AWKWARD = [
     (9, "\n"),
     (10, " "),
     (11, "x\x1cy \x85 z w"),
+    (None, "a row without a key, one two three four five six"),
 ]
 
 

@@ -22,7 +22,7 @@ def library():
 @pytest.mark.parametrize("long_word", [256, 6])
 def test_equals_library(spark, library, long_word):
     rng = random.Random(2)
-    docs = [(i, t) for i, (_, t) in enumerate(AWKWARD)]
+    docs = [(i, t) for i, (_, t) in enumerate(AWKWARD)] + [(None, "a row without a key")]
     docs += [(100 + i, "".join(rng.choice(["ab", "tion", "'s", ",", " ", "\n", "\t", "é", "7", " ", "ñ", "ing", "東"]) for _ in range(80))) for i in range(60)]
     got = {r.doc_id: r for r in bpe.encode_digest(documents(spark, docs), PATH, public_tokenizers.PATTERN, chunk_bytes=5000, long_word=long_word).collect()}
     assert len(got) == len(docs)

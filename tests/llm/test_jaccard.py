@@ -59,11 +59,20 @@ def test_against_brute_force(spark, seed, base_len, copies, edits):
 
 
 def test_awkward_rows(spark):
-    got = sorted(tuple(r) for r in jaccard.near_duplicates(documents(spark)).collect())
-    assert got == brute(AWKWARD)
+    rows = jaccard.near_duplicates(documents(spark)).collect()
+    assert sorted(tuple(r) for r in rows if r.doc_id is not None) == brute([d for d in AWKWARD if d[0] is not None])
+    assert [(r.n_shingles, r.component_id) for r in rows if r.doc_id is None] == [(7, None)]
     assert jaccard.near_duplicates(documents(spark, [])).count() == 0
 
 
+def test_null_keys_are_linked(spark):
+    base = [f"w{i}" for i in range(40)]
+    near, far = [*base[:-1], "x"], [f"v{i}" for i in range(40)]
+    docs = [(None, " ".join(base)), (7, " ".join(near)), (None, " ".join(far)), (None, " ".join([*far[:-1], "y"])), (9, " ".join(base[::-1])), (None, "")]
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in jaccard.near_duplicates(documents(spark, docs)).collect())
+    assert got == [(0, 0, 0), (0, 36, 0), (0, 36, 0), (0, 36, 7), (7, 36, 7), (9, 36, 9)]
+
+
 def test_components_of_a_long_chain(spark):
     n = 60
     links = spark.createDataFrame([(i, i + 1) for i in range(n) if i != 30], "a long, b long")

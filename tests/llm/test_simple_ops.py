@@ -173,7 +173,7 @@ def test_damaged_record_is_refused():
 
 def test_packing(spark, ids):
     rng = random.Random(3)
-    docs = [(i, t) for i, (_, t) in enumerate(AWKWARD)] + [(100 + i, "tok " * rng.randrange(1, 1500)) for i in range(150)]
+    docs = [(i, t) for i, (_, t) in enumerate(AWKWARD)] + [(100 + i, "tok " * rng.randrange(1, 1500)) for i in range(150)] + [(None, "tok " * 1300)]
     rows = packing.pack(documents(spark, docs), block_rows=40).collect()
     by_doc, by_seq = {}, {}
     for r in rows:
