@@ -9,8 +9,9 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
    set anew; a document of which nothing is left goes.
 4. packing: what remains, packed into sequences of 1024 tokens; one row per piece.
 
-Null text: kept by no stage but as the quality rules say (no word: rejected). Of repeated rows of one key, stage 2 keeps
-the one with the smallest text. Empty tables give empty tables. Extra columns are kept up to stage 3."""
+Null text: kept by no stage but as the quality rules say (no word: rejected). Of rows with one key and one text, stage 2 keeps one;
+different texts under one key are documents of their own, as are texts without a key. Empty tables give empty tables. Extra columns are
+kept up to stage 3."""
 
 from __future__ import annotations
 
@@ -28,15 +29,18 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # a key names one document: of rows that repeat it, the one with the smallest text stays
-    again = stored(docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "repeated-keys")
+    # documents go by key and text, so that unrelated texts under one key are judged each by itself
+    rows = suffix.keyed(docs)
+    found = jaccard.near_duplicates(rows.select(F.col("_number").alias("doc_id"), "text"))
+    gone = stored(found.where("doc_id != component_id").select(F.col("doc_id").alias("_number")).distinct(), "near-copies")
+    kept = rows.join(jaccard.small(gone), "_number", "left_anti")
+    # of rows that repeat key and text one stays, by the rest of its columns
+    again = stored(kept.groupBy("_number").agg(F.count("*").alias("c")).where("c > 1").select("_number"), "repeated-rows")
     if not again.isEmpty():
-        some = docs.join(again, "doc_id", "left_semi").select(F.struct("text", *(c for c in docs.columns if c != "text")).alias("row"), "doc_id")
-        one = some.groupBy("doc_id").agg(F.min("row").alias("row")).select(*(F.col("row")[c].alias(c) for c in docs.columns))
-        docs = stored(docs.join(again, "doc_id", "left_anti").select(*docs.columns).union(one), "single-keys")
-    found = jaccard.near_duplicates(docs)
-    gone = stored(found.where("doc_id != component_id").select("doc_id").distinct(), "near-copies")
-    return docs.join(jaccard.small(gone), "doc_id", "left_anti").select(*docs.columns)
+        some = kept.join(jaccard.small(again), "_number", "left_semi")
+        one = some.groupBy("_number").agg(F.min_by(F.struct(*docs.columns), F.to_json(F.struct(*docs.columns))).alias("row")).select(*(F.col("row")[c].alias(c) for c in docs.columns))
+        return kept.join(jaccard.small(again), "_number", "left_anti").select(*docs.columns).union(one)
+    return kept.select(*docs.columns)
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
