@@ -91,6 +91,15 @@ def test_empty_and_clashing(spark, stage):
 
 
 def test_repeated_keys(spark):
-    docs = make()[:5] + [(0, make()[0][1]), (1, "zz " + make()[1][1])]
-    out = corpus_pipeline.near_duplicate_stage(spark, documents(spark, docs), "")
-    assert sorted((r.doc_id, r.text) for r in out.collect()) == sorted((k, min(t for j, t in docs if j == k)) for k in range(5))
+    texts = [t for _, t in make()]
+    docs = make()[:5] + [(0, texts[0]), (1, "zz " + texts[1]), (2, texts[10]), (None, texts[11]), (None, texts[11])]
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicate_stage(spark, documents(spark, docs), "").collect()]
+    assert [k for k, _ in got].count(1) == 1 and {t for k, t in got if k == 1} < {texts[1], "zz " + texts[1]}
+    want = [(0, texts[0]), (2, texts[2]), (2, texts[10]), (3, texts[3]), (4, texts[4]), (-1, texts[11])]
+    assert sorted((-1 if k is None else k, t) for k, t in got if k != 1) == sorted(want)
+
+
+def test_a_map_column_is_kept(spark):
+    rows = [(1, "one two three four five six", {"a": 1}), (1, "one two three four five six", {"a": 2}), (2, "seven eight nine ten eleven twelve", None)]
+    out = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>"), "").collect()
+    assert sorted((r.doc_id, (r.m or {}).get("a")) for r in out) == [(1, 1), (2, None)]
