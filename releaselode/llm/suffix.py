@@ -6,9 +6,10 @@ Earlier: in a document of smaller key, or at a smaller place of the same documen
    strings have equal anchors at equal places. A segment is a run of strings with one anchor in the text, at most
    2 * width bytes. Segments are dealt in packed blocks by ranges of the anchor's hash; one whose anchor no other has holds
    no repeat. Hashes choose what is compared, they decide no equality.
-2. Segments whose bytes equal an earlier one's are all repeats. Bytes are compared: within a task on its texts, else after
-   the bytes of all segments that share an anchor are fetched. So copies, of documents or of passages that thousands of
-   documents share, cost one segment each. Segments that differ are cut into windows of `reach` places of the anchor, and
+2. Segments whose bytes equal an earlier one's are all repeats. Within a task their bytes are compared. Else the documents are asked
+   once more for those that share an anchor: the first of each kind, where kinds differ, sends its bytes and the others a
+   cryptographic digest of theirs, 16 bytes of BLAKE2b. Should a digest belong to no such first one, all send their bytes. So
+   copies, of documents or of passages that thousands of documents share, cost little. Segments that differ are cut into windows of `reach` places of the anchor, and
    windows with equal bytes collapse likewise. An anchor with very many segments is split: its windows are dealt by their
    core, the bytes that all strings of the window share.
 3. Windows that share a core but differ go through a generalized suffix array, built column by column from all their bytes:
@@ -99,6 +100,8 @@ def segments(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int,
     return doc[head], first - starts[doc[head]], many, anchor[head] - first, _mix(grams[anchor[head]]), body
 
 
+#: What is asked of a segment: it is the first of its kind; its bytes and not their digest; these by windows.
+HEAD, BODY, WINDOWS = 1, 2, 4
 #: Columns of a block of strings to remove; of segments; and of segments whose bytes are asked for.
 GONE, SEGMENT, ASKED = ["<u4", "u1"], ["<u4", "u1", "u1", "<u4", "<u8"], ["<u4", "u1", "u1", "<u4", "<u4", "u1"]
 
@@ -226,13 +229,15 @@ def shared_segments(dealt: DataFrame, groups: int, hot: int) -> DataFrame:
                 yield _frame([(0, part, x) for x in blocks])
                 continue
             doc, first, many, off, anchor, body = _unpack(blocks, SEGMENT)
-            order = np.lexsort((body, anchor))
+            order = np.lexsort((first, doc, body, anchor))
             doc, first, many, off, anchor, body = (c[order] for c in (doc, first, many, off, anchor, body))
             number = np.cumsum(_runs(anchor)) - 1
+            head = _runs(anchor, body)
             ask = np.bincount(number)[number] > 1
-            unlike = np.bincount(number, _runs(anchor, body))[number] > hot
-            doc, first, many, off, anchor, unlike = (c[ask] for c in (doc, first, many, off, anchor, unlike))
-            out = [(2, g, x) for g, x in _blocks(doc, _group(doc, groups), [first, many, off, anchor, np.full(len(doc), part), unlike], ASKED)]
+            kinds = np.bincount(number, head)[number]
+            say = HEAD * head + BODY * (head & (kinds > 1)) + WINDOWS * (kinds > hot)
+            doc, first, many, off, anchor, say = (c[ask] for c in (doc, first, many, off, anchor, say))
+            out = [(2, g, x) for g, x in _blocks(doc, _group(doc, groups), [first, many, off, anchor, np.full(len(doc), part), say], ASKED)]
             if out:
                 yield _frame(out)
 
@@ -246,7 +251,7 @@ def asked_rows(blocks: DataFrame) -> DataFrame:
         for _, _, x in _by_part(batches):
             doc, *rest = _unpack(x, ASKED)
             order = np.argsort(doc, kind="stable")
-            rows = np.rec.fromarrays([c[order] for c in rest], names="first,many,off,anchor,part,hot", formats=ASKED)
+            rows = np.rec.fromarrays([c[order] for c in rest], names="first,many,off,anchor,part,say", formats=ASKED)
             cuts = np.flatnonzero(_runs(doc[order]))
             ends = np.append(cuts[1:], len(doc))
             for i in range(0, len(cuts), 4096):
@@ -255,7 +260,7 @@ def asked_rows(blocks: DataFrame) -> DataFrame:
     return map_arrow(blocks, run, "doc_id long, asked binary")
 
 
-_ASKED = np.dtype(list(zip(("first", "many", "off", "anchor", "part", "hot"), ASKED, strict=True)))
+_ASKED = np.dtype(list(zip(("first", "many", "off", "anchor", "part", "say"), ASKED, strict=True)))
 
 
 def windows(first: int, many: int, off: int, body: bytes, width: int, reach: int) -> Iterator[tuple[int, int, int, bytes, bytes]]:
@@ -269,26 +274,33 @@ def windows(first: int, many: int, off: int, body: bytes, width: int, reach: int
         yield first + lo, hi - lo + 1, off - lo, body[lo : hi + width], body[core + reach - 1 : core + width]
 
 
-def segment_bytes(docs: DataFrame, asked: DataFrame, width: int, reach: int, ranges: int) -> DataFrame:
-    """part int, doc_id long, first int, many int, off int, body binary. Segments of hot anchors come as windows, dealt by their cores."""
+def digest(body: bytes) -> bytes:
+    return hashlib.blake2b(body, digest_size=16).digest()
+
+
+def segment_bytes(docs: DataFrame, asked: DataFrame, width: int, reach: int, ranges: int, digests: bool) -> DataFrame:
+    """part int, doc_id long, first int, many int, off int, head boolean, digest binary, body binary; the last is null where only the digest was asked for.
+
+    Segments of hot anchors also come as windows, dealt by their cores. Both sides are shuffled at any size, so that what
+    this costs grows with the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["part", "doc_id", "first", "many", "off", "body"]
-        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+        names = ["part", "doc_id", "first", "many", "off", "head", "digest", "body"]
+        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
         for b in slices(batches, 256):
             out: list[tuple] = []
             for doc, text, asked in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("asked").to_pylist(), strict=True):
                 raw = text.encode()
-                for first, many, off, _, part, hot in np.frombuffer(asked, _ASKED).tolist():
+                for first, many, off, _, part, say in np.frombuffer(asked, _ASKED).tolist():
                     body = raw[first : first + many + width - 1]
-                    if hot:
-                        out += [(zlib.crc32(core) % ranges, doc, *w, x) for *w, x, core in windows(first, many, off, body, width, reach)]
-                    else:
-                        out.append((part, doc, first, many, off, body))
+                    if say & WINDOWS and (say & BODY or not digests):
+                        out += [(zlib.crc32(core) % ranges, doc, *w, True, digest(x), x) for *w, x, core in windows(first, many, off, body, width, reach)]
+                    whole = (say & BODY or not digests) and not say & WINDOWS
+                    out.append((part, doc, first, many, off, bool(say & HEAD) or not digests, digest(body), body if whole else None))
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds], names=names)
 
-    rows = docs.join(asked, "doc_id").select("doc_id", "text", "asked")
-    return map_arrow(rows, run, "part int, doc_id long, first int, many int, off int, body binary")
+    rows = docs.join(asked.hint("shuffle_merge"), "doc_id").select("doc_id", "text", "asked")
+    return map_arrow(rows, run, "part int, doc_id long, first int, many int, off int, head boolean, digest binary, body binary")
 
 
 #: Numbers of an array that are read at once.
@@ -445,20 +457,32 @@ class Compared:
 
     def __init__(self, width: int, reach: int, block: int = BLOCK):
         self.width, self.reach, self.block = width, reach, block
-        self.kept: dict[bytes, tuple[int, int, int, int]] = {}
+        self.kept: dict[bytes, tuple[int, int, int, int, bytes | None]] = {}
         self.gone: list[tuple[int, int, int]] = []
+        self.heads: set[bytes] = set()
+        self.others: set[bytes] = set()
 
-    def add(self, doc: int, first: int, many: int, off: int, body: bytes) -> None:
+    def add(self, doc: int, first: int, many: int, off: int, head: bool, digest: bytes, body: bytes | None) -> None:
         """Equal bytes: all strings of the later segment are repeats, unless a repeated row holds the same segment."""
-        d, p, *_ = self.kept.setdefault(body, (doc, first, many, off))
+        (self.heads if head else self.others).add(digest)
+        d, p, *_, known = self.kept.setdefault(digest, (doc, first, many, off, body))
         if (d, p) != (doc, first):
             self.gone.append((doc, first, many))
+        elif known is None and body is not None:
+            self.kept[digest] = (doc, first, many, off, body)
+
+    @property
+    def unknown(self) -> bool:
+        """Whether a digest came that no first segment has."""
+        return not self.others <= self.heads
 
     def repeats(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Blocks of (document, first, many) of the strings that start earlier in another segment."""
         pieces: dict[bytes, tuple[int, int, int]] = {}
         cores: dict[bytes, list[bytes]] = {}
-        for body, (doc, first, many, off) in self.kept.items():
+        for doc, first, many, off, body in self.kept.values():
+            if body is None:
+                continue
             for p, n, _, x, core in windows(first, many, off, body, self.width, self.reach):
                 d, at, _ = pieces.setdefault(x, (doc, p, n))
                 if (d, at) != (doc, p):
@@ -498,21 +522,23 @@ class Compared:
 
 
 def compared(rows: DataFrame, width: int, reach: int, groups: int, block: int) -> DataFrame:
-    """kind 0: strings to remove, by the comparison of the segments of each part."""
+    """kind 0: strings to remove, by the comparison of the segments of each part. kind 3: a digest has no first segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, Compared(width, reach, block)
 
         def done() -> Iterator[pa.RecordBatch]:
+            if held.unknown:
+                yield _frame([(3, 0, b"")])
             for d, p, n in held.repeats():
                 yield _frame([(0, g, x) for g, x in _blocks(d, _group(d, groups), [p, n], GONE)])
 
         for b in batches:
-            for part, doc, first, many, off, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for part, *segment in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if part != now:
                     yield from done()
                     now, held = part, Compared(width, reach, block)
-                held.add(doc, first, many, off, body)
+                held.add(*segment)
         yield from done()
 
     return map_arrow(rows, run, "kind int, part int, block binary")
@@ -577,8 +603,11 @@ def repeated_runs(docs: DataFrame, width: int = 100, gram: int = 32, reach: int
     found = stored(shared_segments(dealt, groups, hot), "segments")
     ask = found.where("kind = 2").repartition(max(1, min(groups, parts)), "part").sortWithinPartitions("kind", "part")
     asked = stored(asked_rows(ask), "asked-segments")
-    rows = segment_bytes(docs, _light(asked, "asked"), width, reach, ranges).repartition(max(1, min(ranges, 2 * parts)), "part").sortWithinPartitions("part", "doc_id", "first")
-    gone = found.where("kind = 0").union(compared(rows, width, reach, groups, block))
+    rows = lambda digests: segment_bytes(docs, asked, width, reach, ranges, digests).repartition(max(1, min(ranges, 2 * parts)), "part").sortWithinPartitions("part", "doc_id", "first")
+    more = stored(compared(rows(True), width, reach, groups, block), "compared")
+    if not more.where("kind = 3").isEmpty():  # two kinds of segments have one hash
+        more = stored(compared(rows(False), width, reach, groups, block), "compared-whole")
+    gone = found.where("kind = 0").union(more.where("kind = 0"))
     return stored(removed_runs(gone.repartition(max(1, min(groups, parts)), "part").sortWithinPartitions("kind", "part"), width), "removed-runs")
 
 

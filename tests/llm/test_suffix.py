@@ -73,6 +73,40 @@ def test_suffix_order_against_sorting():
             assert n == k
 
 
+def test_a_digest_without_a_first_segment_is_told():
+    held = suffix.Compared(100, 8)
+    held.add(1, 0, 1, 0, True, b"a", None)
+    held.add(2, 0, 1, 0, False, b"a", None)
+    assert not held.unknown
+    held.add(3, 0, 1, 0, False, b"b", None)
+    assert held.unknown
+
+
+@pytest.mark.parametrize("hot", [512, 0])
+def test_one_hash_for_all_segments(spark, hot):
+    """If the hashes of all bytes are equal, bytes and digests still decide."""
+    docs = make(9)
+    whole = suffix.texts_of(documents(spark, docs))
+    dealt = suffix.dealt_segments(whole, 100, 32, 3, 2).repartition(2, "kind", "part").sortWithinPartitions("kind", "part")
+
+    def alike(batches):
+        for kind, part, blocks in suffix._by_part(batches):
+            if kind == 1:
+                doc, *rest, _ = suffix._unpack(blocks, suffix.SEGMENT)
+                blocks = [suffix._pack(doc, *(c.astype(k) for c, k in zip(rest, suffix.SEGMENT, strict=False)), np.zeros(len(doc), "<u8"))]
+            yield suffix._frame([(kind, part, x) for x in blocks])
+
+    found = suffix.stored(suffix.shared_segments(suffix.map_arrow(dealt, alike, "kind int, part int, block binary"), 2, hot), "alike")
+    asked = suffix.stored(suffix.asked_rows(found.where("kind = 2").repartition(2, "part").sortWithinPartitions("kind", "part")), "alike-asked")
+    rows = lambda digests: suffix.segment_bytes(whole, asked, 100, 8, 3, digests).repartition(2, "part").sortWithinPartitions("part", "doc_id", "first")
+    assert suffix.compared(rows(True), 100, 8, 2, 500).where("kind = 3").count() > 0
+    more = suffix.compared(rows(False), 100, 8, 2, 500)
+    assert more.where("kind = 3").count() == 0
+    gone = found.where("kind = 0").union(more.where("kind = 0")).repartition(2, "part").sortWithinPartitions("kind", "part")
+    got = {r.doc_id: np.frombuffer(r.runs, "<i8").reshape(-1, 2) for r in suffix.removed_runs(gone, 100).collect()}
+    assert {k: (int((r[:, 1] - r[:, 0]).sum()), len(r)) for k, r in got.items()} == {k: (n, s) for k, _, n, s, _ in brute(docs) if n}
+
+
 def test_null_and_repeated_keys(spark):
     """Of one key's texts that with the smaller hash is earlier; null keys come first."""
     docs = [(i % 20 if i % 9 else None, t) for i, (_, t) in enumerate(make(7))]
