@@ -16,7 +16,7 @@ Order of work, all on tables in the shared folder:
 3. Chunks become sequences of members and sums per document.
 4. Training by truncated backpropagation, in segments and windows, in rounds. In a round each task goes on from the shared
    parameters over its part of the chunks' training documents, chunk after chunk; then the models are averaged by tokens in two
-   levels and shared again. Rounds are as many as the doublings of the number of chunks, and each document is trained on in
+   levels and shared again. Rounds are half as many as the doublings of the number of chunks, and each document is trained on in
    one of them: more data trains longer, at a cost that grows with the data. Scoring runs over whole documents.
 
 Null or empty text: the end token alone. A very long text is scored window by window; its chunk holds it whole. Repeated rows: each counts, each is
@@ -452,7 +452,7 @@ def _sequences(doc_ids: bytes, sizes: bytes, members: bytes) -> tuple[np.ndarray
 def trained(table: DataFrame, v: Vocabulary, p: GruParams, chunks: int) -> np.ndarray:
     """The parameters after all rounds; what reaches the driver is one model for each of at most 16 tasks a round."""
     first = Gru.start(v.mass, p.hidden, p.seed).flat
-    rounds = max(1, chunks.bit_length())
+    rounds = max(1, (chunks.bit_length() + 1) // 2)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, weight = np.zeros(len(first)), 0.0
