@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, gru, jaccard, media, packing, quality, records, sharding, suffix, warc
+from . import bpe, gru, jaccard, media, packing, quality, records, sharding, suffix, warc, word_bpe
 from .common import tokenizer_path
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -60,8 +60,12 @@ def op10_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gru.document_scores(_table(spark, sf_dir, "documents"))
 
 
+def op13_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe.encode_digest(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), with_ids=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_media_features, op2_jaccard_join, op3_byte_bpe, op4_suffix_dedup, op5_divergence_rules, op6_framed_records, op7_lookup_sharding, op8_bin_slack_packing, op9_warc_bundles, op10_recurrent_lm)
+    f.__name__: f for f in (op1_media_features, op2_jaccard_join, op3_byte_bpe, op4_suffix_dedup, op5_divergence_rules, op6_framed_records, op7_lookup_sharding, op8_bin_slack_packing, op9_warc_bundles, op10_recurrent_lm, op13_speculative_bpe)
 }
 
 
