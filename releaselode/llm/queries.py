@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, gru, jaccard, media, packing, quality, records, sharding, suffix, warc, word_bpe
+from . import audit, bpe, gru, jaccard, media, packing, quality, records, runs, sharding, suffix, warc, word_bpe
 from .common import tokenizer_path
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -60,12 +60,20 @@ def op10_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gru.document_scores(_table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(_table(spark, sf_dir, "documents"), runs.planted_words, full=False)
+
+
 def op13_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.encode_digest(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), with_ids=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_media_features, op2_jaccard_join, op3_byte_bpe, op4_suffix_dedup, op5_divergence_rules, op6_framed_records, op7_lookup_sharding, op8_bin_slack_packing, op9_warc_bundles, op10_recurrent_lm, op13_speculative_bpe)
+    f.__name__: f for f in (op1_media_features, op2_jaccard_join, op3_byte_bpe, op4_suffix_dedup, op5_divergence_rules, op6_framed_records, op7_lookup_sharding, op8_bin_slack_packing, op9_warc_bundles, op10_recurrent_lm, op11_filter_audit, op12_periodic_runs, op13_speculative_bpe)
 }
 
 
@@ -90,4 +98,4 @@ select page_id, cast(octet_length(encode(body)) as bigint) as payload_bytes,
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_divergence_rules": quality.oracle_sql(), "op7_lookup_sharding": _sharding_sql(), "op9_warc_bundles": WARC_SQL}
+    return {"op5_divergence_rules": quality.oracle_sql(), "op7_lookup_sharding": _sharding_sql(), "op9_warc_bundles": WARC_SQL, "op11_filter_audit": audit.ORACLE_SQL}
