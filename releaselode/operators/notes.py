@@ -1,6 +1,7 @@
 """Notes as tables: sections of changelogs, paragraphs, entries, categories, merging.
 
-All steps are windows over one text's lines, so a text is the unit of work and lines of many texts are sorted together."""
+What lies in a line's past (open section, paragraph, which of two underlines counts) is carried over blocks of lines
+(see scan.py), so a text of any length is spread over tasks. `size` is the lines of a block; it changes no result."""
 
 from __future__ import annotations
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..functions import text as T
+from . import scan as S
 
 
 def exploded_lines(df: DataFrame, key: list[str], text: str = "text") -> DataFrame:
@@ -16,24 +18,36 @@ def exploded_lines(df: DataFrame, key: list[str], text: str = "text") -> DataFra
     return df.where(F.col(text).isNotNull() & (F.col(text) != "")).select(*key, F.posexplode(T.text_lines(F.col(text))).alias("pos", "line"))
 
 
-def heading_lines(lines: DataFrame, key: list[str]) -> DataFrame:
+def _headings(lines: DataFrame, key: list[str], size: int) -> DataFrame:
+    """lines dealt in blocks, with heading, section (headings so far) and label (a heading, or the underline it takes)."""
+    s, no = T.strip(F.col("line")), F.lit(False)
+    rows = S.dealt(lines, key, "pos", size).withColumns({"_under": s.rlike(X.UNDERLINE), "_names": s.rlike(X.VERSION_LIKE), "_hash": s.startswith("#")})
+    # a heading for certain, or one if an underline follows, which for a block's last line the next block knows
+    after = F.lead("_under").over(S.within())
+    rows = rows.withColumn("_sure", F.col("_names") & (F.col("_hash") | F.coalesce(after, no)))
+    leave = {"sure": F.sum(F.col("_sure").cast("long")), "open": S.last(F.col("_names") & ~F.col("_hash")), "closing": S.last(F.col("_sure")), "under": S.first(F.col("_under"))}
+    steps = [
+        {"_follows": F.coalesce(F.lead("under").over(S.over()), no)},
+        {"all": F.col("sure") + (F.col("open") & F.col("_follows")).cast("long"), "closes": F.col("closing") | (F.col("open") & F.col("_follows"))},
+        {"_before": S.before("all"), "_headed": F.coalesce(F.lag("closes").over(S.over()), no)},
+    ]
+    rows = S.told(rows, leave, steps, ["_follows", "_before", "_headed"])
+    rows = rows.withColumn("heading", F.col("_names") & (F.col("_hash") | F.coalesce(after, F.col("_follows"))))
+    headed = F.coalesce(F.lag("heading").over(S.within()), F.col("_headed"))
+    return rows.withColumns({"section": F.col("_before") + F.sum(F.col("heading").cast("long")).over(S.so_far()), "label": F.col("heading") | (headed & F.col("_under"))})
+
+
+def heading_lines(lines: DataFrame, key: list[str], size: int = S.BLOCK) -> DataFrame:
     """lines with `heading`: names a version, and begins with # or is underlined."""
-    w = Window.partitionBy(*key).orderBy("pos")
-    s = T.strip(F.col("line"))
-    under = F.coalesce(T.strip(F.lead("line").over(w)).rlike(X.UNDERLINE), F.lit(False))
-    return lines.withColumn("heading", s.rlike(X.VERSION_LIKE) & (s.startswith("#") | under))
+    return _headings(lines, key, size).select(*lines.columns, "heading")
 
 
-def version_sections(lines: DataFrame, key: list[str]) -> DataFrame:
+def version_sections(lines: DataFrame, key: list[str], size: int = S.BLOCK) -> DataFrame:
     """key, section, pos, heading, body: all sections of each text, cut once. The body is null where it is blank."""
-    w = Window.partitionBy(*key).orderBy("pos")
-    df = heading_lines(lines, key).withColumn("section", F.sum(F.col("heading").cast("int")).over(w)).where("section > 0")
-    v = Window.partitionBy(*key, "section").orderBy("pos")
-    df = df.withColumn("at", F.row_number().over(v))
-    label = (F.col("at") == 1) | ((F.col("at") == 2) & T.strip(F.col("line")).rlike(X.UNDERLINE))
-    body = T.strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~label, F.struct("pos", "line")))), lambda x: x["line"]), "\n"))
-    out = df.groupBy(*key, "section").agg(F.min("pos").alias("pos"), F.min_by("line", "pos").alias("heading"), body.alias("body"))
-    return out.withColumn("body", F.when(F.col("body") != "", F.col("body")))
+    rows = _headings(lines, key, size).where("section > 0")
+    body = T.strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("label"), F.struct("pos", "line")))), lambda x: x["line"]), "\n"))
+    out = rows.groupBy(S.TEXT, "section").agg(F.min("pos").alias("pos"), F.min_by("line", "pos").alias("heading"), body.alias("body"))
+    return out.select(*S.unpacked(key), "section", "pos", "heading", F.when(F.col("body") != "", F.col("body")).alias("body"))
 
 
 def mentions(heading: Column, version: Column) -> Column:
@@ -54,55 +68,96 @@ def sections_of(versions: DataFrame, sections: DataFrame, on: list[str]) -> Data
     return hits.groupBy(*on, "version").agg(F.min_by(F.struct("body"), "pos").alias("hit")).select(*on, "version", F.col("hit.body").alias("body")).where("body is not null")
 
 
-def paragraphs(lines: DataFrame, key: list[str]) -> DataFrame:
+def _marked(lines: DataFrame, key: list[str], size: int) -> DataFrame:
+    """lines dealt in blocks, with s (stripped), head, taken (the underline of a heading), and name where it names a section."""
+    no = F.lit(False)
+    rows = S.dealt(lines, key, "pos", size).select(S.TEXT, S.PART, S.AT, "pos", "line", T.strip(F.col("line")).alias("s")).withColumn("hash", F.col("s").startswith("#"))
+    rows = rows.withColumns({"_under": F.col("s").rlike(X.UNDERLINE), "_may": ~F.col("hash") & (F.col("s") != ""), "_n": F.row_number().over(S.within())})
+    after = F.lead("_under").over(S.within())
+    # of neighbouring lines that are each followed by an underline every other one is a heading: a block hands on whether its
+    # last line is one, which depends on the block before it only where all its lines are such candidates
+    rows = rows.withColumn("_gap", F.when(~(F.col("_may") & F.coalesce(after, no)) & after.isNotNull(), F.col("_n")))
+    leave = {"n": F.count("*"), "gap": F.max("_gap"), "may": S.last(F.col("_may")), "under": S.first(F.col("_under"))}
+    steps = [
+        {"_follows": F.coalesce(F.lead("under").over(S.over()), no)},
+        {"ends": F.col("may") & F.col("_follows")},
+        {"odd": F.when(F.col("ends"), (F.col("n") - F.coalesce("gap", F.lit(0))) % 2).otherwise(0), "through": F.col("ends") & F.col("gap").isNull()},
+        {"group": F.sum((~F.col("through")).cast("long")).over(S.over())},
+        {"head": F.sum("odd").over(Window.partitionBy(S.TEXT, "group").orderBy(S.PART)) % 2 == 1},
+        {"_headed": F.coalesce(F.lag("head").over(S.over()), no)},
+    ]
+    rows = S.told(rows, leave, steps, ["_follows", "_headed"])
+    cand = F.col("_may") & F.coalesce(after, F.col("_follows"))
+    rows = rows.withColumn("_cand", cand).withColumn("_since", F.max(F.when(~F.col("_cand"), F.col("_n"))).over(S.so_far()))
+    setext = F.col("_cand") & (((F.col("_n") - F.coalesce("_since", F.lit(0))) % 2 == 1) != (F.col("_since").isNull() & F.col("_headed")))
+    rows = rows.withColumn("setext", setext).withColumns({"head": F.col("hash") | F.col("setext"), "taken": F.coalesce(F.lag("setext").over(S.within()), F.col("_headed"))})
+    return rows.withColumn("name", F.when(~F.col("head") & ~F.col("taken") & F.lower("s").isin(X.SECTION_NAMES), F.col("s")))
+
+
+def paragraphs(lines: DataFrame, key: list[str], size: int = S.BLOCK) -> DataFrame:
     """key, para, section, block, is_change, lines (array): paragraphs in order, without lone subheaders.
 
     Headings (and the underline they take), blank lines and bare section names end a paragraph. Headings and section
     names open a block. A section name already holds for the paragraph that it ends. In a run of lines that could
-    each be the heading of the next, every other one is."""
-    w = Window.partitionBy(*key).orderBy("pos")
-    s = T.strip(F.col("line"))
-    df = lines.withColumn("s", s).withColumn("hash", s.startswith("#"))
-    df = df.withColumn("cand", ~F.col("hash") & (F.col("s") != "") & F.coalesce(F.lead("s").over(w).rlike(X.UNDERLINE), F.lit(False)))
-    df = df.withColumn("runs", F.sum((~F.col("cand")).cast("int")).over(w))
-    r = Window.partitionBy(*key, "runs").orderBy("pos")
-    # a run starts after its first, uncandidate row, or at the top of the text
-    df = df.withColumn("setext", F.col("cand") & (F.sum(F.col("cand").cast("int")).over(r) % 2 == 1))
-    df = df.withColumn("head", F.col("hash") | F.col("setext")).withColumn("taken", F.coalesce(F.lag("setext").over(w), F.lit(False)))
-    name = ~F.col("head") & ~F.col("taken") & F.lower("s").isin(X.SECTION_NAMES)
-    df = df.withColumn("name", F.when(name, F.col("s"))).withColumn("stop", F.col("head") | F.col("taken") | (F.col("s") == "") | name)
-    df = df.withColumn("block", F.sum((F.col("head") | name).cast("int")).over(w)).withColumn("para", F.sum(F.col("stop").cast("int")).over(w))
-    upto = F.last("name", ignorenulls=True).over(w)
-    df = df.withColumn("upto", upto).withColumn("section", F.coalesce(F.lead("upto").over(w), F.col("upto"))).where("not stop")
-    p = Window.partitionBy(*key, "para").orderBy("pos")
-    verb = (F.row_number().over(p) > 1) & ~T.is_noise(T.rstrip(F.col("line"))) & F.lower(T.rstrip(F.col("line"))).rlike(X.PARAGRAPH_VERBS)
-    df = df.withColumn("verb", verb)
-    out = df.groupBy(*key, "para").agg(
+    each be the heading of the next, every other one is. One paragraph is one row, so its own lines must fit a task."""
+    rows = _marked(lines, key, size)
+    named = F.col("name").isNotNull()
+    rows = rows.withColumns({"_opens": (F.col("head") | named).cast("long"), "_stops": F.col("head") | F.col("taken") | (F.col("s") == "") | named})
+    leave = {
+        "opens": F.sum("_opens"), "stops": F.sum(F.col("_stops").cast("long")), "stop": S.last(F.col("_stops")), "name": S.first(F.col("name")),
+        "upto": F.max_by("name", F.when(named, F.col(S.AT))),
+    }
+    steps = [{
+        "_opened": S.before("opens"), "_stopped": S.before("stops"), "_fresh": F.coalesce(F.lag("stop").over(S.over()), F.lit(True)),
+        "_upto": F.last("upto", ignorenulls=True).over(S.earlier()), "_named": F.lead("name").over(S.over()),
+    }]
+    rows = S.told(rows, leave, steps, ["_opened", "_stopped", "_fresh", "_upto", "_named"])
+    upto = F.coalesce(F.last("name", ignorenulls=True).over(S.so_far()), F.col("_upto"))
+    following = F.when(F.lead(S.AT).over(S.within()).isNull(), F.col("_named")).otherwise(F.lead("name").over(S.within()))
+    rows = rows.withColumns({
+        "block": F.col("_opened") + F.sum("_opens").over(S.so_far()), "para": F.col("_stopped") + F.sum(F.col("_stops").cast("long")).over(S.so_far()),
+        "section": F.coalesce(following, upto), "_first": F.coalesce(F.lag("_stops").over(S.within()), F.col("_fresh")),
+    }).where("not _stops")
+    verb = ~F.col("_first") & ~T.is_noise(T.rstrip(F.col("line"))) & F.lower(T.rstrip(F.col("line"))).rlike(X.PARAGRAPH_VERBS)
+    out = rows.withColumn("verb", verb).groupBy(S.TEXT, "para").agg(
         F.max_by(F.struct("section"), "pos").alias("last"), F.max("block").alias("block"), F.bool_or("verb").alias("is_change"),
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]).alias("lines"),
     )
     lone = (F.size("lines") == 1) & F.get("lines", F.lit(0)).rlike(X.SUBHEADER)
-    return out.where(~lone).select(*key, F.col("para").cast("long").alias("para"), F.col("last.section").alias("section"), F.col("block").cast("long").alias("block"), "is_change", "lines")
+    return out.where(~lone).select(*S.unpacked(key), "para", F.col("last.section").alias("section"), "block", "is_change", "lines")
 
 
-def entries(lines: DataFrame, key: list[str]) -> DataFrame:
+def entries(lines: DataFrame, key: list[str], size: int = S.BLOCK) -> DataFrame:
     """key, ord, section, entry: one clean line for each logical change."""
-    w = Window.partitionBy(*key).orderBy("para")
-    df = paragraphs(lines, key)
-    fresh = F.col("is_change") | (F.row_number().over(w) == 1) | ~F.col("section").eqNullSafe(F.lag("section").over(w)) | (F.col("block") != F.lag("block").over(w))
-    df = df.withColumn("group", F.sum(fresh.cast("int")).over(w))
-    df = df.groupBy(*key, "group").agg(F.min_by(F.struct("section"), "para").alias("first"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("para", "lines"))), lambda x: x["lines"])).alias("lines"))
+    # paragraphs that go on with the one before them form a group
+    df = S.dealt(paragraphs(lines, key, size), key, "para", size).withColumn("_of", F.struct("section", "block"))
+    earlier = F.lag("_of").over(S.within())
+    goes_on = lambda change, of, past: ~change & past.isNotNull() & of["section"].eqNullSafe(past["section"]) & (of["block"] == past["block"])
+    # of a block's first paragraph, the one before it is known to the block before
+    inner = F.when(earlier.isNotNull(), (~goes_on(F.col("is_change"), F.col("_of"), earlier)).cast("long")).otherwise(0)
+    df = df.withColumn("_inner", inner)
+    leave = {"inner": F.sum("_inner"), "first": S.first(F.struct("is_change", "_of")), "end": S.last(F.col("_of"))}
+    steps = [{"_past": F.lag("end").over(S.over())}, {"all": F.col("inner") + (~F.coalesce(goes_on(F.col("first.is_change"), F.col("first._of"), F.col("_past")), F.lit(False))).cast("long")}, {"_before": S.before("all")}]
+    df = S.told(df, leave, steps, ["_past", "_before"])
+    fresh = ~F.coalesce(goes_on(F.col("is_change"), F.col("_of"), F.coalesce(earlier, F.col("_past"))), F.lit(False))
+    df = df.withColumn("group", F.col("_before") + F.sum(fresh.cast("long")).over(S.so_far()))
+    df = df.groupBy(S.TEXT, "group").agg(F.min_by(F.struct("section"), "para").alias("first"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("para", "lines"))), lambda x: x["lines"])).alias("lines"))
     kept = F.filter("lines", lambda x: ~x.rlike(X.SUBHEADER) & ~T.is_noise(x))
-    df = df.withColumn("lines", kept).where(F.size("lines") > 0)
     bullet = lambda x: x.rlike(X.BULLET) | x.rlike(X.NUMBERED)
     bare = lambda x: F.regexp_replace(F.regexp_replace(x, X.BULLET, ""), r"^\d+\.\s+(?=[A-Za-z])", "")
-    rows = df.select(*key, "group", F.col("first.section").alias("section"), F.exists("lines", bullet).alias("listed"), F.posexplode("lines").alias("i", "line"))
-    v = Window.partitionBy(*key, "group").orderBy("i")
-    rows = rows.withColumn("item", F.when(F.col("listed"), F.sum((bullet(F.col("line")) | (F.col("i") == 0)).cast("int")).over(v)).otherwise(1))
-    text = F.when(F.col("listed"), bare(F.col("line"))).otherwise(F.col("line"))
-    out = rows.withColumn("part", text).groupBy(*key, "group", "item").agg(F.min_by(F.struct("section"), "i").alias("first"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "part"))), lambda x: x["part"]), " ").alias("entry"))
-    order = Window.partitionBy(*key).orderBy("group", "item")
-    return out.select(*key, F.row_number().over(order).cast("long").alias("ord"), F.col("first.section").alias("section"), T.clean_markup(F.col("entry")).alias("entry"))
+    # each group's lines, with whether one opens an item; how many do so tells the entries of a group before they are made
+    df = df.withColumn("lines", F.transform(kept, lambda x: F.struct(x.alias("line"), bullet(x).alias("bullet")))).where(F.size("lines") > 0)
+    listed = F.exists("lines", lambda x: x["bullet"])
+    opening = F.transform("lines", lambda x, i: F.struct(F.when(F.col("listed"), bare(x["line"])).otherwise(x["line"]).alias("line"), ((i == 0) | (F.col("listed") & x["bullet"])).alias("opens")))
+    df = df.withColumn("listed", listed).withColumn("lines", opening).withColumn("items", F.size(F.filter("lines", lambda x: x["opens"])).cast("long"))
+    df = S.again(df.select(S.TEXT, "group", F.col("first.section").alias("section"), "lines", "items"), "group", size)
+    df = S.told(df, {"all": F.sum("items")}, [{"_before": S.before("all")}], ["_before"])
+    df = df.withColumn("_ord", F.col("_before") + F.sum("items").over(S.so_far()) - F.col("items"))
+    rows = df.select(S.TEXT, "group", "section", "_ord", F.posexplode("lines").alias("i", "x"))
+    v = Window.partitionBy(S.TEXT, "group").orderBy("i")
+    rows = rows.withColumn("ord", F.col("_ord") + F.sum(F.col("x.opens").cast("long")).over(v))
+    out = rows.groupBy(S.TEXT, "group", "ord", "section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "x.line"))), lambda x: x["line"]), " ").alias("entry"))
+    return out.select(*S.unpacked(key), "ord", "section", T.clean_markup(F.col("entry")).alias("entry"))
 
 
 def categorized(found: DataFrame) -> DataFrame:

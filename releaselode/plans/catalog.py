@@ -400,18 +400,43 @@ def paragraphs(spark, d):
     return df.select("doc_id", "para", "section", "block", "is_change", F.size("lines").cast("long").alias("n_lines"), F.md5(F.array_join("lines", "\n")).alias("digest"))
 
 
-@query(_PARAGRAPHS + f""", q1 as (select *, is_change or row_number() over w = 1 or section is distinct from lag(section) over w or block <> lag(block) over w as fresh from pp window w as (partition by doc_id order by para)),
+_ENTRIES = _PARAGRAPHS + f""", q1 as (select *, is_change or row_number() over w = 1 or section is distinct from lag(section) over w or block <> lag(block) over w as fresh from pp window w as (partition by doc_id order by para)),
 q2 as (select *, sum(fresh::int) over (partition by doc_id order by para) as grp from q1),
 q3 as (select doc_id, grp, arg_min(section, para) as section, flatten(list(lines order by para)) as ls from q2 group by 1, 2),
 q4 as (select doc_id, grp, section, unnest(ls) as line, unnest(range(len(ls))) as i0 from q3),
 q5 as (select *, row_number() over (partition by doc_id, grp order by i0) as i, {O.has('line', X.BULLET)} or {O.has('line', X.NUMBERED)} as bullet from q4 where not {O.has('line', X.SUBHEADER)} and not {O.noise('line')}),
 q6 as (select *, bool_or(bullet) over (partition by doc_id, grp) as listed, sum((bullet or i = 1)::int) over (partition by doc_id, grp order by i) as item from q5),
-q7 as (select doc_id, grp, case when listed then item else 1 end as item, arg_min(section, i) as section, string_agg(case when listed then regexp_replace({O.sub('line', X.BULLET)}, '^[0-9]+[.]\\s+([A-Za-z])', '\\1') else line end, ' ' order by i) as entry from q6 group by 1, 2, 3)
-select doc_id, row_number() over (partition by doc_id order by grp, item) as ord, section, md5({O.markup('entry')}) as digest from q7""")
+q7 as (select doc_id, grp, case when listed then item else 1 end as item, arg_min(section, i) as section, string_agg(case when listed then regexp_replace({O.sub('line', X.BULLET)}, '^[0-9]+[.]\\s+([A-Za-z])', '\\1') else line end, ' ' order by i) as entry from q6 group by 1, 2, 3),
+q8 as (select doc_id, row_number() over (partition by doc_id order by grp, item) as ord, section, {O.markup('entry')} as entry from q7) """
+
+
+@query(_ENTRIES + "select doc_id, ord, section, md5(entry) as digest from q8")
 def entries(spark, d):
     return notes.entries(_doc_lines(spark, d), ["doc_id"]).select("doc_id", "ord", "section", F.md5("entry").alias("digest"))
 
 
+# all notes as one text, which no single task can hold at scale: places have gaps, headings are plain or underlined
+_ONE_TEXT = """select 'all' as doc_id, cast(l_orderkey * 32 + 2 * l_linenumber + 8 as bigint) as pos, case when l_linenumber % 3 = 2 then '  and ' || line else '- ' || line end as line from d_note_line
+ union all select 'all', cast(o_orderkey * 32 as bigint), case when o_orderkey % 4 = 1 then version else '## ' || version end from d_release
+ union all select 'all', cast(o_orderkey * 32 + 1 as bigint), case when o_orderkey % 4 = 1 then '-----' when o_orderkey % 4 = 2 then '' else 'Bug Fixes' end from d_release
+ union all select 'all', cast(o_orderkey * 32 + 2 as bigint), '=====' from d_release where o_orderkey % 8 < 2"""
+
+
+def _one_text(spark, d):
+    return view(spark, d, "d_note_line", _ONE_TEXT)
+
+
+@query(f"with t as ({_ONE_TEXT}), " + _HEADINGS % ("doc_id", "t") + f""", s as (select *, sum(heading::int) over (order by pos) as section, coalesce(lag(heading) over (order by pos), false) as headed from h)
+select cast(section as bigint) as section, min(pos) as pos, arg_min(line, pos) as heading, md5(nullif({O.strip(f"string_agg(case when not heading and not (headed and {O.has(O.strip('line'), X.UNDERLINE)}) then line end, chr(10) order by pos)")}, '')) as digest from s where section > 0 group by 1""", "d_note_line")
+def section_one_text(spark, d):
+    return notes.version_sections(_one_text(spark, d), ["doc_id"]).select("section", "pos", "heading", F.md5("body").alias("digest"))
+
+
+@query(_ENTRIES.replace(_DOC_LINES, f"l as ({_ONE_TEXT}), ") + "select ord, section, md5(entry) as digest from q8", "d_note_line")
+def entry_one_text(spark, d):
+    return notes.entries(_one_text(spark, d), ["doc_id"]).select("ord", "section", F.md5("entry").alias("digest"))
+
+
 _MARKED = "case l_linenumber % 4 when 0 then ':func:`' || line || '` x' when 1 then 'see `' || package || ' <http://x>`_ and ``' || version || '``' when 2 then '``a`` ' || line else line end"
 
 
