@@ -11,22 +11,30 @@ PRIORITY = ["known_adapter", "github_release", "changelog", "commits"]
 FOUND_TTL, MISSING_TTL = 30 * 86400, 86400
 
 
-def resolve_source(candidates: DataFrame, key: list[str]) -> DataFrame:
-    """key, prio, kind, notes_text, had_error, unavailable: the first source in order of priority that has notes."""
-    has = F.col("notes_text").isNotNull()
-    best = F.min(F.when(has, F.struct("prio", "kind", "notes_text"))).alias("best")
-    out = candidates.groupBy(*key).agg(best, F.bool_or(F.col("had_error") & F.col("kind").isin("github_release", "commits")).alias("had_error"))
-    return out.select(*key, F.col("best.prio").alias("prio"), F.col("best.kind").alias("kind"), F.col("best.notes_text").alias("notes_text"), "had_error", (F.col("best").isNull() & F.col("had_error")).alias("unavailable"))
+def resolve_source(candidates: DataFrame, key: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
+    """key, prio, kind, notes_text, carry, had_error, unavailable: the first source in order of priority that has notes."""
+    return _resolved(candidates, key, carry)
+
 
+def cross_check(candidates: DataFrame, key: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
+    """resolve_source, with the release notes as second source where the first is curated, and whether they disagree.
 
-def cross_check(candidates: DataFrame, key: list[str]) -> DataFrame:
-    """resolve_source, with the release notes as second source where the first is curated, and whether they disagree."""
-    second = F.max(F.when(F.col("kind") == "github_release", F.col("notes_text"))).alias("second")
-    both = resolve_source(candidates, key).join(candidates.groupBy(*key).agg(second), key)
-    both = both.withColumn("cross_text", F.when(F.col("kind").isin("known_adapter", "changelog"), F.col("second"))).drop("second")
+    What is carried is there for the second source too, as cross_<name>. One aggregation gives both."""
+    second = F.max(F.when(F.col("kind") == "github_release", F.struct("notes_text", *carry))).alias("second")
+    both = _resolved(candidates, key, carry, second)
+    curated = F.col("kind").isin("known_adapter", "changelog") & F.col("second.notes_text").isNotNull()
+    both = both.withColumns({"cross_text" if c == "notes_text" else f"cross_{c}": F.when(curated, F.col(f"second.{c}")) for c in ("notes_text", *carry)}).drop("second")
     return both.withColumn("discrepancy", F.coalesce(disagree(F.col("notes_text"), F.col("cross_text")), F.lit(False)))
 
 
+def _resolved(candidates: DataFrame, key: list[str], carry: tuple[str, ...], *more: Column) -> DataFrame:
+    has = F.col("notes_text").isNotNull()
+    best = F.min(F.when(has, F.struct("prio", "kind", "notes_text", *carry))).alias("best")
+    out = candidates.groupBy(*key).agg(best, F.coalesce(F.bool_or(F.col("had_error") & F.col("kind").isin("github_release", "commits")), F.lit(False)).alias("had_error"), *more)
+    found = [F.col(f"best.{c}").alias(c) for c in ("prio", "kind", "notes_text", *carry)]
+    return out.select(*key, *found, "had_error", (F.col("best").isNull() & F.col("had_error")).alias("unavailable"), *(["second"] if more else []))
+
+
 def note_status() -> Column:
     return F.when(F.col("notes_text").isNotNull(), "notes").when(F.col("unavailable"), "unavailable").otherwise("no_notes")
 
@@ -42,9 +50,10 @@ def cache_set(entries: DataFrame, key: list[str]) -> DataFrame:
     return entries.groupBy(*key).agg(F.max(F.struct("cached_at", *rest)).alias("r")).select(*key, "r.*")
 
 
-def cache_get(asked: DataFrame, cache: DataFrame, key: list[str], now: Column) -> DataFrame:
-    """asked with state (hit, none, miss) and notes: an entry lives 30 days if notes were found, one day if not."""
+def cache_get(asked: DataFrame, cache: DataFrame, key: list[str], now: Column, carry: tuple[str, ...] = ()) -> DataFrame:
+    """asked with state (hit, none, miss), and notes and what is carried of a hit: an entry lives 30 days if notes were found, one day if not."""
     age = F.unix_timestamp(now) - F.unix_timestamp("cached_at")
     live = F.col("cached_at").isNotNull() & (age <= F.when(F.col("found"), FOUND_TTL).otherwise(MISSING_TTL))
-    out = asked.join(cache.select(*key, "found", "notes", "cached_at"), key, "left")
-    return out.withColumn("state", F.when(F.coalesce(live, F.lit(False)) & F.col("found"), "hit").when(F.coalesce(live, F.lit(False)), "none").otherwise("miss")).withColumn("notes", F.when(F.col("state") == "hit", F.col("notes"))).drop("found", "cached_at")
+    out = asked.join(cache.select(*key, "found", "notes", "cached_at", *carry), key, "left")
+    out = out.withColumn("state", F.when(F.coalesce(live, F.lit(False)) & F.col("found"), "hit").when(F.coalesce(live, F.lit(False)), "none").otherwise("miss"))
+    return out.withColumns({c: F.when(F.col("state") == "hit", F.col(c)) for c in ("notes", *carry)}).drop("found", "cached_at")

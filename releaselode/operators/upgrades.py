@@ -16,9 +16,9 @@ def releases(df: DataFrame) -> DataFrame:
 
 
 def version_order(df: DataFrame) -> DataFrame:
-    """releases(df) with `ord` from 1 in each package; equal versions of different spelling by spelling."""
-    w = Window.partitionBy("package").orderBy("key", "version")
-    return releases(df).select("package", "version", F.row_number().over(w).cast("long").alias("ord"))
+    """releases(df) with `ord` from 1 in each package of each ecosystem; equal versions of different spelling by spelling."""
+    w = Window.partitionBy("ecosystem", "package").orderBy("key", "version")
+    return releases(df).select("ecosystem", "package", "version", F.row_number().over(w).cast("long").alias("ord"))
 
 
 def request_status(requests: DataFrame, found: DataFrame) -> DataFrame:

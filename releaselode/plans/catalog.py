@@ -14,7 +14,7 @@ from ..functions import versions as V
 from ..operators import advisories, notes, risk, sources, upgrades, usage
 from ..sources import notes as landed
 from ..session import scratch
-from ..sources import registry, sinks
+from ..sources import attempts, registry, sinks
 from . import oracle as O
 from . import upgrade
 from .derive import table, view, with_views
@@ -36,9 +36,12 @@ def query(sql: str | None = None, *views: str, extra: str = ""):
 # ---- versions and paths
 
 
-@query(f"with {O.RELEASES} z as (select 1) select package, version, row_number() over (partition by package order by k, version) as ord from rel", "d_release")
+_BOTH = O.RELEASES.replace("d_release", "d_release_both")
+
+
+@query(f"with {_BOTH} z as (select 1) select ecosystem, package, version, row_number() over (partition by ecosystem, package order by k, version) as ord from rel", "d_release_both")
 def version_sort(spark, d):
-    return upgrades.version_order(view(spark, d, "d_release"))
+    return upgrades.version_order(view(spark, d, "d_release_both"))
 
 
 @query(f"with {O.PATH} z as (select 1) select package, version, step from steps", "d_request")
@@ -51,11 +54,11 @@ def bump_sequence(spark, d):
     return upgrades.upgrade_path(view(spark, d, "d_request"), view(spark, d, "d_release")).select("package", "version", "previous", "bump")
 
 
-@query(f"with {O.RELEASES} b as (select *, lag(k) over (partition by package order by k, version) as bk from rel) select package, version, {O.bump('bk', 'k')} as bump from b where bk is not null", "d_release")
+@query(f"with {_BOTH} b as (select *, lag(k) over (partition by ecosystem, package order by k, version) as bk from rel) select ecosystem, package, version, {O.bump('bk', 'k')} as bump from b where bk is not null", "d_release_both")
 def classify_bump(spark, d):
-    w = Window.partitionBy("package").orderBy("key", "version")
-    df = upgrades.releases(view(spark, d, "d_release")).withColumn("before", F.lag("key").over(w)).where("before is not null")
-    return df.select("package", "version", V.classify_bump(F.col("before"), F.col("key")).alias("bump"))
+    w = Window.partitionBy("ecosystem", "package").orderBy("key", "version")
+    df = upgrades.releases(view(spark, d, "d_release_both")).withColumn("before", F.lag("key").over(w)).where("before is not null")
+    return df.select("ecosystem", "package", "version", V.classify_bump(F.col("before"), F.col("key")).alias("bump"))
 
 
 @query(f"with {O.PATH} b as (select *, coalesce(lag(k) over (partition by package order by step), ck) as bk from steps), r as (select package, max(list_position(['patch', 'minor', 'major', 'prerelease'], {O.bump('bk', 'k')})) as m from b group by 1) select q.package, (['patch', 'minor', 'major', 'prerelease'])[coalesce(r.m, 1)] as bump from d_request q left join r on r.package = q.package", "d_request")
@@ -306,6 +309,34 @@ def version_partition(spark, d):
     return sources.resolve_source(view(spark, d, "d_candidate"), _NOTE_KEY).select(*_NOTE_KEY, sources.note_status().alias("status"))
 
 
+_OUTCOME = """with o as (select source, repo, request, arg_min(status, attempt) filter (where status is not null and attempt <= 3) as status, arg_min(body, attempt) filter (where status is not null and attempt <= 3) as body,
+ cast(coalesce(min(attempt) filter (where status is not null and attempt <= 3), 3) as integer) as attempts from d_attempt group by 1, 2, 3),
+s as (select *, case when status is null then 'network' when status = 403 and contains(lower(body), 'rate limit') then 'rate_limit' when status = 200 then 'ok' else 'missing' end as state from o) """
+
+
+@query(_OUTCOME + "select source, repo, request, state, attempts, case when state = 'ok' then body end as body from s", "d_attempt")
+def attempt_outcome(spark, d):
+    return attempts.outcomes(view(spark, d, "d_attempt"), ["source", "repo", "request"])
+
+
+_TEXTS = """, t as (select *, state in ('network', 'rate_limit') as bad, case when state = 'ok' then nullif(trim(regexp_extract(body, '"(body|message)": "([^"]*)"', 2)), '') end as said from s),
+v as (select distinct ecosystem, repo, package, version from d_release_both),
+r as (select v.ecosystem, v.package, v.version, arg_min(t.bad, i) as bad, arg_min(coalesce(t.said, ''), i) as said, arg_min(t.request, i) as tag from v cross join (select unnest([1, 2]) as i) k
+ join t on t.source = 'release' and t.repo = v.repo and t.request = case i when 1 then v.version else 'v' || v.version end where t.bad or t.said is not null group by 1, 2, 3),
+c as (select v.ecosystem, v.package, v.version, t.bad, '- ' || t.said as said, t.request from v join t on t.source = 'compare' and t.repo = v.repo and t.request = 'v0...v' || v.version where t.bad or t.said is not null),
+x as (select v.*, coalesce(r.bad, false) or coalesce(c.bad, false) as had_error, case when not r.bad then r.said end as posted, case when not c.bad then c.said end as listed, r.tag, c.request
+ from v left join r using (ecosystem, package, version) left join c using (ecosystem, package, version)) """
+
+
+@query(_OUTCOME + _TEXTS + """select ecosystem, package, version, case when posted is not null then 'GitHub Release Notes' when listed is not null then 'GitHub Commits' end as kind, coalesce(posted, listed) as notes_text,
+ case when posted is not null then 'https://github.com/' || repo || '/releases/tag/' || tag when listed is not null then 'https://github.com/' || repo || '/compare/' || request end as url, had_error,
+ case when coalesce(posted, listed) is not null then 'notes' when had_error then 'unavailable' else 'no_notes' end as status from x""", "d_attempt")
+def resolved_notes(spark, d):
+    versions = view(spark, d, "d_release_both", "select distinct ecosystem, repo, package, version, '0' as previous from d_release_both")
+    out = upgrade.resolved_notes(versions, upgrade.Landed(responses=view(spark, d, "d_attempt")))
+    return out.select(*_NOTE_KEY, "kind", "notes_text", "url", "had_error", sources.note_status().alias("status"))
+
+
 @query(f"select doc_id, cast(len({O.word_set('text')}) as bigint) as n_words from documents")
 def word_set(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(T.word_set(F.col("text"))).cast("long").alias("n_words"))

@@ -58,9 +58,21 @@ select v.package || '/' || a.adapter as repo, case when v.n % 3 = 0 then 'master
   when a.mode = 'section' then '# Notes' || chr(10) || '## ' || v.version || ' (x)' || chr(10) || '- Added ' || v.version || chr(10) || '## 0.0.1' || chr(10) || '- old'
   else 'Notes of ' || v.version end as text
  from d_adapter a cross join (select package, version, min(o_orderkey) as n from d_release group by package, version) v""",
+    # one name in both registries; some of them are kept in one repository
+    "d_release_both": """
+select o_orderkey, case when o_orderkey % 3 = 0 then case ecosystem when 'pypi' then 'npm' else 'pypi' end else ecosystem end as ecosystem, package, version, n_files,
+ case when package like 'pkg0%' then 'org' else case when o_orderkey % 3 = 0 then case ecosystem when 'pypi' then 'npm' else 'pypi' end else ecosystem end end || '/' || package as repo from d_release""",
+    # four attempts at two tags and a comparison of every version: no network, a rate limit, late answers, answers without text, answers that came too late
+    "d_attempt": """
+select source, repo, request, attempt, case when c in (2, 5) and attempt < case c when 2 then 2 else 4 end then null when c = 0 then null when c = 1 or c = 7 then 403 when c = 3 then 404 when c = 6 then 500 else 200 end as status,
+ case when c = 1 then 'API rate limit exceeded' when c = 7 then 'forbidden' when c in (3, 6) then '' when source = 'release' then '{"body": "' || case c when 4 then '  ' else 'Notes of ' || request end || '"}'
+  when c = 4 then '{"commits": []}' else '{"commits": [{"commit": {"message": "first of ' || request || '"}}]}' end as body
+ from (select k.source, v.repo, case k.i when 1 then v.version when 2 then 'v' || v.version else 'v0...v' || v.version end as request, k.attempt, (v.n + 3 * k.i) % 8 as c
+  from (select repo, version, min(o_orderkey) as n from d_release_both group by repo, version) v
+  cross join (select i.i, a.attempt, case when i.i = 3 then 'compare' else 'release' end as source from (select 1 as i union all select 2 union all select 3) i cross join (select 1 as attempt union all select 2 union all select 3 union all select 4) a) k) x""",
 }
 #: Which views a view reads.
-NEEDS = {"d_request": ["d_release"], "d_note_line": ["d_release"], "d_changelog": ["d_release", "d_note_line"], "d_candidate": ["d_release"], "d_landed_file": ["d_release"]}
+NEEDS = {"d_release_both": ["d_release"], "d_attempt": ["d_release_both"], "d_request": ["d_release"], "d_note_line": ["d_release"], "d_changelog": ["d_release", "d_note_line"], "d_candidate": ["d_release"], "d_landed_file": ["d_release"]}
 
 
 def needed(*names: str) -> list[str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed as X
@@ -13,9 +13,10 @@ from ..functions import text as T
 from ..operators import notes as N
 from ..operators import report, risk, usage
 from ..operators.advisories import advisory_matches
-from ..operators.sources import cross_check, note_status
+from ..operators.sources import PRIORITY, cache_get, cross_check, note_status
 from ..operators.upgrades import releases, request_status, upgrade_path
 from ..session import stored
+from ..sources import attempts, landing
 from ..sources import notes as sources
 
 KEY = ["ecosystem", "package", "current_version", "target_version"]
@@ -25,7 +26,8 @@ KEY = ["ecosystem", "package", "current_version", "target_version"]
 class Inputs:
     """requests: KEY. releases: ecosystem, package, version. notes: ecosystem, package, version, kind, notes_text, url, unavailable and,
     where two sources were compared, cross_text, cross_url, discrepancy. advisories and notices (package, version, text, url)
-    and files (path, content) of a project may be None."""
+    and files (path, content) of a project may be None. packages: ecosystem, package, repo; where it is given, requests of packages
+    without a repository are told so."""
 
     requests: DataFrame
     releases: DataFrame
@@ -36,6 +38,7 @@ class Inputs:
     answers: DataFrame | None = None
     scan_root: str = "project"
     prereleases: bool = False
+    packages: DataFrame | None = None
 
 
 def merged_lines(steps: DataFrame, i: Inputs, fold: str = "New Deprecations") -> DataFrame:
@@ -60,7 +63,7 @@ def merged_lines(steps: DataFrame, i: Inputs, fold: str = "New Deprecations") ->
     if i.advisories is not None:
         # advisories keep the order of their list
         hits = advisory_matches(steps.select(*KEY, "version", "step"), i.advisories)
-        line = F.concat(F.lit("["), F.upper("severity"), F.lit("] "), "summary")
+        line = F.concat(F.lit("["), F.upper(F.coalesce("severity", F.lit("unknown"))), F.lit("] "), F.coalesce("summary", F.lit("")))
         rows = rows.unionByName(hits.select(*KEY, F.lit("Security Updates").alias("category"), F.lit(2).alias("src_ord"), F.col("step").alias("version_ord"), F.col("advisory").cast("long").alias("entry_ord"), "version", F.trim(line).alias("line"), F.col("advisory_url").alias("url")))
     out = N.merged(rows, KEY, ["src_ord", "version_ord", "entry_ord"], "line")
     # later sources come after all notes of a category
@@ -103,6 +106,8 @@ def discrepancies(steps: DataFrame, i: Inputs) -> DataFrame:
 
 #: What a request without a report is told.
 MESSAGES = {
+    "blank_input": "The package, the current version and the target version are all needed.",
+    "no_repository": "No repository is known for this package, so there is no place to look for release notes or a changelog.",
     "current_not_found": "The current version is not among the releases of this package.",
     "target_not_found": "The target version is not among the releases of this package.",
     "not_newer": "The target version is not newer than the current version.",
@@ -121,7 +126,12 @@ def upgrade_reports(i: Inputs, legacy: bool = False) -> DataFrame:
     signals = lines.where("version_ord >= 1000000").select(*KEY).distinct().withColumn("signal", F.lit(True))
     asked = request_status(i.requests.select(*KEY).distinct(), releases(i.releases)).select(*KEY, "status").join(seen, KEY, "left").join(signals, KEY, "left")
     told = F.coalesce("notes", F.lit(False)) | F.coalesce("signal", F.lit(False))
-    why = F.when(F.col("status") != "ok", F.col("status")).when(F.col("notes").isNull(), "no_versions").when(~told & F.col("all_unavailable"), "unavailable").when(~told, "nothing_found").otherwise("ok")
+    blank = reduce(lambda a, b: a | b, (F.trim(F.coalesce(c, F.lit(""))) == "" for c in KEY[1:]))
+    homeless = F.lit(False)
+    if i.packages is not None:
+        homes = i.packages.groupBy("ecosystem", "package").agg(F.max("repo").alias("repo"))
+        asked, homeless = asked.join(homes, ["ecosystem", "package"], "left"), F.col("repo").isNull()
+    why = F.when(blank, "blank_input").when(F.col("status") != "ok", F.col("status")).when(F.col("notes").isNull(), "no_versions").when(homeless, "no_repository").when(~told & F.col("all_unavailable"), "unavailable").when(~told, "nothing_found").otherwise("ok")
     asked = stored(asked.select(*KEY, why.alias("status")), "request-status")
     made = _reports(i, asked.where("status = 'ok'").select(*KEY), steps, lines, status, legacy)
     message = F.try_element_at(F.create_map(*(F.lit(x) for kv in MESSAGES.items() for x in kv)), F.col("status"))
@@ -155,25 +165,95 @@ def _reports(i: Inputs, requests: DataFrame, steps: DataFrame, lines: DataFrame,
     return report.summary_report(requests.join(bumps, KEY), KEY, lines, changes, facts, differ, status, scan)
 
 
-def resolved_notes(versions: DataFrame, adapters: DataFrame | None = None, posts: DataFrame | None = None, files: DataFrame | None = None, compares: DataFrame | None = None) -> DataFrame:
-    """Inputs.notes of versions (ecosystem, repo, package, version, previous) from landed sources, in their order of priority.
+@dataclass
+class Landed:
+    """What a loader has landed. adapters, files: repo, branch, path, text. posts: repo, tag, body. compares: repo, old_tag, new_tag, messages.
+    responses: the log of attempts (see sources.attempts), which stands for posts and compares and knows of failures. notices: package,
+    version, text, url of npm. Each may be None, and laid out by landing.land."""
+
+    adapters: DataFrame | None = None
+    posts: DataFrame | None = None
+    files: DataFrame | None = None
+    compares: DataFrame | None = None
+    responses: DataFrame | None = None
+    notices: DataFrame | None = None
 
-    adapters, files: repo, branch, path, text. posts: repo, tag, body. compares: repo, old_tag, new_tag, messages. A version without
-    any is there with null text."""
-    at = ["ecosystem", "package", "version"]
-    plain = versions.select("repo", "package", "version").distinct()
+
+AT = ["ecosystem", "package", "version"]
+PLACE = ["repo", "package", "version"]
+
+
+def _candidates(versions: DataFrame, landed: Landed) -> DataFrame | None:
+    """AT, prio, kind, notes_text, source, url, had_error: what each source has. A source is asked by repository, so that two
+    packages of one name in two registries never meet."""
+    plain = versions.where("repo is not null").select(*PLACE).distinct()
+    chained = versions.where("repo is not null").select(*PLACE, "previous").distinct()
+    of = lambda df: landing.of_repositories(df, plain)
     found = []
-    for prio, (kind, landed, read) in enumerate((("known_adapter", adapters, sources.adapter_notes), ("github_release", posts, sources.release_notes), ("changelog", files, sources.changelog_notes), ("commits", compares, sources.commit_notes)), 1):
-        if landed is not None:
-            got = read(versions.select("repo", "package", "version", "previous") if kind == "commits" else plain, landed)
-            found.append(got.select("package", "version", F.lit(prio).alias("prio"), F.lit(kind).alias("kind"), F.col("text").alias("notes_text"), "source", "url"))
-    base = versions.select(*at)
-    if not found:
-        return base.withColumns({c: F.lit(None).cast("string") for c in ("kind", "notes_text", "url", "cross_text", "cross_url")} | {c: F.lit(False) for c in ("had_error", "unavailable", "discrepancy")})
-    rows = base.join(stored(reduce(DataFrame.unionByName, found), "candidates"), ["package", "version"], "left")
-    checked = cross_check(rows.withColumn("had_error", F.lit(False)), at)
-    link = rows.where("kind is not null").select(*at, "kind", "source", "url")
-    out = checked.join(link, [*at, "kind"], "left")
-    cross = link.where("kind = 'github_release'").select(*at, F.col("url").alias("cross_url"))
-    out = out.join(cross, at, "left").withColumn("cross_url", F.when(F.col("cross_text").isNotNull(), F.col("cross_url")))
-    return out.select(*at, F.col("source").alias("kind"), "notes_text", "url", "cross_text", "cross_url", "had_error", "unavailable", "discrepancy")
+
+    def add(kind: str, got: DataFrame, key: list[str]) -> None:
+        got = got if "had_error" in got.columns else got.withColumn("had_error", F.lit(False))
+        rows = versions.join(got, key)
+        found.append(rows.select(*AT, F.lit(PRIORITY.index(kind) + 1).alias("prio"), F.lit(kind).alias("kind"), F.col("text").alias("notes_text"), "source", "url", "had_error"))
+
+    if landed.adapters is not None:
+        add("known_adapter", sources.adapter_notes(plain, of(landed.adapters)), PLACE)
+    if landed.posts is not None:
+        add("github_release", sources.release_notes(plain, of(landed.posts)), PLACE)
+    elif landed.responses is not None:
+        add("github_release", attempts.release_candidates(plain, of(landed.responses)), PLACE)
+    if landed.files is not None:
+        add("changelog", sources.changelog_notes(plain, of(landed.files)), PLACE)
+    by = [*PLACE, "previous"]
+    if landed.compares is not None:
+        add("commits", sources.commit_notes(chained, of(landed.compares), tuple(by)), by)
+    elif landed.responses is not None:
+        add("commits", attempts.commit_candidates(chained, of(landed.responses), by), by)
+    return reduce(DataFrame.unionByName, found) if found else None
+
+
+def resolved_notes(versions: DataFrame, landed: Landed, cache: DataFrame | None = None, now: Column | None = None) -> DataFrame:
+    """Inputs.notes of versions (ecosystem, repo, package, version, previous) from landed sources, in their order of priority.
+
+    One row for each ecosystem, package and version; of rows that repeat one the smallest repository and previous version count. A version
+    without notes is there with null text; `unavailable` says that a source failed. Further columns: state (hit, none or miss), has_repo, and
+    notice_text and notice_url of npm versions.
+
+    cache: AT, found, notes, origin, url, cached_at. Versions with a live entry are answered from it, without a second source or notice, and
+    the sources of their repositories are not read unless others need them; see cache_entries for what goes back."""
+    base = versions.groupBy(*AT).agg(F.min(F.struct("repo", "previous")).alias("v")).select(*AT, "v.*")
+    if cache is not None:
+        known = cache_get(base, cache, AT, F.current_timestamp() if now is None else now, ("origin", "url"))
+        known = stored(known.select(*base.columns, "state", F.col("notes").alias("known_text"), F.col("origin").alias("known_source"), F.col("url").alias("known_url")), "known-notes")
+        base = known.where("state = 'miss'").select(*base.columns)
+    none = F.lit(None).cast("string")
+    found = _candidates(base, landed)
+    if found is None:
+        out = base.withColumns({c: none for c in ("source", "notes_text", "url", "cross_text", "cross_url")} | {c: F.lit(False) for c in ("had_error", "unavailable", "discrepancy")})
+    else:
+        checked = cross_check(found, AT, ("source", "url")).drop("prio", "kind", "cross_source")
+        out = base.join(checked, AT, "left").fillna(False, ["had_error", "unavailable", "discrepancy"])
+    if landed.notices is not None:
+        notices = landed.notices.select(F.lit("npm").alias("ecosystem"), "package", "version", F.col("text").alias("notice_text"), F.col("url").alias("notice_url"))
+        out = out.join(notices.dropDuplicates(AT), AT, "left")
+        out = out.withColumns({c: F.when(F.col("repo").isNotNull(), F.col(c)) for c in ("notice_text", "notice_url")})
+    else:
+        out = out.withColumns({"notice_text": none, "notice_url": none})
+    out = out.withColumn("state", F.lit("miss"))
+    columns = [*AT, F.col("source").alias("kind"), "notes_text", "url", "cross_text", "cross_url", "had_error", "unavailable", "discrepancy", "state", F.col("repo").isNotNull().alias("has_repo"), "notice_text", "notice_url"]
+    if cache is not None:
+        # what the cache knows goes beside it
+        hits = known.where("state != 'miss'").withColumns({"source": F.col("known_source"), "notes_text": F.col("known_text"), "url": F.col("known_url")} | {c: none for c in ("cross_text", "cross_url", "notice_text", "notice_url")} | {c: F.lit(False) for c in ("had_error", "unavailable", "discrepancy")})
+        return out.select(*columns).unionByName(hits.select(*columns))
+    return out.select(*columns)
+
+
+def cache_entries(resolved: DataFrame, now: Column) -> DataFrame:
+    """What resolved_notes found out for certain: AT, found, notes, origin, url, cached_at. Where a source failed, or there is no repository, nothing is."""
+    sure = resolved.where("state = 'miss' and has_repo and not unavailable")
+    return sure.select(*AT, F.col("notes_text").isNotNull().alias("found"), F.col("notes_text").alias("notes"), F.col("kind").alias("origin"), "url", now.alias("cached_at"))
+
+
+def notices_of(resolved: DataFrame) -> DataFrame:
+    """Inputs.notices of resolved notes."""
+    return resolved.where("ecosystem = 'npm' and notice_text is not null").select("package", "version", F.col("notice_text").alias("text"), F.col("notice_url").alias("url"))

@@ -30,15 +30,26 @@ def blob_url(repo: Column, branch: Column, path: Column) -> Column:
     return F.concat(F.lit("https://github.com/"), repo, F.lit("/blob/"), branch, F.lit("/"), path)
 
 
-def release_notes(versions: DataFrame, posts: DataFrame) -> DataFrame:
-    """versions: repo, package, version. Six spellings of the tag are tried in order."""
+def release_tags(versions: DataFrame) -> DataFrame:
+    """repo, package, version with i, tag: six spellings in the order in which they are tried."""
     v, name = F.col("version"), F.substring_index("repo", "/", -1)
     tags = F.array(v, F.concat(F.lit("v"), v), F.concat(F.lit("V"), v), F.concat(F.lit("release-"), v), F.concat(name, F.lit("-"), v), F.concat(F.col("package"), F.lit("=="), v))
-    asked = versions.select("repo", "package", "version", F.posexplode(tags).alias("i", "tag"))
+    return versions.select("repo", "package", "version", F.posexplode(tags).alias("i", "tag"))
+
+
+def first_release(asked: DataFrame, got: DataFrame) -> DataFrame:
+    """got: repo, tag, text, html_url, had_error. The first tag that is there decides."""
+    best = asked.join(got, ["repo", "tag"]).groupBy("repo", "package", "version").agg(F.min(F.struct("i", "had_error", "tag", "text", "html_url")).alias("b"))
+    fine = lambda c: F.when(~F.col("b.had_error"), c)
+    url = F.coalesce("b.html_url", F.concat(F.lit("https://github.com/"), "repo", F.lit("/releases/tag/"), "b.tag"))
+    return best.select("repo", "package", "version", F.lit("GitHub Release Notes").alias("source"), fine(F.col("b.text")).alias("text"), fine(url).alias("url"), F.col("b.had_error").alias("had_error"))
+
+
+def release_notes(versions: DataFrame, posts: DataFrame) -> DataFrame:
+    """versions: repo, package, version. Six spellings of the tag are tried in order."""
     link = F.col("html_url") if "html_url" in posts.columns else F.lit(None).cast("string").alias("html_url")
-    body = posts.select("repo", "tag", T.strip(F.coalesce("body", F.lit(""))).alias("text"), link).where("text != ''")
-    best = asked.join(body, ["repo", "tag"]).groupBy("repo", "package", "version").agg(F.min_by(F.struct("tag", "text", "html_url"), "i").alias("b"))
-    return best.select("repo", "package", "version", F.lit("GitHub Release Notes").alias("source"), F.col("b.text").alias("text"), F.coalesce("b.html_url", F.concat(F.lit("https://github.com/"), "repo", F.lit("/releases/tag/"), "b.tag")).alias("url"))
+    got = posts.select("repo", "tag", T.strip(F.coalesce("body", F.lit(""))).alias("text"), link, F.lit(False).alias("had_error"))
+    return first_release(release_tags(versions), got.where("text != ''")).drop("had_error")
 
 
 def changelog_notes(versions: DataFrame, files: DataFrame) -> DataFrame:
@@ -58,15 +69,26 @@ def _ranked_names(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "branch string, path string, i int")
 
 
-def commit_notes(versions: DataFrame, compares: DataFrame) -> DataFrame:
-    """versions: repo, package, version, previous. compares: repo, old_tag, new_tag, messages array<string>."""
+def compare_pairs(versions: DataFrame, key: list[str]) -> DataFrame:
+    """key with i, old_tag, new_tag: both spellings of the previous version with both of the version."""
     pairs = F.flatten(F.transform(F.array(F.concat(F.lit("v"), "previous"), F.col("previous")), lambda o: F.transform(F.array(F.concat(F.lit("v"), "version"), F.col("version")), lambda n: F.struct(o.alias("old_tag"), n.alias("new_tag")))))
-    asked = versions.where("previous is not null and previous != ''").select("repo", "package", "version", F.posexplode(pairs).alias("i", "p")).select("repo", "package", "version", "i", "p.*")
-    heads = F.filter(F.transform("messages", lambda m: F.substring_index(m, "\n", 1)), lambda m: T.strip(m) != "")
-    got = asked.join(compares.withColumn("heads", heads).where(F.size("heads") > 0), ["repo", "old_tag", "new_tag"])
-    best = got.groupBy("repo", "package", "version").agg(F.min_by(F.struct("old_tag", "new_tag", "heads"), "i").alias("b"))
+    return versions.where("previous is not null and previous != ''").select(*key, F.posexplode(pairs).alias("i", "p")).select(*key, "i", "p.*")
+
+
+def first_compare(asked: DataFrame, got: DataFrame, key: list[str]) -> DataFrame:
+    """got: repo, old_tag, new_tag, messages, had_error. The first pair that has messages, or failed, decides."""
+    heads = F.filter(F.transform(F.coalesce("messages", F.array().cast("array<string>")), lambda m: F.substring_index(m, "\n", 1)), lambda m: T.strip(m) != "")
+    got = got.withColumn("heads", heads).where(F.col("had_error") | (F.size("heads") > 0))
+    best = asked.join(got, ["repo", "old_tag", "new_tag"]).groupBy(*key).agg(F.min(F.struct("i", "had_error", "old_tag", "new_tag", "heads")).alias("b"))
+    fine = lambda c: F.when(~F.col("b.had_error"), c)
     text = F.array_join(F.transform("b.heads", lambda m: F.concat(F.lit("- "), m)), "\n")
-    return best.select("repo", "package", "version", F.lit("GitHub Commits").alias("source"), text.alias("text"), F.concat(F.lit("https://github.com/"), "repo", F.lit("/compare/"), "b.old_tag", F.lit("..."), "b.new_tag").alias("url"))
+    url = F.concat(F.lit("https://github.com/"), "repo", F.lit("/compare/"), "b.old_tag", F.lit("..."), "b.new_tag")
+    return best.select(*key, F.lit("GitHub Commits").alias("source"), fine(text).alias("text"), fine(url).alias("url"), F.col("b.had_error").alias("had_error"))
+
+
+def commit_notes(versions: DataFrame, compares: DataFrame, key: tuple[str, ...] = ("repo", "package", "version")) -> DataFrame:
+    """versions: key with previous. compares: repo, old_tag, new_tag, messages array<string>."""
+    return first_compare(compare_pairs(versions, [*key]), compares.withColumn("had_error", F.lit(False)), [*key]).drop("had_error")
 
 
 def adapter_table(spark: SparkSession) -> DataFrame:

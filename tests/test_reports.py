@@ -377,8 +377,8 @@ def test_notes_from_landed_sources(spark):
     raw = spark.createDataFrame([("o/flask", "main", "CHANGES.rst", "## 1.1\n- Added a door\n## 1.0\n- old")], "repo string, branch string, path string, text string")
     posts = spark.createDataFrame([("o/flask", "v1.1", "wholly other prose here"), ("o/flask", "1.2", "posted")], "repo string, tag string, body string")
     compares = spark.createDataFrame([("o/q", "v2.0", "v3.0", ["first\nmore", "second"])], "repo string, old_tag string, new_tag string, messages array<string>")
-    got = {(r.package, r.version): r for r in upgrade.resolved_notes(versions, raw, posts, None, compares).collect()}
+    got = {(r.package, r.version): r for r in upgrade.resolved_notes(versions, upgrade.Landed(raw, posts, None, compares)).collect()}
     one = got["flask", "1.1"]
     assert (one.kind, one.notes_text, one.cross_text, one.cross_url, one.discrepancy) == ("Flask Official Changelog", "- Added a door", "wholly other prose here", "https://github.com/o/flask/releases/tag/v1.1", True)
     assert (got["flask", "1.2"].notes_text, got["q", "3.0"].notes_text, got["q", "4.0"].notes_text) == ("posted", "- first\n- second", None)
-    assert upgrade.resolved_notes(versions).where("notes_text is null and not discrepancy").count() == 4
+    assert upgrade.resolved_notes(versions, upgrade.Landed()).where("notes_text is null and not discrepancy").count() == 4
