@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import disagree
@@ -57,3 +57,21 @@ def cache_get(asked: DataFrame, cache: DataFrame, key: list[str], now: Column, c
     out = asked.join(cache.select(*key, "found", "notes", "cached_at", *carry), key, "left")
     out = out.withColumn("state", F.when(F.coalesce(live, F.lit(False)) & F.col("found"), "hit").when(F.coalesce(live, F.lit(False)), "none").otherwise("miss"))
     return out.withColumns({c: F.when(F.col("state") == "hit", F.col(c)) for c in ("notes", *carry)}).drop("found", "cached_at")
+
+
+def cache_lookups(events: DataFrame, key: list[str]) -> DataFrame:
+    """key, at, ask, state, notes of every row that asks, by the entries that were put until then.
+
+    events: key, at, ask (null for an entry), prio, found, notes. Of each priority the latest entry counts while it lives (30 days if notes
+    were found, one day if not); of these one with notes comes first, then the one of the higher priority. A running value over a
+    key's events, so a busy key is sorted and read once, never held."""
+    w = Window.partitionBy(*key).orderBy("at", F.col("ask").isNotNull(), "found", F.coalesce("notes", F.lit(""))).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    entry = F.struct(F.col("at").alias("put"), "found", "notes")
+    latest = [F.last(F.when(F.col("ask").isNull() & (F.col("prio") == i), entry), ignorenulls=True).over(w) for i in range(1, len(PRIORITY) + 1)]
+    age = lambda x: F.unix_timestamp(F.col("at")) - F.unix_timestamp(x["put"])
+    live = lambda x: x.isNotNull() & (age(x) <= F.when(x["found"], FOUND_TTL).otherwise(MISSING_TTL))
+    ranked = F.transform(F.filter(F.array(*latest), live), lambda x: F.struct((~x["found"]).alias("empty"), x["notes"].alias("notes")))
+    found = F.filter(ranked, lambda x: ~x["empty"])
+    out = events.withColumns({"_live": ranked, "_found": found}).where("ask is not null")
+    state = F.when(F.size("_found") > 0, "hit").when(F.size("_live") > 0, "none").otherwise("miss")
+    return out.select(*key, "at", "ask", state.alias("state"), F.get("_found", F.lit(0))["notes"].alias("notes"))

@@ -378,6 +378,19 @@ def cache_get(spark, d):
     return sources.cache_get(asked, cache.where("package != 'u7'"), _CACHE_KEY, F.col("now")).select(*_CACHE_KEY, "state", "notes")
 
 
+_EVENTS = """select 'pypi' as ecosystem, 'u' || cast(user_id % 50 as string) as package, event_type as version, cast(ts as timestamp) as at, case when event_id % 3 = 0 then event_id end as ask,
+ case when event_id % 3 > 0 then cast(1 + event_id % 4 as int) end as prio, case when event_id % 3 > 0 then value > 12 end as found, case when event_id % 3 > 0 and value > 12 then 'n' || cast(event_id as string) end as notes from events"""
+
+
+@query(f"""with e as ({_EVENTS}), g as (select * from e where ask is not null), p as (select * from e where ask is null),
+l as (select g.ecosystem, g.package, g.version, g."at", g.ask, p.prio, max({{'t': p."at", 'found': p.found, 'notes': coalesce(p.notes, '')}}) as x from g left join p on p.package = g.package and p.version = g.version and p."at" <= g."at" group by all),
+m as (select *, coalesce(floor(epoch("at")) - floor(epoch(x.t)) <= case when x.found then 2592000 else 86400 end, false) as live from l)
+select ecosystem, package, version, "at", ask, case when bool_or(live and x.found) then 'hit' when bool_or(live) then 'none' else 'miss' end as state, arg_min(x.notes, prio) filter (where live and x.found) as notes from m group by all""")
+def cache_lookups(spark, d):
+    events = spark.sql(f"with events as (select * from parquet.`{d}/events.parquet`) {_EVENTS}")
+    return sources.cache_lookups(events, _NOTE_KEY).withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
 @query("select distinct ecosystem, package, version, substr(sha256(ecosystem || ':' || package || ':' || version || ':resolved'), 1, 24) || '.json' as file from d_release", "d_release")
 def cache_key(spark, d):
     c = F.col

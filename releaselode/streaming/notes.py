@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.sources import resolve_source
+from ..operators.sources import FOUND_TTL, MISSING_TTL, resolve_source
 
 KEY = ["ecosystem", "package", "version"]
 CANDIDATES = "ecosystem string, package string, version string, prio int, kind string, notes_text string, had_error boolean, landed_at timestamp"
@@ -29,8 +29,7 @@ def keep_cache(candidates: DataFrame, cache: str, checkpoint: str, compact_every
     """Each batch resolves its versions and adds one generation of entries (prio, found, notes, cached_at) to the cache; versions whose
     sources were unavailable are left for a later batch. A batch that is repeated replaces its own generation.
 
-    Entries keep the priority of their source, so what lands later replaces an entry only from a source of the same or a higher
-    priority. Every `compact_every` batches all generations are merged into one; those merged before that go."""
+    Entries keep the priority of their source: the latest one of each priority stays, and readers choose among those that live. Every `compact_every` batches all generations are merged into one; those merged before that go."""
 
     def upsert(batch: DataFrame, number: int) -> None:
         at = batch.groupBy(*KEY).agg(F.max("landed_at").alias("cached_at"))
@@ -40,7 +39,7 @@ def keep_cache(candidates: DataFrame, cache: str, checkpoint: str, compact_every
         if number % compact_every == compact_every - 1:
             # merged entries under the next number; a generation that was merged, but is still there, changes nothing
             spark = batch.sparkSession
-            read_cache(spark, cache).write.mode("overwrite").parquet(f"{cache}/generation={2 * number + 1}")
+            _entries(spark, cache).write.mode("overwrite").parquet(f"{cache}/generation={2 * number + 1}")
             _drop_before(spark, cache, 2 * (number - compact_every) + 1)
 
     return candidates.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -57,8 +56,19 @@ def _drop_before(spark: SparkSession, cache: str, number: int) -> None:
             fs.delete(f.getPath(), True)
 
 
-def read_cache(spark: SparkSession, cache: str) -> DataFrame:
-    """One entry of each key over all generations: one with notes before one without, then by priority, then the latest."""
+def _entries(spark: SparkSession, cache: str) -> DataFrame:
+    """The latest entry of each key and priority over all generations; of one time, one with notes."""
     rows = spark.read.parquet(cache).drop("generation")
-    best = F.struct((~F.col("found")).alias("o"), "prio", (-F.unix_micros("cached_at")).alias("t"), "found", "notes", "cached_at")
+    latest = F.max(F.struct("cached_at", "found", "notes")).alias("e")
+    return rows.groupBy(*KEY, "source", "prio").agg(latest).select(*KEY, "source", "prio", "e.found", "e.notes", "e.cached_at")
+
+
+def read_cache(spark: SparkSession, cache: str, now: Column | None = None) -> DataFrame:
+    """One entry of each key: one with notes before one without, then by priority. Where `now` is given, only of those that still live
+    then, so that an old entry never hides a later one of lower priority."""
+    rows = _entries(spark, cache)
+    if now is not None:
+        age = F.unix_timestamp(now) - F.unix_timestamp("cached_at")
+        rows = rows.where(age <= F.when(F.col("found"), FOUND_TTL).otherwise(MISSING_TTL))
+    best = F.struct((~F.col("found")).alias("o"), "prio", "found", "notes", "cached_at")
     return rows.groupBy(*KEY, "source").agg(F.min(best).alias("b")).select(*KEY, "source", "b.prio", "b.found", "b.notes", "b.cached_at")
