@@ -743,10 +743,11 @@ def _places(spark, d):
     return view(spark, d, "d_usage").where("status_rank > 0").select(F.col("api").alias("name"), F.lit(False).alias("is_attribute"), F.col("status_rank").alias("rank"), path.alias("path"), (F.col("n_files") % 2 == 0).alias("is_test"))
 
 
-@query("select s.severity, u.usage, " + O.risk("s.severity", "u.usage") + " as risk from (values ('HIGH'), ('MEDIUM'), ('LOW'), ('INFO')) s(severity), (values ('NOT_SCANNED'), ('SCANNED_CONFIRMED'), ('SCANNED_POTENTIAL'), ('SCANNED_NOT_FOUND')) u(usage)")
+@query(f"with {_CHANGES} z as (select 1) select severity as baseline_severity, status as usage_status, {O.risk('severity', 'status')} as risk, count(*) as n from ch group by 1, 2, 3", "d_note_line", "d_usage")
 def risk_matrix(spark, d):
-    rows = spark.createDataFrame([(s, u) for s in X.RISKS for u in X.USAGE], "severity string, usage string")
-    return rows.select("severity", "usage", T.risk(F.col("severity"), F.col("usage")).alias("risk"))
+    """The cells of the matrix that changes fall into, scanned."""
+    rows = _changes(spark, d).select("baseline_severity", "usage_status")
+    return rows.withColumn("risk", T.risk(F.col("baseline_severity"), F.col("usage_status"))).groupBy("baseline_severity", "usage_status", "risk").agg(F.count("*").alias("n"))
 
 
 @query(f"with {_CHANGES} z as (select 1) select l_orderkey, l_linenumber, category, kind as change_type, api as affected_api, operation as affected_operation, replacement as replacement_api, confidence as extraction_confidence, severity as baseline_severity, status as usage_status, {O.risk('severity', 'status')} as risk, {O.title('api', 'operation', 'kind', 'category')} as title, {O.advice('kind', 'api', 'operation', 'replacement')} as recommendation from ch", "d_note_line", "d_usage")

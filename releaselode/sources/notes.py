@@ -97,32 +97,36 @@ def adapter_table(spark: SparkSession) -> DataFrame:
 
 
 def adapter_notes(versions: DataFrame, files: DataFrame) -> DataFrame:
-    """Notes of packages that keep them in a known place; versions without a minor part have none where the path needs it."""
+    """Notes of packages that keep them in a known place; versions without a minor part have none where the path needs it.
+
+    files: one row for each repo, branch and path. A file of many versions is picked by its place and cut once; its sections or blocks
+    meet the versions by their numbers, so a whole text never does."""
     known = F.broadcast(adapter_table(versions.sparkSession))
     parts = F.split("version", r"\.")
     minor = F.get(parts, F.lit(1))
     path = F.replace(F.replace(F.replace(F.col("template"), F.lit("{v}"), F.col("version")), F.lit("{maj}"), F.get(parts, F.lit(0))), F.lit("{min}"), F.coalesce(minor, F.lit("")))
     asked = versions.select("repo", "package", "version", F.lower(T.strip(F.col("package"))).alias("adapter")).join(known, "adapter")
     asked = asked.where(~F.contains("template", F.lit("{maj}")) | minor.isNotNull()).withColumn("path", path)
-    hits = asked.join(raw_files(files).select("repo", "branch", "path", "text"), ["repo", "branch", "path"])
     key = ["repo", "branch", "path"]
-    whole = hits.where("mode = 'file'").select("repo", "package", "version", "branch_ord", "branch", "path", "source", "text")
-    cut_files = hits.where("mode = 'section'").select(*key, "text").distinct()
-    cut = version_sections(exploded_lines(cut_files, key), key)
-    found = sections_of(hits.where("mode = 'section'").select(*key, "version").distinct(), cut, key).withColumnRenamed("body", "text")
-    sections = hits.where("mode = 'section'").drop("text").join(found, [*key, "version"]).select("repo", "package", "version", "branch_ord", "branch", "path", "source", "text")
-    blocks = directive_blocks(hits.where("mode = 'directive'"))
+    texts = raw_files(files).select(*key, "text")
+    columns = ["repo", "package", "version", "branch_ord", "branch", "path", "source", "text"]
+    of = {mode: asked.where(F.col("mode") == mode) for mode in ("file", "section", "directive")}
+    picked = lambda mode: texts.join(of[mode].select(*key).distinct(), key, "left_semi")
+    whole = of["file"].join(texts, key).select(*columns)
+    cut = version_sections(exploded_lines(picked("section"), key), key)
+    found = sections_of(of["section"].select(*key, "version").distinct(), cut, key).withColumnRenamed("body", "text")
+    sections = of["section"].join(found, [*key, "version"]).select(*columns)
+    blocks = of["directive"].join(directive_blocks(picked("directive"), key), [*key, "version"]).select(*columns)
     best = whole.union(sections).union(blocks).groupBy("repo", "package", "version").agg(F.min(F.struct("branch_ord", "branch", "path", "source", "text")).alias("b"))
     anchor = F.when(F.lower(T.strip(F.col("package"))) == "fastapi", F.concat(F.lit("#"), F.replace("version", F.lit("."), F.lit("")))).otherwise("")
     return best.select("repo", "package", "version", "b.source", "b.text", F.concat(blob_url(F.col("repo"), F.col("b.branch"), F.col("b.path")), anchor).alias("url"))
 
 
-def directive_blocks(hits: DataFrame) -> DataFrame:
-    """Of files in `.. changelog::` blocks, the prose of the block with exactly this `:version:`."""
+def directive_blocks(files: DataFrame, key: list[str]) -> DataFrame:
+    """key, version, text: the prose of each file's `.. changelog::` blocks by their `:version:`; the first of a version that says anything."""
     chunks = F.slice(F.split("text", r"(?<=^|\n)\.\. changelog::\s*\n"), 2, 1 << 30)
-    rows = hits.select("repo", "package", "version", "branch_ord", "branch", "path", "source", F.posexplode(chunks).alias("i", "chunk"))
     pattern = r"(?s)^\s*:version:\s*([\d.]+)(.*)$"
-    rows = rows.where(F.regexp_extract("chunk", pattern, 1) == F.col("version"))
+    rows = files.select(*key, F.posexplode(chunks).alias("i", "chunk")).withColumn("version", F.regexp_extract("chunk", pattern, 1)).where("version != ''")
     body = F.regexp_replace(F.regexp_replace(F.regexp_extract("chunk", pattern, 2), r"(?m)^\s*:\w[\w-]*:.*$", ""), r"\.\. change::\s*", "")
     body = T.strip(F.regexp_replace(body, r"\n{3,}", "\n\n"))
-    return rows.withColumn("text", body).where("text != ''").groupBy("repo", "package", "version", "branch_ord", "branch", "path", "source").agg(F.min_by("text", "i").alias("text"))
+    return rows.withColumn("text", body).where("text != ''").groupBy(*key, "version").agg(F.min_by("text", "i").alias("text"))
