@@ -81,7 +81,7 @@ def test_factors_blocks_and_ranks():
             assert size[i] == true
             assert not true or (source[i] < i and x[source[i] : source[i] + true] == x[i : i + true])
         starts = runs.blocks_of(size)
-        assert starts[-1] == n and all(z - a == max(1, size[a]) for a, z in zip(starts, starts[1:]))
+        assert starts[-1] == n and all(z - a == max(1, size[a]) for a, z in zip(starts, starts[1:], strict=False))
 
 
 def expected(key, text, plant):
