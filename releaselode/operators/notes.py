@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..functions import text as T
+from ..session import stored
 from . import scan as S
 
 
@@ -128,9 +129,11 @@ def paragraphs(lines: DataFrame, key: list[str], size: int = S.BLOCK) -> DataFra
 
 
 def entries(lines: DataFrame, key: list[str], size: int = S.BLOCK) -> DataFrame:
-    """key, ord, section, entry: one clean line for each logical change."""
+    """key, ord, section, entry: one clean line for each logical change.
+
+    Paragraphs are written to the scratch folder first: each scan over blocks has its rows twice in the plan, which would grow with every one."""
     # paragraphs that go on with the one before them form a group
-    df = S.dealt(paragraphs(lines, key, size), key, "para", size).withColumn("_of", F.struct("section", "block"))
+    df = S.dealt(stored(paragraphs(lines, key, size), "paragraphs"), key, "para", size).withColumn("_of", F.struct("section", "block"))
     earlier = F.lag("_of").over(S.within())
     goes_on = lambda change, of, past: ~change & past.isNotNull() & of["section"].eqNullSafe(past["section"]) & (of["block"] == past["block"])
     # of a block's first paragraph, the one before it is known to the block before

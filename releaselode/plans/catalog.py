@@ -821,23 +821,32 @@ def report_legacy(spark, d):
     return upgrade.upgrade_reports(_inputs(spark, d, False), legacy=True).select("package", "status", "report")
 
 
-_REPORTS = "select cast(substr(package, 4) as bigint) as request_id, 'Package: ' || package || chr(10) || 'From: ' || current_version || chr(10) || 'To: ' || target_version as report from d_request where current_version is not null and target_version is not null"
+# a text for every release, with the lines of its notes
+_REPORTS = """select r.o_orderkey as request_id, 'Package: ' || r.package || ' (' || r.ecosystem || ')' || chr(10) || 'Version: ' || r.version || chr(10) || chr(10) || coalesce(n.lines, 'Nothing is known.') as report
+ from d_release r left join (select l_orderkey, %s as lines from d_note_line group by l_orderkey) n on n.l_orderkey = r.o_orderkey"""
+_REPORTS_SQL = _REPORTS % "string_agg('- ' || line, chr(10) order by l_linenumber)"
 
 
 def _written(spark, d) -> str:
+    """Reports of all releases, then those of every fifth one again."""
     path = scratch(spark, "reports")
-    sinks.write_reports(view(spark, d, "d_request", _REPORTS), path)
+    made = view(spark, d, "d_note_line", _REPORTS % "array_join(transform(array_sort(collect_list(struct(l_linenumber, line))), x -> '- ' || x.line), chr(10))")
+    sinks.write_reports(made, path)
+    sinks.write_reports(made.where("request_id % 5 = 0").withColumn("report", F.concat("report", F.lit("\nWritten again."))), path)
     return path
 
 
-@query(_REPORTS, "d_request")
+_LAST = f"select request_id, report || case when request_id % 5 = 0 then chr(10) || 'Written again.' else '' end as report from ({_REPORTS_SQL})"
+
+
+@query(_LAST, "d_note_line")
 def sink_report(spark, d):
-    return spark.read.parquet(_written(spark, d)).select(F.col("request_id").cast("long"), "report")
+    return sinks.read_reports(spark, _written(spark, d))
 
 
-@query(f"select * from ({_REPORTS}) where request_id = 7", "d_request")
+@query(f"select * from ({_LAST}) where request_id = 10", "d_note_line")
 def sink_download(spark, d):
-    return sinks.read_report(spark, _written(spark, d), 7).select(F.col("request_id").cast("long"), "report")
+    return sinks.read_report(spark, _written(spark, d), 10)
 
 
 def entry(spark: SparkSession, d: str) -> DataFrame:
