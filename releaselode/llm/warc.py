@@ -127,20 +127,20 @@ def read_record(uri: str, frame: int, offset: int, within: int) -> tuple[dict[st
 
 
 def payload_groups(pages: DataFrame, least: int, key: str = "page_id", payload: str = "html") -> DataFrame:
-    """sha1 string, response long: payloads that several rows share, and the largest key."""
+    """same string, response long: payloads that several rows share, by SHA-256 (SHA-1, which stands in the records, has known collisions), and the largest key."""
     body = F.coalesce(pages[payload].cast("string"), F.lit("")).cast("binary")
-    rows = pages.select(pages[key].cast("long").alias("key"), F.sha1(body).alias("sha1"), F.octet_length(body).alias("n")).where(F.col("n") >= least)
-    return rows.groupBy("sha1").agg(F.max("key").alias("response"), F.count("*").alias("c")).where("c > 1").select("sha1", "response")
+    rows = pages.select(pages[key].cast("long").alias("key"), F.sha2(body, 256).alias("same"), F.octet_length(body).alias("n")).where(F.col("n") >= least)
+    return rows.groupBy("same").agg(F.max("key").alias("response"), F.count("*").alias("c")).where("c > 1").select("same", "response")
 
 
 def write_bundles(pages: DataFrame, folder: str, least: int = 0, key: str = "page_id", url: str = "url", payload: str = "html", most_broadcast: int = 200_000, frame_bytes: int = 1 << 18, bundle_bytes: int = 32 << 20) -> DataFrame:
     """Write all rows; the stored index: key long, record_id string, bundle string, frame int, offset long, within int."""
     body = F.coalesce(pages[payload].cast("string"), F.lit("")).cast("binary")
-    rows = pages.select(pages[key].cast("long").alias("key"), F.coalesce(pages[url].cast("string"), F.lit("")).alias("url"), body.alias("body"), F.sha1(body).alias("sha1"))
+    rows = pages.select(pages[key].cast("long").alias("key"), F.coalesce(pages[url].cast("string"), F.lit("")).alias("url"), body.alias("body"), F.sha2(body, 256).alias("same"))
     groups = stored(payload_groups(pages, least, key, payload), "payload-groups")
     # few shared payloads travel to the scan; many are joined by digest instead, where skewed digests are split by AQE
     few = groups.limit(most_broadcast + 1).count() <= most_broadcast
-    rows = rows.join(F.broadcast(groups) if few else groups, "sha1", "left").select("key", "url", "body", "response")
+    rows = rows.join(F.broadcast(groups) if few else groups, "same", "left").select("key", "url", "body", "response")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
