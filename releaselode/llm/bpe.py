@@ -7,7 +7,8 @@ the ids' byte pieces.
 
 Order of work:
 1. Texts are cut by the pattern into words. A chunk, that is a few megabytes of text of one task, becomes numbers of its own
-   distinct words; they wait in a file of the shared folder, named by task and place, so that a repeated task writes the same.
+   distinct words; they wait in a file of the shared folder, named by a digest of task, place and content. A repeated task writes the same
+   file, or one of its own if its rows came in another order; ids that don't fit a chunk's words are an error, never wrong ids.
 2. Only the distinct words of each chunk are shuffled, packed, by ranges of their hash. A word of all documents is one entry a
    chunk. Where they meet, words are made distinct once more and folded, so each distinct word of the corpus is folded once.
 3. The ids go back by chunk, packed, and meet the chunk's file.
@@ -157,7 +158,7 @@ def letter_runs(find) -> bool:
 
 
 def chunk_path(folder: str, chunk: int) -> str:
-    return f"{folder}/chunk-{chunk:014d}"
+    return f"{folder}/chunk-{chunk:016x}"
 
 
 #: Arrays of a chunk's file: keys, whether they are null, units of each text, the unit at each place, words of each unit, these words' numbers.
@@ -231,13 +232,18 @@ def dealt_words(docs: DataFrame, folder: str, pattern: str, chunk_bytes: int, ra
             flat = np.fromiter((x for f in found for x in f), np.int32, int(per.sum()))
             places = np.concatenate([np.array(s, np.int32) for s in spans])
             counts = np.fromiter(map(len, spans), np.int32, len(spans))
-            put_file(chunk_path(folder, base + serial), [_pressed(packed(np.array([k or 0 for k in keys], "<i8"), np.array([k is None for k in keys], "u1"), counts, places, per, number[flat]))])
+            content = packed(np.array([k or 0 for k in keys], "<i8"), np.array([k is None for k in keys], "u1"), counts, places, per, number[flat])
+            # the words go into the digest too: chunks with other words but equal numbers differ
+            mark = xxhash.xxh3_64(content, seed=base + serial)
+            mark.update(hashes[order].tobytes())
+            chunk = mark.intdigest() >> 1
+            put_file(chunk_path(folder, chunk), [_pressed(content)])
             part = (((hashes[order] >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
             cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(raw)]
             rows = []
             for a, z in zip(cuts, cuts[1:], strict=False):
                 some = [raw[i] for i in order[a:z].tolist()]
-                rows.append((int(part[a]), base + serial, _pressed(packed(np.fromiter(map(len, some), "<i4", len(some)), b"".join(some)))))
+                rows.append((int(part[a]), chunk, _pressed(packed(np.fromiter(map(len, some), "<i4", len(some)), b"".join(some)))))
             serial += 1
             fresh()
             return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], names=["part", "chunk", "block"])
@@ -351,6 +357,8 @@ def encode_digest(docs: DataFrame, ranks_path: str, pattern: str, chunk_bytes: i
             sizes, values = (np.concatenate(c) for c in zip(*got, strict=True))
             starts = np.cumsum(sizes, dtype=np.int64) - sizes
             keys, null, counts, places, per, words = unpacked(_plain(get_file(chunk_path(folder, now))), *CHUNK)
+            if len(sizes) != int(words.max(initial=-1)) + 1:
+                raise RuntimeError("a chunk was cut again in another order while its words were on their way; run the query again")
             # ids of each unit, from those of its words
             unit_ids = values[_ranges(starts[words], sizes[words].astype(np.int64))].astype("<u4")
             ends = np.append(0, np.cumsum(sizes[words], dtype=np.int64))[np.cumsum(per, dtype=np.int64)] if len(per) else np.zeros(0, np.int64)

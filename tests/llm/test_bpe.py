@@ -45,3 +45,16 @@ def test_long_words_merge_as_short_ones(library):
     for n in [*range(1, 60), 3000]:
         w = bytes(rng.choice(b"aabnthe\xc3\xa9 ") for _ in range(n))
         assert bpe.merge_long(w, ranks) == library._encode_single_piece(w)
+
+
+def test_chunks_are_named_by_their_content(spark, tmp_path):
+    """The same rows give the same chunk again, rows in another order one of its own."""
+    rows = [(1, "one two three"), (2, "four five six"), (3, ""), (4, None)]
+
+    def chunks(some):
+        got = bpe.dealt_words(documents(spark, some).coalesce(1), tmp_path.as_uri(), public_tokenizers.PATTERN, 1 << 20, 3).collect()
+        return {r.chunk for r in got}
+
+    first = chunks(rows)
+    assert len(first) == 1 and chunks(rows) == first and chunks(rows[::-1]) != first
+    assert all((tmp_path / f"chunk-{c:016x}").is_file() for c in first | chunks(rows[::-1]))
