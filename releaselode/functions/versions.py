@@ -49,6 +49,28 @@ def version_key(version: Column) -> Column:
     return let(F.split(F.regexp_replace(F.lower(version), VERSION, _CUT.join(f"${i}" for i in range(1, _GROUPS + 1))), _CUT), key)
 
 
+def version_bytes(key: Column) -> Column:
+    """binary whose byte order is the order of version keys, so that files can be sorted, pruned and filtered by it.
+
+    A number is its count of digits (one byte; from 255 on, 255 and four bytes) and the digits. Lists put 1 (text) or 2 (a number, which sorts
+    later) before each part and 0 at the end, so a list sorts before a longer one that it begins."""
+    byte = lambda n: F.unhex(F.lit(f"{n:02x}"))
+
+    def number(x: Column) -> Column:
+        size = F.when(x["n"] < 255, F.unhex(F.lpad(F.hex(x["n"].cast("long")), 2, "0"))).otherwise(F.concat(byte(255), F.unhex(F.lpad(F.hex(x["n"].cast("long")), 8, "0"))))
+        return F.concat(size, x["d"].cast("binary"))
+
+    def listed(parts: Column, one) -> Column:
+        return F.concat(F.aggregate(F.transform(parts, one), F.unhex(F.lit("")), lambda a, x: F.concat(a, x)), byte(0))
+
+    release = listed(key["release"], lambda x: F.concat(byte(2), number(x)))
+    pre = F.concat(F.unhex(F.lpad(F.hex((key["pre"] + 1).cast("long")), 2, "0")), number(key["pre_n"]))
+    post = F.when(key["post"]["n"] == NONE, byte(0)).otherwise(F.concat(byte(1), number(key["post"])))
+    dev = F.when(key["dev"]["n"] == ENDLESS, byte(2)).otherwise(F.concat(byte(1), number(key["dev"])))
+    local = listed(key["local"], lambda x: F.when(x["k"] == 1, F.concat(byte(2), number(x["n"]))).otherwise(F.concat(byte(1), x["s"].cast("binary"), byte(0))))
+    return F.when(key.isNotNull(), F.concat(number(key["epoch"]), release, pre, post, dev, local))
+
+
 def is_prerelease(key: Column) -> Column:
     """Alpha, beta, candidate or development release."""
     return key["pre"].between(0, 2) | (key["dev"]["n"] != ENDLESS)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import BUMPS
-from ..functions.versions import classify_bump, is_prerelease, version_key
+from ..functions.versions import classify_bump, is_prerelease, version_bytes, version_key
 
 
 def releases(df: DataFrame) -> DataFrame:
@@ -21,6 +21,28 @@ def version_order(df: DataFrame) -> DataFrame:
     return releases(df).select("ecosystem", "package", "version", F.row_number().over(w).cast("long").alias("ord"))
 
 
+def land_releases(df: DataFrame, path: str) -> None:
+    """Write releases(df) sorted by ecosystem, package and version, in ranges: ecosystem, package, version, order binary.
+
+    A path of one request is then a range of one or two files' row groups; see landed_path."""
+    rows = releases(df).select("ecosystem", "package", "version", version_bytes(F.col("key")).alias("order"))
+    by = ["ecosystem", "package", "order", "version"]
+    rows.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("overwrite").parquet(path)
+
+
+def landed_path(spark: SparkSession, path: str, ecosystem: str, package: str, current: str, target: str, prereleases: bool = False) -> DataFrame:
+    """version, step: what upgrade_path gives for one request, read from landed releases by filters that reach the files; none where it isn't ok."""
+    rows = spark.read.parquet(path).where((F.col("ecosystem") == ecosystem) & (F.col("package") == package))
+    asked = spark.createDataFrame([(current, target)], "a string, z string").select(*(version_bytes(version_key(F.col(c))).alias(c) for c in "az")).first()
+    ends = {r.version for r in rows.where(F.col("version").isin(current, target)).select("version").collect()}
+    if ends != {current, target} or asked.a >= asked.z:
+        return rows.where("false").select("version", F.lit(0).cast("long").alias("step"))
+    rows = rows.where((F.col("order") > F.lit(bytes(asked.a))) & (F.col("order") <= F.lit(bytes(asked.z))))
+    if not prereleases:
+        rows = rows.where(~is_prerelease(version_key(F.col("version"))))
+    return rows.select("version", F.row_number().over(Window.orderBy("order", "version")).cast("long").alias("step"))
+
+
 def request_status(requests: DataFrame, found: DataFrame) -> DataFrame:
     """requests with current_key, target_key and status: ok, current_not_found, target_not_found or not_newer."""
     end = lambda name: found.select("ecosystem", "package", F.col("version").alias(name), F.col("key").alias(name.replace("version", "key")))

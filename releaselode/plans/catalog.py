@@ -82,6 +82,14 @@ _IN_RANGE = """case when len(conds) = 0 then false else
 _LONG = "version || '.' || repeat('9', cast(12 + o_orderkey % 18 as integer)) || o_orderkey % 7"
 
 
+@query(f"with r as (select distinct ecosystem, package, {_LONG} as version from d_release_both), v as (select *, {O.key('version')} as k from r) select ecosystem, package, version, row_number() over (partition by ecosystem, package order by k, version) as ord from v where k is not null", "d_release_both")
+def version_order_bytes(spark, d):
+    """The order of versions by their bytes alone."""
+    df = view(spark, d, "d_release_both").selectExpr("ecosystem", "package", f"{_LONG} as version").distinct()
+    df = df.withColumn("order", V.version_bytes(V.version_key(F.col("version")))).where("order is not null")
+    return df.select("ecosystem", "package", "version", F.row_number().over(Window.partitionBy("ecosystem", "package").orderBy("order", "version")).cast("long").alias("ord"))
+
+
 @query(f"with r as (select distinct package, {_LONG} as version from d_release), v as (select *, {O.key('version')} as k from r) select package, version, row_number() over (partition by package order by k, version) as ord, coalesce({O.bump('lag(k) over (partition by package order by k, version)', 'k')}, 'patch') as bump from v where k is not null", "d_release")
 def version_sort_long(spark, d):
     df = view(spark, d, "d_release").selectExpr("package", f"{_LONG} as version").distinct().withColumn("key", V.version_key(F.col("version"))).where("key is not null")
