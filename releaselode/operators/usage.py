@@ -1,6 +1,7 @@
-"""What a project's files use: every file is parsed once into facts; interfaces are joined with these.
+"""What a project's files use: every distinct content is parsed once into facts; paths and interfaces are joined with these.
 
-Python's parser is the one thing here that columns can't express, so the facts come from mapInPandas, file by file."""
+Python's parser is the one thing here that columns can't express, so the facts come from mapInPandas, content by content. Facts
+belong to a content's digest: copies of a file are parsed once, and what was parsed in an earlier run need not be parsed again."""
 
 from __future__ import annotations
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import is_skipped, is_source, is_test
 from ..session import ship
 
-FACTS = "path string, fact string, name string, ord int, line int, code string, method string"
+FACTS = "digest string, fact string, name string, ord int, line int, code string, method string"
 
 
 def source_files(files: DataFrame) -> DataFrame:
@@ -53,8 +54,8 @@ def _names(tree: ast.AST) -> tuple[set[str], dict[str, str], bool]:
     return modules, members, star
 
 
-def facts_of(path: str, content: str) -> Iterator[tuple]:
-    """(path, fact, name, ord, line, code, method); a file that can't be parsed has none."""
+def facts_of(digest: str, content: str) -> Iterator[tuple]:
+    """(digest, fact, name, ord, line, code, method); a file that can't be parsed has none."""
     try:
         tree = ast.parse(content)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
@@ -64,32 +65,58 @@ def facts_of(path: str, content: str) -> Iterator[tuple]:
         code = lambda: ast.get_source_segment(content, node)  # noqa: B023, E731
         match node:
             case ast.Call(func=ast.Attribute(value=ast.Name(id=owner), attr=attr)) if owner in modules:
-                yield path, "call", f"numpy.{attr}", i, node.lineno, code(), "ast_attribute_call"
+                yield digest, "call", f"numpy.{attr}", i, node.lineno, code(), "ast_attribute_call"
             case ast.Call(func=ast.Attribute(value=ast.Attribute(value=ast.Name(id="numpy")), attr=attr)):
-                yield path, "call", f"numpy.{attr}", i, node.lineno, code(), "ast_attribute_call"
+                yield digest, "call", f"numpy.{attr}", i, node.lineno, code(), "ast_attribute_call"
             case ast.Call(func=ast.Name(id=name)):
                 if name in members:
-                    yield path, "call", members[name], i, node.lineno, code(), "ast_call"
+                    yield digest, "call", members[name], i, node.lineno, code(), "ast_call"
                 if star:
-                    yield path, "star_call", name, i, node.lineno, code(), "ast_wildcard_import_name_match"
+                    yield digest, "star_call", name, i, node.lineno, code(), "ast_wildcard_import_name_match"
             case ast.Assign() | ast.AugAssign():
                 targets = node.targets if isinstance(node, ast.Assign) else [node.target]
                 for attr in dict.fromkeys(t.attr for t in targets if isinstance(t, ast.Attribute)):
-                    yield path, "attribute", attr, i, node.lineno, code(), "ast_attribute_assignment (type not verified)"
+                    yield digest, "attribute", attr, i, node.lineno, code(), "ast_attribute_assignment (type not verified)"
 
 
-def usage_facts(files: DataFrame) -> DataFrame:
-    """path, fact, name, ord, line, code, method, is_test."""
+def _digested(files: DataFrame) -> DataFrame:
+    content = F.coalesce("content", F.lit(""))
+    return source_files(files).select("path", "is_test", content.alias("content"), F.sha2(content, 256).alias("digest"))
+
+
+def new_contents(files: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """digest, content of the source files: each content once, none whose digest is among known(digest).
+
+    The file with the smallest path stands for its copies; it is found by path and digest, so that very many copies of one file never meet."""
+    rows = _digested(files)
+    shown = rows.groupBy("digest").agg(F.min("path").alias("path"))
+    if known is not None:
+        shown = shown.join(known.select("digest").distinct(), "digest", "left_anti")
+    return rows.join(shown, ["digest", "path"], "left_semi").select("digest", "content")
+
+
+def content_facts(contents: DataFrame) -> DataFrame:
+    """digest, fact, name, ord, line, code, method of each content."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in FACTS.split(", ")]
         for b in batches:
-            rows = [f for p, c in zip(b["path"], b["content"], strict=True) for f in facts_of(p, c or "")]
+            rows = [f for d, c in zip(b["digest"], b["content"], strict=True) for f in facts_of(d, c)]
             yield pd.DataFrame(rows, columns=names).astype({"ord": "int32", "line": "int32"})
 
-    ship(files.sparkSession)
-    found = source_files(files).select("path", "content").mapInPandas(run, FACTS)
-    return found.withColumn("is_test", is_test(F.col("path")))
+    ship(contents.sparkSession)
+    # a path that is listed twice gives its content twice
+    return contents.select("digest", "content").mapInPandas(run, FACTS).distinct()
+
+
+def usage_facts(files: DataFrame, parsed: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
+    """path, fact, name, ord, line, code, method, is_test. parsed: content_facts of an earlier run, and known(digest) all contents it has
+    seen (some have no facts); then only new ones are parsed."""
+    facts = content_facts(new_contents(files, known))
+    if parsed is not None:
+        facts = facts.unionByName(parsed.select(*facts.columns))
+    names = [c.split()[0] for c in FACTS.split(", ")][1:]
+    return _digested(files).select("path", "is_test", "digest").join(facts, "digest").select("path", *names, "is_test")
 
 
 def api_usage(apis: DataFrame, facts: DataFrame) -> DataFrame:
