@@ -37,7 +37,8 @@ def found(spark, text):
 
 
 def test_entries(spark):
-    assert found(spark, MARKDOWN) == [(None, "Added support for x on two lines"), (None, "Fixed a crash in y"), (None, "ten plus")][:2] + found(spark, MARKDOWN)[2:]
+    # "ten" alone is noise
+    assert found(spark, MARKDOWN) == [(None, "Added support for x on two lines"), (None, "Fixed a crash in y")]
     assert found(spark, "Bug Fixes\n- Fixed a crash in reader\n") == [("Bug Fixes", "Fixed a crash in reader")]
     # a bare name already holds for the paragraph that it ends
     assert found(spark, "Some words that are long\nBug Fixes\nOther words that are long") == [("Bug Fixes", "Some words that are long"), ("Bug Fixes", "Other words that are long")]

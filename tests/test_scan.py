@@ -39,20 +39,24 @@ def rows(df, *columns):
 
 
 KEY = ["k", "l"]
+PARTS = {"heading_lines": ["pos", "line", "heading"], "version_sections": ["section", "pos", "heading", "body"], "paragraphs": ["para", "section", "block", "is_change", "lines"], "entries": ["ord", "section", "entry"]}
+
+
+@pytest.fixture(scope="module")
+def whole(lines):
+    """What windows over whole texts give."""
+    return {name: rows(getattr(one, name)(lines, KEY), *KEY, *columns) for name, columns in PARTS.items()}
 
 
 @pytest.mark.parametrize("size", [1, 3, 1000])
-def test_any_cut_gives_the_same(lines, size):
-    assert rows(N.heading_lines(lines, KEY, size), *KEY, "pos", "line", "heading") == rows(one.heading_lines(lines, KEY), *KEY, "pos", "line", "heading")
-    assert rows(N.version_sections(lines, KEY, size), *KEY, "section", "pos", "heading", "body") == rows(one.version_sections(lines, KEY), *KEY, "section", "pos", "heading", "body")
-    columns = [*KEY, "para", "section", "block", "is_change", "lines"]
-    assert rows(N.paragraphs(lines, KEY, size), *columns) == rows(one.paragraphs(lines, KEY), *columns)
-    assert rows(N.entries(lines, KEY, size), *KEY, "ord", "section", "entry") == rows(one.entries(lines, KEY), *KEY, "ord", "section", "entry")
+def test_any_cut_gives_the_same(lines, whole, size):
+    for name, columns in PARTS.items():
+        assert rows(getattr(N, name)(lines, KEY, size), *KEY, *columns) == whole[name], name
 
 
-def test_places_may_have_gaps(lines):
+def test_places_may_have_gaps(lines, whole):
     apart = lines.withColumn("pos", F.col("pos") * 7 + F.col("pos") % 3)
-    assert rows(N.entries(apart, KEY, 10), *KEY, "ord", "section", "entry") == rows(one.entries(lines, KEY), *KEY, "ord", "section", "entry")
+    assert rows(N.entries(apart, KEY, 10), *KEY, *PARTS["entries"]) == whole["entries"]
     assert rows(N.version_sections(apart, KEY, 4), *KEY, "section", "heading", "body") == rows(one.version_sections(lines, KEY), *KEY, "section", "heading", "body")
 
 

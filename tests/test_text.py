@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from releaselode.functions import paths as P
 from releaselode.functions import text as T
 
-GROW = "Growing a buffer while a view of it is open is deprecated, for the view keeps the old memory.  As an alternative, close the view and call np.append."
-STRIDES = "Setting the strides attribute is deprecated and will fail one day. As an alternative, np.moveaxis or np.lib.stride_tricks.as_strided give such views."
+AXIS = "Calls with an axis below zero are deprecated (gh-31); migrate to np.moveaxis for these."
+ITEMSIZE = "From 3.0 on setting the ``itemsize`` attribute fails. Code that did so should use np.frombuffer or numpy.asarray."
 REMOVED = "numpy.polydiv_old was removed in favor of numpy.polynomial.polydiv. (gh-812)"
 CITED = "tile with a negative count now stops with an error. (gh-77) (deprecated since 1.4)"
 
@@ -21,9 +21,9 @@ def column(spark, values, make, names="t string"):
 
 
 def test_subjects(spark):
-    grow, strides, removed, cited = column(spark, [GROW, STRIDES, REMOVED, CITED], T.change_subject)
-    assert (grow.api, grow.operation, grow.replacement, grow.confidence) == (None, "Growing a buffer while a view of it is open", "numpy.append", "MEDIUM")
-    assert (strides.api, strides.operation, strides.replacement, strides.attribute) == (None, "strides attribute assignment", "numpy.moveaxis", "strides")
+    axis, itemsize, removed, cited = column(spark, [AXIS, ITEMSIZE, REMOVED, CITED], T.change_subject)
+    assert (axis.api, axis.operation, axis.replacement, axis.confidence) == (None, "Calls with an axis below zero", "numpy.moveaxis", "MEDIUM")
+    assert (itemsize.api, itemsize.operation, itemsize.replacement, itemsize.attribute) == (None, "itemsize attribute assignment", "numpy.frombuffer", "itemsize")
     assert (removed.api, removed.operation, removed.replacement, removed.confidence) == ("numpy.polydiv_old", None, "numpy.polynomial.polydiv", "HIGH")
     assert cited.operation == "tile with a negative count now stops with an error."
 
