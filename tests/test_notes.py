@@ -32,24 +32,27 @@ def test_sections(spark):
     assert section(spark, "## 1.9.0.1\n- dotted", "1.9.0") == "- dotted"
 
 
-def found(spark, text):
-    return [(r.section, r.entry) for r in N.entries(texts(spark, text), ["k"]).orderBy("ord").collect()]
-
-
-def test_entries(spark):
+ENTRIES = {
     # "ten" alone is noise
-    assert found(spark, MARKDOWN) == [(None, "Added support for x on two lines"), (None, "Fixed a crash in y")]
-    assert found(spark, "Bug Fixes\n- Fixed a crash in reader\n") == [("Bug Fixes", "Fixed a crash in reader")]
+    MARKDOWN: [(None, "Added support for x on two lines"), (None, "Fixed a crash in y")],
+    "Bug Fixes\n- Fixed a crash in reader\n": [("Bug Fixes", "Fixed a crash in reader")],
     # a bare name already holds for the paragraph that it ends
-    assert found(spark, "Some words that are long\nBug Fixes\nOther words that are long") == [("Bug Fixes", "Some words that are long"), ("Bug Fixes", "Other words that are long")]
+    "Some words that are long\nBug Fixes\nOther words that are long": [("Bug Fixes", "Some words that are long"), ("Bug Fixes", "Other words that are long")],
     # a heading ends the block, so nothing of the next one is merged
-    two = found(spark, "First change of the module\nwas removed here\n\nCompatibility notes\n-------------------\nSecond thing entirely different\n")
-    assert [e for _, e in two] == ["First change of the module was removed here", "Second thing entirely different"]
+    "First change of the module\nwas removed here\n\nCompatibility notes\n-------------------\nSecond thing entirely different\n": [(None, "First change of the module was removed here"), (None, "Second thing entirely different")],
     # lone lines of one block are one entry, a paragraph with a verb after its first line is its own
-    assert [e for _, e in found(spark, "Alpha words go here\n\nBeta words go here\n\nGamma words go\nnow removed again")] == ["Alpha words go here Beta words go here", "Gamma words go now removed again"]
+    "Alpha words go here\n\nBeta words go here\n\nGamma words go\nnow removed again": [(None, "Alpha words go here Beta words go here"), (None, "Gamma words go now removed again")],
     # of underline-like lines every other one is taken
-    assert [e for _, e in found(spark, "Title of this\n=====\n=====\n-----\nBody words are here")] == ["Body words are here"]
-    assert found(spark, "**Header**\n\n1. First point is made\n2. Second point is made") == [(None, "First point is made"), (None, "Second point is made")]
+    "Title of this\n=====\n=====\n-----\nBody words are here": [(None, "Body words are here")],
+    "**Header**\n\n1. First point is made\n2. Second point is made": [(None, "First point is made"), (None, "Second point is made")],
+}
+
+
+def test_entries(spark):
+    got = {i: [] for i in range(len(ENTRIES))}
+    for r in N.entries(texts(spark, *ENTRIES), ["k"]).orderBy("k", "ord").collect():
+        got[r.k].append((r.section, r.entry))
+    assert dict(zip(ENTRIES, got.values(), strict=True)) == ENTRIES
 
 
 def test_merging_keeps_the_first(spark):
