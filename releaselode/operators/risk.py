@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..functions import text as T
+from ..session import stored
 from .usage import usage_status
 
 
@@ -21,7 +22,9 @@ def build_changes(merged: DataFrame, usage: DataFrame | None = None, line: str =
     if usage is None:
         df = df.withColumns({"rank": F.lit(None).cast("int"), "n_hits": F.lit(None).cast("long"), "hits": F.lit(None).cast("array<struct<path:string,line:int,code:string,kind:string,detection_method:string,is_test:boolean>>")})
     else:
-        df = df.withColumns({"_name": F.coalesce("affected_api", "attribute"), "_attr": F.col("affected_api").isNull()})
+        # changes without a name meet nothing, but nulls would all go to one task; no name begins with a space
+        nameless = F.concat(F.lit(" "), F.pmod(F.xxhash64(line), F.lit(4096)).cast("string"))
+        df = df.withColumns({"_name": F.coalesce("affected_api", "attribute", nameless), "_attr": F.col("affected_api").isNull()})
         u = usage.select(F.col("name").alias("_name"), F.col("is_attribute").alias("_attr"), "rank", "n_hits", "hits")
         df = df.join(u, ["_name", "_attr"], "left").drop("_name", "_attr")
     df = df.withColumn("usage_status", usage_status(F.col("rank"), F.lit(usage is not None)))
@@ -71,14 +74,14 @@ def affected_counts(changes: DataFrame, key: list[str], places: DataFrame | None
     """confirmed_apis, potential_apis, production_files, test_files long: distinct names and files.
 
     places: name, is_attribute, path, is_test, once for each file that uses a name; None where no project was scanned."""
-    name = F.coalesce("affected_api", "affected_operation")
-    named = changes.groupBy(*key).agg(
-        F.count_distinct(F.when(F.col("usage_status") == "SCANNED_CONFIRMED", name)).alias("confirmed_apis"),
-        F.count_distinct(F.when(F.col("usage_status") == "SCANNED_POTENTIAL", name)).alias("potential_apis"),
-    )
+    # what changes say is made distinct and written once; both counts, and the files, come from these few rows
+    seen = stored(changes.select(*key, F.coalesce("affected_api", "affected_operation").alias("called"), F.coalesce("affected_api", "attribute").alias("name"), F.col("affected_api").isNull().alias("is_attribute"), "usage_status").distinct(), "affected")
+    called = seen.select(*key, "called", "usage_status").distinct()
+    count = lambda s: F.count_if((F.col("usage_status") == s) & F.col("called").isNotNull())
+    named = called.groupBy(*key).agg(count("SCANNED_CONFIRMED").alias("confirmed_apis"), count("SCANNED_POTENTIAL").alias("potential_apis"))
     if places is None:
         return named.withColumns({"production_files": F.lit(0).cast("long"), "test_files": F.lit(0).cast("long")})
-    asked = changes.select(*key, F.coalesce("affected_api", "attribute").alias("name"), F.col("affected_api").isNull().alias("is_attribute")).distinct()
+    asked = seen.where("name is not null").select(*key, "name", "is_attribute").distinct()
     files = asked.join(places, ["name", "is_attribute"]).select(*key, "path", "is_test").distinct()
     counts = files.groupBy(*key).agg(F.count_if(~F.col("is_test")).alias("production_files"), F.count_if(F.col("is_test")).alias("test_files"))
     return named.join(counts, key, "left").fillna(0, ["production_files", "test_files"])
