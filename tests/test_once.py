@@ -86,3 +86,13 @@ def reduce_or(columns):
     for x in columns[1:]:
         out = out | x
     return out
+
+
+def test_entries_read_written_steps(spark):
+    """No step of the scan over blocks is made again by a later one."""
+    from releaselode.operators import notes
+
+    lines = spark.createDataFrame([("a", 0, "# 1.0"), ("a", 1, "- Fixed a crash in parsing"), ("a", 2, "- Added support for files")], "doc string, pos int, line string")
+    df = notes.entries(lines, ["doc"])
+    assert [r["entry"] for r in df.orderBy("ord").collect()] == ["Fixed a crash in parsing", "Added support for files"]
+    assert "ExistingRDD" not in df._jdf.queryExecution().executedPlan().toString() and "rlike" not in plan(df).lower()
