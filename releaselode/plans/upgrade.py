@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -117,9 +117,17 @@ MESSAGES = {
 }
 
 
+def _asked_notes(steps: DataFrame, i: Inputs) -> Inputs:
+    """Only the notes of versions that are asked for, written once: lines, statuses, discrepancies and Python support all read them."""
+    pv = ["ecosystem", "package", "version"]
+    texts = i.notes.withColumns({c: F.col(c).cast("string") for c, kind in i.notes.dtypes if kind == "void"})
+    return replace(i, notes=stored(texts.join(steps.select(*pv).distinct(), pv, "left_semi"), "notes"))
+
+
 def upgrade_reports(i: Inputs, legacy: bool = False) -> DataFrame:
     """KEY, status, report: one row for each request. status: ok, or why there is no report; then report is a message."""
     steps = stored(upgrade_path(i.requests, i.releases, i.prereleases), "steps")
+    i = _asked_notes(steps, i)
     lines = stored(merged_lines(steps, i, "Deprecations" if legacy else "New Deprecations"), "lines")
     status = stored(statuses(steps, i), "statuses")
     seen = status.groupBy(*KEY).agg(F.bool_or(F.col("status") == "notes").alias("notes"), F.bool_and(F.col("status") == "unavailable").alias("all_unavailable"))
