@@ -96,3 +96,40 @@ def test_entries_read_written_steps(spark):
     df = notes.entries(lines, ["doc"])
     assert [r["entry"] for r in df.orderBy("ord").collect()] == ["Fixed a crash in parsing", "Added support for files"]
     assert "ExistingRDD" not in df._jdf.queryExecution().executedPlan().toString() and "rlike" not in plan(df).lower()
+
+
+def test_words_are_looked_for_by_parts(spark):
+    """Words that share a part are searched for only where it stands, and found all the same."""
+    for words in ([*X.IGNORED, *X.CONTINUATIONS], *(w for _, w in X.CATEGORIES)):
+        parts = T.shared_parts(words)
+        assert all(part in w for part, of in parts.items() for w in of)
+        assert all(any(w in of or w == part for part, of in parts.items()) or any(v != w and v in w for v in words) for w in words)
+        texts = [*words, *(f"a {w} b" for w in words), *(w[1:] for w in words), *parts, "", "nothing here", None]
+        got = spark.createDataFrame([(x,) for x in texts], "line string").select("line", T.contains_any(F.col("line"), words).alias("holds")).collect()
+        assert [r for r in got if r["holds"] != (None if r["line"] is None else any(w in r["line"] for w in words))] == []
+    assert len(T.shared_parts([*X.IGNORED, *X.CONTINUATIONS])) <= 26
+
+
+PHRASES = [
+    "As An Alternative x", "IN FAVOR OF y.z", "instead, use a", "INSTEAD   use the b", "use a.b rather instead", "replaced BY `c`", "Migrate to d()", "should USE it", "you can create e", "You Can Use f", "causes because", "reuse it instead",
+    "x Is Deprecated", "x HAS BEEN deprecated", "a are deprecated", "b is removed", "c has been REMOVED", "d was removed", "e are removed", "f is No Longer Supported", "g are no longer supported", "h no longer support", "undeprecated", "Setting the X attribute IS deprecated", "İ use ﬁ instead",
+]
+
+
+def test_clauses_are_cut_only_where_they_may_be(spark):
+    c = F.col("line")
+    cut = lambda s, p: F.when(F.regexp_instr(s, F.lit(f"(?i){p}")) > 0, F.substring(s, F.lit(1), F.regexp_instr(s, F.lit(f"(?i){p}")) - 1)).otherwise(s)
+    words = F.regexp_replace(F.regexp_extract(c, f"(?i){X.REPLACEMENT}", 1), r"[.,;:]+$", "")
+    phrase = T.strip_citations(F.regexp_replace(T.clean_markup(T.strip(cut(c, X.VERB_BOUNDARY))), r"[,:;]+$", ""))
+    attribute = T.attribute_name(c)
+    pairs = {
+        "subject": (T.subject_clause(c), T.strip(cut(c, X.ALTERNATIVE))),
+        "operation": (T.operation_phrase(c), F.when(attribute.isNotNull(), F.concat(attribute, F.lit(" attribute assignment"))).otherwise(F.when(phrase != "", T.shortened(phrase, 90)))),
+        "replacement": (T.change_subject(c)["replacement"], F.when((words != "") & ~F.lower(words).isin("a", "an", "the", "it", "this"), words)),
+    }
+    texts = [x for p in PHRASES for x in (p, f"np_f {p} q", f"Long text, {p}; (gh-1).")] + ["", None]
+    df = spark.createDataFrame([(x,) for x in texts], "line string")
+    rows = df.select("line", *(F.struct(a.alias("a"), b.alias("b")).alias(n) for n, (a, b) in pairs.items())).collect()
+    assert [(r["line"], n, r[n]) for r in rows for n in pairs if r[n]["a"] != r[n]["b"]] == []
+    # the pattern is not tried on a line without any of its words
+    assert "Contains" in plan(df.select(T.subject_clause(c)))
