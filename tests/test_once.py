@@ -133,3 +133,25 @@ def test_clauses_are_cut_only_where_they_may_be(spark):
     assert [(r["line"], n, r[n]) for r in rows for n in pairs if r[n]["a"] != r[n]["b"]] == []
     # the pattern is not tried on a line without any of its words
     assert "Contains" in plan(df.select(T.subject_clause(c)))
+
+
+def test_an_operation_is_found_in_one_cut(spark):
+    """Over one lower case and one clause a line, with the same values at ends that have to be stripped or cut."""
+    from releaselode.plans import catalog
+
+    df = catalog.operation_phrase(spark, "/root/testdata/sf0.001")
+    assert plan(df).count("should use") == plan(df).count("setting the\\s+") == 1
+    c = F.col("line")
+    whole = lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
+    cut = lambda s, p: F.when(F.regexp_instr(s, F.lit(f"(?i){p}")) > 0, F.substring(s, F.lit(1), F.regexp_instr(s, F.lit(f"(?i){p}")) - 1)).otherwise(s)
+    subject = whole(cut(c, X.ALTERNATIVE))
+    markup = whole(cut(subject, X.VERB_BOUNDARY))
+    for p in (X.ROLE, X.HYPERLINK, X.BACKTICKS):
+        markup = F.regexp_replace(markup, p, "$1")
+    phrase = F.regexp_replace(F.regexp_replace(F.regexp_replace(markup, "[,:;]+$", ""), f"(?i){X.CITATIONS}", ""), r"(?U)\s+$", "")
+    attribute = F.regexp_extract(subject, f"(?i){X.ATTRIBUTE}", 1)
+    want = F.struct(F.when(attribute != "", F.concat(attribute, F.lit(" attribute assignment"))).otherwise(F.when(phrase != "", T.shortened(phrase, 90))).alias("operation"), F.when(attribute != "", attribute).alias("attribute"))
+    ends = ["　a b ", "\x7fa\x7f", "é", "aé ", "a,:;", "a, ;", "``a,\n``", "``a, ``", "(gh-1)", "b (gh-1):", " ~ ", "!", "x" * 90, "x" * 91, "SETTING the  `y` attribute is removed", "setting the z", "ſetting the `y` attribute", " Use a instead", "a\x85is deprecated\x85"]
+    texts = [*LINES, *ends, *PHRASES, *(f"{e} was removed {p}" for e in ends for p in PHRASES)]
+    rows = spark.createDataFrame([(x,) for x in texts], "line string").select("line", T.operation_and_attribute(T.subject_clause(c)).alias("got"), T.operation_phrase(subject).alias("of_subject"), want.alias("want")).collect()
+    assert [r for r in rows if r["got"] != r["want"] or r["of_subject"] != r["want"]["operation"]] == []
