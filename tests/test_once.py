@@ -155,3 +155,18 @@ def test_an_operation_is_found_in_one_cut(spark):
     texts = [*LINES, *ends, *PHRASES, *(f"{e} was removed {p}" for e in ends for p in PHRASES)]
     rows = spark.createDataFrame([(x,) for x in texts], "line string").select("line", T.operation_and_attribute(T.subject_clause(c)).alias("got"), T.operation_phrase(subject).alias("of_subject"), want.alias("want")).collect()
     assert [r for r in rows if r["got"] != r["want"] or r["of_subject"] != r["want"]["operation"]] == []
+
+
+def test_advice_searches_subjects_only_where_it_quotes_them(spark):
+    from releaselode.plans import catalog
+
+    d = "/root/testdata/sf0.001"
+    df = catalog.recommendation(spark, d)
+    # one search for a subject, under the kinds that quote it, and one lower case for the rules, which are no call by themselves
+    assert plan(df).count("should use|you can") == 1 and re.search(r"CASE WHEN kind#\d+ IN \(REMOVAL,DEPRECATION\) THEN aggregate\(", plan(df))
+    assert len(re.findall(r"lower\(line#\d+\) AS low", plan(df))) == 1 and re.search(r"RLIKE\(low#\d+, \S*searchsorted", plan(df))
+    c = F.col
+    kind = T.change_type(c("category"), c("line"))
+    eager = catalog._src(spark, d).withColumn("category", T.category(c("line"), F.lit(None).cast("string"))).withColumn("s", T.change_subject(c("line")))
+    eager = eager.select("l_orderkey", "l_linenumber", T.recommendation(kind, c("s.api"), c("s.operation"), c("s.replacement")).alias("recommendation"))
+    assert df.exceptAll(eager).isEmpty() and eager.exceptAll(df).isEmpty() and df.count() > 4000
