@@ -125,7 +125,9 @@ def _asked_notes(steps: DataFrame, i: Inputs) -> Inputs:
 
 
 def upgrade_reports(i: Inputs, legacy: bool = False) -> DataFrame:
-    """KEY, status, report: one row for each request. status: ok, or why there is no report; then report is a message."""
+    """KEY, status, part, report: one row for each request. status: ok, or why there is no report; then report is a message.
+
+    A report of more than report.PART bytes is cut between lines into rows with part 0, 1 and so on."""
     steps = stored(upgrade_path(i.requests, i.releases, i.prereleases), "steps")
     i = _asked_notes(steps, i)
     lines = stored(merged_lines(steps, i, "Deprecations" if legacy else "New Deprecations"), "lines")
@@ -141,13 +143,20 @@ def upgrade_reports(i: Inputs, legacy: bool = False) -> DataFrame:
         asked, homeless = asked.join(homes, ["ecosystem", "package"], "left"), F.col("repo").isNull()
     why = F.when(blank, "blank_input").when(F.col("status") != "ok", F.col("status")).when(F.col("notes").isNull(), "no_versions").when(homeless, "no_repository").when(~told & F.col("all_unavailable"), "unavailable").when(~told, "nothing_found").otherwise("ok")
     asked = stored(asked.select(*KEY, why.alias("status")), "request-status")
-    made = _reports(i, asked.where("status = 'ok'").select(*KEY), steps, lines, status, legacy)
+    return finished(asked, _report_lines(i, asked.where("status = 'ok'").select(*KEY), steps, lines, status, legacy))
+
+
+def finished(asked: DataFrame, lines: DataFrame) -> DataFrame:
+    """KEY, status, part, report of asked (KEY, status): the lines (section, ord, text) of requests that are ok, a message for all others.
+
+    Status and message go with the lines, so whole reports are not joined."""
     message = F.try_element_at(F.create_map(*(F.lit(x) for kv in MESSAGES.items() for x in kv)), F.col("status"))
-    return asked.join(made, KEY, "left").select(*KEY, "status", F.coalesce("report", message).alias("report"))
+    first = asked.select(*KEY, "status", F.lit(-1).alias("section"), F.lit(0).cast("long").alias("ord"), message.alias("text"))
+    return report.put_together(first.unionByName(lines.withColumn("status", F.lit("ok")), allowMissingColumns=True), [*KEY, "status"])
 
 
-def _reports(i: Inputs, requests: DataFrame, steps: DataFrame, lines: DataFrame, status: DataFrame, legacy: bool) -> DataFrame:
-    """KEY, report."""
+def _report_lines(i: Inputs, requests: DataFrame, steps: DataFrame, lines: DataFrame, status: DataFrame, legacy: bool) -> DataFrame:
+    """KEY, section, ord, text of requests that are ok."""
     steps, lines, status = (x.join(requests, KEY, "left_semi") for x in (steps, lines, status))
     used, places = usage_of(lines, i.files) if i.files is not None else (None, None)
     differ = discrepancies(steps, i)
@@ -158,15 +167,12 @@ def _reports(i: Inputs, requests: DataFrame, steps: DataFrame, lines: DataFrame,
     changes = stored(risk.build_changes(lines, used), "changes")
     scanned = i.files is not None
     texts = steps.join(i.notes.where("notes_text is not null"), ["ecosystem", "package", "version"]).select(*KEY, "step", F.col("notes_text").alias("text"))
-    severe = lambda s: F.transform(F.array_sort(F.collect_list(F.when((F.col("baseline_severity") == "HIGH") & (F.col("usage_status") == s), F.struct("cat_ord", "version_ord", "entry_ord", "title")))), lambda x: x["title"])
-    titles = changes.groupBy(*KEY).agg(severe("SCANNED_CONFIRMED").alias("confirmed"), severe("SCANNED_POTENTIAL").alias("potential"), risk.status_of(scanned).alias("overall_status"))
+    overall = risk.overall_status(changes, KEY, scanned)
     counts = risk.affected_counts(changes, KEY, places)
     sure = risk.confidence(status, changes, KEY, scanned)
     python = risk.python_support(texts, KEY, ["step"])
-    facts = requests.join(titles, KEY, "left").join(counts, KEY, "left").join(sure, KEY, "left").join(python, KEY, "left").fillna("LOW", ["overall_status"]).fillna(0, ["confirmed_apis", "potential_apis", "production_files", "test_files"])
-    none = F.array().cast("array<string>")
-    facts = facts.withColumns({c: F.coalesce(c, none) for c in ("confirmed", "potential", "dropped")})
-    facts = facts.withColumn("verdict", risk.verdict(F.col("overall_status"), F.col("confirmed"), F.col("potential"), scanned, F.col("dropped")))
+    facts = requests.join(overall, KEY, "left").join(counts, KEY, "left").join(sure, KEY, "left").join(python, KEY, "left").fillna("LOW", ["overall_status"]).fillna(0, ["confirmed_apis", "potential_apis", "production_files", "test_files"])
+    facts = facts.withColumn("dropped", F.coalesce("dropped", F.array().cast("array<string>")))
     bumps = steps.groupBy(*KEY).agg(F.max(F.array_position(F.lit(X.BUMPS), F.col("bump"))).alias("r")).select(*KEY, F.element_at(F.lit(X.BUMPS), F.col("r").cast("int")).alias("bump"))
     scan = {"root": i.scan_root, "files": usage.source_files(i.files).count()} if scanned else None
     facts = stored(facts, "facts")

@@ -382,3 +382,27 @@ def test_notes_from_landed_sources(spark):
     assert (one.kind, one.notes_text, one.cross_text, one.cross_url, one.discrepancy) == ("Flask Official Changelog", "- Added a door", "wholly other prose here", "https://github.com/o/flask/releases/tag/v1.1", True)
     assert (got["flask", "1.2"].notes_text, got["q", "3.0"].notes_text, got["q", "4.0"].notes_text) == ("posted", "- first\n- second", None)
     assert upgrade.resolved_notes(versions, upgrade.Landed()).where("notes_text is null and not discrepancy").count() == 4
+
+
+def test_no_task_holds_the_lines_of_a_report(spark):
+    """Lines are sorted and appended; a report longer than a part goes on in the next row, and nothing of it is lost."""
+    from pyspark.sql import functions as F
+    from releaselode.operators import report
+
+    rows = [("a", s, o, f"{s}/{o} " + "⚠" * 40) for s in range(9, -1, -1) for o in range(50)] + [("a", 3, 7, None), ("b", 0, 1, ""), ("b", 0, 0, "x"), ("c", 0, 0, None), (None, 0, 0, "z")]
+    df = spark.createDataFrame(rows, "k string, section int, ord long, text string")
+    whole = "\n".join(x for _, _, _, x in sorted(r for r in rows if r[0] == "a" and r[3] is not None))
+    few = {"b": [(0, "x\n")], "c": [(0, None)], None: [(0, "z")]}
+    for size in (1000, 10**6):
+        made = report.put_together(df, ["k"], size)
+        got = {}
+        for r in made.orderBy("part").collect():
+            got.setdefault(r.k, []).append((r.part, r.report))
+        texts = [x for _, x in got["a"]]
+        assert "\n".join(texts) == whole and [n for n, _ in got["a"]] == list(range(len(texts)))
+        assert (len(texts) == 1) == (size > len(whole.encode())) and all(len(x.encode()) <= size for x in texts)
+        assert {k: v for k, v in got.items() if k != "a"} == few
+    # verdicts list titles as lines, in the order of their changes
+    assert "collect_list" not in report.put_together(df, ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    at = df.where("k = 'b'").withColumn("at", F.struct(-F.length("text"))).withColumn("ord", F.lit(1))
+    assert [r.report for r in report.put_together(at, ["k"]).collect()] == ["x\n"]
